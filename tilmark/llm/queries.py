@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilmark.llm import license_scan as ls
+from tilmark.llm import near_dedup as nd
 from tilmark.llm.runtime import table
 
 
@@ -60,6 +61,10 @@ FROM docs LEFT JOIN base USING (k) LEFT JOIN method USING (k) LEFT JOIN named US
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nd.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
