@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilmark.llm import license_scan as ls
+from tilmark.llm import decontaminate as dc
+from tilmark.llm import mixing as mx
 from tilmark.llm import near_dedup as nd
+from tilmark.llm import sharding as sh
 from tilmark.llm.runtime import table
 
 
@@ -61,13 +64,51 @@ FROM docs LEFT JOIN base USING (k) LEFT JOIN method USING (k) LEFT JOIN named US
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mx.mix_words(table(spark, sf_dir, "documents"))
+
+
+def _op6_sql() -> str:
+    weight = "CASE " + " ".join(f"WHEN (n - 1) % {len(mx.WEIGHTS)} = {i} THEN {w}" for i, w in enumerate(mx.WEIGHTS)) + " END"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mx.WORD}')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents
+), sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM docs GROUP BY source),
+named AS (SELECT source, s, {weight} AS w FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sums)),
+ordered AS (SELECT *, row_number() OVER (ORDER BY {mx.MAX_REPEATS} * s / w, source NULLS LAST) AS o FROM named),
+levels AS (
+  SELECT *, (sum(s) OVER () - coalesce(sum({mx.MAX_REPEATS} * s) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM ordered
+), found AS (SELECT coalesce(min(o) FILTER (level <= {mx.MAX_REPEATS} * s / w), max(o)) AS o FROM levels),
+goals AS (
+  SELECT source, s, least(w * (SELECT level FROM levels JOIN found USING (o)), CAST({mx.MAX_REPEATS} * s AS DOUBLE)) AS target FROM levels
+), laid AS (
+  SELECT doc_id, docs.source, size, s, target, CAST(floor(target + 0.5) AS BIGINT) AS q,
+         coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source
+)
+SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target,
+       CAST(CASE WHEN s = 0 THEN 0 ELSE size * (q // s) + greatest(0, least(size, q % s - pos)) END AS BIGINT) AS taken FROM laid
+"""
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sh.place_records(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql()}
+    return {"op1_license_scan": _op1_sql(), "op6_mix": _op6_sql()}
