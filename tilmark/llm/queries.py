@@ -11,6 +11,7 @@ from tilmark.llm import license_scan as ls
 from tilmark.llm import decontaminate as dc
 from tilmark.llm import mixing as mx
 from tilmark.llm import near_dedup as nd
+from tilmark.llm import secret_scan as ss
 from tilmark.llm import sharding as sh
 from tilmark.llm.runtime import table
 
@@ -101,6 +102,19 @@ SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target,
 """
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ss.secret_scan(table(spark, sf_dir, "documents"))
+    ordered = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ss.KINDS[:3]],
+        F.sha2(ordered(base), 256).alias("base_sha256"),
+        ordered(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sh.place_records(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
