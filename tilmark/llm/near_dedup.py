@@ -7,9 +7,11 @@ THRESHOLD; a class is a connected component of links. Steps:
    BagMinHash signature. Texts with equal words are one node, so copies never meet as pairs.
 2. In each band bucket the smallest node is the hub and every other node is paired with it.
 3. Pairs whose sizes allow the threshold are verified on their shingle bags, and components are formed.
-4. Buckets that still hold more than one component go on: first each component's smallest node is paired with
-   the bucket's other components, then all pairs that cross components in a bucket are verified. So no
-   link that banding proposes between classes is lost, and pairs inside one class are never listed.
+4. Buckets that still hold more than one component go on with those nodes that can have another link: the
+   shingles that no other such node has bound each overlap from above, which is exact. First the HUBS nodes
+   with the largest shared parts are paired with the bucket's other components, then all pairs that cross
+   components and that the bound allows are verified. So no link that banding proposes between classes is lost, and pairs
+   inside one class are never listed.
 
 With 25 bands of 6 components a pair at similarity 0.8 shares no bucket with probability 5e-4, at 0.9 1e-8.
 
@@ -25,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilmark.llm import bag_minhash as bm
@@ -35,6 +38,7 @@ from tilmark.llm.runtime import written
 
 THRESHOLD = 0.8
 BAND_ROWS = 6
+HUBS = 6
 
 
 def _bag(words: np.ndarray) -> np.ndarray:
@@ -63,11 +67,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in tv.chunks(batches):
         words, at = tv.word_hashes(texts)
-        bags = [_bag(words[at[i] : at[i + 1]]).tobytes() for i in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], names=["node", "bag"])
+        bags = [_bag(words[at[i] : at[i + 1]]) for i in range(len(texts))]
+        offsets = np.concatenate(([0], np.cumsum([len(b) for b in bags]))).astype(np.int32)
+        values = np.concatenate(bags).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "bag"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -81,15 +87,16 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, tv.U), np.frombuffer(y, tv.U)
-                common = overlap(p, q)
-                out.append(common / (len(p) + len(q) - common))
-            s = np.array(out, np.float64)
-            keep = s >= threshold
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep]), pa.array(s[keep])], names=["a", "b", "similarity"])
+            left, right = batch.column(2), batch.column(3)
+            p, q = (np.asarray(x.flatten()).view(tv.U) for x in (left, right))
+            i, j = (np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(x))))) for x in (left, right))
+            s = np.empty(len(batch))
+            for k in range(len(batch)):
+                a, b = p[i[k] : i[k + 1]], q[j[k] : j[k + 1]]
+                common = overlap(a, b)
+                s[k] = common / (len(a) + len(b) - common)
+            keep = pa.array(s >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["a", "b", "similarity"]).filter(keep)
 
     return run
 
@@ -107,55 +114,69 @@ class NearDuplicates:
         entries = self.nodes.select(F.explode("bands").alias("bucket"), "node", "size")
         shared = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.min_by("size", "node").alias("hub_size")).filter("hub != other")
         self.entries = written(entries.join(shared.drop("other"), "bucket"), "entries")
+        self.bags = self._all_bags()
         pairs = self.entries.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_size").alias("m"), F.col("size").alias("n"))
         self.tested = None
         self.links = self._verified(pairs)
         self.classes = components(self.links)
-        for every in (False, True):
+        for crossing in (self._to_hubs, self._all_crossing):
             mixed = self._mixed()
             if mixed is None:
                 break
-            more = self._verified(self._crossing(mixed, every))
+            more = self._verified(crossing(mixed))
             if more.limit(1).count():
                 self.links = self.links.unionByName(more)
                 self.classes = components(self.links)
 
-    def _fits(self, pairs: DataFrame) -> DataFrame:
-        """Only sizes within the threshold of each other can reach it."""
-        return pairs.filter(F.least("m", "n") >= self.threshold * F.greatest("m", "n")).select("a", "b").distinct()
+    def _all_bags(self) -> DataFrame:
+        """(node, bag) of every node that shares a bucket: its sorted shingle hashes, repeats included."""
+        wanted = self.entries.select("node").distinct()
+        rows = self.nodes.join(wanted, "node").select("node", F.col("row.id").alias("id"), F.col("row.content").alias("content"))
+        there = rows.join(self.source, rows["id"].eqNullSafe(self.source["id"]) & (rows["content"] == self.source["content"]))
+        return written(there.select("node", "text").mapInArrow(_bags, "node long, bag array<long>").dropDuplicates(["node"]), "bags")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        pairs = self._fits(pairs)
+        """Links among candidate pairs (a, b, sizes m and n). Only sizes within the threshold of each other can reach it."""
+        pairs = pairs.filter(F.least("m", "n") >= self.threshold * F.greatest("m", "n")).select("a", "b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = self.nodes.join(wanted, "node").select("node", F.col("row.id").alias("id"), F.col("row.content").alias("content"))
-        there = rows.join(self.source, rows["id"].eqNullSafe(self.source["id"]) & (rows["content"] == self.source["content"]))
-        bags = written(there.select("node", "text").mapInArrow(_profiles, "node long, bag binary").dropDuplicates(["node"]), "bags")
-        joined = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("p")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("q")), "b")
+        joined = pairs.join(self.bags.select(F.col("node").alias("a"), F.col("bag").alias("p")), "a").join(self.bags.select(F.col("node").alias("b"), F.col("bag").alias("q")), "b")
         return written(joined.select("a", "b", "p", "q").mapInArrow(_verify(self.threshold), "a long, b long, similarity double"), "verified")
 
     def _mixed(self) -> DataFrame | None:
-        """Entries of buckets that hold several components."""
+        """Entries (bucket, node, size, component, shared) of buckets with several components, without nodes that can
+        have no further link. shared is the number of a node's shingles that any other of these nodes has: no overlap
+        is larger, so a node needs threshold * size of them."""
         named = self.entries.select("bucket", "node", "size").join(self.classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = written(named, "named")
         several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-        if not several.limit(1).count():
+        mixed = written(named.join(several.select("bucket"), "bucket"), "mixed")
+        if not mixed.limit(1).count():
             return None
-        return named.join(several.select("bucket"), "bucket")
-
-    def _crossing(self, mixed: DataFrame, every: bool) -> DataFrame:
-        """Pairs of nodes of one bucket and different components: all, or those with a component's first node."""
-        near = mixed.select("bucket", "component", "node", "size")
-        if not every:
-            near = near.groupBy("bucket", "component").agg(F.min(F.struct("node", "size")).alias("h")).select("bucket", "component", F.col("h.node").alias("node"), F.col("h.size").alias("size"))
-        left = near.select("bucket", F.col("component").alias("c"), F.col("node").alias("x"), F.col("size").alias("m"))
-        right = mixed.select("bucket", F.col("component").alias("d"), F.col("node").alias("y"), F.col("size").alias("n"))
-        fits = (F.least("m", "n") >= self.threshold * F.greatest("m", "n")) & (F.col("c") != F.col("d"))
-        crossed = left.join(right, "bucket").filter(fits & (F.col("x") < F.col("y")) if every else fits)
-        return crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "m", "n")
+        there = self.bags.join(mixed.select("node").distinct(), "node").select("node", F.explode("bag").alias("shingle"))
+        own = there.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.count("*").alias("n")).filter("node = other")
+        alone = own.groupBy("node").agg(F.sum("n").alias("alone"))
+        out = mixed.join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+        return written(out.filter(F.col("shared") >= self.threshold * F.col("size")), "open")
+
+    def _to_hubs(self, mixed: DataFrame) -> DataFrame:
+        """Each bucket's HUBS nodes with the largest shared parts, with the bucket's nodes of other components."""
+        best = Window.partitionBy("bucket").orderBy((F.col("shared") / F.col("size")).desc(), "node")
+        top = mixed.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
+        hubs = top.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"))
+        return self._crossed(mixed, hubs, F.col("c") != F.col("d"))
+
+    def _all_crossing(self, mixed: DataFrame) -> DataFrame:
+        """All pairs of a bucket's nodes of different components that their shared parts allow."""
+        right = mixed.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"))
+        return self._crossed(mixed, right, (F.col("c") != F.col("d")) & (F.col("x") < F.col("y")))
+
+    def _crossed(self, mixed: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+        left = mixed.select("bucket", F.col("node").alias("x"), F.col("size").alias("m"), F.col("shared").alias("s"), F.col("component").alias("c"))
+        reach = F.least("s", "t") * (1 + self.threshold) >= self.threshold * (F.col("m") + F.col("n"))
+        return left.join(right, "bucket").filter(condition & reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "m", "n")
 
     def membership(self) -> DataFrame:
         """(id, content, node, class_id): one row per input row; class_id is the smallest id of the class."""
