@@ -226,11 +226,13 @@ def train_tagger(texts: DataFrame, key: str = "doc_id", text: str = "text", labe
     """A tagger from a bounded sample of the rows outside the held-out fold that have a label."""
     usable = texts.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(text).alias("text")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("label").isNotNull())
     counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 30))
+    if not counts:
+        return Tagger.train([])
     wanted = F.lit(False)
     for r in counts:
         wanted = wanted | ((F.col("label") == r["label"]) & (draw < int(min(1.0, 1.3 * rows / r["count"]) * (1 << 30))))
-    found = usable.filter(wanted & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select("label", "text", draw.alias("draw")).collect()
+    found = usable.filter(wanted & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select("label", "text", draw.alias("draw")).orderBy("draw").limit(2 * rows * len(counts)).collect()
     found.sort(key=lambda r: (r["label"], r["draw"], r["text"]))
     kept: dict[str, list[str]] = {}
     for r in found:

@@ -12,6 +12,7 @@ from tilmark.llm import license_scan as ls
 from tilmark.llm import decontaminate as dc
 from tilmark.llm import mixing as mx
 from tilmark.llm import near_dedup as nd
+from tilmark.llm import quality as qu
 from tilmark.llm import secret_scan as ss
 from tilmark.llm import sharding as sh
 from tilmark.llm.runtime import table
@@ -74,6 +75,13 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = qu.score_texts(documents, qu.train_on(documents, table(spark, sf_dir, "labels")))
+    held = qu.held_out(F.col("doc_id"), qu.FOLDS, qu.FOLD)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= qu.CUT).cast("int").alias("predicted"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.mix_words(table(spark, sf_dir, "documents"))
 
