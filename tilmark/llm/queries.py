@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilmark.llm import embedding_dedup as ed
 from tilmark.llm import language_id as li
 from tilmark.llm import license_scan as ls
 from tilmark.llm import decontaminate as dc
@@ -124,6 +125,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ed.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sh.place_records(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
