@@ -8,7 +8,8 @@ THRESHOLD; a class is a connected component of links. Steps:
 2. In each band bucket the smallest node is the hub and every other node is paired with it.
 3. Pairs whose sizes allow the threshold are verified on their shingle bags, and components are formed.
 4. Buckets that still hold more than one component go on with those nodes that can have another link: the
-   shingles that no other such node has bound each overlap from above, which is exact. First the HUBS nodes
+   shingles that no other such node has, and the bits of a bitmap of shingles that the other node lacks, bound
+   each overlap from above, which is exact. First the HUBS nodes
    with the largest shared parts are paired with the bucket's other components, then all pairs that cross
    components and that the bound allows are verified. So no link that banding proposes between classes is lost, and pairs
    inside one class are never listed.
@@ -39,6 +40,7 @@ from tilmark.llm.runtime import written
 THRESHOLD = 0.8
 BAND_ROWS = 6
 HUBS = 6
+BITMAP_LONGS = 32
 
 
 def _bag(words: np.ndarray) -> np.ndarray:
@@ -73,7 +75,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = [_bag(words[at[i] : at[i + 1]]) for i in range(len(texts))]
         offsets = np.concatenate(([0], np.cumsum([len(b) for b in bags]))).astype(np.int32)
         values = np.concatenate(bags).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "bag"])
+        bits = np.zeros((len(bags), BITMAP_LONGS), tv.U)
+        for i, bag in enumerate(bags):
+            at = bag & tv.U(64 * BITMAP_LONGS - 1)
+            np.bitwise_or.at(bits[i], (at >> tv.U(6)).astype(np.int64), tv.U(1) << (at & tv.U(63)))
+        ends = np.arange(0, bits.size + 1, BITMAP_LONGS, dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in ((offsets, values), (ends, bits.ravel().view(np.int64)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["node", "bag", "bits"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -129,11 +137,12 @@ class NearDuplicates:
                 self.classes = components(self.links)
 
     def _all_bags(self) -> DataFrame:
-        """(node, bag) of every node that shares a bucket: its sorted shingle hashes, repeats included."""
+        """(node, bag, bits) of every node that shares a bucket: its sorted shingle hashes, repeats included, and a bitmap
+        of them."""
         wanted = self.entries.select("node").distinct()
         rows = self.nodes.join(wanted, "node").select("node", F.col("row.id").alias("id"), F.col("row.content").alias("content"))
         there = rows.join(self.source, rows["id"].eqNullSafe(self.source["id"]) & (rows["content"] == self.source["content"]))
-        return written(there.select("node", "text").mapInArrow(_bags, "node long, bag array<long>").dropDuplicates(["node"]), "bags")
+        return written(there.select("node", "text").mapInArrow(_bags, "node long, bag array<long>, bits array<long>").dropDuplicates(["node"]), "bags")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a, b, sizes m and n). Only sizes within the threshold of each other can reach it."""
@@ -159,23 +168,28 @@ class NearDuplicates:
         own = there.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.count("*").alias("n")).filter("node = other")
         alone = own.groupBy("node").agg(F.sum("n").alias("alone"))
         out = mixed.join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
-        return written(out.filter(F.col("shared") >= self.threshold * F.col("size")), "open")
+        out = out.filter(F.col("shared") >= self.threshold * F.col("size"))
+        return written(out.join(self.bags.select("node", "bits"), "node"), "open")
 
     def _to_hubs(self, mixed: DataFrame) -> DataFrame:
         """Each bucket's HUBS nodes with the largest shared parts, with the bucket's nodes of other components."""
         best = Window.partitionBy("bucket").orderBy((F.col("shared") / F.col("size")).desc(), "node")
         top = mixed.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
-        hubs = top.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"))
+        hubs = top.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"), F.col("bits").alias("q"))
         return self._crossed(mixed, hubs, F.col("c") != F.col("d"))
 
     def _all_crossing(self, mixed: DataFrame) -> DataFrame:
         """All pairs of a bucket's nodes of different components that their shared parts allow."""
-        right = mixed.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"))
+        right = mixed.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"), F.col("bits").alias("q"))
         return self._crossed(mixed, right, (F.col("c") != F.col("d")) & (F.col("x") < F.col("y")))
 
     def _crossed(self, mixed: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-        left = mixed.select("bucket", F.col("node").alias("x"), F.col("size").alias("m"), F.col("shared").alias("s"), F.col("component").alias("c"))
-        reach = F.least("s", "t") * (1 + self.threshold) >= self.threshold * (F.col("m") + F.col("n"))
+        """Pairs of a bucket whose overlap can reach the threshold: it is bounded by the shared parts, and by a size less
+        the bits of its bitmap that the other lacks, as each stands for a shingle that the other lacks."""
+        left = mixed.select("bucket", F.col("node").alias("x"), F.col("size").alias("m"), F.col("shared").alias("s"), F.col("component").alias("c"), F.col("bits").alias("p"))
+        lacking = lambda one, other: F.aggregate(F.zip_with(one, other, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda total, k: total + k)
+        enough = lambda overlap: overlap * (1 + self.threshold) >= self.threshold * (F.col("m") + F.col("n"))
+        reach = enough(F.least("s", "t")) & enough(F.col("m") - lacking("p", "q")) & enough(F.col("n") - lacking("q", "p"))
         return left.join(right, "bucket").filter(condition & reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "m", "n")
 
     def membership(self) -> DataFrame:
