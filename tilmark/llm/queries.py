@@ -16,6 +16,7 @@ from tilmark.llm import near_dedup as nd
 from tilmark.llm import quality as qu
 from tilmark.llm import secret_scan as ss
 from tilmark.llm import sharding as sh
+from tilmark.llm import token_scan as ts
 from tilmark.llm.runtime import table
 
 
@@ -68,6 +69,10 @@ FROM docs LEFT JOIN base USING (k) LEFT JOIN method USING (k) LEFT JOIN named US
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
