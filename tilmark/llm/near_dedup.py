@@ -193,12 +193,13 @@ class NearDuplicates:
         return left.join(right, "bucket").filter(condition & reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "m", "n")
 
     def membership(self) -> DataFrame:
-        """(id, content, node, class_id): one row per input row; class_id is the smallest id of the class."""
+        """(id, content, component, class_id): one row per input row. component is null for texts without words; class_id is
+        the smallest id of the class."""
         named = self.nodes.select("node", F.col("row.id").alias("first")).join(self.classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = named.groupBy("component").agg(F.min("first").alias("class_id"))
-        by_node = named.join(least, "component").select("node", "class_id")
+        by_node = named.join(least, "component").select("node", "component", "class_id")
         out = self.sketch.select("id", "content", "node").join(by_node, "node", "left")
-        return out.withColumn("class_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")))
+        return out.select("id", "content", "component", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def near_duplicates(texts: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -208,10 +209,13 @@ def near_duplicates(texts: DataFrame, key: str = "doc_id", text: str = "text", t
 
 
 def without_near_duplicates(texts: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input rows, all columns, with one row of each class: the one with the smallest key (rows whose class
-    has no key keep one of each text). Repeated rows count as copies."""
+    """The input rows, all columns, with one row of each class: one with the smallest key. Repeated rows are copies.
+    Texts without words all stay, but for repeats with equal keys."""
     found = NearDuplicates(texts, key, text, threshold).membership()
-    keep = found.filter(F.col("id").eqNullSafe(F.col("class_id")) | F.col("node").isNull()).groupBy("id", "node").agg(F.min("content").alias("content")).select(F.col("id").alias("__id"), F.col("content").alias("__content")).distinct()
-    rows = texts.withColumn("__at", F.xxhash64(F.col(text)))
-    kept = rows.join(keep, rows[key].eqNullSafe(keep["__id"]) & (rows["__at"] == keep["__content"]), "left_semi")
-    return kept.dropDuplicates([key, "__at"]).drop("__at")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content"))
+    chosen = found.filter("component is not null").groupBy("component").agg(first.alias("row")).select("row.id", "row.content")
+    keep = chosen.union(found.filter("component is null").select("id", "content").distinct())
+    keep = keep.select(F.xxhash64("id", "content").alias("__k"), F.col("id").alias("__id"), F.col("content").alias("__content"))
+    rows = texts.withColumn("__at", F.xxhash64(F.col(text))).withColumn("__k", F.xxhash64(F.col(key), F.col("__at")))
+    same = (rows["__k"] == keep["__k"]) & rows[key].eqNullSafe(keep["__id"]) & (rows["__at"] == keep["__content"])
+    return rows.join(keep, same, "left_semi").dropDuplicates(["__k", key, "__at"]).select(*texts.columns)
