@@ -1,8 +1,57 @@
-"""The training-corpus pipeline: STAGES over documents, each written as Parquet and read by the next."""
+"""The training-corpus pipeline: language ID, near-dedup, benchmark decontamination, mixing and sharding.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as Parquet and
+gives what it reads back to the next. All but the last return the columns of documents:
+
+* language: rows whose language is unknown, or known with too low a score, go;
+* near_dedup: one document of each class of near-duplicates stays, the one with the smallest doc_id;
+* decontaminate: documents that hold a benchmark passage go;
+* mix: each document stands as often as the mix takes it, or not at all;
+* shard: documents columns plus virtual_slot and shard.
+
+An empty table passes through all stages as an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tilmark.llm import decontaminate as dc
+from tilmark.llm import language_id as li
+from tilmark.llm import mixing as mx
+from tilmark.llm import near_dedup as nd
+from tilmark.llm import sharding as sh
+from tilmark.llm.runtime import table, written
+
+#: Stages train models and align sequences; no SQL gives these rows. Tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return li.identified(docs, li.train_tagger(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return nd.without_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dc.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mx.mix_documents(docs).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sh.with_shards(docs)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
