@@ -26,3 +26,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
         if not moved:
             return labels.select("node", F.col("label").alias("component"))
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links (a, b): only the links between components are walked."""
+    named = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    ends = links.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
+    between = ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).filter("a != b")
+    joined = components(between)
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    kept = classes.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return written(kept.union(joined.join(classes, "node", "left_anti")), "classes")

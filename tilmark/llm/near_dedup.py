@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tilmark.llm import bag_minhash as bm
 from tilmark.llm import textvec as tv
-from tilmark.llm.graph import components
+from tilmark.llm.graph import components, merged
 from tilmark.llm.runtime import written
 
 THRESHOLD = 0.8
@@ -134,7 +134,7 @@ class NearDuplicates:
             more = self._verified(crossing(mixed))
             if more.limit(1).count():
                 self.links = self.links.unionByName(more)
-                self.classes = components(self.links)
+                self.classes = merged(self.classes, more)
 
     def _all_bags(self) -> DataFrame:
         """(node, bag, bits) of every node that shares a bucket: its sorted shingle hashes, repeats included, and a bitmap
