@@ -38,7 +38,7 @@ TRAIN_WORDS = 400
 TRAIN_CHARS = 1_000_000
 MAX_LANGUAGES = 64
 STEPS, BATCH, TRAIN_CHAIN, RATE, DECAY = 150, 64, 48, 0.05, 1e-4
-CACHE = 300_000
+CACHE = 150_000
 FOLDS = 5
 MIN_SCORE = 0.35
 

@@ -90,36 +90,40 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
     return out
 
 
+PLAN = "__of string, __total long, __target double, __digits int, __whole long, __rest long, __edge long, __before long, __upto array<long>"
+
+
 @dataclass
 class Mix:
-    """The plan of one mix: sources has a row per source (size, target, quota, digits, whole, edge, before, split)."""
+    """The plan of one mix. sources has a row per source: its words, target, hex digits of a block, whole rounds, words
+    of the last round, edge block, words before that, and the blocks that go to the shards up to each."""
 
     sources: DataFrame
     narrow: DataFrame
     small: bool
 
-    def _placed(self, rows: DataFrame) -> DataFrame:
+    def placed(self, rows: DataFrame) -> DataFrame:
         """rows with __source, __size and __key get their source's plan and their block."""
         plan = F.broadcast(self.sources) if self.small else self.sources
-        joined = rows.join(plan, rows["__source"].eqNullSafe(plan["source_of"]), "inner").drop("source_of")
-        block = F.when(F.col("digits") == 0, F.lit(0)).otherwise(F.conv(F.expr("substr(__key, 1, digits)"), 16, 10).cast("long"))
+        joined = rows.join(plan, rows["__source"].eqNullSafe(plan["__of"]), "inner").drop("__of")
+        block = F.when(F.col("__digits") == 0, F.lit(0)).otherwise(F.conv(F.expr("substr(__key, 1, __digits)"), 16, 10).cast("long"))
         return joined.withColumn("__block", block.cast("long"))
 
     def taken(self, rows: DataFrame) -> DataFrame:
-        """rows (with __source, __size, __key) plus source_size, target, taken and the plan's columns."""
-        placed = self._placed(rows)
-        whole = F.col("__size") * (F.col("whole") + (F.col("__block") < F.col("edge")).cast("long"))
-        inner = placed.filter(F.col("__block") != F.col("edge")).withColumn("taken", whole)
+        """rows (with __source, __size, __key) plus the plan's columns and __taken."""
+        placed = self.placed(rows)
+        whole = F.col("__size") * (F.col("__whole") + (F.col("__block") < F.col("__edge")).cast("long"))
+        inner = placed.filter(F.col("__block") != F.col("__edge")).withColumn("__taken", whole)
         before = Window.partitionBy("__source").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
-        start = F.col("before") + F.coalesce(F.sum("__size").over(before), F.lit(0))
-        part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("rest") - start))
-        edge = placed.filter(F.col("__block") == F.col("edge")).withColumn("taken", F.col("__size") * F.col("whole") + part)
+        start = F.col("__before") + F.coalesce(F.sum("__size").over(before), F.lit(0))
+        part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - start))
+        edge = placed.filter(F.col("__block") == F.col("__edge")).withColumn("__taken", F.col("__size") * F.col("__whole") + part)
         return inner.unionByName(edge)
 
 
 def plan_mix(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, weights: tuple[int, ...] = WEIGHTS) -> Mix:
     spark = texts.sparkSession
-    narrow = written(prepared(texts, key, text, source).select(F.col(key).alias("__id"), "__source", "__size", "__key"), "mix")
+    narrow = written(prepared(texts.select(key, text, source), key, text, source).select(F.col(key).alias("__id"), "__source", "__size", "__key"), "mix")
     stats = narrow.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("rows")).collect()
     stats.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
     sizes = [r["size"] for r in stats]
@@ -127,21 +131,20 @@ def plan_mix(texts: DataFrame, key: str = "doc_id", text: str = "text", source:
     rows = []
     for r, goal in zip(stats, goals, strict=True):
         quota = math.floor(goal + 0.5)
-        digits = min(MAX_DIGITS, max(0, math.ceil(math.log(max(1, r["rows"]) / BLOCK_ROWS, 16)))) if r["rows"] > BLOCK_ROWS else 0
+        digits = min(MAX_DIGITS, math.ceil(math.log(r["rows"] / BLOCK_ROWS, 16))) if r["rows"] > BLOCK_ROWS else 0
         whole = quota // r["size"] if r["size"] else 0
-        rows.append((r["__source"], r["size"], goal, quota, digits, whole, quota - whole * r["size"]))
-    first = spark.createDataFrame(rows, "source_of string, source_size long, target double, quota long, digits int, whole long, rest long")
+        rows.append((r["__source"], r["size"], goal, digits, whole, quota - whole * r["size"]))
     small = len(rows) <= BROADCAST_SOURCES
-    sums = Mix(first, narrow, small)._placed(narrow).groupBy("__source", "__block", "rest").agg(F.sum("__size").alias("words"))
+    first = Mix(spark.createDataFrame(rows, PLAN.split(", __edge")[0]), narrow, small)
+    sums = first.placed(narrow).groupBy("__source", "__block", "__rest").agg(F.sum("__size").alias("words"))
     running = Window.partitionBy("__source").orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = sums.withColumn("upto", F.sum("words").over(running)).filter(F.col("upto") > F.col("rest"))
+    edges = sums.withColumn("upto", F.sum("words").over(running)).filter(F.col("upto") > F.col("__rest"))
     found = {r["__source"]: (r["edge"]["__block"], r["edge"]["upto"] - r["edge"]["words"]) for r in edges.groupBy("__source").agg(F.min(F.struct("__block", "upto", "words")).alias("edge")).collect()}
     edge = [found.get(r[0], (-1, 0)) for r in rows]
-    blocks = [r[5] * 16 ** r[4] + max(0, e[0]) + (r[6] > e[1]) for r, e in zip(rows, edge, strict=True)]
+    blocks = [r[4] * 16 ** r[3] + max(0, e[0]) + (r[5] > e[1]) for r, e in zip(rows, edge, strict=True)]
     split = np.cumsum(split_quotas(blocks, shards), axis=1) if rows else np.zeros((0, shards), np.int64)
     full = [(*r, *e, split[i].tolist()) for i, (r, e) in enumerate(zip(rows, edge, strict=True))]
-    sources = spark.createDataFrame(full, "source_of string, source_size long, target double, quota long, digits int, whole long, rest long, edge long, before long, upto array<long>")
-    return Mix(sources, narrow, small)
+    return Mix(spark.createDataFrame(full, PLAN), narrow, small)
 
 
 def prepared(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -151,17 +154,21 @@ def prepared(texts: DataFrame, key: str = "doc_id", text: str = "text", source:
 def mix_words(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per input row: the key, size, source_size, target of its source, and taken words."""
     mix = plan_mix(texts, key, text, source)
-    return mix.taken(mix.narrow).select(F.col("__id").alias(key), F.col("__size").alias("size"), "source_size", "target", "taken")
+    named = {"__id": key, "__size": "size", "__total": "source_size", "__target": "target", "__taken": "taken"}
+    return mix.taken(mix.narrow).select(*[F.col(c).alias(n) for c, n in named.items()])
 
 
-def mix_documents(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8) -> DataFrame:
-    """The drawn documents, all input columns, with mix_shard and mix_order: each document as often as the mix takes it
-    whole, the cut one if at least half of it is taken."""
+def mix_documents(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, placed: bool = True) -> DataFrame:
+    """The drawn documents, all input columns: each document as often as the mix takes it whole, the cut one if at least half
+    of it is taken. With placed=True also mix_shard and mix_order, which replace columns of these names."""
     mix = plan_mix(texts, key, text, source, shards)
     drawn = mix.taken(prepared(texts, key, text, source))
-    times = F.when(F.col("__size") > 0, F.floor((2 * F.col("taken") + F.col("__size")) / (2 * F.col("__size"))).cast("int")).otherwise(F.lit(0))
+    times = F.when(F.col("__size") > 0, F.floor((2 * F.col("__taken") + F.col("__size")) / (2 * F.col("__size"))).cast("int")).otherwise(F.lit(0))
     each = drawn.withColumn("__times", times).filter("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    at = F.col("__epoch") * F.pow(F.lit(16), F.col("digits")).cast("long") + F.col("__block")
-    placed = each.withColumn("mix_shard", F.least(F.size(F.filter("upto", lambda u: u <= at)), F.lit(shards - 1)))
+    if not placed:
+        return each.select(*texts.columns)
+    at = F.col("__epoch") * F.pow(F.lit(16), F.col("__digits")).cast("long") + F.col("__block")
+    shard = F.least(F.size(F.filter("__upto", lambda u: u <= at)), F.lit(shards - 1))
     order = F.md5(F.concat(F.col("__key"), F.lit(":"), F.col("__epoch").cast("string")))
-    return placed.withColumn("mix_order", order).select(*texts.columns, "mix_shard", "mix_order")
+    kept = [F.col(c) for c in texts.columns if c not in ("mix_shard", "mix_order")]
+    return each.select(*kept, shard.alias("mix_shard"), order.alias("mix_order"))

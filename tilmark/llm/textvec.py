@@ -2,7 +2,8 @@
 
 A word is a run of ``[0-9a-z]`` and non-ASCII characters after ``str.lower``; ``WORD`` finds the same words
 one text at a time. Hashes are 64-bit: a polynomial over a word's bytes, scrambled. Texts of any length
-are handled in pieces of PIECE bytes, cut between words, so memory is bounded by a piece and the hashes.
+are handled in pieces of PIECE bytes, cut between words, so memory is bounded by a piece and the hashes. Arrow batches are
+worked through in slices of about CHUNK bytes of text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-PIECE = 1 << 21
+PIECE = 1 << 20
+CHUNK = 1 << 21
 SHINGLE = 5
 
 U = np.uint64
@@ -129,7 +131,7 @@ def fingerprint(words: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 * PIECE) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of Arrow batches with at most about `most` bytes of text each (one row at least)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
