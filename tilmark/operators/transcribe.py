@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 CHUNK_SECONDS, RATE = 30.0, 16_000
@@ -52,7 +54,7 @@ class SpeechModel:
         return self.processor.batch_decode(ids, skip_special_tokens=True)
 
 
-_loaded: dict[int, Transcriber] = {}
+_loaded: dict[str, Transcriber] = {}
 
 
 def transcribe(waves: DataFrame, make: Callable[[], Transcriber], samples: str = "samples", chunk_seconds: float = CHUNK_SECONDS, timestamps: bool = False, batch: int = 16, **_ignored) -> DataFrame:
@@ -62,10 +64,13 @@ def transcribe(waves: DataFrame, make: Callable[[], Transcriber], samples: str =
     size = int(chunk_seconds * RATE)
     if size <= 0:
         raise ValueError("a chunk needs at least one sample")
+    tag = hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
     place, names = waves.columns.index(samples), [*waves.columns, "transcript"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded.get(hash(make)) or _loaded.setdefault(hash(make), make())
+        if tag not in _loaded:
+            _loaded[tag] = make()
+        model = _loaded[tag]
         for rows in batches:
             given = [np.asarray([] if x is None else x, np.float32) for x in rows.column(place).to_pylist()]
             pieces = [(i, x[a : a + size]) for i, x in enumerate(given) for a in range(0, len(x), size)]

@@ -23,7 +23,7 @@ SCHEMA = "idx long, surah int, ayah int, plain string, original string"
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Whole documents as rows (document string)."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("document"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("document"))
 
 
 def flatten_nested(documents: DataFrame, column: str = "document") -> DataFrame:
