@@ -15,6 +15,7 @@ import numpy as np
 from tilmark.llm.textvec import U, mix
 
 SIZE = 150
+ROUND_POINTS = 100_000
 _STEP, _INTERVAL = U(0xD1342543DE82EF95), U(0xA0761D6478BD642F)
 _SCALE = 2.0**-53
 
@@ -41,7 +42,7 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
     owner, root, length, low, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     time, number = np.zeros(len(owner)), 0
     while len(owner):
-        width = 1 if number < 4 else 16  # points drawn for each process in this round
+        width = 1 if number < 4 else max(1, min(16, ROUND_POINTS // len(owner)))  # points drawn for each process in this round
         with np.errstate(over="ignore"):
             draw = mix(root[:, None] + (np.arange(number + 1, number + width + 1).astype(U) * _STEP)[None, :])
             when = time[:, None] + np.cumsum(-np.log(_uniform(draw)) / (length[:, None] * size), axis=1)

@@ -33,12 +33,14 @@ WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 BITS = 15
 CHAIN = 256
+GROUP = 512
 SAMPLE_ROWS = 200
 TRAIN_WORDS = 400
 TRAIN_CHARS = 1_000_000
 MAX_LANGUAGES = 64
 STEPS, BATCH, TRAIN_CHAIN, RATE, DECAY = 150, 64, 48, 0.05, 1e-4
 CACHE = 150_000
+PART = 8_192
 FOLDS = 5
 MIN_SCORE = 0.35
 
@@ -179,8 +181,8 @@ class Tagger:
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             base = len(self.known)
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
+            for at in range(0, len(new), PART):
+                part = new[at : at + PART]
                 ids, begins = features(part)
                 self.rows.append(np.add.reduceat(self.weights[ids], begins, axis=0))
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
@@ -202,8 +204,8 @@ class Tagger:
             length = np.minimum(CHAIN, counts[owner] - number * CHAIN)
             order = np.argsort(-length, kind="stable")
             begin, length = begin[order], length[order]
-            for a in range(0, len(begin), 2048):
-                own, size = begin[a : a + 2048], length[a : a + 2048]
+            for a in range(0, len(begin), GROUP):
+                own, size = begin[a : a + GROUP], length[a : a + GROUP]
                 at = np.minimum(own[None, :] + np.arange(size[0])[:, None], len(words) - 1)
                 there = np.arange(size[0])[:, None] < size[None, :]
                 marginals, _ = forward_backward(potentials[at], np.exp(self.moves), size)

@@ -8,6 +8,8 @@ worked through in slices of about CHUNK bytes of text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator, Sequence
 
@@ -131,16 +133,26 @@ def fingerprint(words: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle workers would keep it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of Arrow batches with at most about `most` bytes of text each (one row at least)."""
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
-        at, total = 0, 0
-        for i, size in enumerate(sizes):
-            if i > at and total + size > most:
-                yield batch.slice(at, i - at), column.slice(at, i - at).to_pylist()
-                at, total = i, 0
-            total += size
-        if len(sizes) > at:
-            yield batch.slice(at), column.slice(at).to_pylist()
+    try:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+            at, total = 0, 0
+            for i, size in enumerate(sizes):
+                if i > at and total + size > most:
+                    yield batch.slice(at, i - at), column.slice(at, i - at).to_pylist()
+                    at, total = i, 0
+                total += size
+            if len(sizes) > at:
+                yield batch.slice(at), column.slice(at).to_pylist()
+    finally:
+        give_back()
