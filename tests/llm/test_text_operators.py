@@ -179,6 +179,15 @@ def test_edited_leaks(spark):
     assert clean == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_every_fourth_word_changed(spark):
+    item = [f"w{i}" for i in range(24)]
+    edited = [w if i % 4 != 3 else "other" for i, w in enumerate(item)]
+    rows = [(1, " ".join(["before"] * 30 + edited + ["after"] * 5)), (2, " ".join(item[:3] + ["far"] * 60 + item[10:13])), (3, " ".join(item[4:8]))]
+    got = dc.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["doc_start"]) for r in got] == [(1, 30)]
+    assert 0.5 <= got[0]["score"] < 0.75
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(12)], "item_id long, text string")
     frame = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(14)], "doc_id long, text string")
@@ -253,7 +262,7 @@ def test_code_switched_words():
     mixed = "aling bming cning " * 4 + "reung siung toung " * 4
     tags = [lang for *_, lang, _ in li.label_words(tagger, mixed)]
     assert tags == ["left"] * 12 + ["right"] * 12
-    assert tagger.predict(["", None, "12 !!"])[0] == ["und"] * 3
+    assert tagger.predict(["", None, "12 !!", "²½"])[0] == ["und"] * 4
 
 
 @needs_tables

@@ -2,17 +2,18 @@
 
 1. Test items are read in blocks of at most BLOCK_BYTES of text (one block unless the benchmark is larger), a
    stated query set that is held against all texts block by block.
-2. One pass counts how often each n-gram (SHINGLE words) of the block's items stands in all texts. An n-gram
-   far more frequent than its item's median n-gram (over STOP_FACTOR times, and over STOP_LEAST) is a stock
-   phrase and no seed. The median moves with the item, so an item that is copied often keeps its seeds.
-3. A second pass finds seeds in every text. Hits of an item close to one diagonal make a window, which is
-   aligned with the whole item, word by word: MATCH, MISMATCH, GAP. Windows in which every n-gram of
-   the item stands on one diagonal need no alignment.
+2. Seeds are an item's n-grams of LENGTHS words. One pass counts how often each stands in all texts. An n-gram far
+   more frequent than its item's median n-gram of that length (over STOP_FACTOR times, and over STOP_LEAST) is a
+   stock phrase and no seed. The median moves with the item, so an item that is copied often keeps its seeds.
+3. A second pass finds seeds in every text. Hits of an item on neighbouring diagonals make a window, if together they
+   cover at least COVER words of the item: one long seed, or two short ones apart, which an edited copy still
+   has when every fourth word is changed. The window is aligned with the whole item, word by word: MATCH,
+   MISMATCH, GAP. A window that holds the item word for word needs no alignment.
 4. score is the alignment's score over that of the whole item. A text holds the item when score is at least
    MIN_SCORE, or when at least MIN_RUN words are aligned as equal and make MIN_IDENTITY of the aligned part.
 
 Nothing is shuffled but n-gram counts. Defined cases: null and empty texts hold nothing; null and empty items
-are held by nothing; an item of fewer words than SHINGLE has one seed of all its words; equal items each give
+are held by nothing; an item of fewer words than a seed has one of all its words; equal items each give
 a row; rows with a null id and repeated rows are handled one by one; an item that stands several times in a text gives
 one row, for its best place; extra columns are ignored or, where rows are filtered, kept.
 """
@@ -34,6 +35,7 @@ STOP_FACTOR, STOP_LEAST = 8, 100
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE, MIN_RUN, MIN_IDENTITY = 0.5, 13, 0.75
 PAD = 16
+LENGTHS, COVER = (3, 5), 5
 SCHEMA = "doc_id long, item_id long, n_seeds long, score double, matches long, doc_start long, doc_end long, item_start long, item_end long"
 
 
@@ -56,8 +58,7 @@ class Seeds:
         words = [hashes[at[i] : at[i + 1]] for i in range(len(texts))]
         parts: dict[int, list] = {}
         for i, w in enumerate(words):
-            n = min(tv.SHINGLE, len(w))
-            if n:
+            for n in {min(n, len(w)) for n in LENGTHS} - {0}:
                 g = ngrams(w, n)
                 parts.setdefault(n, []).append((g, np.full(len(g), i), np.arange(len(g))))
         by_length = {}
@@ -118,44 +119,50 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int,
 def leaks(seeds: Seeds, texts: list[str | None]) -> list[tuple[int, int, int, float, int, int, int, int, int]]:
     """Held items of each text: (text, item, seeds, score, matches, text start and end, item start and end)."""
     words, at = tv.word_hashes(texts)
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for n, places, text, lo, hi in seeds.hits(words, at):
         _, item, place = seeds.by_length[n]
         for p, t, a, b in zip(places.tolist(), text.tolist(), lo.tolist(), hi.tolist(), strict=True):
             for k in range(a, b):
-                found.setdefault((t, int(item[k])), []).append((p - int(at[t]), int(place[k])))
+                q = int(place[k])
+                found.setdefault((t, int(item[k])), []).append((p - int(at[t]) - q, q, n))
     out = []
     known: dict[tuple[int, bytes], tuple] = {}
-    for (t, i), pairs in sorted(found.items()):
+    for (t, i), hits in sorted(found.items()):
         own, item = words[at[t] : at[t + 1]], seeds.words[i]
-        grams = max(1, len(item) - tv.SHINGLE + 1)
-        begins = sorted({p - q for p, q in pairs})
-        whole = next((d for d in begins if d >= 0 and d + len(item) <= len(own) and np.array_equal(own[d : d + len(item)], item)), None) if len(pairs) >= grams or len(begins) == 1 else None
-        if whole is not None:
-            out.append((t, i, len(pairs), 1.0, len(item), whole, whole + len(item), 0, len(item)))
-            continue
-        windows: list[list[int]] = []
-        for d in begins:
-            a, b = max(0, d - PAD), min(len(own), d + len(item) + PAD)
-            if windows and d - windows[-1][2] <= PAD:
-                windows[-1][1:] = [b, d]
-            else:
-                windows.append([a, b, d])
         best = None
-        for a, b, _ in windows:
+        for group in _windows(sorted(hits), min(COVER, len(item))):
+            whole = next((d for d in dict.fromkeys(d for d, _, _ in group) if d >= 0 and np.array_equal(own[d : d + len(item)], item)), None)
+            if whole is not None:
+                best = MATCH * len(item), len(item), 0, len(item), whole, whole + len(item)
+                break
+            a, b = max(0, group[0][0] - PAD), min(len(own), group[-1][0] + len(item) + PAD)
             key = (i, own[a:b].tobytes())
             if key not in known:
                 known[key] = smith_waterman(item, own[a:b])
             s = known[key]
             if best is None or s[0] > best[0]:
                 best = (*s[:4], s[4] + a, s[5] + a)
+        if best is None:
+            continue
         points, matches, i0, i1, j0, j1 = best
         score = points / (MATCH * len(item))
         if score >= MIN_SCORE or (matches >= MIN_RUN and matches >= MIN_IDENTITY * max(i1 - i0, j1 - j0)):
-            out.append((t, i, len(pairs), score, matches, j0, j1, i0, i1))
+            out.append((t, i, len(hits), score, matches, j0, j1, i0, i1))
     return out
 
 
+def _windows(hits: list[tuple[int, int, int]], cover: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs of hits (diagonal, place in the item, length), ordered, on diagonals at most PAD apart that cover enough words."""
+    begin = 0
+    for k in range(1, len(hits) + 1):
+        if k == len(hits) or hits[k][0] - hits[k - 1][0] > PAD:
+            group = hits[begin:k]
+            if len({w for _, q, n in group for w in range(q, q + n)}) >= cover:
+                yield group
+            begin = k
+
+
 def _blocks(items: DataFrame) -> Iterator[Seeds]:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // BLOCK_BYTES))

@@ -220,6 +220,7 @@ class Tagger:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         mean = [p.mean(axis=0) if len(p) else None for p in self.posteriors(words)]
+        mean = [p if p is not None and any(map(str.isalpha, t)) else None for p, t in zip(mean, texts, strict=True)]
         best = [UNKNOWN if p is None else self.languages[int(p.argmax())] for p in mean]
         return best, np.array([0.0 if p is None else min(1.0, float(p.max())) for p in mean])
 
