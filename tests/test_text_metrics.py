@@ -21,7 +21,7 @@ def py_normalise(t: str) -> str:
 
 def strings(n: int, longest: int = 40) -> list[str]:
     rng = random.Random(SEED)
-    pool = [chr(c) for a, b in ((0x600, 0x6FF), (0x1C, 0x7E), (0x2000, 0x202F), (9, 13)) for c in range(a, b + 1)] + ["\x85", "\xa0", " ", "　", "​", "﻿", "\U00010000"]
+    pool = [chr(c) for a, b in ((0x600, 0x6FF), (0x1C, 0x7E), (0x2000, 0x202F), (9, 13)) for c in range(a, b + 1)] + ["\x85", "\xa0", "\u1680", "\u205f", " ", "　", "​", "﻿", "\U00010000"]
     return ["".join(rng.choice(pool) for _ in range(rng.randrange(longest))) for _ in range(n)]
 
 

@@ -17,9 +17,10 @@ WAW_HAMZA, WAW = "ؤ", "و"
 ALEF_MAQSURA, YA = "ى", "ي"
 TATWEEL = "ـ"
 END_OF_AYAH = "۝"
-#: The characters that Python calls white space.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+#: The characters that Python calls white space (inclusive ranges).
+SPACES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 
+SPACE = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in SPACES) + "]"
 MARKS = "".join(chr(c) for a, b in DIACRITICS for c in range(a, b + 1))
 _FROM = ALEF_VARIANTS + WAW_HAMZA + ALEF_MAQSURA + MARKS + TATWEEL
 _TO = ALEF * len(ALEF_VARIANTS) + WAW + YA

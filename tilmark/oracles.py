@@ -7,7 +7,7 @@ from tilmark.operators.align import THRESHOLD
 from tilmark.operators.segment import PRE_ROLL, SILENCE_LIMIT
 from tilmark.plans.tables import DRESS, SPEECH_ABOVE, VOWELS
 
-SPACE = text.SPACE.replace("\\t-\\r", "\t-\r").replace("\\x1c-\\x20", "\x1c-\x20").replace("\\x85", "\x85").replace("\\xa0", "\xa0")
+SPACE = text.SPACE
 
 
 def dressed(t: str) -> str:
