@@ -13,11 +13,18 @@ STATUSES = (CORRECT, SUBSTITUTION, DELETION, INSERTION)
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence: one bit per character of a, one integer addition per character of b
     (Hyyro 2004)."""
-    if not a or not b:
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
         return 0
     where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
+    if len(a) < 128:
+        for i, ch in enumerate(a):
+            where[ch] = where.get(ch, 0) | 1 << i
+    else:
+        points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for ch in set(b):
+            where[ch] = int.from_bytes(np.packbits(points == ord(ch), bitorder="little").tobytes(), "little")
     full = (1 << len(a)) - 1
     state = full
     for ch in b:

@@ -97,12 +97,14 @@ class VerseIndex:
         return (winner[1], winner[0]) if winner else None
 
 
-def best_verses(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def best_verses(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, spread: int | None = None) -> DataFrame:
     """hyps (hyp_id, hypothesis in normal form, scope: a surah or null) with idx and match_score of the best verse, or nulls.
-    hyp_id is unique where the corpus has several blocks."""
+    hyp_id is unique where the corpus has several blocks. spread: deal hyps to so many tasks first, which pays where
+    they come in a few small files; splits of large inputs need none."""
     verses = corpus.select("idx", "surah", "plain")
     blocks = max(1, -(-verses.count() // MAX_BLOCK))
     plain = hyps.select(F.col("hyp_id").cast("long"), "hypothesis", F.col("scope").cast("int"))
+    plain = plain.repartition(spread) if spread else plain
     parts = []
     for k in range(blocks):
         block = verses.filter(F.pmod("idx", F.lit(blocks)) == k) if blocks > 1 else verses

@@ -103,7 +103,7 @@ def fuzzy_top1_global(spark, d):
 
 def fuzzy_top1_turns(spark, d):
     h = table(spark, d, "conversations").select(F.xxhash64("conv_id", "turn", "text").alias("hyp_id"), text.normalise(dressed("text")).alias("hypothesis"), F.lit(None).cast("int").alias("scope"))
-    return best_verses(h, corpus(spark, d)).select("hyp_id", "idx", "match_score")
+    return best_verses(h, corpus(spark, d), spread=spark.sparkContext.defaultParallelism).select("hyp_id", "idx", "match_score")
 
 
 def below_threshold(spark, d):
