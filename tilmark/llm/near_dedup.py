@@ -17,7 +17,7 @@ THRESHOLD; a class is a connected component of links. Steps:
 With 25 bands of 6 components a pair at similarity 0.8 shares no bucket with probability 5e-4, at 0.9 1e-8.
 
 Defined cases: null texts and texts without words link with nothing and form a class each; a text of one to
-four words has one shingle; rows with a null id take part and their class is the smallest id in it, or null;
+four words has one shingle; texts with equal fingerprints count as equal (of n different texts, about n * n / 2^65 pairs do); rows with a null id take part and their class is the smallest id in it, or null;
 rows with equal ids and different texts are different nodes; extra columns are ignored; an empty table gives
 an empty result.
 """

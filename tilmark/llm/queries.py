@@ -47,14 +47,13 @@ WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), '{ls.UPPER}', '{ls.LOWER}'), '{pattern}') AS w FROM documents
 ), phrases(p, label) AS (VALUES {phrase_rows}), templates(t, label) AS (VALUES {template_rows}),
-marked AS (SELECT * FROM docs WHERE list_has_any(w, ['mit', 'apache', 'cc', 'gnu', 'reserved', 'permission', 'redistribution', 'mozilla', 'unencumbered', 'waived', 'proprietary', 'licensed', 'confidential'])),
 places AS (
-  SELECT k, i AS start, label FROM marked, phrases, unnest(range(0, len(w))) AS u(i) WHERE w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p
+  SELECT k, i AS start, label FROM docs, phrases, unnest(range(0, len(w))) AS u(i) WHERE w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p
 ), base AS (
   SELECT k, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY k
 ), blocks AS (
-  SELECT k, list_distinct(w[b + 1 : b + {ls.BLOCK_WORDS}]) AS s FROM marked, unnest(range(0, len(w), {ls.BLOCK_STEP})) AS u(b)
+  SELECT k, list_distinct(w[b + 1 : b + {ls.BLOCK_WORDS}]) AS s FROM docs, unnest(range(0, len(w), {ls.BLOCK_STEP})) AS u(b)
 ), scored AS (
   SELECT k, label, len(list_intersect(s, t)) / len(t) AS c, len(list_intersect(s, t)) >= ceil({ls.THRESHOLD} * len(t) - 1e-9) AS ok FROM blocks, templates
 ), method AS (SELECT k, max(c) AS c FROM scored WHERE ok GROUP BY k),

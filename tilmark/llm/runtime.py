@@ -19,23 +19,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet under the shared folder and read it back: later plans start from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilmark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete all written() tables of this process, but for the one that `but` reads. Only when no plan over them is left to run."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in but.inputFiles()} if but is not None else set()
+    for path in [p for p in _made if p.rsplit("/", 1)[1] not in kept]:
+        _delete(spark, path)
+        _made.remove(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a written() table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
         folder = file.rsplit("/", 1)[0]
         if "/tilmark/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
