@@ -21,7 +21,7 @@ from tilmark.llm import language_id as li
 from tilmark.llm import mixing as mx
 from tilmark.llm import near_dedup as nd
 from tilmark.llm import sharding as sh
-from tilmark.llm.runtime import table, written
+from tilmark.llm.runtime import clear, table, written
 
 #: Stages train models and align sequences; no SQL gives these rows. Tests hold them against brute force.
 ORACLE_SQL = None
@@ -54,4 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
