@@ -22,6 +22,12 @@ def test_nested_document(spark, tmp_path):
     assert [tuple(r) for r in sorted(got)] == [(0, 2, 1, "b", "bَ"), (1, 1, 1, "d", "d"), (2, 1, 2, "c", "c")]
 
 
+def test_nested_lookup(spark):
+    raw = json.dumps({"1": {"1": {"text": "a"}, "2": {"text": "b"}}})
+    frame = spark.createDataFrame([(raw, 1, 2), (raw, 1, 3), (raw, 2, 1), ("{}", 1, 1), (None, 1, 1)], "d string, s int, a int")
+    assert [r[0] for r in frame.select(corpora.nested_text("d", F.col("s"), F.col("a"))).collect()] == ["b", None, None, None, None]
+
+
 def test_service_document(spark):
     ayah = lambda n, t: {"numberInSurah": n, "text": t}
     raw = {"data": {"surahs": [{"number": 1, "ayahs": [ayah(9, "old")]}, {"number": 2}, {"number": 1, "ayahs": [ayah(1, "a ۝"), ayah(2, "x"), ayah(1, "b ")]}]}}

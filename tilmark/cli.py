@@ -1,4 +1,4 @@
-"""Command line: align WAV files, or frames that arrive in a folder, with a corpus."""
+"""Command line: align WAV files, or live frames, with a corpus."""
 
 from __future__ import annotations
 
@@ -28,24 +28,27 @@ def parser() -> argparse.ArgumentParser:
     file = modes.add_parser("file", parents=[shared], help="WAV files")
     file.add_argument("audio")
     file.add_argument("--timestamps", action="store_true")
-    live = modes.add_parser("realtime", parents=[shared], help="frames in a folder, as they arrive")
-    live.add_argument("frames")
+    live = modes.add_parser("realtime", parents=[shared], help="the microphone, or another source of frames")
+    live.add_argument("--source", help="module:function that gives frames, instead of the microphone")
     live.add_argument("--checkpoint", required=True)
     live.add_argument("--vad", type=int, default=2, choices=[0, 1, 2, 3])
     return out
 
 
-def main(argv: list[str] | None = None, make=None) -> int:  # noqa: ANN001
+def main(argv: list[str] | None = None, make=None, detector=None) -> int:  # noqa: ANN001
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO, stream=sys.stderr, format="%(asctime)s [%(levelname)s] %(name)s - %(message)s")
     if args.mode == "file" and "://" not in args.audio and not Path(args.audio).exists():
         print(f"[ERROR] File not found: {args.audio}", file=sys.stderr)
         return 1
+    from tilmark.operators.speech import model_detector, with_speech
     from tilmark.operators.transcribe import SpeechModel
+    from tilmark.plans.monitor import ProgressLog
     from tilmark.plans.pipeline import run_files
     from tilmark.plans.report import with_report
     from tilmark.session import local_session
     from tilmark.sources.corpus import load_corpus
+    from tilmark.sources.microphone import FrameSource
     from tilmark.streaming import live
 
     spark = local_session()
@@ -61,7 +64,11 @@ def main(argv: list[str] | None = None, make=None) -> int:  # noqa: ANN001
         show(with_report(run_files(spark, args.audio, corpus, make, config)).filter("match_status in ('exact', 'matched')"))
         return 0
     live.rocksdb(spark)
-    query = live.start(live.live_segments(live.read_frames(spark, args.frames)), corpus, make, show, args.checkpoint, config)
+    spark.dataSource.register(FrameSource)
+    spark.streams.addListener(ProgressLog())
+    reader = spark.readStream.format("frames")
+    frames = with_speech((reader.option("device", args.source) if args.source else reader).load(), partial(detector or model_detector, args.vad))
+    query = live.start(live.live_segments(frames), corpus, make, show, args.checkpoint, config)
     try:
         query.awaitTermination()
     except KeyboardInterrupt:

@@ -38,9 +38,13 @@ def run_files(spark: SparkSession, path: str, corpus: DataFrame, make: Callable[
 
 def run_segments(segments: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None, least: int = MIN_SAMPLES) -> DataFrame:
     """Results of PCM segments (hyp_id, raw); those shorter than `least` samples are left out."""
-    config = config or Config()
     waves = segments.select("hyp_id", pcm16_to_float("raw").alias("samples")).filter(long_enough("samples", least))
-    return _scoped(transcribe(waves, make).select("hyp_id", F.col("transcript.text").alias("text")), corpus, config)
+    return run_waves(waves, corpus, make, config)
+
+
+def run_waves(waves: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None) -> DataFrame:
+    """Results of waveforms (hyp_id, samples), which are taken as they are."""
+    return _scoped(transcribe(waves, make).select("hyp_id", F.col("transcript.text").alias("text")), corpus, config or Config())
 
 
 def _scoped(heard: DataFrame, corpus: DataFrame, config: Config) -> DataFrame:

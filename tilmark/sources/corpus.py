@@ -11,7 +11,7 @@ import json
 import urllib.error
 import urllib.request
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilmark.functions.text import normalise, strip_end_of_ayah
@@ -35,6 +35,12 @@ def flatten_nested(documents: DataFrame, column: str = "document") -> DataFrame:
     return inner.groupBy("surah_pos", "surah", "ayah").agg(F.min("pos").alias("ayah_pos"), F.max_by(F.col("content.text"), "pos").alias("original")).select("surah_pos", "ayah_pos", F.col("surah").cast("int").alias("surah"), F.col("ayah").cast("int").alias("ayah"), "original")
 
 
+def nested_text(document: Column | str, surah: Column, ayah: Column) -> Column:
+    """The text under two keys of a nested document, or null."""
+    ayahs = F.try_element_at(F.from_json(document, NESTED), surah.cast("string"))
+    return F.try_element_at(ayahs, ayah.cast("string"))["text"]
+
+
 def service_surahs(documents: DataFrame, column: str = "document") -> DataFrame:
     """(surah_pos, surah, ayahs) of service documents: of a repeated number the last list, at the first place. Missing
     lists count as empty; a missing number is an error."""

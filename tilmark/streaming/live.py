@@ -1,8 +1,8 @@
 """Segmentation and alignment of live frame streams with Structured Streaming.
 
 Frames are rows (stream_id, seq, payload, is_speech). State per stream is small values and two lists: the frames of the open
-segment and the last silent ones. Within a micro-batch frames are taken by seq; a frame older than what a stream has seen
-in earlier batches is refused to the side of arrival order: it is taken when it comes, as arrival is the only order.
+segment and the last silent ones. Within a micro-batch frames are taken by seq; between batches arrival is the only order,
+so a frame that comes late is taken when it comes.
 """
 
 from __future__ import annotations
