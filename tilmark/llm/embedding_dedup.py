@@ -18,7 +18,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -94,7 +93,27 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one leaf, label and vector length at a time; rows come ordered by these."""
+    left: pa.Table | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if left is None else pa.concat_tables([left, rows])).combine_chunks()
+        keys = rows.column(0), rows.column(2), pc.list_value_length(rows.column(4))
+        turns = np.zeros(len(rows) - 1, bool)
+        for key in keys:
+            turns |= np.asarray(pc.not_equal(key.slice(1), key.slice(0, len(rows) - 1)))
+        bounds = [0, *(np.flatnonzero(turns) + 1).tolist()]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield rows.slice(a, b - a)
+        left = rows.slice(bounds[-1])
+    if left is not None:
+        yield left
 
 
 def leaf_links(vectors: np.ndarray, copies: np.ndarray, codes: list[np.ndarray], own: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -158,15 +177,13 @@ def _index(forests: dict[int, list[Tree]]) -> Callable:
 
 def _compare(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True))
-        for (leaf, _, _), group in itertools.groupby(rows, key=lambda r: (r[0], r[2], len(r[4]))):
-            members = {r[1]: r for r in group}  # leaf, node, label, copies, vector, codes
-            if len(members) < 2:
+        for group in _groups(batches):  # leaf, node, label, copies, vector, codes
+            if len(group) < 2:
                 continue
-            nodes = np.fromiter(members, np.int64, len(members))
-            kept = list(members.values())
-            copies = np.array([r[3] for r in kept], np.int64)
-            counts, edges = leaf_links(np.array([r[4] for r in kept], np.float64), copies, [np.array(r[5]) for r in kept], leaf, threshold)
+            leaf, nodes, copies = group.column(0)[0].as_py(), np.asarray(group.column(1)), np.asarray(group.column(3))
+            vectors, codes = group.column(4).combine_chunks(), group.column(5).combine_chunks()
+            each = np.split(np.asarray(codes.flatten()), np.cumsum(np.asarray(pc.list_value_length(codes)))[:-1])
+            counts, edges = leaf_links(_vectors(vectors), copies, each, leaf, threshold)
             some = np.flatnonzero(counts)
             a = nodes[[i for i, _ in edges]] if edges else np.empty(0, np.int64)
             b = nodes[[j for _, j in edges]] if edges else np.empty(0, np.int64)
