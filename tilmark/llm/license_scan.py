@@ -57,18 +57,24 @@ BLOCK_WORDS = 64
 BLOCK_STEP = 32
 MAX_TEMPLATES = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD, SEPARATORS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text; a null text has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def split_words(text: Column) -> Column:
+    """The words of a text between separators, with an empty word where a text begins or ends with a separator."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
+
+
+def trimmed(words: Column) -> Column:
+    """Split words without the empty ones at the ends."""
+    begins, ends = (F.get(words, F.lit(0)) == "").cast("int"), ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+    return F.slice(words, begins + 1, F.size(words) - begins - ends)
 
 
 def token_counts(texts: DataFrame, tokens: Sequence[str], text: str = "text") -> dict[str, int]:
     """How often each of the given tokens stands in all texts. The result has at most len(tokens) rows."""
     counted = (
-        texts.select(words_of(F.col(text)).alias("w"))
+        texts.select(split_words(F.col(text)).alias("w"))
         .select(F.explode(F.filter("w", lambda w: w.isin(list(tokens)))).alias("token"))
         .groupBy("token")
         .count()
@@ -151,7 +157,7 @@ def license_scan(
     no_places = F.array().cast("array<struct<start:int,label:string>>")
     no_blocks = F.array().cast("array<struct<start:int,ranks:array<int>>>")
     w, n = F.col("__w"), F.col("n_words")
-    split_up = texts.select(*[F.col(k) for k in keys], words_of(F.col(text)).alias("__w"))
+    split_up = texts.select(*[F.col(k) for k in keys], split_words(F.col(text)).alias("__s")).select(*keys, trimmed(F.col("__s")).alias("__w"))
     gated = split_up.select(*keys, "__w", F.size("__w").alias("n_words"), F.arrays_overlap("__w", F.lit(gate)).alias("__gate"))
     found = gated.select(
         *keys,
