@@ -52,5 +52,17 @@ def dropped(df: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+#: Rows of an Arrow batch. A batch of whole texts is held several times over, in the JVM and in Python, so the default of
+#: 10,000 rows is lowered; a session that has set the number itself keeps it.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def hold_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    hold_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PIECE = 1 << 20
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 SHINGLE = 5
 
 U = np.uint64
