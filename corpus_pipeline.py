@@ -21,17 +21,19 @@ from tilmark.llm import language_id as li
 from tilmark.llm import mixing as mx
 from tilmark.llm import near_dedup as nd
 from tilmark.llm import sharding as sh
-from tilmark.llm.runtime import clear, table, written
+from tilmark.llm.runtime import clear, hold_batches, table, written
 
 #: Stages train models and align sequences; no SQL gives these rows. Tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hold_batches(spark)
     return li.identified(docs, li.train_tagger(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hold_batches(spark)
     return nd.without_near_duplicates(docs)
 
 
