@@ -164,7 +164,9 @@ def test_forest_recall(spark, monkeypatch):
     assert all(rows[i]["component_id"] <= i for i in rows)
 
 
-def test_leaf_counts_pairs_once():
+@pytest.mark.parametrize("block", [2048, 7])
+def test_leaf_counts_pairs_once(monkeypatch, block):
+    monkeypatch.setattr(ed, "BLOCK", block)
     rng = np.random.default_rng(5)
     v = rng.normal(size=(80, 5))
     v[40:] = v[:40] + rng.normal(scale=0.05, size=(40, 5))

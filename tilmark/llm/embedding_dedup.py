@@ -133,19 +133,25 @@ def leaf_links(vectors: np.ndarray, copies: np.ndarray, codes: list[np.ndarray],
     there[holder[early][column >= 0], column[column >= 0]] = 1
     counts = np.zeros(n, np.int64)
     edges: list[tuple[int, int]] = []
+
+    def rows(block: np.ndarray) -> np.ndarray:
+        """Which nodes the block's nodes link with; counts those pairs that this leaf is the first to see."""
+        near = unit[block] @ unit.T >= threshold
+        near[np.arange(len(block)), block] = False
+        if near.any():
+            counts[block] = (near & ~(there[block] @ there.T > 0) if len(shared) else near) @ copies
+        return near
+
+    whole = rows(np.arange(n)) if n <= BLOCK else None
     root = np.full(n, -1)
-    order: list[int] = []
-    for start in range(n):  # breadth first, a block of rows at a time: every row is compared once
+    for start in range(n) if whole is None else np.flatnonzero(whole.any(axis=1)).tolist():
         if root[start] >= 0:
             continue
         root[start] = start
         order = [start]
-        while order:
+        while order:  # breadth first, a block of nodes at a time: every node is compared once
             block, order = np.array(order[:BLOCK]), order[BLOCK:]
-            near = unit[block] @ unit.T >= threshold
-            near[np.arange(len(block)), block] = False
-            first = near if not len(shared) else near & ~(there[block] @ there.T > 0)
-            counts[block] = first @ copies
+            near = rows(block) if whole is None else whole[block]
             reached = np.flatnonzero(near.any(axis=0) & (root < 0))
             root[reached] = start
             edges += [(start, int(k)) for k in reached]
