@@ -188,6 +188,31 @@ def test_every_fourth_word_changed(spark):
     assert 0.5 <= got[0]["score"] < 0.75
 
 
+def test_pieces_and_edited_copies_in_many_texts(spark):
+    item, short = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(24)]
+    edited = [w if i % 4 != 3 else "other" for i, w in enumerate(short)]
+    rows = [(d, " ".join([f"a{d}", *item[20:40], f"b{d}"])) for d in range(500)]
+    rows += [(d, " ".join([f"a{d}", *edited, f"b{d}"])) for d in range(500, 1000)]
+    rows += [(d, " ".join([f"a{d}", *item[20:25], f"b{d}"])) for d in range(1000, 1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["doc_start"], r["matches"]) for r in dc.find_leaks(frame, bench).collect())
+    assert got == [(d, 1, 1, 20) for d in range(500)] + [(d, 2, 1, 18) for d in range(500, 1000)]
+    assert {r["doc_id"] for r in dc.without_leaks(frame, bench).collect()} == set(range(1000, 1500))
+
+
+def test_long_windows_are_aligned_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    item = [f"w{i}" for i in range(20)]
+    stock = [w for _ in range(300) for w in (*item[:6], "and")]
+    texts = [" ".join([*stock[:k], *item[:9], "other", *item[10:], *stock[k:]]) for k in rng.integers(0, len(stock), 20)]
+    seeds = dc.Seeds.of([1], [" ".join(item)])
+    cut = dc.leaks(seeds, texts)
+    monkeypatch.setattr(dc, "PIECE", 10**6)
+    assert cut == dc.leaks(seeds, texts)
+    assert [row[4] for row in cut] == [19] * 20
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(12)], "item_id long, text string")
     frame = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(14)], "doc_id long, text string")

@@ -1,18 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join texts to test items, Smith-Waterman alignment scores them.
 
 1. Test items are read in blocks of at most BLOCK_BYTES of text (one block unless the benchmark is larger), a
    stated query set that is held against all texts block by block.
-2. Seeds are an item's n-grams of LENGTHS words. One pass counts how often each stands in all texts. An n-gram far
-   more frequent than its item's median n-gram of that length (over STOP_FACTOR times, and over STOP_LEAST) is a
-   stock phrase and no seed. The median moves with the item, so an item that is copied often keeps its seeds.
-3. A second pass finds seeds in every text. Hits of an item on neighbouring diagonals make a window, if together they
+2. Seeds are all of an item's n-grams of LENGTHS words, however often they stand in the texts: how many texts copy an item
+   changes nothing.
+3. One pass finds seeds in every text. Hits of an item on neighbouring diagonals make a window, if together they
    cover at least COVER words of the item: one long seed, or two short ones apart, which an edited copy still
    has when every fourth word is changed. The window is aligned with the whole item, word by word: MATCH,
-   MISMATCH, GAP. A window that holds the item word for word needs no alignment.
+   MISMATCH, GAP. A window that holds the item word for word needs no alignment, nor one that has too few of
+   the item's words for any alignment to pass, as around most stock phrases. A window longer than PIECE words and six
+   items is aligned in pieces that overlap by the longest alignment there can be.
 4. score is the alignment's score over that of the whole item. A text holds the item when score is at least
    MIN_SCORE, or when at least MIN_RUN words are aligned as equal and make MIN_IDENTITY of the aligned part.
 
-Nothing is shuffled but n-gram counts. Defined cases: null and empty texts hold nothing; null and empty items
+Nothing is shuffled. Defined cases: null and empty texts hold nothing; null and empty items
 are held by nothing; an item of fewer words than a seed has one of all its words; equal items each give
 a row; rows with a null id and repeated rows are handled one by one; an item that stands several times in a text gives
 one row, for its best place; extra columns are ignored or, where rows are filtered, kept.
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from tilmark.llm import textvec as tv
 
 BLOCK_BYTES = 4_000_000
-STOP_FACTOR, STOP_LEAST = 8, 100
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE, MIN_RUN, MIN_IDENTITY = 0.5, 13, 0.75
 PAD = 16
+PIECE = 1024
 LENGTHS, COVER = (3, 5), 5
 SCHEMA = "doc_id long, item_id long, n_seeds long, score double, matches long, doc_start long, doc_end long, item_start long, item_end long"
 
@@ -68,15 +69,6 @@ class Seeds:
             by_length[n] = (g[order], item[order], place[order])
         return cls(ids, words, by_length)
 
-    def without_stock(self, counts: dict[int, int]) -> Seeds:
-        kept = {}
-        for n, (g, item, place) in self.by_length.items():
-            times = np.array([counts.get(int(h), 0) for h in g.view(np.int64)])
-            usual = {i: np.median(times[item == i]) for i in np.unique(item)}
-            rare = times <= np.maximum(STOP_LEAST, STOP_FACTOR * np.array([usual[i] for i in item]))
-            kept[n] = (g[rare], item[rare], place[rare])
-        return Seeds(self.ids, self.words, kept)
-
     def hits(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each n-gram length: places in words (within one text) and ranges of equal seeds."""
         for n, (g, _, _) in self.by_length.items():
@@ -119,48 +111,75 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int,
 def leaks(seeds: Seeds, texts: list[str | None]) -> list[tuple[int, int, int, float, int, int, int, int, int]]:
     """Held items of each text: (text, item, seeds, score, matches, text start and end, item start and end)."""
     words, at = tv.word_hashes(texts)
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for n, places, text, lo, hi in seeds.hits(words, at):
-        _, item, place = seeds.by_length[n]
-        for p, t, a, b in zip(places.tolist(), text.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for k in range(a, b):
-                q = int(place[k])
-                found.setdefault((t, int(item[k])), []).append((p - int(at[t]) - q, q, n))
     out = []
-    known: dict[tuple[int, bytes], tuple] = {}
-    for (t, i), hits in sorted(found.items()):
+    known: dict[tuple[int, bytes], tuple | None] = {}
+    for t, i, n_seeds, windows in _windows(seeds, words, at):
         own, item = words[at[t] : at[t + 1]], seeds.words[i]
+        need = min(MIN_RUN, MIN_SCORE * len(item))
         best = None
-        for group in _windows(sorted(hits), min(COVER, len(item))):
-            whole = next((d for d in dict.fromkeys(d for d, _, _ in group) if d >= 0 and np.array_equal(own[d : d + len(item)], item)), None)
+        for diagonals in windows:
+            whole = next((d for d in diagonals if d >= 0 and np.array_equal(own[d : d + len(item)], item)), None)
             if whole is not None:
                 best = MATCH * len(item), len(item), 0, len(item), whole, whole + len(item)
                 break
-            a, b = max(0, group[0][0] - PAD), min(len(own), group[-1][0] + len(item) + PAD)
-            key = (i, own[a:b].tobytes())
-            if key not in known:
-                known[key] = smith_waterman(item, own[a:b])
-            s = known[key]
-            if best is None or s[0] > best[0]:
-                best = (*s[:4], s[4] + a, s[5] + a)
+            for a, b in _pieces(max(0, diagonals[0] - PAD), min(len(own), diagonals[-1] + len(item) + PAD), len(item)):
+                key = (i, own[a:b].tobytes())
+                if key not in known:
+                    known[key] = smith_waterman(item, own[a:b]) if np.isin(item, own[a:b]).sum() >= need else None
+                s = known[key]
+                if s is not None and (best is None or s[0] > best[0]):
+                    best = (*s[:4], s[4] + a, s[5] + a)
         if best is None:
             continue
         points, matches, i0, i1, j0, j1 = best
         score = points / (MATCH * len(item))
         if score >= MIN_SCORE or (matches >= MIN_RUN and matches >= MIN_IDENTITY * max(i1 - i0, j1 - j0)):
-            out.append((t, i, len(hits), score, matches, j0, j1, i0, i1))
+            out.append((t, i, n_seeds, score, matches, j0, j1, i0, i1))
     return out
 
 
-def _windows(hits: list[tuple[int, int, int]], cover: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Runs of hits (diagonal, place in the item, length), ordered, on diagonals at most PAD apart that cover enough words."""
-    begin = 0
-    for k in range(1, len(hits) + 1):
-        if k == len(hits) or hits[k][0] - hits[k - 1][0] > PAD:
-            group = hits[begin:k]
-            if len({w for _, q, n in group for w in range(q, q + n)}) >= cover:
-                yield group
-            begin = k
+def _windows(seeds: Seeds, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, list[list[int]]]]:
+    """(text, item, number of hits, windows) by text and item. A window is the distinct diagonals, ordered, of hits that
+    are at most PAD apart and cover enough words."""
+    found = []
+    for n, places, text, lo, hi in seeds.hits(words, at):
+        _, item, place = seeds.by_length[n]
+        count = hi - lo
+        k = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+        found.append((np.repeat(text, count), item[k], np.repeat(places - at[text], count) - place[k], place[k], np.full(len(k), n)))
+    if not any(len(x[0]) for x in found):
+        return
+    t, i, d, q, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((q, d, i, t))
+    t, i, d, q, n = t[order], i[order], d[order], q[order], n[order]
+    turn = np.flatnonzero((np.diff(t) != 0) | (np.diff(i) != 0)) + 1
+    cut = np.union1d(turn, np.flatnonzero(np.diff(d) > PAD) + 1)
+    begin, end = np.concatenate(([0], cut)).astype(np.int64), np.concatenate((cut, [len(t)])).astype(np.int64)
+    pair = np.searchsorted(turn, begin, "right")
+    sizes = np.diff(np.concatenate(([0], turn, [len(t)])))
+    enough = np.array([min(COVER, len(w)) for w in seeds.words], np.int64)[i[begin]]
+    last, windows = -1, []
+    for k in np.flatnonzero(np.add.reduceat(n, begin) >= enough).tolist():
+        a, b = begin[k], end[k]
+        if n[a:b].max() < enough[k] and len({w for p, m in zip(q[a:b].tolist(), n[a:b].tolist(), strict=True) for w in range(p, p + m)}) < enough[k]:
+            continue
+        if pair[k] != last and windows:
+            yield (*where, windows)
+            windows = []
+        last, where = pair[k], (int(t[a]), int(i[a]), int(sizes[pair[k]]))
+        windows.append(np.unique(d[a:b]).tolist())
+    if windows:
+        yield (*where, windows)
+
+
+def _pieces(a: int, b: int, m: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a window. An alignment with an item of m words has at most m equal words, which pay for MATCH * m gaps."""
+    reach = m + MATCH * m // -GAP
+    size = max(PIECE, 2 * reach)
+    while b - a > size:
+        yield a, a + size
+        a += size - reach
+    yield a, b
 
 
 def _blocks(items: DataFrame) -> Iterator[Seeds]:
@@ -172,23 +191,11 @@ def _blocks(items: DataFrame) -> Iterator[Seeds]:
         yield Seeds.of([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
-def _counter(seeds: Seeds) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in tv.chunks(batches):
-            words, at = tv.word_hashes(texts)
-            for n, _, _, lo, _ in seeds.hits(words, at):
-                g, times = np.unique(seeds.by_length[n][0][lo], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(times.astype(np.int64))], names=["gram", "times"])
-
-    return run
-
-
-def seed_blocks(texts: DataFrame, items: DataFrame, text: str = "text") -> Iterator[Seeds]:
-    """The seeds of each block of items, stock phrases left out. At most one count per n-gram of a block is collected."""
+def seed_blocks(items: DataFrame) -> Iterator[Seeds]:
+    """The seeds of each block of items."""
     for seeds in _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
         if seeds.by_length:
-            counted = texts.select(F.col(text).alias("text")).mapInArrow(_counter(seeds), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
-            yield seeds.without_stock({r["gram"]: r["times"] for r in counted.collect()})
+            yield seeds
 
 
 def find_leaks(texts: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,7 +215,7 @@ def find_leaks(texts: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         return run
 
     out = None
-    for seeds in seed_blocks(texts, items, text):
+    for seeds in seed_blocks(items):
         part = texts.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(finder(seeds), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return texts.sparkSession.createDataFrame([], SCHEMA) if out is None else out
@@ -227,6 +234,6 @@ def without_leaks(texts: DataFrame, items: DataFrame, text: str = "text") -> Dat
         return run
 
     out = texts
-    for seeds in seed_blocks(texts, items, text):
+    for seeds in seed_blocks(items):
         out = out.mapInArrow(keeper(seeds), texts.schema)
     return out
