@@ -201,6 +201,23 @@ def test_pieces_and_edited_copies_in_many_texts(spark):
     assert {r["doc_id"] for r in dc.without_leaks(frame, bench).collect()} == set(range(1000, 1500))
 
 
+def test_every_part_of_every_alignment_is_tested():
+    item, new = [f"w{i}" for i in range(60)], [f"n{i}" for i in range(15)]
+    seeds = dc.Seeds.of([1], [" ".join(item)])
+    far = [f"f{i}" for i in range(200)]
+    longer = item[20:32] + new[:9] + item[41:53]  # more points than 13 equal words, but 24 of 33 equal
+    cases = {
+        "two passages": (item[:13] + new + item[28:38], [(13, 0, 13)]),
+        "passage alone": (item[:13], [(13, 0, 13)]),
+        "too short": (item[:12] + new + item[28:40], []),
+        "second window": (longer + far + item[:13], [(13, 233, 246)]),
+        "longer alone": (longer, []),
+        "second alignment": (longer + far[:4] + item[41:54], [(13, 37, 50)]),
+    }
+    for name, (text, want) in cases.items():
+        assert [(row[4], row[5], row[6]) for row in dc.leaks(seeds, [" ".join(text)])] == want, name
+
+
 def test_long_windows_are_aligned_in_pieces(monkeypatch):
     rng = np.random.default_rng(5)
     item = [f"w{i}" for i in range(20)]

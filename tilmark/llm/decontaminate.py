@@ -11,12 +11,14 @@
    the item's words for any alignment to pass, as around most stock phrases. A window longer than PIECE words and six
    items is aligned in pieces that overlap by the longest alignment there can be.
 4. score is the alignment's score over that of the whole item. A text holds the item when score is at least
-   MIN_SCORE, or when at least MIN_RUN words are aligned as equal and make MIN_IDENTITY of the aligned part.
+   MIN_SCORE, or when at least MIN_RUN words are aligned as equal and make MIN_IDENTITY of the aligned part. Every window is
+   tested, and in a window one alignment after the other, best first, without the equal pairs of those before, until none
+   can pass. Of an alignment that does not pass as a whole, the longest part that does counts.
 
 Nothing is shuffled. Defined cases: null and empty texts hold nothing; null and empty items
 are held by nothing; an item of fewer words than a seed has one of all its words; equal items each give
 a row; rows with a null id and repeated rows are handled one by one; an item that stands several times in a text gives
-one row, for its best place; extra columns are ignored or, where rows are filtered, kept.
+one row, for its best place that passes; extra columns are ignored or, where rows are filtered, kept.
 """
 
 from __future__ import annotations
@@ -84,28 +86,79 @@ class Seeds:
             yield n, maybe[there], text[there], lo[there], hi[there]
 
 
-def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int, int]:
-    """Best local alignment of two word sequences: score, equal words, item start and end, window start and end."""
-    m, n = len(item), len(window)
+def _best_path(equal: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """Score and cells of the best local alignment of an item (rows) and a window, from before its first words to its last."""
+    m, n = equal.shape
     h = np.zeros((m + 1, n + 1), np.int32)
     ramp = -GAP * np.arange(n + 1, dtype=np.int32)
-    equal = item[:, None] == window[None, :]
     gain = np.where(equal, MATCH, MISMATCH).astype(np.int32)
     for i in range(1, m + 1):
         row = np.maximum(h[i - 1] + GAP, 0)
         row[1:] = np.maximum(row[1:], h[i - 1, :-1] + gain[i - 1])
         h[i] = np.maximum.accumulate(row + ramp) - ramp
     i, j = (int(x) for x in np.unravel_index(np.argmax(h), h.shape))
-    best, end_i, end_j, matches = int(h[i, j]), i, j, 0
+    best, path = int(h[i, j]), [(i, j)]
     while h[i, j] > 0:
         if i and j and h[i, j] == h[i - 1, j - 1] + gain[i - 1, j - 1]:
-            matches += int(equal[i - 1, j - 1])
             i, j = i - 1, j - 1
         elif i and h[i, j] == h[i - 1, j] + GAP:
             i -= 1
         else:
             j -= 1
-    return best, matches, i, end_i, j, end_j
+        path.append((i, j))
+    return best, path[::-1]
+
+
+def _summed(equal: np.ndarray, path: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a path's cells: place in the item, in the window, and points and equal words up to each."""
+    i, j = np.array(path, np.int64).T
+    both = (np.diff(i) == 1) & (np.diff(j) == 1)
+    same = both & equal[np.minimum(i[:-1], len(equal) - 1), np.minimum(j[:-1], equal.shape[1] - 1)]
+    points = np.where(same, MATCH, np.where(both, MISMATCH, GAP))
+    return i, j, np.concatenate(([0], np.cumsum(points))), np.concatenate(([0], np.cumsum(same)))
+
+
+def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int, int]:
+    """Best local alignment of two word sequences: score, equal words, item start and end, window start and end."""
+    equal = item[:, None] == window[None, :]
+    best, path = _best_path(equal)
+    i, j, _, same = _summed(equal, path)
+    return best, int(same[-1]), int(i[0]), int(i[-1]), int(j[0]), int(j[-1])
+
+
+def held_part(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int, int] | None:
+    """The alignment, or the part of one, with the largest score of those that pass, as smith_waterman gives it."""
+    equal = item[:, None] == window[None, :]
+    # k equal words that pass span k / MIN_IDENTITY words, so at most so many more in either, each unequal or in a gap
+    least = MIN_RUN * MATCH + 2 * GAP * (MIN_RUN / MIN_IDENTITY - MIN_RUN)
+    best = None
+    while equal.any():
+        points, path = _best_path(equal)
+        if points < min(least, MIN_SCORE * MATCH * len(item)) or (best is not None and points <= best[0]):
+            break
+        i, j, upto, same = _summed(equal, path)
+        found = (0, len(path) - 1) if points >= MIN_SCORE * MATCH * len(item) else _longest_part(i, j, same)
+        if found is not None:
+            a, b = found
+            part = int(upto[b] - upto[a]), int(same[b] - same[a]), int(i[a]), int(i[b]), int(j[a]), int(j[b])
+            best = part if best is None or part[0] > best[0] else best
+        at = np.flatnonzero(np.diff(same))
+        equal[i[at], j[at]] = False
+    return best
+
+
+def _longest_part(i: np.ndarray, j: np.ndarray, same: np.ndarray) -> tuple[int, int] | None:
+    """Where the part of a path with the most equal words of those that pass by identity begins and ends. A part that passes
+    still does so when it is extended by equal words, so it begins where a run of them begins."""
+    found, most = None, MIN_RUN - 1
+    step = np.concatenate(([0], np.diff(same), [0]))
+    for a in np.flatnonzero((step[1:] == 1) & (step[:-1] == 0)).tolist():
+        count = same[a:] - same[a]
+        passing = np.flatnonzero((count > most) & (count >= MIN_IDENTITY * np.maximum(i[a:] - i[a], j[a:] - j[a])))
+        if len(passing):
+            b = int(passing[np.argmax(count[passing])])
+            found, most = (a, a + b), int(count[b])
+    return found
 
 
 def leaks(seeds: Seeds, texts: list[str | None]) -> list[tuple[int, int, int, float, int, int, int, int, int]]:
@@ -125,16 +178,13 @@ def leaks(seeds: Seeds, texts: list[str | None]) -> list[tuple[int, int, int, fl
             for a, b in _pieces(max(0, diagonals[0] - PAD), min(len(own), diagonals[-1] + len(item) + PAD), len(item)):
                 key = (i, own[a:b].tobytes())
                 if key not in known:
-                    known[key] = smith_waterman(item, own[a:b]) if np.isin(item, own[a:b]).sum() >= need else None
+                    known[key] = held_part(item, own[a:b]) if np.isin(item, own[a:b]).sum() >= need else None
                 s = known[key]
                 if s is not None and (best is None or s[0] > best[0]):
                     best = (*s[:4], s[4] + a, s[5] + a)
-        if best is None:
-            continue
-        points, matches, i0, i1, j0, j1 = best
-        score = points / (MATCH * len(item))
-        if score >= MIN_SCORE or (matches >= MIN_RUN and matches >= MIN_IDENTITY * max(i1 - i0, j1 - j0)):
-            out.append((t, i, n_seeds, score, matches, j0, j1, i0, i1))
+        if best is not None:
+            points, matches, i0, i1, j0, j1 = best
+            out.append((t, i, n_seeds, points / (MATCH * len(item)), matches, j0, j1, i0, i1))
     return out
 
 
