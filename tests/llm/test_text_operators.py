@@ -82,6 +82,22 @@ def test_constants_flow_into_names():
     assert found == {"Zk93jfkQ02lq", "Xy12", "aB3dE5fG7hJ9"}
 
 
+def test_literals_of_any_length_and_number():
+    value = "".join(f"aB3{i}" for i in range(3000))
+    for text in (f'private_key = "{value}"', f"private_key = '{value}'", f"private_key = {value}", f"private_key: `{value}`"):
+        at = text.index(value)
+        assert [(a, b) for a, _, b, _ in ss.literal_spans(text)] == [(at, at + len(value))]
+    many = [f"Part{i:03d}x" for i in range(200)]
+    text = "base = " + " + ".join(f'"{x}"' for x in many) + "\nDB_PASSWORD = base\n"
+    assert [text[a:b] for a, _, b, _ in ss.literal_spans(text)] == many
+    doubled = 'a = "Zk93"\n' + "a = a + a\n" * 3000 + "secret = a\n"
+    assert [doubled[a:b] for a, _, b, _ in ss.literal_spans(doubled)] == ["Zk93"]
+    chained = 'a = "Zk93"\n' + 'a = a + "Qx7"\n' * 5000 + "secret = a\n"
+    assert len(ss.literal_spans(chained)) == 5001
+    hidden = 'a = "your"\nb = "Zk93jfkQ02lq"\nc = a + b\nsecret = c\n'
+    assert ss.literal_spans(hidden) == []
+
+
 def brute_classes(texts: dict) -> dict:
     def bag(t):
         w = tv.WORD.findall((t or "").lower())

@@ -6,7 +6,8 @@ too short dropped. The method adds kind `literal`: source and configuration synt
 literal, a bare literal, a name bound before, or a sum of such parts; names stand for the literals last bound
 to them. A pair scores the sensitivity of its target name (whole words of the name, split at case and
 punctuation) times the plausibility of the literal (length, variety of characters, no placeholder). At MIN_SCORE or more
-every literal that flows into the target is a span, also where it is written under an innocent name.
+every literal that flows into the target is a span, also where it is written under an innocent name. Literals are of any
+length, and any number of them flows on.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; a literal that reaches
 several targets is one span; spans of different kinds may overlap; repeated rows and rows with a null id give one
@@ -20,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,9 +56,10 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|(?:y
 GATE = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "signature", "salt", "pin")
 MIN_SCORE = 0.5
 MIN_LITERAL = 8
+ENDS = 32
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,127}"
-_PART = rf'"(?:[^"\\\n]|\\.){{0,4096}}"|\'(?:[^\'\\\n]|\\.){{0,4096}}\'|`[^`\n]{{0,4096}}`|[A-Za-z0-9/_$][A-Za-z0-9+/_.=$\-]{{0,4096}}'
+_PART = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`\n]*+`|[A-Za-z0-9/_$][A-Za-z0-9+/_.=$\-]*+'
 _PAIR = re.compile(rf"""(?P<name>{_NAME})["'`]?\]?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?=["'`A-Za-z0-9+/_$])(?P<value>(?:{_PART})(?:[ \t]*\+[ \t]*(?:{_PART}))*)""")
 _PARTS = re.compile(_PART)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -85,12 +88,60 @@ def name_weight(name: str) -> float:
 
 def literal_weight(value: str) -> float:
     """How plausible a literal is as a secret, 0 to 1."""
-    if len(value) < MIN_LITERAL or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    return _weight(len(value), Counter(value), value) if len(value) >= MIN_LITERAL else 0.0
+
+
+def _weight(n: int, counts: Counter, value: str) -> float:
+    """literal_weight of a value of n characters by their counts. value may stand for one of equal ends and characters."""
+    if n < MIN_LITERAL or PLACEHOLDER.match(value) or any(c.isspace() for c in counts):
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum((any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() for c in value)))
-    return min(1.0, bits / 3.0) * min(1.0, n / 12) * (1.0 if kinds > 1 else 0.4)
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    kinds = sum((any(c.isdigit() for c in counts), any(c.islower() for c in counts), any(c.isupper() for c in counts), any(not c.isalnum() for c in counts)))
+    return min(1.0, bits / 3.0) * min(n, 12) / 12 * (1.0 if kinds > 1 else 0.4)
+
+
+@dataclass(eq=False)
+class Value:
+    """What a name is bound to: literals (start, end, text) and values bound before, which are shared and not copied. A
+    sum that doubles from line to line stays small so."""
+
+    parts: list[tuple[int, int, str] | Value] = field(default_factory=list)
+    known: tuple[int, Counter, str, str] | None = None
+    score: float = 0.0
+
+    def summary(self) -> tuple[int, Counter, str, str]:
+        """Length, counts of characters, and the first and last ENDS characters of the joined literals."""
+        stack = [self]
+        while stack:
+            v = stack[-1]
+            todo = [p for p in v.parts if isinstance(p, Value) and p.known is None]
+            if todo:
+                stack += todo
+                continue
+            stack.pop()
+            n, counts, head, tail = 0, Counter(), "", ""
+            for p in v.parts:
+                k, own, a, b = p.known if isinstance(p, Value) else (len(p[2]), Counter(p[2]), p[2][:ENDS], p[2][-ENDS:])
+                n, head, tail = n + k, (head + a)[:ENDS], (tail + b)[-ENDS:]
+                counts.update(own)
+            v.known = n, counts, head, tail
+        return self.known
+
+    def weight(self) -> float:
+        if not any(isinstance(p, Value) for p in self.parts):
+            return literal_weight("".join(p[2] for p in self.parts))
+        n, counts, head, tail = self.summary()
+        return _weight(n, counts, head + "".join(counts) + tail if n > 2 * ENDS else head + tail[max(0, len(head) + len(tail) - n) :])
+
+    def reached(self, score: float) -> Iterator[tuple[int, int]]:
+        """Spans of all literals, but for those that a score as high has reached."""
+        stack = [self]
+        while stack:
+            v = stack.pop()
+            if v.score < score:
+                v.score = score
+                yield from (p[:2] for p in v.parts if not isinstance(p, Value))
+                stack += [p for p in v.parts if isinstance(p, Value)]
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int, float]]:
@@ -98,24 +149,25 @@ def literal_spans(text: str) -> list[tuple[int, int, int, float]]:
     low = text.lower()
     if not any(x in low for x in GATE) or not ("=" in text or ":" in text):
         return []
-    bound: dict[str, list[tuple[int, int, str]]] = {}
+    bound: dict[str, Value] = {}
     found: dict[tuple[int, int], float] = {}
     for m in _PAIR.finditer(text):
-        parts: list[tuple[int, int, str]] = []
+        value = Value()
         for p in _PARTS.finditer(text, m.start("value"), m.end("value")):
             raw = p[0]
             if raw[0] in "\"'`":
-                parts.append((p.start() + 1, p.end() - 1, raw[1:-1]))
+                value.parts.append((p.start() + 1, p.end() - 1, raw[1:-1]))
             elif raw in bound:
-                parts += bound[raw]
+                if bound[raw].parts:
+                    value.parts.append(bound[raw])
             elif not re.fullmatch(_NAME, raw) or any(c.isdigit() for c in raw):
-                parts.append((p.start(), p.end(), raw))
-        bound[m["name"]] = parts[:64]
+                value.parts.append((p.start(), p.end(), raw))
+        bound[m["name"]] = value
         weight = name_weight(m["name"])
-        if weight and parts:
-            score = weight * literal_weight("".join(x[2] for x in parts))
+        if weight and value.parts:
+            score = weight * value.weight()
             if score >= MIN_SCORE:
-                for a, b, _ in parts:
+                for a, b in value.reached(score):
                     if b > a:
                         found[a, b] = max(score, found.get((a, b), 0.0))
     return [(a, 3, b, s) for (a, b), s in found.items()]
