@@ -82,6 +82,22 @@ def test_constants_flow_into_names():
     assert found == {"Zk93jfkQ02lq", "Xy12", "aB3dE5fG7hJ9"}
 
 
+def test_typed_and_chained_assignments():
+    lit = "S3cr3tValue99x!"
+    for text in (
+        f'passphrase: str = "{lit}"', f'val privateKey: String = "{lit}"', f'INFO: pwd="{lit}"', f"const passphrase: string | null = '{lit}'",
+        f'let PASSPHRASE: &\'static str = "{lit}";', f'var passphrase: String? = "{lit}"', f'passphrase: Optional[str]="{lit}"', f'passphrase?: Array<Map<string, string>> = "{lit}"',
+        f'def f(a: int, pwd: str = "{lit}")', f'INFO: the pwd = "{lit}"', f'first = pwd = last = "{lit}"', f'pwd = first = "{lit}"', f'INFO: base="{lit}"\nDB_PWD = base',
+        f'level: pwd: "{lit}"', f'x: std::string = "a"\npwd: std::string = "{lit}"',
+    ):
+        assert [text[a:b] for a, _, b, _ in ss.literal_spans(text)] == [lit], text
+    assert [b - a for a, _, b, _ in ss.literal_spans("INFO: pwd=S3cr3tValue99x")] == [14]
+    assert [b - a for a, _, b, _ in ss.literal_spans("url: http://a.example/x/pwd=S3cr3tValue99x")] == [14]
+    assert [b - a for a, _, b, _ in ss.literal_spans("client_secret: S3cr3tValue99xYz=\nnext = 1")] == [17]
+    for text in ('name: str = "Zk93jfkQ02lq"\npassword: str\nsecret = str(x)', "passphrase: str = None", f'first: Kind = "{lit}"\npassword: Kind', 'x: String? = "pwd: Zk93jfkQ02lq"'):
+        assert ss.literal_spans(text) == [], text
+
+
 def test_literals_of_any_length_and_number():
     value = "".join(f"aB3{i}" for i in range(3000))
     for text in (f'private_key = "{value}"', f"private_key = '{value}'", f"private_key = {value}", f"private_key: `{value}`"):

@@ -2,7 +2,8 @@
 
 Base kinds are `assign`, `access` and `hex`, the leftmost non-overlapping matches of each pattern, those that are
 too short dropped. The method adds kind `literal`: source and configuration syntax (``name = value``, ``name: value``,
-``"name": value``, ``name := value``, ``name => value``) is read into name-literal pairs. A value is a quoted
+``"name": value``, ``name := value``, ``name => value``, ``name: type = value``) is read into name-literal pairs. A
+bare value or a type that is itself followed by an assignment is also read as a name (``INFO: pwd = value``). A value is a quoted
 literal, a bare literal, a name bound before, or a sum of such parts; names stand for the literals last bound
 to them. A pair scores the sensitivity of its target name (whole words of the name, split at case and
 punctuation) times the plausibility of the literal (length, variety of characters, no placeholder). At MIN_SCORE or more
@@ -56,11 +57,16 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|(?:y
 GATE = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "signature", "salt", "pin")
 MIN_SCORE = 0.5
 MIN_LITERAL = 8
+#: Names of types, never bound where a type may stand.
+TYPES = {"str", "string", "bytes", "bytearray", "byte", "char", "bool", "boolean", "int", "long", "float", "double", "number", "any", "object", "final", "optional", "nsstring"}
 ENDS = 32
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,127}"
 _PART = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`\n]*+`|[A-Za-z0-9/_$][A-Za-z0-9+/_.=$\-]*+'
-_PAIR = re.compile(rf"""(?P<name>{_NAME})["'`]?\]?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?=["'`A-Za-z0-9+/_$])(?P<value>(?:{_PART})(?:[ \t]*\+[ \t]*(?:{_PART}))*)""")
+_BRACKETS = r"<(?:[^<>\n=]|<(?:[^<>\n=]|<[^<>\n=]*+>)*+>)*+>|\[(?:[^\[\]\n=]|\[(?:[^\[\]\n=]|\[[^\[\]\n=]*+\])*+\])*+\]"
+#: A type with its = after it. One that touches a bare value, as in ``secret: id=x``, is part of that value.
+_TYPED = rf""":(?!:)(?P<type>(?:[A-Za-z0-9_$.&*?!| \t]|::|'[a-z_]++(?=[ \t])|{_BRACKETS})++)(?:(?<=[ \t])=|=(?=[ \t]*["'`]))(?![=>])"""
+_PAIR = re.compile(rf"""(?P<name>{_NAME})["'`]?\]?(?:[?!](?=[ \t]*+:))?[ \t]*+(?:{_TYPED}|:=|=>|=(?!=)|(?P<colon>:(?!:)))[ \t]*(?=["'`A-Za-z0-9+/_$])(?P<value>(?:{_PART})(?:[ \t]*\+[ \t]*(?:{_PART}))*)""")
 _PARTS = re.compile(_PART)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -144,32 +150,65 @@ class Value:
                 stack += [p for p in v.parts if isinstance(p, Value)]
 
 
+def _pairs(text: str) -> Iterator[tuple[re.Match, list[str], bool]]:
+    """Assignments in order, each with the names that get its value, and whether these stand where a type may."""
+    at = covered = 0
+    typed: re.Match | None = None
+    chain: list[str] = []
+    while m := _PAIR.search(text, at):
+        if typed and m.start("name") >= typed.start("value"):  # its type ends in no name
+            at, typed = typed.end(), None
+            continue
+        names, chain, in_type, typed = chain, [], typed is not None, None
+        names.append(m["name"])
+        if m["type"] is not None:
+            yield m, names, in_type
+            at, typed = m.start("type"), m
+            continue
+        v, end = m.span("value")
+        inner = _PAIR.match(text, v) if text[v] not in "\"'`" and m.start("name") >= covered else None
+        if inner and inner["colon"] and text.startswith("//", inner.end("colon")):  # a scheme
+            inner = None
+        if inner and inner.start("value") >= end and not m["colon"] and not inner["colon"]:
+            chain = names  # a = b = value
+        else:
+            yield m, names, in_type
+        if inner and inner.start("value") < end:
+            covered = end
+        at = v if inner else end
+
+
 def literal_spans(text: str) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, score) of literals that flow into sensitive names."""
     low = text.lower()
     if not any(x in low for x in GATE) or not ("=" in text or ":" in text):
         return []
     bound: dict[str, Value] = {}
+    types: set[str] = set()
     found: dict[tuple[int, int], float] = {}
-    for m in _PAIR.finditer(text):
+    for m, names, in_type in _pairs(text):
         value = Value()
         for p in _PARTS.finditer(text, m.start("value"), m.end("value")):
             raw = p[0]
             if raw[0] in "\"'`":
                 value.parts.append((p.start() + 1, p.end() - 1, raw[1:-1]))
             elif raw in bound:
-                if bound[raw].parts:
+                # `password: str` names a type that may have stood before a literal, no value
+                if bound[raw].parts and not (m["colon"] and raw in types):
                     value.parts.append(bound[raw])
             elif not re.fullmatch(_NAME, raw) or any(c.isdigit() for c in raw):
                 value.parts.append((p.start(), p.end(), raw))
-        bound[m["name"]] = value
-        weight = name_weight(m["name"])
-        if weight and value.parts:
-            score = weight * value.weight()
-            if score >= MIN_SCORE:
-                for a, b in value.reached(score):
-                    if b > a:
-                        found[a, b] = max(score, found.get((a, b), 0.0))
+        for name in dict.fromkeys(names):
+            if not (in_type and name.lower() in TYPES):
+                bound[name] = value
+            (types.add if in_type else types.discard)(name)
+            weight = name_weight(name)
+            if weight and value.parts:
+                score = weight * value.weight()
+                if score >= MIN_SCORE:
+                    for a, b in value.reached(score):
+                        if b > a:
+                            found[a, b] = max(score, found.get((a, b), 0.0))
     return [(a, 3, b, s) for (a, b), s in found.items()]
 
 
