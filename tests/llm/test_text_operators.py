@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tilmark.llm import bag_minhash as bm
 from tilmark.llm import decontaminate as dc
@@ -158,6 +159,17 @@ def test_large_group_of_variants(spark):
     assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(frame).collect()} == want
 
 
+def test_bounds_keep_pairs_at_the_threshold(spark):
+    found = object.__new__(nd.NearDuplicates)
+    found.threshold = nd.THRESHOLD
+    sizes = [(m, n, 4 * (m + n) // 9) for m in range(1, 200) for n in range(m, min(200, 5 * m // 4 + 1)) if (m + n) % 9 == 0]
+    assert all(k / (m + n - k) == 0.8 for m, n, k in sizes)
+    rows = [(b, 2 * b + end, (m, n)[end], k, 2 * b + end, [0]) for b, (m, n, k) in enumerate(sizes) for end in (0, 1)]
+    mixed = spark.createDataFrame(rows, "bucket long, node long, size long, shared long, component long, bits array<long>")
+    assert found._all_crossing(mixed).count() == len(sizes)
+    assert found._all_crossing(mixed.withColumn("shared", F.col("shared") - 1)).count() == 0
+
+
 def test_signatures_are_unbiased():
     a = {i: int(w) for i, w in enumerate([1, 5, 2, 9, 1, 1, 3, 30] * 5)}
     b = {i + 7: int(w) for i, w in enumerate([2, 4, 2, 8, 1, 2, 3, 20] * 5)}

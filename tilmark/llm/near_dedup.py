@@ -41,6 +41,7 @@ THRESHOLD = 0.8
 BAND_ROWS = 6
 HUBS = 6
 BITMAP_LONGS = 32
+SLACK = 1e-9  # bounds leave room for rounding: 50.4 may compare as less than 0.8 * 63
 
 
 def _bag(words: np.ndarray) -> np.ndarray:
@@ -146,7 +147,7 @@ class NearDuplicates:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a, b, sizes m and n). Only sizes within the threshold of each other can reach it."""
-        pairs = pairs.filter(F.least("m", "n") >= self.threshold * F.greatest("m", "n")).select("a", "b").distinct()
+        pairs = pairs.filter(F.least("m", "n") >= (1 - SLACK) * self.threshold * F.greatest("m", "n")).select("a", "b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -168,7 +169,7 @@ class NearDuplicates:
         own = there.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.count("*").alias("n")).filter("node = other")
         alone = own.groupBy("node").agg(F.sum("n").alias("alone"))
         out = mixed.join(alone, "node", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
-        out = out.filter(F.col("shared") >= self.threshold * F.col("size"))
+        out = out.filter(F.col("shared") >= (1 - SLACK) * self.threshold * F.col("size"))
         return written(out.join(self.bags.select("node", "bits"), "node"), "open")
 
     def _to_hubs(self, mixed: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ class NearDuplicates:
         the bits of its bitmap that the other lacks, as each stands for a shingle that the other lacks."""
         left = mixed.select("bucket", F.col("node").alias("x"), F.col("size").alias("m"), F.col("shared").alias("s"), F.col("component").alias("c"), F.col("bits").alias("p"))
         lacking = lambda one, other: F.aggregate(F.zip_with(one, other, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda total, k: total + k)
-        enough = lambda overlap: overlap * (1 + self.threshold) >= self.threshold * (F.col("m") + F.col("n"))
+        enough = lambda overlap: overlap * (1 + self.threshold) >= (1 - SLACK) * self.threshold * (F.col("m") + F.col("n"))
         reach = enough(F.least("s", "t")) & enough(F.col("m") - lacking("p", "q")) & enough(F.col("n") - lacking("q", "p"))
         return left.join(right, "bucket").filter(condition & reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "m", "n")
 
