@@ -324,6 +324,17 @@ def test_language_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(8)
+    words = [["".join(chr(0x4E00 + 40 * k + int(c)) for c in rng.integers(0, 40, 4)) for _ in range(30)] for k in range(70)]
+    rows = [(f"l{k}", " ".join(rng.choice(words[k], 30))) for k in range(70) for _ in range(20 if k < 64 else 10)]
+    frame = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    tagger = li.train_tagger(frame)
+    assert len(tagger.languages) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in li.identify(frame, tagger).collect()}
+    assert all(np.mean([got[i] == own for i, (own, _) in enumerate(rows) if own == f"l{k}"]) > 0.8 for k in range(70))
+
+
 def test_forward_backward_like_all_paths():
     rng = np.random.default_rng(0)
     steps, labels = 4, 3

@@ -7,9 +7,9 @@ from forward-backward. Training chains join runs of words from texts of differen
 transitions see switches. Prediction runs forward-backward over every word of a text, in chains of CHAIN words, and
 takes the language with the largest mean posterior, which is the score.
 
-Training data: a bounded sample (SAMPLE_ROWS texts per language, by a hash of the id, TRAIN_WORDS words of each, and
-at most MAX_LANGUAGES most frequent languages) is collected; the model is a few MB and travels to the workers. Every text
-is predicted whole.
+Training data: a bounded sample (SAMPLE_ROWS texts per language, by a hash of the id, TRAIN_WORDS words of each; with more
+languages fewer of each, so that all have about TOTAL_ROWS, but at least one) is collected. Every language is learned;
+the model is a few MB, 128 KB a language, and travels to the workers. Every text is predicted whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn from, every text is
 `und`; letters are runs of Unicode letters; repeated rows and rows with a null id give one row each; extra columns
@@ -18,13 +18,14 @@ are ignored or, where rows are filtered, kept; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilmark.llm import textvec as tv
@@ -37,7 +38,7 @@ GROUP = 512
 SAMPLE_ROWS = 200
 TRAIN_WORDS = 400
 TRAIN_CHARS = 1_000_000
-MAX_LANGUAGES = 64
+TOTAL_ROWS = 12_800
 STEPS, BATCH, TRAIN_CHAIN, RATE, DECAY = 150, 64, 48, 0.05, 1e-4
 CACHE = 150_000
 PART = 8_192
@@ -228,14 +229,17 @@ class Tagger:
 def train_tagger(texts: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> Tagger:
     """A tagger from a bounded sample of the rows outside the held-out fold that have a label."""
     usable = texts.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(text).alias("text")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("label").isNotNull())
-    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("label").count().collect()
     draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 30))
     if not counts:
         return Tagger.train([])
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("label") == r["label"]) & (draw < int(min(1.0, 1.3 * rows / r["count"]) * (1 << 30))))
-    found = usable.filter(wanted & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select("label", "text", draw.alias("draw")).orderBy("draw").limit(2 * rows * len(counts)).collect()
+    rows = max(1, min(rows, TOTAL_ROWS // len(counts)))
+    drawn = max(1.3 * rows, rows + 5 * math.sqrt(rows) + 10)  # on average, so that hardly ever fewer than rows are
+    below = [(r["label"], int(min(1.0, drawn / r["count"]) * (1 << 30))) for r in counts]
+    cuts = F.broadcast(texts.sparkSession.createDataFrame(below, "label string, below long"))
+    some = usable.join(cuts, "label").filter((draw < F.col("below")) & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    first = Window.partitionBy("label").orderBy("draw", "text")
+    found = some.select("label", "text", draw.alias("draw")).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).collect()
     found.sort(key=lambda r: (r["label"], r["draw"], r["text"]))
     kept: dict[str, list[str]] = {}
     for r in found:
