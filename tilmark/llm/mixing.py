@@ -1,29 +1,32 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame functions only.
 
 Targets: sources in code-point order (null last) weigh WEIGHTS, repeating, and share all words by weight; a
-target stops at MAX_REPEATS times its source's words and the excess is reshared by weight (water filling).
+target stops at MAX_REPEATS times its source's size and the excess is reshared by weight (water filling).
 
 Blocks: a document's key is a digest of its id and text. The leading hex digits of the key deal a source's documents
 into blocks, in an order that has nothing to do with the documents: the blocks are permuted by construction.
-A source's stream is its blocks in order, repeated; the mix takes the first round(target) words of the stream. So
-every block is taken a whole number of times but for one, the edge block, whose documents are laid out by key and
-cut at the exact word.
+A source's stream is its blocks in order, repeated. Its quota is the number of leading blocks of the stream that hold round(target)
+words; the last of them, the edge block, is laid out by key and cut at the exact word.
 
-Tree: each source's number of taken blocks is its quota. The quotas are split recursively between halves of the output
-shards by multivariate-hypergeometric draws with a fixed seed, so every shard gets an exact number of blocks
-in random composition, and consecutive disjoint ranges of each stream. In a shard, draws are ordered by a digest.
+Tree: the quotas are split recursively between halves of the output shards. At every node a multivariate-hypergeometric
+draw says how many of each source's blocks go to the left half: source after source, a hypergeometric draw by inversion, with a uniform number that
+is a digest of SEED, the node and the source. So every shard gets an exact number of blocks in random composition.
+A shard draws its quota of a source from the source's stream after those of the shards before it: draws are disjoint. Words are
+taken by shards alone: what no shard draws is not taken. In a shard, draws are ordered by a digest.
 
 Data: one pass over the texts writes (key, source, size); all sums come from that narrow table. What is
-collected has one row per source. Only rows of edge blocks (BLOCK_ROWS per source, or a millionth of the
-source) meet in a window. Texts themselves are never shuffled.
+collected has one row per source, the unit that weights are given for. Only rows of edge blocks (BLOCK_ROWS per source, or a millionth of the
+source) and a source's blocks in two steps of at most 16^3 rows meet in a window. Texts are shuffled only where documents are laid out by shard.
 
 Defined cases: null texts have size 0 and nothing is taken of them; a null source is a source; without words all
-targets are 0; repeated rows with equal id and text share one place in the order, in any sequence; an empty
-table gives an empty result; input columns that share a name with an added column are replaced.
+targets are 0; repeated rows with equal id and text share one place in the order, in any sequence; very long texts are
+documents like others, one of which may be the edge; an empty table gives an empty result; input columns may have any names, but
+in mix_documents with named=True columns named mix_shard and mix_order are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -37,8 +40,12 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BLOCK_ROWS = 16
 MAX_DIGITS = 5
+SHARDS = 8
 SEED = 20240229
+SPREAD = 40  # deviations round the mean within which a draw lies
 BROADCAST_SOURCES = 10_000
+PART_BYTES = 32_000_000
+MAX_PARTS = 131_072
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,29 +71,54 @@ def targets(sizes: list[int], weights: list[int], repeats: int = MAX_REPEATS) ->
     return [min(w * level, float(repeats * s)) for s, w in zip(sizes, weights, strict=True)]
 
 
+def uniform(seed: int, node: int, source: int) -> float:
+    """A number in [0, 1): 52 bits of a digest."""
+    return int(hashlib.md5(f"{seed}:{node}:{source}".encode()).hexdigest()[:13], 16) / 2**52
+
+
+def draw_range(own: int, everything: int, wanted: int) -> tuple[int, int]:
+    """First and last number of own items that a draw of `wanted` of `everything` is looked for in."""
+    mean = wanted * own / everything
+    reach = SPREAD * math.sqrt(wanted * own / everything + 1)
+    return max(0, wanted - (everything - own), math.floor(mean - reach)), min(own, wanted, math.ceil(mean + reach))
+
+
+def hypergeometric(u: float, own: int, everything: int, wanted: int) -> int:
+    """How many of `own` items are among `wanted` that are drawn from `everything`: the smallest number whose cumulated
+    probability reaches u. Any sizes; work grows with the root of the mean."""
+    if not own or not wanted:
+        return 0
+    low, high = draw_range(own, everything, wanted)
+    k = np.arange(low, high + 1, dtype=np.float64)
+    fact = lambda x: np.array([math.lgamma(v + 1) for v in x.tolist()])
+    rest = everything - own
+    logs = -fact(k) - fact(own - k) - fact(wanted - k) - fact(rest - wanted + k)
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.count_nonzero(upto < u * upto[-1]))
+
+
 def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     """quotas[s] blocks of each source over shards: an array (source, shard) whose rows sum to the quotas and whose
-    columns are equal to within one, drawn by recursive halving."""
-    rng = np.random.default_rng(seed)
+    columns are equal to within one, drawn by recursive halving. Nodes are numbered 1, then 2n and 2n + 1 below n."""
     total = sum(quotas)
     room = [total // shards + (j < total % shards) for j in range(shards)]
     out = np.zeros((len(quotas), shards), np.int64)
 
-    def split(left: np.ndarray, a: int, b: int) -> None:
+    def split(node: int, own: list[int], a: int, b: int) -> None:
         if b - a == 1:
-            out[:, a] = left
+            out[:, a] = own
             return
         middle = (a + b) // 2
-        want, rest = sum(room[a:middle]), int(left.sum())
-        first = np.zeros_like(left)
-        for s, q in enumerate(left.tolist()):
+        want, rest = sum(room[a:middle]), sum(own)
+        left = []
+        for s, q in enumerate(own):
+            left.append(hypergeometric(uniform(seed, node, s), q, rest, want))
             rest -= q
-            first[s] = rng.hypergeometric(q, rest, want) if q and want else 0
-            want -= int(first[s])
-        split(first, a, middle)
-        split(left - first, middle, b)
+            want -= left[-1]
+        split(2 * node, left, a, middle)
+        split(2 * node + 1, [q - x for q, x in zip(own, left, strict=True)], middle, b)
 
-    split(np.array(quotas, np.int64), 0, shards)
+    split(1, list(quotas), 0, shards)
     return out
 
 
@@ -96,11 +128,12 @@ PLAN = "__of string, __total long, __target double, __digits int, __whole long,
 @dataclass
 class Mix:
     """The plan of one mix. sources has a row per source: its words, target, hex digits of a block, whole rounds, words
-    of the last round, edge block, words before that, and the blocks that go to the shards up to each."""
+    of the last round, edge block, words before that, and how many blocks of its stream go to the shards up to each."""
 
     sources: DataFrame
     narrow: DataFrame
     small: bool
+    shards: int
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows with __source, __size and __key get their source's plan and their block."""
@@ -109,19 +142,26 @@ class Mix:
         block = F.when(F.col("__digits") == 0, F.lit(0)).otherwise(F.conv(F.expr("substr(__key, 1, __digits)"), 16, 10).cast("long"))
         return joined.withColumn("__block", block.cast("long"))
 
-    def taken(self, rows: DataFrame) -> DataFrame:
-        """rows (with __source, __size, __key) plus the plan's columns and __taken."""
+    def drawn(self, rows: DataFrame) -> DataFrame:
+        """rows (with __source, __size, __key) plus the plan's columns, __draws: for each shard the rounds of the stream in which it draws the
+        row's block and the words that it takes then, and __taken, the sum of these words."""
         placed = self.placed(rows)
-        whole = F.col("__size") * (F.col("__whole") + (F.col("__block") < F.col("__edge")).cast("long"))
-        inner = placed.filter(F.col("__block") != F.col("__edge")).withColumn("__taken", whole)
         before = Window.partitionBy("__source").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
         start = F.col("__before") + F.coalesce(F.sum("__size").over(before), F.lit(0))
         part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - start))
-        edge = placed.filter(F.col("__block") == F.col("__edge")).withColumn("__taken", F.col("__size") * F.col("__whole") + part)
-        return inner.unionByName(edge)
-
-
-def plan_mix(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, weights: tuple[int, ...] = WEIGHTS) -> Mix:
+        at_edge = F.col("__block") == F.col("__edge")
+        inner = placed.filter(~at_edge).withColumn("__part", F.lit(0).cast("long"))
+        both = inner.unionByName(placed.filter(at_edge).withColumn("__part", part))
+        blocks = F.pow(F.lit(16), F.col("__digits")).cast("long")
+        rounds = F.filter(F.sequence(F.lit(0).cast("long"), F.col("__whole")), lambda e: e * blocks + F.col("__block") < F.get("__upto", F.lit(self.shards - 1)))
+        words = lambda e: F.when((e < F.col("__whole")) | (F.col("__block") < F.col("__edge")), F.col("__size")).otherwise(F.col("__part"))
+        shard = lambda e: F.size(F.filter("__upto", lambda upto: upto <= e * blocks + F.col("__block")))
+        draws = F.transform(rounds, lambda e: F.struct(e.alias("round"), shard(e).alias("shard"), words(e).alias("words")))
+        with_draws = both.withColumn("__draws", draws)
+        return with_draws.withColumn("__taken", F.aggregate("__draws", F.lit(0).cast("long"), lambda total, d: total + d["words"]))
+
+
+def plan_mix(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> Mix:
     spark = texts.sparkSession
     narrow = written(prepared(texts.select(key, text, source), key, text, source).select(F.col(key).alias("__id"), "__source", "__size", "__key"), "mix")
     stats = narrow.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("rows")).collect()
@@ -131,44 +171,79 @@ def plan_mix(texts: DataFrame, key: str = "doc_id", text: str = "text", source:
     rows = []
     for r, goal in zip(stats, goals, strict=True):
         quota = math.floor(goal + 0.5)
-        digits = min(MAX_DIGITS, math.ceil(math.log(r["rows"] / BLOCK_ROWS, 16))) if r["rows"] > BLOCK_ROWS else 0
+        digits = next(d for d in range(MAX_DIGITS + 1) if d == MAX_DIGITS or BLOCK_ROWS * 16**d >= r["rows"])
         whole = quota // r["size"] if r["size"] else 0
         rows.append((r["__source"], r["size"], goal, digits, whole, quota - whole * r["size"]))
     small = len(rows) <= BROADCAST_SOURCES
-    first = Mix(spark.createDataFrame(rows, PLAN.split(", __edge")[0]), narrow, small)
-    sums = first.placed(narrow).groupBy("__source", "__block", "__rest").agg(F.sum("__size").alias("words"))
-    running = Window.partitionBy("__source").orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = sums.withColumn("upto", F.sum("words").over(running)).filter(F.col("upto") > F.col("__rest"))
-    found = {r["__source"]: (r["edge"]["__block"], r["edge"]["upto"] - r["edge"]["words"]) for r in edges.groupBy("__source").agg(F.min(F.struct("__block", "upto", "words")).alias("edge")).collect()}
-    edge = [found.get(r[0], (-1, 0)) for r in rows]
-    blocks = [r[4] * 16 ** r[3] + max(0, e[0]) + (r[5] > e[1]) for r, e in zip(rows, edge, strict=True)]
-    split = np.cumsum(split_quotas(blocks, shards), axis=1) if rows else np.zeros((0, shards), np.int64)
+    first = Mix(spark.createDataFrame(rows, PLAN.split(", __edge")[0]), narrow, small, shards)
+    found = {r["__source"]: (r["__block"], r["before"]) for r in _edges(first.placed(narrow)).collect()}
+    edge = [found.get(r[0], (0, 0)) for r in rows]
+    blocks = [r[4] * 16 ** r[3] + (e[0] + 1 if r[5] else 0) for r, e in zip(rows, edge, strict=True)]
+    split = np.cumsum(split_quotas(blocks, shards, seed), axis=1) if rows else np.zeros((0, shards), np.int64)
     full = [(*r, *e, split[i].tolist()) for i, (r, e) in enumerate(zip(rows, edge, strict=True))]
-    return Mix(spark.createDataFrame(full, PLAN), narrow, small)
+    return Mix(spark.createDataFrame(full, PLAN), narrow, small, shards)
+
+
+def _edges(placed: DataFrame) -> DataFrame:
+    """(__source, __block, before): the block of the last round in which a source's words reach __rest, and the words before it. Groups of blocks
+    are summed first, so that no window holds all blocks of a source."""
+    own = placed.filter("__rest > 0").withColumn("__group", F.floor(F.col("__block") / 16 ** (MAX_DIGITS // 2)))
+    sums = written(own.groupBy("__source", "__group", "__block", "__rest").agg(F.sum("__size").alias("words")), "blocks")
+
+    def reached(rows: DataFrame, order: str) -> DataFrame:
+        running = Window.partitionBy("__source").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = rows.withColumn("upto", F.sum("words").over(running)).filter(F.col("upto") >= F.col("__rest"))
+        return upto.groupBy("__source").agg(F.min(F.struct(order, "words", "upto")).alias("e")).select("__source", f"e.{order}", (F.col("e.upto") - F.col("e.words")).alias("before"))
+
+    group = reached(sums.groupBy("__source", "__group", "__rest").agg(F.sum("words").alias("words")), "__group")
+    named = group.select(F.col("__source").alias("of"), F.col("__group").alias("g"), F.col("before").alias("earlier"))
+    inside = sums.join(named, sums["__source"].eqNullSafe(named["of"]) & (sums["__group"] == named["g"]))
+    within = inside.withColumn("__rest", F.col("__rest") - F.col("earlier"))
+    last = reached(within, "__block")
+    return last.join(named, last["__source"].eqNullSafe(named["of"])).select("__source", "__block", (F.col("before") + F.col("earlier")).alias("before"))
 
 
 def prepared(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     return texts.withColumns({"__source": F.col(source), "__size": word_count(F.col(text)), "__key": mix_key(F.col(key), F.col(text))})
 
 
-def mix_words(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per input row: the key, size, source_size, target of its source, and taken words."""
-    mix = plan_mix(texts, key, text, source)
+def mix_words(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """One row per input row: the key, size, source_size, target of its source, taken words, and by_shard: the words that each
+    shard draws, whose sum taken is."""
+    mix = plan_mix(texts, key, text, source, shards, seed=seed)
+    drawn = mix.drawn(mix.narrow)
+    words = lambda j: F.aggregate("__draws", F.lit(0).cast("long"), lambda total, d: total + F.when(d["shard"] == j, d["words"]).otherwise(0))
+    by_shard = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), words)
     named = {"__id": key, "__size": "size", "__total": "source_size", "__target": "target", "__taken": "taken"}
-    return mix.taken(mix.narrow).select(*[F.col(c).alias(n) for c, n in named.items()])
-
-
-def mix_documents(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, placed: bool = True) -> DataFrame:
-    """The drawn documents, all input columns: each document as often as the mix takes it whole, the cut one if at least half
-    of it is taken. With placed=True also mix_shard and mix_order, which replace columns of these names."""
-    mix = plan_mix(texts, key, text, source, shards)
-    drawn = mix.taken(prepared(texts, key, text, source))
-    times = F.when(F.col("__size") > 0, F.floor((2 * F.col("__taken") + F.col("__size")) / (2 * F.col("__size"))).cast("int")).otherwise(F.lit(0))
-    each = drawn.withColumn("__times", times).filter("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    if not placed:
-        return each.select(*texts.columns)
-    at = F.col("__epoch") * F.pow(F.lit(16), F.col("__digits")).cast("long") + F.col("__block")
-    shard = F.least(F.size(F.filter("__upto", lambda u: u <= at)), F.lit(shards - 1))
-    order = F.md5(F.concat(F.col("__key"), F.lit(":"), F.col("__epoch").cast("string")))
-    kept = [F.col(c) for c in texts.columns if c not in ("mix_shard", "mix_order")]
-    return each.select(*kept, shard.alias("mix_shard"), order.alias("mix_order"))
+    return drawn.select(*[F.col(c).alias(n) for c, n in named.items()], by_shard.alias("by_shard"))
+
+
+def mix_documents(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, named: bool = True, seed: int = SEED) -> DataFrame:
+    """The drawn documents, all input columns, laid out by shard and in a shard by the local order: each as often as shards draw
+    it whole, the cut one if at least half of it is drawn. With named=True also mix_shard and mix_order."""
+    columns = texts.columns
+    held = texts.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
+    field = lambda c: F.col("__row").getField(c)
+    mix = plan_mix(texts, key, text, source, shards, seed=seed)
+    ready = held.withColumns({"__source": field(source), "__size": word_count(field(text)), "__key": mix_key(field(key), field(text))})
+    each = mix.drawn(ready).select("__row", "__size", "__key", F.explode("__draws").alias("__draw"))
+    each = each.filter((F.col("__draw.words") > 0) & (2 * F.col("__draw.words") >= F.col("__size")))
+    order = F.md5(F.concat(F.col("__key"), F.lit(":"), F.col("__draw.round").cast("string")))
+    each = each.select("__row", F.col("__draw.shard").alias("mix_shard"), order.alias("mix_order"))
+    laid = by_local_order(each, shards, _parts(texts, shards))
+    kept = [field(c).alias(c) for c in columns if not named or c not in ("mix_shard", "mix_order")]
+    return laid.select(*kept, *(["mix_shard", "mix_order"] if named else []))
+
+
+def _parts(texts: DataFrame, shards: int) -> int:
+    """Partitions of a shard: one for about PART_BYTES of the plan's own estimate of its input."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(MAX_PARTS, size // PART_BYTES) // shards)
+
+
+def by_local_order(rows: DataFrame, shards: int, parts: int) -> DataFrame:
+    """rows with mix_shard and mix_order in shards * parts partitions, or a few less where hashes meet: a partition is a range of a shard's order,
+    sorted. The order is a digest, so ranges of it are even."""
+    part = F.floor(F.conv(F.substring("mix_order", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
+    dealt = rows.withColumn("__part", part).repartition(shards * parts, "mix_shard", "__part")
+    return dealt.sortWithinPartitions("mix_shard", "mix_order").drop("__part")

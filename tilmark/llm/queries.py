@@ -17,7 +17,7 @@ from tilmark.llm import quality as qu
 from tilmark.llm import secret_scan as ss
 from tilmark.llm import sharding as sh
 from tilmark.llm import token_scan as ts
-from tilmark.llm.runtime import table
+from tilmark.llm.runtime import owned, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,22 +40,23 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op1_sql() -> str:
     phrase_rows = ", ".join(f"({p.split()!r}, '{label}')" for p, label in ls.PHRASES)
-    template_rows = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for t, label in ls.TEMPLATES)
+    template_rows = ", ".join(f"({sorted(set(t.split()))!r}, '{label}', {ls.step_of(t)})" for t, label in ls.TEMPLATES)
+    steps = ", ".join(f"({step})" for step in sorted({ls.step_of(t) for t, _ in ls.TEMPLATES}))
     pattern = ls.WORD
     return f"""
 WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), '{ls.UPPER}', '{ls.LOWER}'), '{pattern}') AS w FROM documents
-), phrases(p, label) AS (VALUES {phrase_rows}), templates(t, label) AS (VALUES {template_rows}),
+), phrases(p, label) AS (VALUES {phrase_rows}), templates(t, label, step) AS (VALUES {template_rows}), steps(step) AS (VALUES {steps}),
 places AS (
   SELECT k, i AS start, label FROM docs, phrases, unnest(range(0, len(w))) AS u(i) WHERE w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p
 ), base AS (
   SELECT k, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY k
 ), blocks AS (
-  SELECT k, list_distinct(w[b + 1 : b + {ls.BLOCK_WORDS}]) AS s FROM docs, unnest(range(0, len(w), {ls.BLOCK_STEP})) AS u(b)
+  SELECT k, step, list_distinct(w[b + 1 : b + 2 * step]) AS s FROM docs, steps, unnest(range(0, len(w), step)) AS u(b)
 ), scored AS (
-  SELECT k, label, len(list_intersect(s, t)) / len(t) AS c, len(list_intersect(s, t)) >= ceil({ls.THRESHOLD} * len(t) - 1e-9) AS ok FROM blocks, templates
+  SELECT k, label, len(list_intersect(s, t)) / len(t) AS c, len(list_intersect(s, t)) >= ceil({ls.THRESHOLD} * len(t) - 1e-9) AS ok FROM blocks JOIN templates USING (step)
 ), method AS (SELECT k, max(c) AS c FROM scored WHERE ok GROUP BY k),
 named AS (
   SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
@@ -68,6 +69,7 @@ FROM docs LEFT JOIN base USING (k) LEFT JOIN method USING (k) LEFT JOIN named US
 """
 
 
+@owned
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -76,6 +78,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@owned
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -87,32 +90,87 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= qu.CUT).cast("int").alias("predicted"))
 
 
+@owned
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.mix_words(table(spark, sf_dir, "documents"))
+    return mx.mix_words(table(spark, sf_dir, "documents")).withColumn("by_shard", F.array_join(F.col("by_shard").cast("array<string>"), ","))
+
+
+def _draw_sql(u: str, own: str, everything: str, wanted: str) -> str:
+    """mixing.hypergeometric in SQL, by lists."""
+    rest = "(z.n - z.q)"
+    reach = f"{mx.SPREAD} * sqrt(z.w * z.q / z.n + 1)"
+    low = f"CAST(greatest(0, z.w - {rest}, floor(z.w * z.q / z.n - {reach})) AS BIGINT)"
+    high = f"CAST(least(z.q, z.w, ceil(z.w * z.q / z.n + {reach})) AS BIGINT)"
+    log = f"-lgamma(k + 1.0::DOUBLE) - lgamma(z.q - k + 1.0::DOUBLE) - lgamma(z.w - k + 1.0::DOUBLE) - lgamma({rest} - z.w + k + 1.0::DOUBLE)"
+    logs = f"list_transform(range({low}, {high} + 1), lambda k: {log})"
+    count = f"list_transform([list_transform([{logs}], lambda g: list_transform(g, lambda x: exp(x - list_max(g))))[1]], lambda e: len(list_filter(range(1, len(e) + 1), lambda j: list_sum(e[1:j]) < z.u * list_sum(e))))[1]"
+    bound = f"{{'u': {u}, 'q': {own}, 'n': {everything}, 'w': {wanted}}}"
+    return f"list_transform([{bound}], lambda z: CASE WHEN z.q = 0 OR z.w = 0 THEN 0 ELSE {low} + {count} END)[1]"
+
+
+def _tree_sql(shards: int) -> str:
+    """CTEs from `root` (a row with the list l of quotas): leaf0, leaf1, ... (list l of each shard)."""
+    parts = [f"rooms AS (SELECT list_transform(range({shards}), lambda j: list_sum(l) // {shards} + CASE WHEN j < list_sum(l) % {shards} THEN 1 ELSE 0 END) AS room FROM root)"]
+
+    def split(node: int, name: str, a: int, b: int) -> None:
+        if b - a == 1:
+            parts.append(f"leaf{a} AS (SELECT l FROM {name})")
+            return
+        middle = (a + b) // 2
+        u = f"CAST(('0x' || substr(md5('{mx.SEED}:{node}:' || (i - 1)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+        draw = _draw_sql(u, "l[i]", "list_sum(l[i:])", "want - coalesce(list_sum(acc), 0)")
+        left = f"list_reduce(range(1, len(l) + 1), lambda acc, i: list_append(acc, CAST({draw} AS BIGINT)), []::BIGINT[])"
+        parts.append(f"draw{node} AS (SELECT l, {left} AS taken FROM (SELECT l, CAST(list_sum(room[{a + 1}:{middle}]) AS BIGINT) AS want FROM {name}, rooms))")
+        parts.append(f"left{node} AS (SELECT taken AS l FROM draw{node})")
+        parts.append(f"right{node} AS (SELECT list_transform(range(1, len(l) + 1), lambda i: l[i] - taken[i]) AS l FROM draw{node})")
+        split(2 * node, f"left{node}", a, middle)
+        split(2 * node + 1, f"right{node}", middle, b)
+
+    split(1, "root", 0, shards)
+    return ",\n".join(parts)
 
 
 def _op6_sql() -> str:
     weight = "CASE " + " ".join(f"WHEN (n - 1) % {len(mx.WEIGHTS)} = {i} THEN {w}" for i, w in enumerate(mx.WEIGHTS)) + " END"
+    digits = "CASE " + " ".join(f"WHEN r <= {mx.BLOCK_ROWS * 16**d} THEN {d}" for d in range(mx.MAX_DIGITS)) + f" ELSE {mx.MAX_DIGITS} END"
+    leaves = " UNION ALL ".join(f"SELECT {j} AS j, l FROM leaf{j}" for j in range(mx.SHARDS))
+    words = "CASE WHEN e < whole OR block < edge THEN size ELSE greatest(0, least(size, rest - before - pos)) END"
     return f"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mx.WORD}')) AS BIGINT) AS size,
+  SELECT row_number() OVER () AS d, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mx.WORD}')) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents
-), sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM docs GROUP BY source),
-named AS (SELECT source, s, {weight} AS w FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sums)),
+), sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, count(*) AS r FROM docs GROUP BY source),
+named AS (SELECT source, s, r, n, {weight} AS w, {digits} AS digits FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sums)),
 ordered AS (SELECT *, row_number() OVER (ORDER BY {mx.MAX_REPEATS} * s / w, source NULLS LAST) AS o FROM named),
 levels AS (
   SELECT *, (sum(s) OVER () - coalesce(sum({mx.MAX_REPEATS} * s) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM ordered
 ), found AS (SELECT coalesce(min(o) FILTER (level <= {mx.MAX_REPEATS} * s / w), max(o)) AS o FROM levels),
 goals AS (
-  SELECT source, s, least(w * (SELECT level FROM levels JOIN found USING (o)), CAST({mx.MAX_REPEATS} * s AS DOUBLE)) AS target FROM levels
-), laid AS (
-  SELECT doc_id, docs.source, size, s, target, CAST(floor(target + 0.5) AS BIGINT) AS q,
-         coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source
-)
-SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target,
-       CAST(CASE WHEN s = 0 THEN 0 ELSE size * (q // s) + greatest(0, least(size, q % s - pos)) END AS BIGINT) AS taken FROM laid
+  SELECT source, s, n, digits, least(w * (SELECT level FROM levels JOIN found USING (o)), CAST({mx.MAX_REPEATS} * s AS DOUBLE)) AS target FROM levels
+), rounds AS (
+  SELECT *, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target + 0.5) AS BIGINT) // s END AS whole, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target + 0.5) AS BIGINT) % s END AS rest FROM goals
+), blocked AS (
+  SELECT docs.*, rounds.* EXCLUDE (source), CASE WHEN digits = 0 THEN 0 ELSE CAST('0x' || substr(k, 1, digits) AS BIGINT) END AS block
+  FROM docs JOIN rounds ON docs.source IS NOT DISTINCT FROM rounds.source
+), heaps AS (SELECT n, block, rest, sum(size) AS words FROM blocked GROUP BY ALL),
+upto AS (SELECT *, sum(words) OVER (PARTITION BY n ORDER BY block) AS upto FROM heaps),
+edges AS (SELECT n, min(block) AS edge, min_by(upto - words, block) AS before FROM upto WHERE rest > 0 AND upto >= rest GROUP BY n),
+quotas AS (
+  SELECT rounds.*, coalesce(edge, 0) AS edge, coalesce(before, 0) AS before, CAST(whole * 16 ** digits AS BIGINT) + CASE WHEN rest > 0 THEN edge + 1 ELSE 0 END AS q FROM rounds LEFT JOIN edges USING (n)
+), root AS (SELECT coalesce(list(CAST(q AS BIGINT) ORDER BY n), []) AS l FROM quotas), {_tree_sql(mx.SHARDS)},
+shares AS (SELECT j, n, sum(l[n]) OVER (PARTITION BY n ORDER BY j) AS upto FROM ({leaves}), (SELECT n FROM quotas)),
+ends AS (SELECT n, list(upto ORDER BY j) AS ends FROM shares GROUP BY n),
+laid AS (
+  SELECT d, doc_id, size, s, target, block, digits, whole, rest, edge, before, ends,
+         coalesce(sum(size) OVER (PARTITION BY blocked.n, block ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM blocked JOIN (SELECT n, edge, before FROM quotas) USING (n) JOIN ends USING (n)
+), drawn AS (
+  SELECT *, len(list_filter(ends, lambda x: x <= e * CAST(16 ** digits AS BIGINT) + block)) AS j, {words} AS words FROM laid, unnest(range(0, whole + 1)) AS u(e)
+), parts AS (SELECT d, j, CAST(sum(words) AS BIGINT) AS words FROM drawn WHERE j < {mx.SHARDS} GROUP BY ALL),
+lists AS (SELECT d, list(coalesce(words, 0) ORDER BY j) AS by_shard FROM (SELECT d, j FROM laid, range({mx.SHARDS}) AS r(j)) LEFT JOIN parts USING (d, j) GROUP BY d)
+SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target, CAST(list_sum(by_shard) AS BIGINT) AS taken, array_to_string(by_shard, ',') AS by_shard
+FROM laid JOIN lists USING (d)
 """
 
 
@@ -129,12 +187,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+@owned
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sh.place_records(table(spark, sf_dir, "documents"))
+    placed = sh.place_records(table(spark, sf_dir, "documents"), store=sh.map_store(spark, f"documents:{sf_dir}"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -1,44 +1,109 @@
-"""Lineage cuts that survive lost executors: tables written to the folder named by spark.checkpoint.dir."""
+"""Lineage cuts that survive lost executors: tables written to the folder named by spark.checkpoint.dir.
+
+Tables belong to the run that makes them: `owned` gives a function a run of its own, and what its result does not read
+is deleted when it returns. A result that is still to be computed keeps the tables it reads.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests), a temporary folder that is then set."""
+    """The session's spark.checkpoint.dir. Only where it is unset in local mode (tests), a temporary folder that is then set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tilmark-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
-_made: list[str] = []
+class Tables:
+    """The written tables of one run."""
+
+    def __init__(self) -> None:
+        self.made: list[tuple[SparkSession, str]] = []
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete the run's tables that none of these frames reads. Only when no other plan over them is left to run."""
+        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for frame in frames for f in frame.inputFiles()} if self.made else set()
+        for spark, path in self.made:
+            if path.rsplit("/", 1)[1] not in read:
+                _delete(spark, path)
+        self.made = [(spark, path) for spark, path in self.made if path.rsplit("/", 1)[1] in read]
+
+
+_run: ContextVar[Tables | None] = ContextVar("tilmark_tables", default=None)
+
+
+@contextlib.contextmanager
+def tables() -> Iterator[Tables]:
+    """A run: tables that are written meanwhile belong to it. What it still has at its end goes to the run around it."""
+    own, around = Tables(), _run.get()
+    token = _run.set(own)
+    try:
+        yield own
+    finally:
+        _run.reset(token)
+        if around is not None:
+            around.made += own.made
+
+
+def owned(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, in a run of its own. Intermediate tables that its result does not read are gone when it returns."""
+
+    @functools.wraps(f)
+    def call(*args: object, **named: object) -> DataFrame:
+        with tables() as own:
+            out = f(*args, **named)
+            own.keep(out)
+            return out
+
+    return call
+
+
+#: Rows of an Arrow batch while a table is written. A batch of whole texts is held several times over, in the JVM and in
+#: Python. A session that has set the number itself keeps it.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(_ROWS, "10000")
+    if was != "10000":
+        yield
+        return
+    spark.conf.set(_ROWS, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, was)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet under the shared folder and read it back: later plans start from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilmark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
+    run = _run.get()
+    if run is not None:
+        run.made.append((spark, path))
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, but: DataFrame | None = None) -> None:
-    """Delete all written() tables of this process, but for the one that `but` reads. Only when no plan over them is left to run."""
-    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in but.inputFiles()} if but is not None else set()
-    for path in [p for p in _made if p.rsplit("/", 1)[1] not in kept]:
-        _delete(spark, path)
-        _made.remove(path)
-
-
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -52,17 +117,5 @@ def dropped(df: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
-#: Rows of an Arrow batch. A batch of whole texts is held several times over, in the JVM and in Python, so the default of
-#: 10,000 rows is lowered; a session that has set the number itself keeps it.
-BATCH_ROWS = 2000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def hold_batches(spark: SparkSession) -> None:
-    if spark.conf.get(_ROWS, "10000") == "10000":
-        spark.conf.set(_ROWS, BATCH_ROWS)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    hold_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

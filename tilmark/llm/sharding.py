@@ -1,31 +1,39 @@
 """Sharding by fixed virtual slots.
 
 A record's hash gives its virtual slot, one of SLOTS, for good. Bytes are summed per slot, and a slot map says
-which shard holds which slot. A map is versioned: every rebalancing edits it by moving single slots and adds a
-version, so only the moved slots' records change their shard. With the map edited until the shards' bytes are
-near equal, the law that holds is `bytes`.
+which shard holds which slot. A map is versioned and stored: load_map reads the latest whole version of a store, every rebalancing
+edits that by moving single slots, and save_map writes the next version with its edits, so only the moved slots' records change their
+shard when a table grows. With the map edited until the shards' bytes are near equal, the law that holds is `bytes`.
+
+A store is a folder in the shared folder with a table per version, written once and complete when its success mark is there: rows
+(version, virtual_slot, shard, moved_from), moved_from null for slots that the version left where they were. Of two
+runs that write the same version one fails to; it reads the other's and goes on from that.
 
 Data: records become narrow rows (hash, size); equal rows are counted before they are shuffled. Collected are one
-sum and one count per slot (SLOTS rows). Places within a shard come from counts per slot and per part of a slot;
+sum and one count per slot, and the map (SLOTS rows each). Places within a shard come from counts per slot and per part of a slot;
 a part holds about PART_ROWS rows, so no task sorts a whole shard.
 
 Defined cases: a null text has size 1; null and repeated ids are hashed with size and checksum; equal records
-stand in one slot, at places in any sequence; an empty table gives an empty result and a map of
+stand in one slot, at places in any sequence; records of equal size and checksum are told apart by id only; a text of any length is one
+record, and a slot with one very long text may hold a shard's bytes above the mean; an empty table gives an empty result and a map of
 equal numbers of slots; extra columns are ignored or, in with_shards, kept (a column named shard or
 virtual_slot is replaced).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilmark.llm.runtime import written
+from tilmark.llm.runtime import shared_dir, written
 
 SLOTS = 4096
 PART_ROWS = 10_000
+ATTEMPTS = 5
 
 
 def record_size(text: Column) -> Column:
@@ -88,6 +96,67 @@ class SlotMap:
         return self
 
 
+MAP = "version int, virtual_slot int, shard int, moved_from int"
+
+
+def map_store(spark: SparkSession, name: str) -> str:
+    """The folder of the map of a table or job called name."""
+    return f"{shared_dir(spark)}/tilmark/slot-maps/{hashlib.sha256(name.encode()).hexdigest()[:32]}"
+
+
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    """Whole versions of a store, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    whole = [n for n in names if n.startswith("version-") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("version-")) for n in whole)
+
+
+def load_map(spark: SparkSession, store: str, version: int | None = None) -> SlotMap | None:
+    """The latest stored map, or the one of a version; null if there is none."""
+    there = _versions(spark, store)
+    if not there or version is not None and version not in there:
+        return None
+    rows = sorted(spark.read.schema(MAP).parquet(f"{store}/version-{version or there[-1]}").collect(), key=lambda r: r["virtual_slot"])
+    edits = [(r["version"], r["virtual_slot"], r["moved_from"], r["shard"]) for r in rows if r["moved_from"] is not None]
+    return SlotMap([r["shard"] for r in rows], rows[0]["version"], edits)
+
+
+def map_table(spark: SparkSession, slot_map: SlotMap) -> DataFrame:
+    """The stored form of a map, SLOTS rows."""
+    was: dict[int, int] = {}
+    for version, slot, before, _ in slot_map.edits:
+        if version == slot_map.version:
+            was.setdefault(slot, before)
+    return spark.createDataFrame([(slot_map.version, s, j, was.get(s)) for s, j in enumerate(slot_map.shard_of)], MAP)
+
+
+def save_map(spark: SparkSession, store: str, slot_map: SlotMap) -> None:
+    """Write a version. A version that is there already is an error."""
+    map_table(spark, slot_map).coalesce(1).write.mode("errorifexists").parquet(f"{store}/version-{slot_map.version}")
+
+
+def balanced_map(spark: SparkSession, sizes: list[int], shards: int, slots: int, store: str | None) -> SlotMap:
+    """The stored map of this many slots and shards, or an even one, edited for these sizes. What changes is stored."""
+    for attempt in range(ATTEMPTS):
+        last = load_map(spark, store) if store else None
+        fits = last is not None and len(last.shard_of) == slots and max(last.shard_of) < shards
+        current = SlotMap(list(last.shard_of), last.version) if fits else SlotMap(SlotMap.even(shards, slots).shard_of, last.version if last else 0)
+        current.rebalance(sizes, shards)
+        if not store or fits and not current.edits:
+            return current
+        try:
+            save_map(spark, store, current)
+            return current
+        except AnalysisException:
+            if attempt + 1 == ATTEMPTS:
+                raise
+    raise AssertionError
+
+
 def virtual_slot(key: Column, text: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key, record_size(text), record_crc(text)), F.lit(slots)).cast("int")
 
@@ -99,18 +168,14 @@ def _slot_sums(rows: DataFrame, slots: int) -> tuple[list[int], list[int]]:
     return sizes, counts
 
 
-def map_table(spark, slot_map: SlotMap) -> DataFrame:
-    """The stored form of a map: (version, virtual_slot, shard), SLOTS rows."""
-    return spark.createDataFrame([(slot_map.version, s, j) for s, j in enumerate(slot_map.shard_of)], "version int, virtual_slot int, shard int")
-
-
-def place_records(texts: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, slots: int = SLOTS) -> DataFrame:
-    """One row per input row: key, size, text_crc32, shard and slot, its place in the shard (gapless from 0)."""
+def place_records(texts: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, slots: int = SLOTS, store: str | None = None) -> DataFrame:
+    """One row per input row: key, size, text_crc32, shard and slot, its place in the shard (gapless from 0), by the map in store, which is edited
+    where sizes have changed."""
     spark = texts.sparkSession
     plain = texts.select(F.col(key).alias("id"), record_size(F.col(text)).alias("size"), record_crc(F.col(text)).alias("crc"), virtual_slot(F.col(key), F.col(text), slots).alias("virtual_slot"))
     rows = written(plain.groupBy("id", "size", "crc", "virtual_slot").agg(F.count("*").alias("copies")), "records")
     sizes, counts = _slot_sums(rows, slots)
-    shard_of = SlotMap.even(shards, slots).rebalance(sizes, shards).shard_of
+    shard_of = balanced_map(spark, sizes, shards, slots, store).shard_of
     begin, at = [0] * shards, []
     for slot in range(slots):
         at.append((slot, shard_of[slot], begin[shard_of[slot]]))
@@ -131,10 +196,12 @@ def place_records(texts: DataFrame, key: str = "doc_id", text: str = "text", sha
     return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", place.alias("slot"))
 
 
-def with_shards(texts: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, slots: int = SLOTS) -> DataFrame:
-    """The input rows, all columns, plus virtual_slot and shard. Texts are not shuffled: the map is SLOTS rows."""
+def with_shards(texts: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, slots: int = SLOTS, store: str | None = None) -> DataFrame:
+    """The input rows, all columns, plus virtual_slot and shard by the map in store. Texts are not shuffled: the map is SLOTS rows."""
+    spark = texts.sparkSession
     slot = virtual_slot(F.col(key), F.col(text), slots)
     sums = texts.select(record_size(F.col(text)).alias("size"), slot.alias("virtual_slot"), F.lit(1).alias("copies"))
-    slot_map = SlotMap.even(shards, slots).rebalance(_slot_sums(sums, slots)[0], shards)
-    stored = map_table(texts.sparkSession, slot_map).drop("version")
-    return texts.drop("shard").withColumn("virtual_slot", slot).join(F.broadcast(stored), "virtual_slot").select(*[c for c in texts.columns if c not in ("shard", "virtual_slot")], "virtual_slot", "shard")
+    slot_map = balanced_map(spark, _slot_sums(sums, slots)[0], shards, slots, store)
+    at = spark.createDataFrame(list(enumerate(slot_map.shard_of)), "virtual_slot int, shard int")
+    kept = [c for c in texts.columns if c not in ("shard", "virtual_slot")]
+    return texts.select(*kept, slot.alias("virtual_slot")).join(F.broadcast(at), "virtual_slot").select(*kept, "virtual_slot", "shard")
