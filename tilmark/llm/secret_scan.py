@@ -1,17 +1,15 @@
 """Secret scan: fixed base patterns, and assignment-aware lexing with constant propagation.
 
 Base kinds are `assign`, `access` and `hex`, the leftmost non-overlapping matches of each pattern, those that are
-too short dropped. The method adds kind `literal`: source and configuration syntax (``name = value``, ``name: value``,
-``"name": value``, ``name := value``, ``name => value``, ``name: type = value``) is read into name-literal pairs. A
-bare value or a type that is itself followed by an assignment is also read as a name (``INFO: pwd = value``). A value is a quoted
-literal, a bare literal, a name bound before, or a sum of such parts; names stand for the literals last bound
-to them. A pair scores the sensitivity of its target name (whole words of the name, split at case and
-punctuation) times the plausibility of the literal (length, variety of characters, no placeholder). At MIN_SCORE or more
-every literal that flows into the target is a span, also where it is written under an innocent name. Literals are of any
-length, and any number of them flows on.
+too short dropped. The method adds kind `literal`: assignments.py lexes source and configuration syntax and reads it into name-literal pairs;
+a value is a sum of literals and of names bound before, which stand for the literals last bound to them. A pair scores the sensitivity of
+its target names (whole words of the name, split at case and punctuation) times the plausibility of the literal (length, variety of
+characters, no placeholder). At MIN_SCORE or more every literal that flows into the target is a span, also where it is written under an
+innocent name. Literals and names are of any length, and any number of literals flows on.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; a literal that reaches
-several targets is one span; spans of different kinds may overlap; repeated rows and rows with a null id give one
+several targets is one span; spans of different kinds may overlap; spans that start at one place are ordered by kind; a very long text is
+read whole, in time that grows with its length; repeated rows and rows with a null id give one
 row each; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -22,13 +20,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilmark.llm import textvec as tv
+from tilmark.llm.assignments import Value, read
 
 KINDS = ("assign", "access", "hex", "literal")
 
@@ -57,17 +55,8 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|(?:y
 GATE = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "signature", "salt", "pin")
 MIN_SCORE = 0.5
 MIN_LITERAL = 8
-#: Names of types, never bound where a type may stand.
-TYPES = {"str", "string", "bytes", "bytearray", "byte", "char", "bool", "boolean", "int", "long", "float", "double", "number", "any", "object", "final", "optional", "nsstring"}
 ENDS = 32
-
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,127}"
-_PART = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`\n]*+`|[A-Za-z0-9/_$][A-Za-z0-9+/_.=$\-]*+'
-_BRACKETS = r"<(?:[^<>\n=]|<(?:[^<>\n=]|<[^<>\n=]*+>)*+>)*+>|\[(?:[^\[\]\n=]|\[(?:[^\[\]\n=]|\[[^\[\]\n=]*+\])*+\])*+\]"
-#: A type with its = after it. One that touches a bare value, as in ``secret: id=x``, is part of that value.
-_TYPED = rf""":(?!:)(?P<type>(?:[A-Za-z0-9_$.&*?!| \t]|::|'[a-z_]++(?=[ \t])|{_BRACKETS})++)(?:(?<=[ \t])=|=(?=[ \t]*["'`]))(?![=>])"""
-_PAIR = re.compile(rf"""(?P<name>{_NAME})["'`]?\]?(?:[?!](?=[ \t]*+:))?[ \t]*+(?:{_TYPED}|:=|=>|=(?!=)|(?P<colon>:(?!:)))[ \t]*(?=["'`A-Za-z0-9+/_$])(?P<value>(?:{_PART})(?:[ \t]*\+[ \t]*(?:{_PART}))*)""")
-_PARTS = re.compile(_PART)
+_CODE = re.compile(r"[=:<]|--[A-Za-z]|#define")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -86,6 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def name_weight(name: str) -> float:
     """How strongly a target name promises a secret, 0 to 1."""
     words = [w.lower() for w in _WORDS.findall(name)]
+    words = [w[:-1] if w[:-1] in SENSITIVE or w == "keys" else w for w in words]
     if not words:
         return 0.0
     best = max([SENSITIVE.get(w, 0.0) for w in words] + [SENSITIVE_PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False)])
@@ -106,109 +96,73 @@ def _weight(n: int, counts: Counter, value: str) -> float:
     return min(1.0, bits / 3.0) * min(n, 12) / 12 * (1.0 if kinds > 1 else 0.4)
 
 
-@dataclass(eq=False)
-class Value:
-    """What a name is bound to: literals (start, end, text) and values bound before, which are shared and not copied. A
-    sum that doubles from line to line stays small so."""
+Summary = tuple[int, Counter, str, str]
+
+
+class Flow:
+    """How plausible the values of one text are, and which literals a score has reached."""
 
-    parts: list[tuple[int, int, str] | Value] = field(default_factory=list)
-    known: tuple[int, Counter, str, str] | None = None
-    score: float = 0.0
+    def __init__(self, text: str):
+        self.text = text
+        self.known: dict[int, Summary] = {}
+        self.score: dict[int, float] = {}
+        self.held: list[Value] = []  # ids stay theirs as long as the values live
 
-    def summary(self) -> tuple[int, Counter, str, str]:
+    def summary(self, value: Value) -> Summary:
         """Length, counts of characters, and the first and last ENDS characters of the joined literals."""
-        stack = [self]
+        stack = [value]
         while stack:
             v = stack[-1]
-            todo = [p for p in v.parts if isinstance(p, Value) and p.known is None]
+            todo = [p for p in v.parts if isinstance(p, Value) and id(p) not in self.known]
             if todo:
                 stack += todo
                 continue
             stack.pop()
             n, counts, head, tail = 0, Counter(), "", ""
             for p in v.parts:
-                k, own, a, b = p.known if isinstance(p, Value) else (len(p[2]), Counter(p[2]), p[2][:ENDS], p[2][-ENDS:])
+                if isinstance(p, Value):
+                    k, own, a, b = self.known[id(p)]
+                else:
+                    part = self.text[p[0] : p[1]]
+                    k, own, a, b = len(part), Counter(part), part[:ENDS], part[-ENDS:]
                 n, head, tail = n + k, (head + a)[:ENDS], (tail + b)[-ENDS:]
                 counts.update(own)
-            v.known = n, counts, head, tail
-        return self.known
-
-    def weight(self) -> float:
-        if not any(isinstance(p, Value) for p in self.parts):
-            return literal_weight("".join(p[2] for p in self.parts))
-        n, counts, head, tail = self.summary()
+            self.known[id(v)] = n, counts, head, tail
+            self.held.append(v)
+        return self.known[id(value)]
+
+    def weight(self, value: Value) -> float:
+        if not any(isinstance(p, Value) for p in value.parts):
+            return literal_weight("".join(self.text[a:b] for a, b in value.parts))
+        n, counts, head, tail = self.summary(value)
         return _weight(n, counts, head + "".join(counts) + tail if n > 2 * ENDS else head + tail[max(0, len(head) + len(tail) - n) :])
 
-    def reached(self, score: float) -> Iterator[tuple[int, int]]:
+    def reached(self, value: Value, score: float) -> Iterator[tuple[int, int]]:
         """Spans of all literals, but for those that a score as high has reached."""
-        stack = [self]
+        stack = [value]
         while stack:
             v = stack.pop()
-            if v.score < score:
-                v.score = score
-                yield from (p[:2] for p in v.parts if not isinstance(p, Value))
+            if self.score.get(id(v), 0.0) < score:
+                self.score[id(v)] = score
+                self.held.append(v)
+                yield from (p for p in v.parts if not isinstance(p, Value))
                 stack += [p for p in v.parts if isinstance(p, Value)]
 
 
-def _pairs(text: str) -> Iterator[tuple[re.Match, list[str], bool]]:
-    """Assignments in order, each with the names that get its value, and whether these stand where a type may."""
-    at = covered = 0
-    typed: re.Match | None = None
-    chain: list[str] = []
-    while m := _PAIR.search(text, at):
-        if typed and m.start("name") >= typed.start("value"):  # its type ends in no name
-            at, typed = typed.end(), None
-            continue
-        names, chain, in_type, typed = chain, [], typed is not None, None
-        names.append(m["name"])
-        if m["type"] is not None:
-            yield m, names, in_type
-            at, typed = m.start("type"), m
-            continue
-        v, end = m.span("value")
-        inner = _PAIR.match(text, v) if text[v] not in "\"'`" and m.start("name") >= covered else None
-        if inner and inner["colon"] and text.startswith("//", inner.end("colon")):  # a scheme
-            inner = None
-        if inner and inner.start("value") >= end and not m["colon"] and not inner["colon"]:
-            chain = names  # a = b = value
-        else:
-            yield m, names, in_type
-        if inner and inner.start("value") < end:
-            covered = end
-        at = v if inner else end
-
-
 def literal_spans(text: str) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, score) of literals that flow into sensitive names."""
     low = text.lower()
-    if not any(x in low for x in GATE) or not ("=" in text or ":" in text):
+    if not any(x in low for x in GATE) or not _CODE.search(text):
         return []
-    bound: dict[str, Value] = {}
-    types: set[str] = set()
-    found: dict[tuple[int, int], float] = {}
-    for m, names, in_type in _pairs(text):
-        value = Value()
-        for p in _PARTS.finditer(text, m.start("value"), m.end("value")):
-            raw = p[0]
-            if raw[0] in "\"'`":
-                value.parts.append((p.start() + 1, p.end() - 1, raw[1:-1]))
-            elif raw in bound:
-                # `password: str` names a type that may have stood before a literal, no value
-                if bound[raw].parts and not (m["colon"] and raw in types):
-                    value.parts.append(bound[raw])
-            elif not re.fullmatch(_NAME, raw) or any(c.isdigit() for c in raw):
-                value.parts.append((p.start(), p.end(), raw))
-        for name in dict.fromkeys(names):
-            if not (in_type and name.lower() in TYPES):
-                bound[name] = value
-            (types.add if in_type else types.discard)(name)
-            weight = name_weight(name)
-            if weight and value.parts:
-                score = weight * value.weight()
-                if score >= MIN_SCORE:
-                    for a, b in value.reached(score):
-                        if b > a:
-                            found[a, b] = max(score, found.get((a, b), 0.0))
+    flow, found = Flow(text), {}
+    for pair in read(text):
+        weight = max(map(name_weight, pair.names))
+        if weight and pair.value.parts:
+            score = weight * flow.weight(pair.value)
+            if score >= MIN_SCORE:
+                for a, b in flow.reached(pair.value, score):
+                    if b > a:
+                        found[a, b] = max(score, found.get((a, b), 0.0))
     return [(a, 3, b, s) for (a, b), s in found.items()]
 
 
