@@ -4,15 +4,17 @@ Emissions are linear in hashed features of a lower-cased word: affixes of 1 to 3
 the word's ends marked, and the word itself (the lexicon). Transitions between languages are learned
 with them, by stochastic gradient steps on the chains' log-likelihood; its gradient is observed minus expected counts,
 from forward-backward. Training chains join runs of words from texts of different languages, so that the
-transitions see switches. Prediction runs forward-backward over every word of a text, in chains of CHAIN words, and
+transitions see switches. Prediction runs forward-backward over every word of a text, in chains of CHAIN words with OVERLAP words more on
+either side, whose own posteriors are left to the chains beside (what lies further off moves a posterior by less than rounding does), and
 takes the language with the largest mean posterior, which is the score.
 
-Training data: a bounded sample (SAMPLE_ROWS texts per language, by a hash of the id, TRAIN_WORDS words of each; with more
-languages fewer of each, so that all have about TOTAL_ROWS, but at least one) is collected. Every language is learned;
+Training data: a bounded sample of the labelled rows (SAMPLE_ROWS texts per language, by a hash of the id; with more
+languages fewer of each, so that all have about TOTAL_ROWS, but at least one). Of a sampled text with more than RUNS * RUN words, RUNS runs of RUN words are collected, at
+places drawn by a hash in RUNS equal parts of the whole text; of any other, all words. Every language is learned;
 the model is a few MB, 128 KB a language, and travels to the workers. Every text is predicted whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn from, every text is
-`und`; letters are runs of Unicode letters; repeated rows and rows with a null id give one row each; extra columns
+`und`; letters are runs of Unicode letters; of languages with equal mean posteriors the first by code point is taken; a text of any length is predicted whole; repeated rows and rows with a null id give one row each; extra columns
 are ignored or, where rows are filtered, kept; an empty table gives an empty result.
 """
 
@@ -33,11 +35,10 @@ from tilmark.llm import textvec as tv
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 BITS = 15
-CHAIN = 256
+CHAIN, OVERLAP = 256, 16
 GROUP = 512
 SAMPLE_ROWS = 200
-TRAIN_WORDS = 400
-TRAIN_CHARS = 1_000_000
+RUNS, RUN = 10, 48
 TOTAL_ROWS = 12_800
 STEPS, BATCH, TRAIN_CHAIN, RATE, DECAY = 150, 64, 48, 0.05, 1e-4
 CACHE = 150_000
@@ -126,7 +127,7 @@ class Tagger:
         """samples: (language, text). Deterministic for equal samples in equal order."""
         rng = np.random.default_rng(seed)
         languages = sorted({lang for lang, _ in samples})
-        texts = [(languages.index(lang), w) for lang, text in samples if (w := WORDS.findall(text.lower())[:TRAIN_WORDS])]
+        texts = [(languages.index(lang), w) for lang, text in samples if (w := WORDS.findall(text.lower()))]
         tagger = cls(languages, np.zeros((1 << BITS, len(languages)), np.float32), np.zeros((len(languages), len(languages))))
         if len(languages) < 2 or not texts:
             return tagger
@@ -201,14 +202,17 @@ class Tagger:
             chains = -(-counts // CHAIN)
             owner = np.repeat(np.arange(len(texts)), chains)
             number = np.arange(len(owner)) - np.repeat(np.cumsum(chains) - chains, chains)
-            begin = (np.cumsum(counts) - counts)[owner] + number * CHAIN
-            length = np.minimum(CHAIN, counts[owner] - number * CHAIN)
+            first = (np.cumsum(counts) - counts)[owner]
+            begin = first + np.maximum(0, number * CHAIN - OVERLAP)
+            length = np.minimum(first + (number + 1) * CHAIN + OVERLAP, first + counts[owner]) - begin
+            own = first + number * CHAIN
             order = np.argsort(-length, kind="stable")
-            begin, length = begin[order], length[order]
+            begin, length, own = begin[order], length[order], own[order]
             for a in range(0, len(begin), GROUP):
-                own, size = begin[a : a + GROUP], length[a : a + GROUP]
-                at = np.minimum(own[None, :] + np.arange(size[0])[:, None], len(words) - 1)
-                there = np.arange(size[0])[:, None] < size[None, :]
+                start, size, mine = begin[a : a + GROUP], length[a : a + GROUP], own[a : a + GROUP]
+                at = start[None, :] + np.arange(size[0])[:, None]
+                there = (np.arange(size[0])[:, None] < size[None, :]) & (at >= mine[None, :]) & (at < mine[None, :] + CHAIN)
+                at = np.minimum(at, len(words) - 1)
                 marginals, _ = forward_backward(potentials[at], np.exp(self.moves), size)
                 out[at[there]] = marginals[there]
         else:
@@ -226,6 +230,24 @@ class Tagger:
         return best, np.array([0.0 if p is None else min(1.0, float(p.max())) for p in mean])
 
 
+def training_words(text: str, draw: int) -> list[str]:
+    """All words of a text, or of a long one RUNS runs of RUN words from all over it."""
+    words = WORDS.findall(text.lower())
+    if len(words) <= RUNS * RUN:
+        return words
+    ends = [k * len(words) // RUNS for k in range(RUNS + 1)]
+    rng = np.random.default_rng(draw)
+    starts = [a + int(rng.integers(0, b - a - RUN + 1)) for a, b in zip(ends, ends[1:], strict=False)]
+    return [w for a in starts for w in words[a : a + RUN]]
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in tv.chunks(batches):
+        draws = batch.column(1).to_pylist()
+        words = [" ".join(training_words(t, d)) for t, d in zip(texts, draws, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string())], names=["label", "draw", "text"])
+
+
 def train_tagger(texts: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> Tagger:
     """A tagger from a bounded sample of the rows outside the held-out fold that have a label."""
     usable = texts.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(text).alias("text")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("label").isNotNull())
@@ -237,9 +259,10 @@ def train_tagger(texts: DataFrame, key: str = "doc_id", text: str = "text", labe
     drawn = max(1.3 * rows, rows + 5 * math.sqrt(rows) + 10)  # on average, so that hardly ever fewer than rows are
     below = [(r["label"], int(min(1.0, drawn / r["count"]) * (1 << 30))) for r in counts]
     cuts = F.broadcast(texts.sparkSession.createDataFrame(below, "label string, below long"))
-    some = usable.join(cuts, "label").filter((draw < F.col("below")) & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    some = usable.join(cuts, "label").filter((draw < F.col("below")) & F.col("text").isNotNull())
     first = Window.partitionBy("label").orderBy("draw", "text")
-    found = some.select("label", "text", draw.alias("draw")).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).collect()
+    runs = some.select("label", draw.alias("draw"), "text").mapInArrow(_sampled, "label string, draw long, text string")
+    found = runs.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).collect()
     found.sort(key=lambda r: (r["label"], r["draw"], r["text"]))
     kept: dict[str, list[str]] = {}
     for r in found:

@@ -1,17 +1,16 @@
 """Quality scores by positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives are rows labelled 1 outside the held-out fold; the unlabelled set is drawn from all texts outside it.
-The class prior is the share of ones among the labels outside the held-out fold, if zeros are among them. With trusted
-positives only, it is estimated from a first classifier that tells positives from unlabelled texts: where only positives
-live, the ratio of their density to that of the unlabelled texts is one over the prior, so the prior is one
-over the mean ratio at positives that the first classifier did not see. The second
-classifier, one hidden layer, minimises
+Labels of 0 are never read. The class prior, the share of positives among the unlabelled texts, is estimated from scores by which a first
+classifier tells positives from unlabelled texts, each score from a classifier that did not see the row (PRIOR_FOLDS folds). Of the rows above a cut on
+these scores the unlabelled ones hold at least the prior times the positives' share, and no more where only positives are; the prior is the least ratio of the two
+shares, at the cut whose upper confidence bound on it is the least. The second classifier, one hidden layer, minimises
 
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])
 
 with the logistic loss l; where the bracket is negative, its gradient is followed upwards instead, so that it
 stops fitting single unlabelled texts. The score is the logistic function of f, an estimate of the
-probability that the label is 1.
+probability that the label is 1, averaged over MODELS classifiers that start from different weights.
 
 Features of a whole text (no label, language, source or id): square roots of the relative frequencies of pairs of
 neighbouring character classes, of word lengths, shares of distinct words, word pairs and lines, of the most
@@ -21,7 +20,8 @@ Training data: at most POSITIVE_ROWS positives and UNLABELLED_ROWS unlabelled te
 features, so their size does not depend on the texts) are collected. Every text is scored whole.
 
 Defined cases: a null text counts as empty and is scored; with no positives or no unlabelled texts every score is the
-prior 0.5; ids with several labels count as positive if any label is 1; repeated rows and rows with a null id give
+prior 0.5; ids with several labels count as positive if any label is 1; texts with equal features score equally; a very long text is scored whole;
+repeated rows and rows with a null id give
 one row each; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -41,8 +41,9 @@ from tilmark.llm.language_id import held_out
 
 FOLDS, FOLD = 4, 2
 POSITIVE_ROWS, UNLABELLED_ROWS = 2000, 6000
-HIDDEN, STEPS, BATCH, RATE, DECAY = 16, 800, 256, 0.01, 1e-3
-PRIOR_STEPS = 400
+HIDDEN, STEPS, BATCH, RATE, DECAY, MODELS = 16, 800, 256, 0.01, 1e-3, 5
+PRIOR_FOLDS, PRIOR_STEPS = 5, 100
+PRIOR_MISS, PRIOR_SLACK = 0.1, 0.01
 CUT = 0.7
 
 # Character classes by byte: control, blank, line end, digit, upper, lower, non-ASCII, sentence marks, quotes and
@@ -106,13 +107,14 @@ def features(text: str | None) -> np.ndarray:
 class Scorer:
     mean: np.ndarray
     scale: np.ndarray
-    layers: list[np.ndarray]
+    models: list[list[np.ndarray]]
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        if not self.layers:
+        if not self.models:
             return np.full(len(x), self.prior)
-        return _logistic(_forward(self.layers, (x - self.mean) / self.scale)[0])
+        scaled = (x - self.mean) / self.scale
+        return np.mean([_logistic(_forward(layers, scaled)[0]) for layers in self.models], axis=0)
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -145,16 +147,38 @@ def _fit(p: np.ndarray, u: np.ndarray, slope: Callable, steps: int, seed: int) -
     return layers
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 5) -> float:
-    """The share of positives in u, by density ratios at positives outside the fit."""
-    a, b = p[::2], p[1::2] if len(p) > 1 else p
+def _apart(fp: np.ndarray, fu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the logistic loss that tells positives from unlabelled texts."""
+    return -_logistic(-fp) / len(fp), _logistic(fu) / len(fu)
 
-    def slope(fp: np.ndarray, fu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return -_logistic(-fp) / len(fp), _logistic(fu) / len(fu)
 
-    layers = _fit(a, u, slope, PRIOR_STEPS, seed)
-    ratio = np.exp(np.clip(_forward(layers, b)[0], -20, 20))
-    return float(np.clip(1 / max(np.mean(np.minimum(ratio, np.quantile(ratio, 0.99))), 1e-6), 0.05, 0.95))
+def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 5) -> float:
+    """The share of positives in u, by the least ratio of the shares of u and p above a cut on cross-fitted scores."""
+    folds = min(PRIOR_FOLDS, len(p), len(u))
+    if folds < 2:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    own_p, own_u = rng.permutation(len(p)) % folds, rng.permutation(len(u)) % folds
+    sp, su = np.empty(len(p)), np.empty(len(u))
+    for k in range(folds):
+        layers = _fit(p[own_p != k], u[own_u != k], _apart, PRIOR_STEPS, seed + k)
+        sp[own_p == k], su[own_u == k] = _forward(layers, p[own_p == k])[0], _forward(layers, u[own_u == k])[0]
+    cuts = np.sort(sp)
+    above_p = 1 - np.searchsorted(cuts, cuts, "left") / len(p)
+    above_u = 1 - np.searchsorted(np.sort(su), cuts, "left") / len(u)
+    width = (1 + PRIOR_SLACK) * sum(np.sqrt(np.log(4 / PRIOR_MISS) / (2 * n)) for n in (len(p), len(u)))
+    at = np.argmin((above_u + width) / above_p)
+    return float(np.clip(above_u[at] / above_p[at], 0.05, 0.95))
+
+
+def risk_slope(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the risk by the outputs on positives and on unlabelled texts. Where the bracket of the risk is negative, those of its opposite
+    alone."""
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    bent = prior * _logistic(fp) / len(fp)
+    if negative < 0:
+        return bent, -_logistic(fu) / len(fu)
+    return -prior * _logistic(-fp) / len(fp) - bent, _logistic(fu) / len(fu)
 
 
 def train_scorer(p: np.ndarray, u: np.ndarray, prior: float | None = None, seed: int = 3) -> Scorer:
@@ -165,13 +189,7 @@ def train_scorer(p: np.ndarray, u: np.ndarray, prior: float | None = None, seed:
     p, u = (p - mean) / scale, (u - mean) / scale
     prior = prior or estimate_prior(p, u)
 
-    def slope(fp: np.ndarray, fu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        up, uu = -prior * _logistic(-fp) / len(fp), _logistic(fu) / len(fu)
-        bent = prior * _logistic(fp) / len(fp)
-        return (up - bent, uu) if negative >= 0 else (bent, -uu)
-
-    return Scorer(mean, scale, _fit(p, u, slope, STEPS, seed), prior)
+    return Scorer(mean, scale, [_fit(p, u, lambda fp, fu: risk_slope(fp, fu, prior), STEPS, seed + k) for k in range(MODELS)], prior)
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +203,7 @@ def train_on(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     draw = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
     open_rows = lambda frame: frame.filter(F.col("id").isNotNull() & ~held_out(F.col("id"), FOLDS, FOLD))
     own = open_rows(texts.select(F.col(key).alias("id"), F.col(text).alias("text")))
-    marked = open_rows(labels.select(F.col(key).alias("id"), F.col(label).alias("label"))).filter("label is not null")
-    good = marked.filter("label = 1").select("id").distinct()
-    zeros, ones = (marked.filter(F.col("label") == k).count() for k in (0, 1))
+    good = open_rows(labels.select(F.col(key).alias("id"), F.col(label).alias("label"))).filter("label = 1").select("id").distinct()
     n_good, n_own = good.count(), own.select("id").count()
     part = lambda want, there: int(min(1.0, 1.2 * want / max(1, there)) * (1 << 30))
     chosen = F.broadcast(good.filter(draw(1) < part(POSITIVE_ROWS, n_good)).withColumn("positive", F.lit(True)))  # at most about 1.2 * POSITIVE_ROWS ids
@@ -196,7 +212,7 @@ def train_on(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     rows = wanted.mapInArrow(_featurise, "positive boolean, plain boolean, draw long, x binary").orderBy("draw").limit(2 * (POSITIVE_ROWS + UNLABELLED_ROWS)).collect()
     rows.sort(key=lambda r: (r["draw"], bytes(r["x"])))
     array = lambda kind, most: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r[kind]][:most], np.float64).reshape(-1, WIDTH)
-    return train_scorer(array("positive", POSITIVE_ROWS), array("plain", UNLABELLED_ROWS), min(0.95, max(0.05, ones / (ones + zeros))) if zeros else None)
+    return train_scorer(array("positive", POSITIVE_ROWS), array("plain", UNLABELLED_ROWS))
 
 
 def score_texts(texts: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:
