@@ -10,9 +10,13 @@ Nodes of one label in one leaf are compared by cosine in double precision, in bl
 leaves counts in the first of them only, which every leaf can tell by itself, as nodes carry their leaf codes. So a leaf
 gives a count per node and the edges of a spanning forest, never a list of pairs. Components come from the edges.
 
+Leaves are counted before vectors are shuffled. One with more than MOST_ROWS nodes of a label is cut by hash into parts of about half that, and every pair of
+parts is a task of its own, so that a task holds at most about MOST_ROWS vectors, and matrices of BLOCK rows or WIDTH columns of them, however large a leaf is.
+All its pairs are still compared. Two nodes with equal 64-bit hashes of label and vector would count as one (of n different ones, about n * n / 2^65 pairs are).
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id or a
 null label, link with nothing and are their own component (null for a null id, not kept); vectors of
-different length never link; repeated rows are copies and link with each other; extra columns are ignored; an
+different length never link; repeated rows are copies and link with each other; a pair at exactly THRESHOLD is linked; vectors may be of any length; extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -38,6 +42,8 @@ SAMPLE_ROWS = 20_000
 SPILL = 0.12
 LEAST_POINTS = 16
 BLOCK = 2048
+MOST_ROWS = 4096
+WIDTH = 1024
 SEED = 17
 
 
@@ -97,14 +103,14 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one leaf, label and vector length at a time; rows come ordered by these."""
+    """The rows of one leaf, label, vector length and pair of parts at a time; rows come ordered by these."""
     left: pa.Table | None = None
     for batch in batches:
         if not len(batch):
             continue
         rows = pa.Table.from_batches([batch])
         rows = (rows if left is None else pa.concat_tables([left, rows])).combine_chunks()
-        keys = rows.column(0), rows.column(2), pc.list_value_length(rows.column(4))
+        keys = rows.column(0), rows.column(2), pc.list_value_length(rows.column(4)), rows.column(6), rows.column(7)
         turns = np.zeros(len(rows) - 1, bool)
         for key in keys:
             turns |= np.asarray(pc.not_equal(key.slice(1), key.slice(0, len(rows) - 1)))
@@ -116,30 +122,42 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield left
 
 
-def leaf_links(vectors: np.ndarray, copies: np.ndarray, codes: list[np.ndarray], own: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def leaf_links(
+    vectors: np.ndarray, copies: np.ndarray, codes: list[np.ndarray], own: int, threshold: float = THRESHOLD, side: np.ndarray | None = None
+) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Of one leaf with code `own`: linked rows of each node, pairs that share an earlier leaf left out, and edges
-    that span the leaf's components, as positions. codes: each node's sorted leaf codes."""
+    that span the leaf's components, as positions. codes: each node's sorted leaf codes. side: if given, only pairs of different sides count."""
     n = len(vectors)
     unit = _unit(vectors)
-    lengths = np.array([len(c) for c in codes])
-    flat, holder = np.concatenate(codes), np.repeat(np.arange(n), lengths)
+    flat, holder = np.concatenate(codes), np.repeat(np.arange(n), [len(c) for c in codes])
     early = flat < own
-    kinds, column, times = np.unique(flat[early], return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    place = np.full(len(kinds), -1)
-    place[shared] = np.arange(len(shared))
-    there = np.zeros((n, len(shared)), np.float32)
-    column = place[column]
-    there[holder[early][column >= 0], column[column >= 0]] = 1
+    _, column, times = np.unique(flat[early], return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    there = times[column] > 1
+    column, holder = place[column[there]], holder[early][there]
+    order = np.argsort(column, kind="stable")
+    column, holder = column[order], holder[order]
     counts = np.zeros(n, np.int64)
     edges: list[tuple[int, int]] = []
 
+    def seen(block: np.ndarray) -> np.ndarray:
+        """Which pairs of the block's nodes with all nodes share an earlier leaf."""
+        out = np.zeros((len(block), n), bool)
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+            lo, hi = np.searchsorted(column, (a, a + WIDTH))
+            part = np.zeros((n, WIDTH), np.float32)
+            part[holder[lo:hi], column[lo:hi] - a] = 1
+            out |= part[block] @ part.T > 0
+        return out
+
     def rows(block: np.ndarray) -> np.ndarray:
         """Which nodes the block's nodes link with; counts those pairs that this leaf is the first to see."""
         near = unit[block] @ unit.T >= threshold
         near[np.arange(len(block)), block] = False
+        if side is not None:
+            near &= side[block][:, None] != side[None, :]
         if near.any():
-            counts[block] = (near & ~(there[block] @ there.T > 0) if len(shared) else near) @ copies
+            counts[block] = (near & ~seen(block)) @ copies
         return near
 
     whole = rows(np.arange(n)) if n <= BLOCK else None
@@ -181,15 +199,42 @@ def _index(forests: dict[int, list[Tree]]) -> Callable:
     return run
 
 
+def _loads(forests: dict[int, list[Tree]]) -> Callable:
+    """(leaf, label, nodes): how many nodes of a label a batch puts into each leaf."""
+    index = _index(forests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in index(batches):
+            table = pa.table([part.column(0), part.column(2)], names=["leaf", "label"])
+            counted = table.group_by(["leaf", "label"]).aggregate([([], "count_all")])
+            yield from counted.select(["leaf", "label", "count_all"]).rename_columns(["leaf", "label", "nodes"]).to_batches()
+
+    return run
+
+
+def dealt_leaves(indexed: DataFrame, loads: DataFrame) -> DataFrame:
+    """indexed rows with i, j and part: once, with zeros, in small leaves; in a large one for every pair (i, j) of its parts that holds the row's."""
+    large = written(loads.groupBy("leaf", "label").agg(F.sum("nodes").alias("nodes")).filter(F.col("nodes") > MOST_ROWS), "large")
+    zero = F.lit(0)
+    if not large.limit(1).count():
+        return indexed.select("*", zero.alias("i"), zero.alias("j"), zero.alias("part"))
+    parts = F.ceil(F.coalesce("nodes", zero) * 2 / MOST_ROWS).cast("int")
+    named = indexed.join(large, ["leaf", "label"], "left").withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(9)), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(zero, F.col("parts") - 1))
+    each = named.withColumn("other", others)
+    return each.select(*indexed.columns, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+
+
 def _compare(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):  # leaf, node, label, copies, vector, codes
+        for group in _groups(batches):  # leaf, node, label, copies, vector, codes, i, j, part
             if len(group) < 2:
                 continue
             leaf, nodes, copies = group.column(0)[0].as_py(), np.asarray(group.column(1)), np.asarray(group.column(3))
             vectors, codes = group.column(4).combine_chunks(), group.column(5).combine_chunks()
             each = np.split(np.asarray(codes.flatten()), np.cumsum(np.asarray(pc.list_value_length(codes)))[:-1])
-            counts, edges = leaf_links(_vectors(vectors), copies, each, leaf, threshold)
+            i, j = (group.column(k)[0].as_py() for k in (6, 7))
+            counts, edges = leaf_links(_vectors(vectors), copies, each, leaf, threshold, None if i == j else np.asarray(group.column(8)))
             some = np.flatnonzero(counts)
             a = nodes[[i for i, _ in edges]] if edges else np.empty(0, np.int64)
             b = nodes[[j for _, j in edges]] if edges else np.empty(0, np.int64)
@@ -224,7 +269,9 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     kind = vectors.schema[vector].dataType.simpleString()
     mark = vectors.schema[label].dataType.simpleString()
     indexed = nodes.select("node", "label", "copies", "vector").mapInArrow(_index(forests), f"leaf long, node long, label {mark}, copies long, vector {kind}, codes array<long>")
-    dealt = indexed.repartition("leaf", "label").withColumn("size", F.size("vector")).sortWithinPartitions("leaf", "label", "size").drop("size")
+    loads = nodes.select("node", "label", "copies", "vector").mapInArrow(_loads(forests), f"leaf long, label {mark}, nodes long")
+    keyed = dealt_leaves(indexed, loads).withColumn("size", F.size("vector")).repartition("leaf", "label", "i", "j")
+    dealt = keyed.sortWithinPartitions("leaf", "label", "size", "i", "j").drop("size")
     found = written(dealt.mapInArrow(_compare(threshold), "a long, b long, links long, edge boolean"), "found")
     links = found.filter("not edge").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("edge").select("a", "b"))

@@ -18,7 +18,8 @@ With 25 bands of 6 components a pair at similarity 0.8 shares no bucket with pro
 
 Defined cases: null texts and texts without words link with nothing and form a class each; a text of one to
 four words has one shingle; texts with equal fingerprints count as equal (of n different texts, about n * n / 2^65 pairs do); rows with a null id take part and their class is the smallest id in it, or null;
-rows with equal ids and different texts are different nodes; extra columns are ignored; an empty table gives
+rows with equal ids and different texts are different nodes; very long texts are hashed in pieces, and their whole bags verified; of equal smallest ids one row is
+kept by its text's hash; extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -40,6 +41,7 @@ from tilmark.llm.runtime import written
 THRESHOLD = 0.8
 BAND_ROWS = 6
 HUBS = 6
+PARTS = 32
 BITMAP_LONGS = 32
 SLACK = 1e-9  # bounds leave room for rounding: 50.4 may compare as less than 0.8 * 63
 
@@ -174,8 +176,11 @@ class NearDuplicates:
 
     def _to_hubs(self, mixed: DataFrame) -> DataFrame:
         """Each bucket's HUBS nodes with the largest shared parts, with the bucket's nodes of other components."""
-        best = Window.partitionBy("bucket").orderBy((F.col("shared") / F.col("size")).desc(), "node")
-        top = mixed.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
+        order = (F.col("shared") / F.col("size")).desc(), F.col("node")
+        dealt = mixed.withColumn("part", F.pmod("node", F.lit(PARTS)))
+        some = dealt.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "part").orderBy(*order))).filter(F.col("place") <= HUBS)
+        some = some.select("bucket", "node", "size", "shared", "component", "bits")  # a large bucket is ranked in PARTS tasks first
+        top = some.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("place") <= HUBS)
         hubs = top.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"), F.col("bits").alias("q"))
         return self._crossed(mixed, hubs, F.col("c") != F.col("d"))
 

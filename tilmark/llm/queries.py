@@ -16,6 +16,7 @@ from tilmark.llm import near_dedup as nd
 from tilmark.llm import quality as qu
 from tilmark.llm import secret_scan as ss
 from tilmark.llm import sharding as sh
+from tilmark.llm import textvec as tv
 from tilmark.llm import token_scan as ts
 from tilmark.llm.runtime import owned, table
 
@@ -83,6 +84,27 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _components_sql(links: str, nodes: str) -> str:
+    """CTEs reach and named (k, c): the smallest node that each node of nodes(k) reaches over links(a, b)."""
+    return f"""sides AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+reach(k, c) AS (SELECT k, k FROM {nodes} UNION SELECT sides.b, reach.c FROM reach JOIN sides ON sides.a = reach.k WHERE sides.b > reach.c),
+named AS (SELECT k, min(c) AS c FROM reach GROUP BY k)"""
+
+
+def _op4_sql() -> str:
+    """Exact bags of all pairs that share a shingle."""
+    return f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{tv.WORD.pattern}') AS w FROM documents),
+held AS (SELECT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {tv.SHINGLE} THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - {tv.SHINGLE - 2}), lambda i: array_to_string(w[i : i + {tv.SHINGLE - 1}], ' ')) END) AS s FROM docs),
+bags AS (SELECT k, s, count(*) AS n FROM held GROUP BY ALL), sizes AS (SELECT k, sum(n) AS size FROM bags GROUP BY k),
+common AS (SELECT x.k AS a, y.k AS b, sum(least(x.n, y.n)) AS common FROM bags x JOIN bags y ON x.s = y.s AND x.k < y.k GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.k = a JOIN sizes q ON q.k = b WHERE 5 * common >= 4 * (p.size + q.size - common)),
+{_components_sql("links", "docs")}
+SELECT d.doc_id, first.doc_id AS class_id, d.doc_id = first.doc_id AS kept FROM docs d JOIN named USING (k) JOIN docs first ON first.k = named.c
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = qu.score_texts(documents, qu.train_on(documents, table(spark, sf_dir, "labels")))
@@ -192,6 +214,23 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def _op8_sql() -> str:
+    """All pairs of one label."""
+    return f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), usable AS (
+  SELECT k, label, v FROM rows WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.k AS a, y.k AS b FROM usable x JOIN usable y ON x.label = y.label AND x.k < y.k AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= {ed.THRESHOLD}
+), {_components_sql("links", "rows")},
+counts AS (SELECT a AS k, count(*) AS n FROM sides GROUP BY a)
+SELECT r.vec_id, coalesce(n, 0) AS n_links, first.vec_id AS component_id, r.vec_id = first.vec_id AS kept
+FROM rows r JOIN named USING (k) JOIN rows first ON first.k = named.c LEFT JOIN counts ON counts.k = r.k
+"""
+
+
 @owned
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sh.place_records(table(spark, sf_dir, "documents"), store=sh.map_store(spark, f"documents:{sf_dir}"))
@@ -209,4 +248,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op6_mix": _op6_sql()}
+    return {"op1_license_scan": _op1_sql(), "op4_near_dedup": _op4_sql(), "op6_mix": _op6_sql(), "op8_embedding_dedup": _op8_sql()}
