@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,22 @@ def test_stages(spark, tmp_path, stage):
     docs = documents(spark)
     name, run = corpus_pipeline.STAGES[stage]
     got = run(spark, docs, str(tmp_path))
+    before, after = (Counter((r["doc_id"], r["text"], r["source"], r["n_chars"]) for r in f.collect()) for f in (docs, got))
+    worded = {k for k in before if k[1] and any(c.isalpha() for c in k[1])}
+    if name == "language":
+        assert set(after) <= worded
+    elif name == "near_dedup":
+        texts = {k[1] for k in before}
+        assert {k[1] for k in after} == texts
+        assert max(after.values()) == 1
+        assert sorted(str(k[0]) for k in after if k[1] is not None) == sorted(str(k) for k in [*range(30), None, 101, 102, 103, 104])
+    elif name == "decontaminate":
+        assert after == before
+    elif name == "mix":
+        assert set(after) <= worded | {k for k in before if k[1] and k[1].split()}
+        assert all(n <= 3 * before[k] for k, n in after.items())
+    else:
+        assert after == before
     if stage < 4:
         assert got.columns == docs.columns
         assert dict(got.dtypes) == dict(docs.dtypes)

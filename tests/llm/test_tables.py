@@ -55,6 +55,92 @@ def test_quotas():
     assert np.allclose(mean, 15, atol=0.5)
 
 
+def test_draws_of_any_size():
+    for own, everything, wanted in ((5, 12, 4), (1, 3, 3), (7, 7, 3), (30, 90, 45)):
+        from math import comb
+
+        chance = [comb(own, k) * comb(everything - own, wanted - k) / comb(everything, wanted) if wanted - k <= everything - own else 0.0 for k in range(min(own, wanted) + 1)]
+        upto = np.cumsum(chance)
+        for u in np.random.default_rng(1).random(200):
+            assert mx.hypergeometric(float(u), own, everything, wanted) == int(np.count_nonzero(upto < u))
+    big = [3 * 16**5 * 400 + i for i in range(50)]
+    split = mx.split_quotas(big, 8)
+    assert split.sum(axis=1).tolist() == big
+    assert np.ptp(split.sum(axis=0)) <= 1
+
+
+def brute_mix(rows, shards, seed):
+    """(taken words by shard of each row, in order): a stream of blocks for every source, cut by the tree's quotas."""
+    keys = [hashlib.md5(f"{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest() for i, t, _ in rows]
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: [k for k, r in enumerate(rows) if r[2] == s] for s in sources}
+    totals = [sum(size[k] for k in own[s]) for s in sources]
+    goals = mx.targets(totals, [mx.WEIGHTS[i % 3] for i in range(len(sources))])
+    streams, quotas = [], []
+    for s, total, goal in zip(sources, totals, goals, strict=True):
+        digits = next(d for d in range(6) if d == 5 or mx.BLOCK_ROWS * 16**d >= len(own[s]))
+        blocks = [[] for _ in range(16**digits)]
+        for k in sorted(own[s], key=lambda k: keys[k]):
+            blocks[int(keys[k][:digits] or "0", 16)].append(k)
+        left, stream = int(np.floor(goal + 0.5)), []
+        while left > 0 and total:
+            stream.append([])
+            for k in blocks[(len(stream) - 1) % len(blocks)]:
+                stream[-1].append((k, min(size[k], left)))
+                left -= stream[-1][-1][1]
+        streams.append(stream)
+        quotas.append(len(stream))
+    split = mx.split_quotas(quotas, shards, seed)
+    taken = [[0] * shards for _ in rows]
+    for stream, counts in zip(streams, split.tolist(), strict=True):
+        place = 0
+        for j, n in enumerate(counts):
+            for block in stream[place : place + n]:
+                for k, words in block:
+                    taken[k][j] += words
+            place += n
+    return taken
+
+
+@pytest.mark.parametrize("seed", [mx.SEED, 5])
+def test_shards_draw_by_the_tree(spark, seed):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join("w" * int(rng.integers(1, 5)) for _ in range(int(rng.integers(0, 60)))), None if i % 9 == 0 else "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mx.mix_words(frame, seed=seed).collect()}
+    want = brute_mix(rows, 8, seed)
+    assert [got[i]["by_shard"] for i in range(900)] == want
+    assert all(r["taken"] == sum(r["by_shard"]) for r in got.values())
+
+
+def test_nothing_is_taken_without_the_tree(spark, monkeypatch):
+    rows = [(i, "some words of a text", f"s{i % 3}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = {r["doc_id"]: r["by_shard"] for r in mx.mix_words(frame).collect()}
+    other = {r["doc_id"]: r["by_shard"] for r in mx.mix_words(frame, seed=1).collect()}
+    assert one != other
+    monkeypatch.setattr(mx, "split_quotas", lambda quotas, shards, seed: np.zeros((len(quotas), shards), np.int64))
+    assert all(r["taken"] == 0 for r in mx.mix_words(frame).collect())
+    assert mx.mix_documents(frame).collect() == []
+
+
+def test_documents_lie_by_shard_in_local_order(spark, monkeypatch):
+    monkeypatch.setattr(mx, "PART_BYTES", 1000)
+    rows = [(i, " ".join(["w"] * (i % 30)), f"s{i % 4}", "clash") for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, __size string")
+    drawn = mx.mix_documents(frame)
+    assert drawn.columns == ["doc_id", "text", "source", "__size", "mix_shard", "mix_order"]
+    by_part: dict = {}
+    for r in drawn.selectExpr("*", "spark_partition_id() p").collect():
+        by_part.setdefault(r["p"], []).append((r["mix_shard"], r["mix_order"]))
+        assert r["__size"] == "clash"
+    assert all(own == sorted(own) for own in by_part.values())
+    assert len(by_part) > 8
+    spans = sorted((own[0], own[-1]) for part in by_part.values() for own in [[x for x in part if x[0] == j] for j in {s for s, _ in part}])
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_mix_takes_each_target(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join("w" * int(rng.integers(1, 5)) for _ in range(int(rng.integers(0, 60)))), None if i % 9 == 0 else "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
@@ -91,6 +177,75 @@ def test_shards_are_even(spark):
     assert max(size.values()) - min(size.values()) < 0.05 * sum(size.values()) / 8
 
 
+def brute_shards(sizes, shard_of, shards):
+    """Greedy moves of slots, as stated for SlotMap.rebalance, by plain search."""
+    shard_of = list(shard_of)
+    while True:
+        total = [sum(s for s, j in zip(sizes, shard_of, strict=True) if j == k) for k in range(shards)]
+        most, least = total.index(max(total)), total.index(min(total))
+        gap = total[most] - total[least]
+        moves = [(abs(gap - 2 * s), slot) for slot, s in enumerate(sizes) if shard_of[slot] == most and 0 < s < gap]
+        if not moves:
+            return shard_of
+        shard_of[min(moves)[1]] = least
+
+
+def test_slots_and_shards_recomputed(spark):
+    rows = [(i, "t" * (i * 37 % 400)) for i in range(500)] + [(None, None), (7, "again"), (7, "again")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    slots = {(r["doc_id"], r["size"], r["crc"]): r["v"] for r in frame.select("doc_id", sh.record_size(frame["text"]).alias("size"), sh.record_crc(frame["text"]).alias("crc"), sh.virtual_slot(frame["doc_id"], frame["text"], 64).alias("v")).collect()}
+    sizes = [0] * 64
+    for i, t in rows:
+        size = len((t or "").encode()) + 1
+        sizes[slots[i, size, zlib.crc32((t or "").encode())]] += size
+    want = brute_shards(sizes, [s * 8 // 64 for s in range(64)], 8)
+    got = sh.place_records(frame, slots=64).collect()
+    assert len(got) == len(rows)
+    assert all(r["shard"] == want[slots[r["doc_id"], r["size"], r["text_crc32"]]] for r in got)
+    held = sh.with_shards(frame, slots=64).collect()
+    assert all(r["shard"] == want[r["virtual_slot"]] for r in held)
+
+
+def test_stored_maps_are_edited(spark, tmp_path):
+    store = f"file://{tmp_path}/map"
+    text = lambda i: "t" * (i * 37 % 400)
+    first = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")
+    one = {r["doc_id"]: r["shard"] for r in sh.place_records(first, slots=128, store=store).collect()}
+    v1 = sh.load_map(spark, store)
+    assert v1.version == 1
+    assert one == {r["doc_id"]: r["shard"] for r in sh.place_records(first, slots=128, store=store).collect()}
+    assert sh.load_map(spark, store).version == 1
+    more = spark.createDataFrame([(i, text(i) if i < 600 else "x" * (2000 if i % 2 else 30)) for i in range(700)], "doc_id long, text string")
+    two = {r["doc_id"]: (r["virtual_slot"], r["shard"]) for r in sh.with_shards(more, slots=128, store=store).collect()}
+    v2 = sh.load_map(spark, store)
+    assert (v2.version, v2.edits != []) == (2, True)
+    edited = {slot for _, slot, _, _ in v2.edits}
+    assert edited == {s for s in range(128) if v1.shard_of[s] != v2.shard_of[s]}
+    assert {i for i in one if two[i][1] != one[i]} == {i for i in one if two[i][0] in edited}
+    assert 0 < len(edited) < 64
+    assert sh.load_map(spark, store, 1).shard_of == v1.shard_of
+    assert sh.load_map(spark, store, 9) is None
+    (tmp_path / "map" / "version-3").mkdir()  # a write that broke off
+    assert sh.load_map(spark, store).version == 2
+
+
+def test_tables_belong_to_a_run(spark):
+    from tilmark.llm import runtime as rt
+
+    frame = spark.createDataFrame([(i, f"text of {i}", f"s{i % 2}") for i in range(40)], "doc_id long, text string, source string")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lazy = mx.mix_words(frame)
+    with rt.tables() as own:
+        one, two = rt.written(frame, "one"), rt.written(frame, "two")
+        inner = rt.owned(lambda: rt.written(rt.written(frame, "three").filter("doc_id < 5"), "four"))()
+        own.keep(two, inner)
+        assert [p.rsplit("/", 1)[1].split("-")[0] for _, p in own.made] == ["two", "four"]
+        assert (two.count(), inner.count(), lazy.count()) == (40, 5, 40)
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+            one.collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == was
+
+
 def test_places_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sh, "PART_ROWS", 3)
     frame = spark.createDataFrame([(i // 2, "text" * (i // 2 % 7)) for i in range(600)], "doc_id long, text string")
@@ -164,6 +319,18 @@ def test_forest_recall(spark, monkeypatch):
     assert all(rows[i]["component_id"] <= i for i in rows)
 
 
+def test_large_leaves_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=24)
+    points = np.concatenate((centre + rng.normal(scale=0.3, size=(300, 24)), rng.normal(size=(100, 24)))).astype(np.float32)
+    frame = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "vec_id long, embedding array<float>, label int")
+    whole = sorted(map(tuple, ed.near_embeddings(frame).collect()))
+    monkeypatch.setattr(ed, "MOST_ROWS", 64)
+    assert sorted(map(tuple, ed.near_embeddings(frame).collect())) == whole
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1, keepdims=True)
+    assert sum(r[1] for r in whole) >= 0.97 * ((unit @ unit.T >= 0.93).sum() - len(points))
+
+
 @pytest.mark.parametrize("block", [2048, 7])
 def test_leaf_counts_pairs_once(monkeypatch, block):
     monkeypatch.setattr(ed, "BLOCK", block)

@@ -60,6 +60,37 @@ def test_license_blocks_and_places(spark):
     assert (got[5]["n_words"], got[5]["places"]) == (0, [])
 
 
+def contained(words, templates):
+    """Brute force: blocks of every template's own size with at least the threshold of its distinct words."""
+    out = set()
+    for number, (t, label) in enumerate(templates):
+        own, step = set(t.split()), ls.step_of(t)
+        for a in range(0, len(words), step):
+            share = len(own & set(words[a : a + 2 * step])) / len(own)
+            if share >= ls.THRESHOLD - 1e-12:
+                out.add((a, 2 * step, label, share))
+    return out
+
+
+def test_templates_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(ls, "GROUP_TEMPLATES", 3)
+    rng = np.random.default_rng(9)
+    templates = [(" ".join(f"t{rng.integers(0, 3 * m + 4)}" for _ in range(m)), f"l{m}") for m in (1, 2, 5, 31, 32, 33, 34, 45, 64, 65, 71, 80, 129, 200, 300)]
+    rows = []
+    for k, (t, _) in enumerate(templates):
+        for offset in (0, 1, 26, 63, 64, 150):
+            own = t.split()
+            if k % 3 == 1:
+                own[len(own) // 2] = "other"
+            rows.append(" ".join([f"b{i}" for i in range(offset)] + own + ["after"] * 9))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: {(m["start"], m["words"], m["label"], m["containment"]) for m in r["matches"]} for r in ls.license_scan(frame, templates=templates).collect()}
+    for i, text in enumerate(rows):
+        assert got[i] == contained(text.split(), templates), i
+        if i // 6 % 3 != 1:
+            assert templates[i // 6][1] in {label for _, _, label, _ in got[i]}
+
+
 @needs_tables
 def test_base_spans_as_stated(spark, docs):
     extra = {-1: 'my PassWord = "abcdef123456" token:short api-key=zzzzzzzzzzzzzz API_KEY: QWERTYqwerty12 ſecret=abcdefghijkl', -2: "AKIA" + "A1" * 8 + " AKIASHORT 0123456789abcdef0 deadbeefdeadbee"}
@@ -115,6 +146,47 @@ def test_literals_of_any_length_and_number():
     assert ss.literal_spans(hidden) == []
 
 
+def literals(text):
+    return [text[a:b] for a, _, b, _ in ss.literal_spans(text)]
+
+
+def test_syntax_of_many_languages():
+    lit = "S3cr3tValue99x!"
+    for text in (
+        f'pwd = """{lit}"""', f"pwd = '''{lit}'''", f'pwd = f"{lit}"', f'pwd = b"{lit}"', f'pwd = R"{lit}"', f'pwd = (\n    "{lit}"\n)', f'pwd = \\\n    "{lit}"',
+        f'const char pwd[] = "{lit}";', f'const char *pwd = "{lit}";', f'String password = "{lit}";', f'var password string = "{lit}"', f'config["password"] = "{lit}"', f'pwd += "{lit}"',
+        f'passwords:\n  - "{lit}"\n', f'password:\n  "{lit}"\n', f"pwd: |\n  {lit}\nnext: 1", f"<password>{lit}</password>", f'<add key="dbPassword" value="{lit}"/>', f'<property name="password">\n</property><secret id="x">{lit}</secret>',
+        f"run --password '{lit}' --next", f'#define API_KEY "{lit}"', f'# password = "{lit}"', f'/* pwd = "{lit}" */', f'say("password: \'{lit}\'")', f'don\'t = can\'t; pwd = "{lit}"', f'`password = "{lit}"`', f"pwd => '{lit}'",
+        f'x = {{"a": 1, "clientSecret": "{lit}"}}', f'key = "{lit}"\ndef f():\n    password = key\n', f'def f():\n    key = "{lit}"\n    if x:\n        password = key\n',
+        f'function a() {{ const k = "{lit}"; if (x) {{ password = k; }} }}', f'a = "{lit}"\nb = f"{{a}}"\nsecret = b\n',
+    ):
+        assert literals(text) == [lit], text
+    assert literals("run --password S3cr3tValue99x --next") == ["S3cr3tValue99x"]
+    assert literals('pwd = "S3cr3tVal" "ue99xQ"') == literals('pwd = ("S3cr3tVal"  # half\n  "ue99xQ")') == ["S3cr3tVal", "ue99xQ"]
+    assert literals(f"{'n' * 5000}_password = S3cr3tValue99x") == ["S3cr3tValue99x"]
+
+
+def test_scopes_and_rebinding():
+    lit = "S3cr3tValue99x!"
+    for text in (
+        f'def a():\n    key1 = "{lit}"\n\ndef b():\n    password = key1\n', f'x = "{lit}"\nx = load()\npassword = x', f'function a() {{ const k = "{lit}"; }}\nfunction b() {{ password = k; }}',
+        f'# k1 = "{lit}"\npassword = k1', f'/* k1 = "{lit}" */ password = k1', f'password = decode("{lit}")', f'key1 = "a b"\npassword = key1', "it's a secret: nobody's business", "password: [",
+    ):
+        assert literals(text) == [], text
+
+
+def test_lexing_takes_time_in_proportion():
+    import time
+
+    for unit in ("a: ", "(", "<a ", "[x", "'", '"\\', "a = ", "x, ", "/*", "{", "k: \n", "--a ", "a=(", "```", '"\'"', "]", "f'{"):
+        times = []
+        for n in (5_000, 20_000):
+            begin = time.perf_counter()
+            ss.literal_spans("secret " + unit * n + "= 1")
+            times.append(time.perf_counter() - begin)
+        assert times[1] < 10 * times[0] + 0.5, (unit, times)
+
+
 def brute_classes(texts: dict) -> dict:
     def bag(t):
         w = tv.WORD.findall((t or "").lower())
@@ -144,6 +216,16 @@ def test_classes_like_brute_force(spark, docs):
     assert {r["doc_id"]: r["class_id"] for r in q.op4_near_dedup(spark, SMALL).collect()} == brute_classes(docs)
 
 
+def test_hot_bucket_is_ranked_in_parts(spark):
+    found = object.__new__(nd.NearDuplicates)
+    found.threshold = nd.THRESHOLD
+    rows = [(1, n, 100, 80 + n * 7 % 21, n % 5, [-1] * nd.BITMAP_LONGS) for n in range(400)]
+    mixed = spark.createDataFrame(rows, "bucket long, node long, size long, shared long, component long, bits array<long>")
+    best = sorted(rows, key=lambda r: (-r[3] / r[2], r[1]))[: nd.HUBS]
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for y in best for x in rows if x[4] != y[4] and min(x[3], y[3]) * 1.8 >= 0.8 * 200}
+    assert {(r["a"], r["b"]) for r in found._to_hubs(mixed).collect()} == want
+
+
 def test_large_group_of_variants(spark):
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(150)]
@@ -352,6 +434,27 @@ def test_forward_backward_like_all_paths():
     assert np.allclose(x, moves / total)
 
 
+def test_chains_run_on(monkeypatch):
+    left = [" ".join(f"{a}{b}ing" for a in "abcdefgh" for b in "lmnop")] * 20
+    right = [" ".join(f"{a}{b}ung" for a in "rstuvwxy" for b in "eioäü")] * 20
+    tagger = li.Tagger.train([("left", t) for t in left] + [("right", t) for t in right])
+    rng = np.random.default_rng(4)
+    texts = [[str(w) for w in rng.choice(["aling", "bming", "reung", "siung", "mixed", "words"], n)] for n in (700, 1, 256, 257, 40, 513)]
+    cut = tagger.posteriors(texts)
+    monkeypatch.setattr(li, "CHAIN", 10**6)
+    for a, b in zip(cut, tagger.posteriors(texts), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_training_runs_cover_a_text():
+    words = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(10_000)]
+    got = li.training_words(" ".join(words), 5)
+    place = {w: i for i, w in enumerate(words)}
+    assert len(got) == li.RUNS * li.RUN
+    assert [place[got[k * li.RUN]] * li.RUNS // len(words) for k in range(li.RUNS)] == list(range(li.RUNS))
+    assert li.training_words(" ".join(words[:300]), 5) == words[:300]
+
+
 def test_code_switched_words():
     left = [" ".join(f"{a}{b}ing" for a in "abcdefgh" for b in "lmnop")] * 20
     right = [" ".join(f"{a}{b}ung" for a in "rstuvwxy" for b in "eioäü")] * 20
@@ -373,6 +476,40 @@ def test_quality_accuracy(spark):
     assert np.mean([[g > b for b in bad] for g in good]) > 0.97
 
 
+def test_risk_like_a_direct_sum():
+    rng = np.random.default_rng(3)
+    branches = set()
+    for prior in (0.2, 0.5, 0.9):
+        for shift in (-2.0, 0.0, 2.0):
+            fp, fu = rng.normal(shift, 1, 7), rng.normal(-shift, 1, 11)
+
+            def parts(fp, fu, prior=prior):
+                positive = prior * np.mean(np.log1p(np.exp(-fp)))
+                return positive, np.mean(np.log1p(np.exp(fu))) - prior * np.mean(np.log1p(np.exp(fp)))
+
+            negative = parts(fp, fu)[1] < 0
+            branches.add(bool(negative))
+            risk = (lambda a, b: -parts(a, b)[1]) if negative else (lambda a, b: sum(parts(a, b)))
+            up, uu = qu.risk_slope(fp, fu, prior)
+            for own, slope, at in ((fp, up, 0), (fu, uu, 1)):
+                for k in range(len(own)):
+                    step = np.zeros(len(own))
+                    step[k] = 1e-6
+                    more, less = ([fp, fu], [fp, fu])
+                    more, less = list(more), list(less)
+                    more[at], less[at] = own + step, own - step
+                    assert slope[k] == pytest.approx((risk(*more) - risk(*less)) / 2e-6, abs=1e-6)
+    assert branches == {True, False}
+
+
+@needs_tables
+def test_zeros_are_never_read(spark):
+    docs_, labels_ = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    whole, ones = qu.train_on(docs_, labels_), qu.train_on(docs_, labels_.filter("quality = 1"))
+    assert whole.prior == ones.prior
+    assert all(np.array_equal(a, b) for x, y in zip(whole.models, ones.models, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_prior_from_positives_alone():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(0, 1, (3000, 4)), rng.normal(4, 1, (600, 4))

@@ -26,19 +26,20 @@ NAME, NUMBER, STRING, COMMENT, OP, LINE = range(6)
 _NAME = r"[^\W\d][\w$]*+(?:[.\-]+[\w$]++)*+|\$[\w$]++(?:[.\-]+[\w$]++)*+"
 #: What may stand before a quote as part of a string.
 _PREFIX = r"(?:[rRbBuUfFlL@$]|[rR][bBfF]|[bBfF][rR]|u8|\$@|@\$)?"
-_TOKENS = re.compile(
-    rf"""
+_QUOTE = re.compile(rf"""(?<!\w){_PREFIX}(["'`])""")
+_FIRST = r"""
     (?P<blank>[ \t\r\f\v]++|\\\r?\n)
   | (?P<line>\n)
-  | (?P<comment>//(?<!:\/\/)|/\*|\*/|<!--|-->|\#(?!define\b)(?!\w)(?!\{{))
+  | (?P<comment>//(?<!:\/\/)|/\*|\*/|<!--|-->|\#(?!define\b)(?!\w)(?!\{))"""
+_STRING = rf"""
   | (?P<string>(?<![\w]){_PREFIX}(?:\"\"\"(?P<s1>(?:[^"\\]|\\.|"(?!""))*+)\"\"\"|'''(?P<s2>(?:[^'\\]|\\.|'(?!''))*+)'''
-      |"(?P<s3>(?:[^"\\\n]|\\.)*+)"|'(?P<s4>(?:[^'\\\n]|\\.)*+)'|`(?!``)(?P<s5>(?:[^`\\]|\\.)*+)`))
+      |"(?P<s3>(?:[^"\\\n]|\\.)*+)"|'(?P<s4>(?:[^'\\\n]|\\.)*+)'|`(?!``)(?P<s5>(?:[^`\\]|\\.)*+)`))"""
+_LAST = rf"""
   | (?P<name>{_NAME})
   | (?P<number>\d[\w.]*+)
   | (?P<op>:=|=>|->|===?|!==?|<=|>=|\+=|\?=|\.=|::|&&|\|\||--(?=[A-Za-z])|\#define\b|```|.)
-    """,
-    re.X | re.S,
-)
+"""
+_TOKENS, _OTHERS = (re.compile(x, re.X | re.S) for x in (_FIRST + _STRING + _LAST, _FIRST + _LAST))
 #: A quote before a Rust lifetime, which has no partner.
 _LIFETIME = re.compile(r"(?<=[&<, ])'[a-z_]\w*+(?!')")
 _BARE = re.compile(r"[A-Za-z0-9/_$][A-Za-z0-9+/_.=$\-]*+")
@@ -49,7 +50,6 @@ _ATTRIBUTE = re.compile(r"""(?<![\w\-])([A-Za-z_][\w.:\-]*+)\s*+=\s*+(?:"([^"\n]
 
 ASSIGN = {"=", ":=", "=>", "+=", "?=", ".="}
 JOIN = {"+", ".", "&"}
-OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 TYPE_OPS = {".", "::", "*", "&", "?", "|", "!", "<", ">", "[", "]", ",", "(", ")"}
 #: Names of types and words that declare, which stand between or before the parts of a declaration.
 TYPES = {"str", "string", "bytes", "bytearray", "byte", "char", "bool", "boolean", "int", "long", "float", "double", "number", "any", "object", "final", "optional", "nsstring"}
@@ -70,16 +70,26 @@ class Token:
 def lex(text: str) -> list[Token]:
     out: list[Token] = []
     at, n = 0, len(text)
+    alone: dict[str, int] = {}  # up to where no quote of a kind has a partner: one that is alone is so for all after it on its line
     while at < n:
         if text[at] == "'" and (m := _LIFETIME.match(text, at)):
             out.append(Token(OP, at, m.end(), text="'"))
             at = m.end()
             continue
-        m = _TOKENS.match(text, at)
+        quote = _QUOTE.match(text, at)
+        q, three = (quote[1], text.startswith(quote[1] * 3, quote.start(1))) if quote else ("", False)
+        tried = quote is not None and (alone.get(q, 0) <= at or three and alone.get(q * 3, 0) <= at)
+        m = (_TOKENS if tried or not quote else _OTHERS).match(text, at)
         kind = m.lastgroup if m.lastgroup in _KINDS or m.lastgroup == "blank" else "string"
         end = m.end()
+        if tried:
+            group = next((g for g in ("s1", "s2", "s3", "s4", "s5") if m[g] is not None), None) if kind == "string" else None
+            if three and group not in ("s1", "s2"):
+                alone[q * 3] = n
+            if group is None:
+                line = text.find("\n", at)
+                alone[q] = n if q == "`" or line < 0 else line
         if kind == "string":
-            group = next(g for g in ("s1", "s2", "s3", "s4", "s5") if m[g] is not None)
             out.append(Token(STRING, at, end, m.start(group), m.end(group), text[at : m.start(group)]))
         elif kind != "blank":
             out.append(Token(_KINDS[kind], at, end, text=text[at:end] if kind in ("name", "op", "comment") else ""))

@@ -42,9 +42,9 @@ BLOCK_ROWS = 16
 MAX_DIGITS = 5
 SHARDS = 8
 SEED = 20240229
-SPREAD = 40  # deviations round the mean within which a draw lies
+SPREAD = 12  # deviations round the mean within which a draw lies
 BROADCAST_SOURCES = 10_000
-PART_BYTES = 32_000_000
+PART_BYTES = 64_000_000  # of text in a partition of a shard
 MAX_PARTS = 131_072
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -89,10 +89,9 @@ def hypergeometric(u: float, own: int, everything: int, wanted: int) -> int:
     if not own or not wanted:
         return 0
     low, high = draw_range(own, everything, wanted)
-    k = np.arange(low, high + 1, dtype=np.float64)
-    fact = lambda x: np.array([math.lgamma(v + 1) for v in x.tolist()])
-    rest = everything - own
-    logs = -fact(k) - fact(own - k) - fact(wanted - k) - fact(rest - wanted + k)
+    k, rest = np.arange(low, high, dtype=np.float64), everything - own
+    steps = np.log((own - k) * (wanted - k)) - np.log((k + 1) * (rest - wanted + k + 1))  # from each probability to the next
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
     upto = np.cumsum(np.exp(logs - logs.max()))
     return low + int(np.count_nonzero(upto < u * upto[-1]))
 
@@ -134,6 +133,7 @@ class Mix:
     narrow: DataFrame
     small: bool
     shards: int
+    bytes: int
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows with __source, __size and __key get their source's plan and their block."""
@@ -163,8 +163,11 @@ class Mix:
 
 def plan_mix(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> Mix:
     spark = texts.sparkSession
-    narrow = written(prepared(texts.select(key, text, source), key, text, source).select(F.col(key).alias("__id"), "__source", "__size", "__key"), "mix")
-    stats = narrow.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("rows")).collect()
+    own = texts.select(F.col(key).alias("__id"), F.col(source).alias("__source"), F.col(text).alias("__text"))
+    sizes_of = {"__size": word_count(F.col("__text")), "__key": mix_key(F.col("__id"), F.col("__text")), "__bytes": F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long")}
+    narrow = written(own.withColumns(sizes_of).drop("__text"), "mix")
+    stats = narrow.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("rows"), F.sum("__bytes").alias("bytes")).collect()
+    total = sum(r["bytes"] for r in stats)
     stats.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
     sizes = [r["size"] for r in stats]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(stats))])
@@ -175,13 +178,13 @@ def plan_mix(texts: DataFrame, key: str = "doc_id", text: str = "text", source:
         whole = quota // r["size"] if r["size"] else 0
         rows.append((r["__source"], r["size"], goal, digits, whole, quota - whole * r["size"]))
     small = len(rows) <= BROADCAST_SOURCES
-    first = Mix(spark.createDataFrame(rows, PLAN.split(", __edge")[0]), narrow, small, shards)
+    first = Mix(spark.createDataFrame(rows, PLAN.split(", __edge")[0]), narrow, small, shards, total)
     found = {r["__source"]: (r["__block"], r["before"]) for r in _edges(first.placed(narrow)).collect()}
     edge = [found.get(r[0], (0, 0)) for r in rows]
     blocks = [r[4] * 16 ** r[3] + (e[0] + 1 if r[5] else 0) for r, e in zip(rows, edge, strict=True)]
     split = np.cumsum(split_quotas(blocks, shards, seed), axis=1) if rows else np.zeros((0, shards), np.int64)
     full = [(*r, *e, split[i].tolist()) for i, (r, e) in enumerate(zip(rows, edge, strict=True))]
-    return Mix(spark.createDataFrame(full, PLAN), narrow, small, shards)
+    return Mix(spark.createDataFrame(full, PLAN), narrow, small, shards, total)
 
 
 def _edges(placed: DataFrame) -> DataFrame:
@@ -203,10 +206,6 @@ def _edges(placed: DataFrame) -> DataFrame:
     return last.join(named, last["__source"].eqNullSafe(named["of"])).select("__source", "__block", (F.col("before") + F.col("earlier")).alias("before"))
 
 
-def prepared(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return texts.withColumns({"__source": F.col(source), "__size": word_count(F.col(text)), "__key": mix_key(F.col(key), F.col(text))})
-
-
 def mix_words(texts: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per input row: the key, size, source_size, target of its source, taken words, and by_shard: the words that each
     shard draws, whose sum taken is."""
@@ -230,17 +229,11 @@ def mix_documents(texts: DataFrame, key: str = "doc_id", text: str = "text", sou
     each = each.filter((F.col("__draw.words") > 0) & (2 * F.col("__draw.words") >= F.col("__size")))
     order = F.md5(F.concat(F.col("__key"), F.lit(":"), F.col("__draw.round").cast("string")))
     each = each.select("__row", F.col("__draw.shard").alias("mix_shard"), order.alias("mix_order"))
-    laid = by_local_order(each, shards, _parts(texts, shards))
+    laid = by_local_order(each, shards, max(1, min(MAX_PARTS, mix.bytes // PART_BYTES) // shards))
     kept = [field(c).alias(c) for c in columns if not named or c not in ("mix_shard", "mix_order")]
     return laid.select(*kept, *(["mix_shard", "mix_order"] if named else []))
 
 
-def _parts(texts: DataFrame, shards: int) -> int:
-    """Partitions of a shard: one for about PART_BYTES of the plan's own estimate of its input."""
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(MAX_PARTS, size // PART_BYTES) // shards)
-
-
 def by_local_order(rows: DataFrame, shards: int, parts: int) -> DataFrame:
     """rows with mix_shard and mix_order in shards * parts partitions, or a few less where hashes meet: a partition is a range of a shard's order,
     sorted. The order is a digest, so ranges of it are even."""
