@@ -126,7 +126,7 @@ def test_nothing_is_taken_without_the_tree(spark, monkeypatch):
 
 
 def test_documents_lie_by_shard_in_local_order(spark, monkeypatch):
-    monkeypatch.setattr(mx, "PART_BYTES", 1000)
+    monkeypatch.setattr(mx, "part_bytes", lambda spark: 1000)
     rows = [(i, " ".join(["w"] * (i % 30)), f"s{i % 4}", "clash") for i in range(800)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, __size string")
     drawn = mx.mix_documents(frame)

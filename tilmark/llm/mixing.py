@@ -31,7 +31,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilmark.llm.runtime import written
@@ -44,7 +44,6 @@ SHARDS = 8
 SEED = 20240229
 SPREAD = 12  # deviations round the mean within which a draw lies
 BROADCAST_SOURCES = 10_000
-PART_BYTES = 64_000_000  # of text in a partition of a shard
 MAX_PARTS = 131_072
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -229,11 +228,17 @@ def mix_documents(texts: DataFrame, key: str = "doc_id", text: str = "text", sou
     each = each.filter((F.col("__draw.words") > 0) & (2 * F.col("__draw.words") >= F.col("__size")))
     order = F.md5(F.concat(F.col("__key"), F.lit(":"), F.col("__draw.round").cast("string")))
     each = each.select("__row", F.col("__draw.shard").alias("mix_shard"), order.alias("mix_order"))
-    laid = by_local_order(each, shards, max(1, min(MAX_PARTS, mix.bytes // PART_BYTES) // shards))
+    laid = by_local_order(each, shards, max(1, min(MAX_PARTS, mix.bytes // part_bytes(texts.sparkSession)) // shards))
     kept = [field(c).alias(c) for c in columns if not named or c not in ("mix_shard", "mix_order")]
     return laid.select(*kept, *(["mix_shard", "mix_order"] if named else []))
 
 
+def part_bytes(spark: SparkSession) -> int:
+    """Bytes of text in a partition of a shard: what the session advises for a shuffle partition."""
+    advised = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    return max(1, spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(advised))
+
+
 def by_local_order(rows: DataFrame, shards: int, parts: int) -> DataFrame:
     """rows with mix_shard and mix_order in shards * parts partitions, or a few less where hashes meet: a partition is a range of a shard's order,
     sorted. The order is a digest, so ranges of it are even."""

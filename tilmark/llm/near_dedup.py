@@ -108,6 +108,7 @@ def _verify(threshold: float):
                 s[k] = common / (len(a) + len(b) - common)
             keep = pa.array(s >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["a", "b", "similarity"]).filter(keep)
+        tv.give_back()
 
     return run
 
