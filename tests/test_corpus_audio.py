@@ -35,6 +35,9 @@ def test_service_document(spark):
     got = corpora.parse_service(docs).orderBy("surah_pos", "ayah_pos").collect()
     assert [(r["surah"], r["ayah"], r["original"]) for r in got] == [(1, 1, "b"), (1, 2, "x")]
     assert corpora.service_surahs(docs).count() == 2
+    assert tuple(corpora.service_counts(docs).first()) == (2, 2)
+    nested = spark.createDataFrame([('{"1": {"1": {"text": "a"}, "1": {"text": "b"}}, "2": {}}',)], "document string")
+    assert tuple(corpora.nested_counts(nested).first()) == (2, 1)
     with pytest.raises(Exception, match="surah without number"):
         corpora.parse_service(spark.createDataFrame([('{"data": {"surahs": [{"ayahs": []}]}}',)], "document string")).collect()
 

@@ -12,6 +12,7 @@ from tilmark.operators.match import THRESHOLD
 from tilmark.plans.pipeline import Config
 
 
+#: Names, choices and defaults of options are fixed values, the public interface.
 def parser() -> argparse.ArgumentParser:
     shared = argparse.ArgumentParser(add_help=False)
     shared.add_argument("--corpus", required=True, help="stored corpus table, or where to store it")
@@ -37,21 +38,21 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, make=None, detector=None) -> int:  # noqa: ANN001
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO, stream=sys.stderr, format="%(asctime)s [%(levelname)s] %(name)s - %(message)s")
+    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO, stream=sys.stderr, format="%(levelname)s %(name)s: %(message)s")
     if args.mode == "file" and "://" not in args.audio and not Path(args.audio).exists():
-        print(f"[ERROR] File not found: {args.audio}", file=sys.stderr)
+        print(f"no such file: {args.audio}", file=sys.stderr)
         return 1
     from tilmark.operators.speech import model_detector, with_speech
     from tilmark.operators.transcribe import SpeechModel
     from tilmark.plans.monitor import ProgressLog
     from tilmark.plans.pipeline import run_files
     from tilmark.plans.report import with_report
-    from tilmark.session import local_session
+    from tilmark.session import outer_session
     from tilmark.sources.corpus import load_corpus
     from tilmark.sources.microphone import FrameSource
     from tilmark.streaming import live
 
-    spark = local_session()
+    spark = outer_session()
     corpus = load_corpus(spark, args.corpus, args.document, args.url)
     make = make or partial(SpeechModel, args.model, args.device)
     config = Config(args.model, args.device, args.threshold, args.surah, args.ayah, getattr(args, "timestamps", False), getattr(args, "vad", 2))
@@ -61,8 +62,14 @@ def main(argv: list[str] | None = None, make=None, detector=None) -> int:  # noq
             print(r["report"])
 
     if args.mode == "file":
-        show(with_report(run_files(spark, args.audio, corpus, make, config)).filter("match_status in ('exact', 'matched')"))
-        return 0
+        bad = 0
+        for r in with_report(run_files(spark, args.audio, corpus, make, config)).select("path", "match_status", "error", "report").toLocalIterator():
+            if r["match_status"] in ("exact", "matched"):
+                print(r["report"])
+            else:
+                bad += 1
+                print(f"{r['path']}: {r['match_status']}" + (f" ({r['error']})" if r["error"] else ""), file=sys.stderr)
+        return 1 if bad else 0
     live.rocksdb(spark)
     spark.dataSource.register(FrameSource)
     spark.streams.addListener(ProgressLog())

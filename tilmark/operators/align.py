@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tilmark.functions import metrics
 from tilmark.functions.similarity import CORRECT, align_words, token_set_ratio
 from tilmark.functions.text import normalise
-from tilmark.operators.match import BELOW, EXACT, MATCHED, NOT_FOUND, THRESHOLD, best_verses, with_verse
+from tilmark.operators.match import BELOW, EXACT, MATCHED, NOT_FOUND, THRESHOLD, VerseIndex, best_verses, with_verse
 
 ALIGNMENT = "array<struct<hyp_word:string,ref_word:string,ref_word_with_diac:string,status:string,similarity:double>>"
 FIELDS = ("hyp_word", "ref_word", "ref_word_with_diac", "status", "similarity")
@@ -84,25 +84,33 @@ def token_set_scores(a: Column | str, b: Column | str) -> Column:
     return score(a, b)
 
 
-def align(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, strict: bool = False, corrected: bool = False) -> DataFrame:
-    """hyps (hyp_id, text, surah, ayah) with their results. With surah and ayah the verse is looked up, whatever its score;
-    with surah only, the best verse of the surah counts; else the best of all (an ayah without surah is not used).
+def align(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, strict: bool = False, corrected: bool = False, keep: Sequence[str] = (), indexes: list[VerseIndex] | None = None) -> DataFrame:
+    """hyps (hyp_id, text, surah, ayah) with their results, and the columns to keep. With surah and ayah the verse is looked up, whatever its score;
+    with surah only, the best verse of the surah counts; else the best of all (an ayah without surah is not used). hyps are read once.
 
-    match_status is exact, matched, not_found or below_threshold; with strict=True the last two are errors."""
-    plain = hyps.select("hyp_id", normalise("text").alias("hypothesis"), "surah", "ayah")
+    match_status is exact, matched, not_found or below_threshold; with strict=True the last two are errors. A null text matches nothing."""
     keyed = F.col("surah").isNotNull() & F.col("ayah").isNotNull()
-    looked = with_verse(plain.filter(keyed), corpus).select("hyp_id", "hypothesis", "surah", "ayah", "plain", "original", token_set_scores("hypothesis", "plain").alias("match_score"), F.when(F.col("idx").isNull(), NOT_FOUND).otherwise(EXACT).alias("match_status"))
-    searched = best_verses(plain.filter(~keyed).withColumn("scope", F.col("surah")), corpus, threshold)
-    named = searched.join(corpus.select("idx", "surah", "ayah", "plain", "original"), "idx", "left")
-    found = named.select("hyp_id", "hypothesis", "surah", "ayah", "plain", "original", "match_score", F.when(F.col("idx").isNull(), BELOW).otherwise(MATCHED).alias("match_status"))
-    both = looked.unionByName(found).withColumnsRenamed({"plain": "reference_plain", "original": "reference_with_diacritics"})
+    named = hyps.select("hyp_id", normalise("text").alias("said"), "surah", "ayah", keyed.alias("keyed"), *keep)
+    asked = named.withColumns({"hypothesis": F.when(~F.col("keyed"), F.col("said")), "scope": F.col("surah")})
+    searched = best_verses(asked, corpus, threshold, indexes=indexes).drop("hypothesis")
+    verses = corpus.select("idx", F.col("surah").alias("surah_found"), F.col("ayah").alias("ayah_found"), "plain", "original")
+    looked = with_verse(searched.withColumnRenamed("idx", "best"), corpus).withColumnsRenamed({"idx": "own", "plain": "own_plain", "original": "own_original"})
+    both = looked.join(verses, looked["best"] == verses["idx"], "left")
+    own = F.col("keyed")
+    status = F.when(own, F.when(F.col("own").isNull(), NOT_FOUND).otherwise(EXACT)).otherwise(F.when(F.col("best").isNull(), BELOW).otherwise(MATCHED))
     if strict:
-        missing = F.concat(F.lit("no verse for hypothesis "), F.col("hyp_id").cast("string"), F.lit(": "), F.col("match_status"))
-        both = both.withColumn("match_status", F.when(F.col("match_status").isin(EXACT, MATCHED), F.col("match_status")).otherwise(F.raise_error(missing).cast("string")))
-    return results(both, corrected)
+        missing = F.concat(F.lit("no verse for hypothesis "), F.col("hyp_id").cast("string"), F.lit(": "), status)
+        status = F.when(status.isin(EXACT, MATCHED), status).otherwise(F.raise_error(missing).cast("string"))
+    pick = lambda a, b: F.when(own, F.col(a)).otherwise(F.col(b))
+    pairs = both.select(
+        "hyp_id", F.col("said").alias("hypothesis"), pick("surah", "surah_found").alias("surah"), pick("ayah", "ayah_found").alias("ayah"),
+        pick("own_plain", "plain").alias("reference_plain"), pick("own_original", "original").alias("reference_with_diacritics"),
+        F.when(own, token_set_scores("said", "own_plain")).otherwise(F.col("match_score")).alias("match_score"), status.alias("match_status"), *keep,
+    )
+    return results(pairs, corrected, keep)
 
 
-def results(pairs: DataFrame, corrected: bool = False) -> DataFrame:
+def results(pairs: DataFrame, corrected: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Pairs of a hypothesis and its verse as full results."""
     out = word_alignments(pairs, corrected=corrected)
     known = F.col("word_alignments").isNotNull()
@@ -113,4 +121,5 @@ def results(pairs: DataFrame, corrected: bool = False) -> DataFrame:
         "match_score",
         correct_words("word_alignments").alias("correctly_recited_words"),
         error_words("word_alignments").alias("error_words"),
+        *keep,
     )

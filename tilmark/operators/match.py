@@ -1,7 +1,7 @@
 """Finding the verse of a hypothesis: by key, or by the best token-set score above a threshold.
 
 The corpus is a dimension of a few thousand verses. It is collected for the workers only up to MAX_BLOCK verses;
-a larger one is matched block by block and the blocks' winners are compared, so no pair of hypothesis and verse is ever a row.
+a larger one is matched block by block, each keeping the better winner, so no pair of hypothesis and verse is ever a row.
 In a worker, scores of all verses are bounded from above at once: the lengths of shared and of differing tokens are
 known from an inverted index, and the common subsequence of the rest is at most its common characters. Verses are then
 scored exactly in falling order of the bound until no bound can win.
@@ -9,8 +9,7 @@ scored exactly in falling order of the bound until no bound can win.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,27 +96,38 @@ class VerseIndex:
         return (winner[1], winner[0]) if winner else None
 
 
-def best_verses(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, spread: int | None = None) -> DataFrame:
-    """hyps (hyp_id, hypothesis in normal form, scope: a surah or null) with idx and match_score of the best verse, or nulls.
-    hyp_id is unique where the corpus has several blocks. spread: deal hyps to so many tasks first, which pays where
-    they come in a few small files; splits of large inputs need none."""
+def verse_indexes(corpus: DataFrame) -> list[VerseIndex]:
+    """The corpus in blocks of at most about MAX_BLOCK verses. To be made once where hypotheses come in many batches."""
     verses = corpus.select("idx", "surah", "plain")
     blocks = max(1, -(-verses.count() // MAX_BLOCK))
-    plain = hyps.select(F.col("hyp_id").cast("long"), "hypothesis", F.col("scope").cast("int"))
-    plain = plain.repartition(spread) if spread else plain
-    parts = []
-    for k in range(blocks):
-        block = verses.filter(F.pmod("idx", F.lit(blocks)) == k) if blocks > 1 else verses
-        index = VerseIndex([(r["idx"], r["surah"], r["plain"]) for r in block.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], index: VerseIndex = index) -> Iterator[pa.RecordBatch]:
+    parts = [verses.filter(F.pmod("idx", F.lit(blocks)) == k) if blocks > 1 else verses for k in range(blocks)]
+    return [VerseIndex([(r["idx"], r["surah"], r["plain"]) for r in part.collect()]) for part in parts]
+
+
+def best_verses(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, spread: int | None = None, indexes: list[VerseIndex] | None = None) -> DataFrame:
+    """hyps (hypothesis in normal form or null, scope: a surah or null, and any other columns) with idx and match_score of the best verse, or nulls.
+    Blocks of a large corpus are tried one after the other on the rows as they pass, so hyps are read once and need no key. spread: deal hyps to so many
+    tasks first, which pays where they come in a few small files; splits of large inputs need none."""
+    found = hyps.repartition(spread) if spread else hyps
+    found = found.withColumns({"scope": F.col("scope").cast("int"), "idx": F.lit(None).cast("long"), "match_score": F.lit(None).cast("double")})
+    text, scope, at, score = (found.columns.index(c) for c in ("hypothesis", "scope", "idx", "match_score"))
+
+    def finder(index: VerseIndex) -> Callable:
+        def best(t: str | None, s: int | None, i: int | None, w: float | None) -> tuple[int | None, float | None]:
+            new = index.best(t, s, threshold if w is None else w) if t is not None else None
+            if new is None or w is not None and (new[1], -int(index.idx[new[0]])) <= (w, -i):
+                return i, w
+            return int(index.idx[new[0]]), new[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [index.best(t, s, threshold) if t is not None else None for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                idx = pa.array([None if f is None else int(index.idx[f[0]]) for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), idx, pa.array([None if f is None else f[1] for f in found], pa.float64())], names=["hyp_id", "hypothesis", "idx", "match_score"])
-
-        parts.append(plain.mapInArrow(run, "hyp_id long, hypothesis string, idx long, match_score double"))
-    if blocks == 1:
-        return parts[0]
-    ranked = reduce(DataFrame.unionByName, parts).groupBy("hyp_id", "hypothesis").agg(F.max(F.struct("match_score", (-F.col("idx")).alias("back"))).alias("w"))
-    return ranked.select("hyp_id", "hypothesis", (-F.col("w.back")).alias("idx"), F.col("w.match_score").alias("match_score"))
+                rows = [best(*x) for x in zip(*(batch.column(k).to_pylist() for k in (text, scope, at, score)), strict=True)]
+                columns = list(batch.columns)
+                columns[at], columns[score] = pa.array([i for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.float64())
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+        return run
+
+    for index in indexes or verse_indexes(corpus):
+        found = found.mapInArrow(finder(index), found.schema)
+    return found.drop("scope")

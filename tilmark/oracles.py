@@ -130,7 +130,9 @@ FROM (SELECT vec_id, embedding::FLOAT[] AS e FROM embeddings), {cut}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    from tilmark.queries import CHUNK, OVERLAP
+    from tilmark.queries import CHUNK, OVERLAP, STUB_STEP, STUB_WORDS
+    from tilmark.sources.audio_files import ROLLOFF as SINC_ROLLOFF
+    from tilmark.sources.audio_files import WIDTH as SINC_WIDTH
 
     step = CHUNK - OVERLAP
     exact = f"{HYPS}, asked AS (SELECT hyp_id, hyp_id AS idx, hyp AS a, ref AS b FROM pairs), {SCORED}"
@@ -158,6 +160,7 @@ def oracle_sql() -> dict[str, str]:
             ) SELECT idx, place, 100.0::DOUBLE - 100.0::DOUBLE * (len(h) + len(r) - 2 * {lcs('h', 'r')}) / (len(h) + len(r)) AS ratio FROM c""",
         "token_set": f"WITH {exact} SELECT hyp_id, score FROM scored",
         "fuzzy_top1_scoped": f"WITH {_best(True, THRESHOLD)} SELECT hyp_id, won.idx, score AS match_score FROM hyps LEFT JOIN won USING (hyp_id)",
+        "fuzzy_top1_global": f"WITH {_best(False, THRESHOLD)} SELECT hyp_id, won.idx, score AS match_score FROM hyps LEFT JOIN won USING (hyp_id)",
         "below_threshold": f"""WITH {_best(True, 80.0)} SELECT hyp_id, CASE WHEN won.idx IS NULL THEN 'below_threshold' ELSE 'matched' END AS match_status, v.surah, v.ayah
             FROM hyps LEFT JOIN won USING (hyp_id) LEFT JOIN verses v ON v.idx = won.idx""",
         "exact_match": f"""WITH {exact}, c AS (SELECT *, {hc} AS h, {rc} AS r FROM pairs)
@@ -184,7 +187,8 @@ def oracle_sql() -> dict[str, str]:
               '  CER          : ' || format('{{:.1f}}', cer * 100) || '%', '  Correct Words: ' || good || ' / ' || total, repeat('-', 60),
               '  Word alignment:  [correct]  (substitution)  <deletion>  {{insertion}}', '', '  ' || m, repeat('=', 60), '') AS report FROM rates JOIN marks USING (hyp_id)""",
         "corpus_flatten": f"WITH {CORPUS} SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, surah, ayah, plain, original FROM verses",
-        "corpus_counts": f"WITH {CORPUS} SELECT count(DISTINCT surah) AS surahs, count(*) AS ayahs FROM verses",
+        "corpus_file": f"WITH {CORPUS} SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, surah, ayah, plain, original FROM verses",
+        "corpus_counts": f"WITH {CORPUS} SELECT count(DISTINCT surah) + 1 AS surahs, count(*) AS ayahs FROM verses",
         "ayahs_per_surah": f"WITH {CORPUS} SELECT surah, count(*) AS ayahs FROM verses GROUP BY surah",
         "surah_lookup": f"WITH {CORPUS} SELECT ayah, original FROM verses WHERE surah = 2",
         "verse_lookup": f"WITH {HYPS} SELECT hyp_id, hyps.surah, CAST(hyps.ayah + 3 AS INT) AS ayah, v.original FROM hyps LEFT JOIN verses v ON v.surah = hyps.surah AND v.ayah = hyps.ayah + 3",
@@ -201,6 +205,20 @@ def oracle_sql() -> dict[str, str]:
         "pcm_decode": """SELECT p_partkey, CAST(i AS INT) AS place, CAST(((lo + 256 * hi + 32768) % 65536 - 32768) / 32768.0 AS FLOAT) AS sample FROM (
               SELECT p_partkey, i, CAST('0x' || h[4 * i + 1 : 4 * i + 2] AS INT) AS lo, CAST('0x' || h[4 * i + 3 : 4 * i + 4] AS INT) AS hi
               FROM (SELECT p_partkey, hex(encode(p_name)) AS h FROM part), unnest(range(0, length(h) // 4)) AS u(i))""",
+        "resample": f"""WITH w AS (SELECT vec_id, embedding::FLOAT[] AS e FROM embeddings), taps AS (
+              SELECT p, k, CASE WHEN t = 0 THEN 1.0 ELSE sin(pi() * t) / (pi() * t) END * cos(t * pi() / {2 * SINC_WIDTH}) ** 2 * {SINC_ROLLOFF}::DOUBLE AS v
+              FROM (SELECT p, k, greatest(-{SINC_WIDTH}, least({SINC_WIDTH}, (k - p / 2.0::DOUBLE) * {SINC_ROLLOFF}::DOUBLE)) AS t FROM range(0, 2) AS a(p), range(-7, 8) AS b(k))
+            ) SELECT vec_id, CAST(2 * i + p AS INT) AS place, round(CAST(CAST(sum(coalesce(CASE WHEN i + k >= 0 THEN e[i + k + 1] END, 0)::DOUBLE * v) AS FLOAT) AS DOUBLE), 5) AS sample
+            FROM w, unnest(range(0, len(e))) AS u(i), taps GROUP BY vec_id, i, p""",
+        "wav_decode": """SELECT p_partkey, CAST(NULL AS VARCHAR) AS error, CAST(i AS INT) AS place, CAST((l::FLOAT + r::FLOAT) / 2 AS FLOAT) AS sample FROM (
+              SELECT p_partkey, i, (s[2 * i + 1] + 32768) % 65536 - 32768 AS li, CAST(((s[2 * i + 1] + 32768) % 65536 - 32768) / 32768.0 AS FLOAT) AS l, CAST(((s[2 * i + 2] + 32768) % 65536 - 32768) / 32768.0 AS FLOAT) AS r
+              FROM (SELECT p_partkey, list_transform(range(0, 64), lambda j: CAST('0x' || h[4 * j + 1 : 4 * j + 2] AS INT) + 256 * CAST('0x' || h[4 * j + 3 : 4 * j + 4] AS INT)) AS s
+                    FROM (SELECT p_partkey, rpad(hex(encode(p_name)), 256, '0') AS h FROM part)), unnest(range(0, 32)) AS u(i))""",
+        "transcribe_stub": f"""WITH steps AS (
+              SELECT vec_id, e, c, s, list_avg(list_transform(e[s + 1 : least(s + {STUB_STEP}, c + {CHUNK}, len(e))], lambda x: abs(x::DOUBLE))) AS m
+              FROM (SELECT vec_id, embedding::FLOAT[] AS e FROM embeddings), unnest(range(0, len(e), {CHUNK})) AS u(c), unnest(range(c, least(c + {CHUNK}, len(e)), {STUB_STEP})) AS w(s)
+            ), said AS (SELECT vec_id, string_agg({STUB_WORDS!r}[CAST(floor(m * {len(STUB_WORDS)}) AS INT) % {len(STUB_WORDS)} + 1], ' ' ORDER BY s) AS text FROM steps GROUP BY vec_id)
+            SELECT vec_id, coalesce(text, '') AS text, len(embedding) / 16000.0::DOUBLE AS duration_s, CAST((len(embedding) + {CHUNK - 1}) // {CHUNK} AS INT) AS n_chunks FROM embeddings LEFT JOIN said USING (vec_id)""",
         "text_join": f"SELECT conv_id, coalesce(string_agg(t, ' ' ORDER BY turn, t) FILTER (t <> ''), '') AS joined FROM (SELECT conv_id, turn, {stripped('text')} AS t FROM conversations) GROUP BY conv_id",
         "vad_segments": segments,
         "vad_stream": segments,

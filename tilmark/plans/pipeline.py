@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from tilmark.functions.audio import MIN_SAMPLES, long_enough, pcm16_to_float
 from tilmark.operators.align import align
-from tilmark.operators.match import THRESHOLD
+from tilmark.operators.match import THRESHOLD, VerseIndex
 from tilmark.operators.transcribe import Transcriber, transcribe
 from tilmark.sources.audio_files import read_wav
 
 
+FAILED = "failed"
+
+
 @dataclass(frozen=True)
 class Config:
     """Parameters of a run. surah and ayah scope every row; rows can have scopes of their own in align()."""
@@ -29,24 +32,27 @@ class Config:
 
 
 def run_files(spark: SparkSession, path: str, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None) -> DataFrame:
-    """Results of WAV files, with path. Files that cannot be read have none; read_wav tells why."""
+    """Results of WAV files, with path and error. A file that cannot be read, or on which the model fails, has the status failed and an error. Every
+    file is read and transcribed once."""
     config = config or Config()
-    waves = read_wav(spark, path).filter("error is null").select(F.xxhash64("path").alias("hyp_id"), "path", "samples")
-    heard = transcribe(waves, make, timestamps=config.timestamps).select("hyp_id", "path", F.col("transcript.text").alias("text"))
-    return _scoped(heard, corpus, config).join(heard.select("hyp_id", "path"), "hyp_id")
+    waves = read_wav(spark, path).select(F.xxhash64("path").alias("hyp_id"), "path", "samples", F.col("error").alias("read_error"))
+    heard = transcribe(waves, make, timestamps=config.timestamps, guard=True)
+    return _scoped(heard.select("hyp_id", "path", F.when(F.col("read_error").isNull(), F.col("transcript.text")).alias("text"), F.coalesce("read_error", "model_error").alias("error")), corpus, config, ("path", "error"))
 
 
-def run_segments(segments: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None, least: int = MIN_SAMPLES) -> DataFrame:
+def run_segments(segments: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None, least: int = MIN_SAMPLES, indexes: list[VerseIndex] | None = None) -> DataFrame:
     """Results of PCM segments (hyp_id, raw); those shorter than `least` samples are left out."""
     waves = segments.select("hyp_id", pcm16_to_float("raw").alias("samples")).filter(long_enough("samples", least))
-    return run_waves(waves, corpus, make, config)
+    return run_waves(waves, corpus, make, config, indexes)
 
 
-def run_waves(waves: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None) -> DataFrame:
-    """Results of waveforms (hyp_id, samples), which are taken as they are."""
-    return _scoped(transcribe(waves, make).select("hyp_id", F.col("transcript.text").alias("text")), corpus, config or Config())
+def run_waves(waves: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None, indexes: list[VerseIndex] | None = None) -> DataFrame:
+    """Results of waveforms (hyp_id, samples), which are taken as they are, with error: where the model fails, the status is failed."""
+    heard = transcribe(waves, make, guard=True).select("hyp_id", F.col("transcript.text").alias("text"), F.col("model_error").alias("error"))
+    return _scoped(heard, corpus, config or Config(), ("error",), indexes)
 
 
-def _scoped(heard: DataFrame, corpus: DataFrame, config: Config) -> DataFrame:
-    hyps = heard.select("hyp_id", "text", F.lit(config.surah).cast("int").alias("surah"), F.lit(config.ayah).cast("int").alias("ayah"))
-    return align(hyps, corpus, config.threshold)
+def _scoped(heard: DataFrame, corpus: DataFrame, config: Config, keep: tuple[str, ...], indexes: list[VerseIndex] | None = None) -> DataFrame:
+    hyps = heard.withColumns({"surah": F.lit(config.surah).cast("int"), "ayah": F.lit(config.ayah).cast("int")})
+    found = align(hyps, corpus, config.threshold, keep=keep, indexes=indexes)
+    return found.withColumn("match_status", F.when(F.col("error").isNotNull(), FAILED).otherwise(F.col("match_status")))

@@ -51,5 +51,5 @@ def with_report(results: DataFrame) -> DataFrame:
 
 
 def dead_letters(results: DataFrame) -> DataFrame:
-    """Results without a verse: what a stream sets aside instead of losing it."""
-    return results.filter(F.col("match_status").isin("not_found", "below_threshold"))
+    """Results without a verse, and those on which the model failed: what a stream sets aside instead of losing it."""
+    return results.filter(F.col("match_status").isin("not_found", "below_threshold", "failed"))

@@ -18,6 +18,7 @@ from tilmark.plans.tables import corpus, dressed, frames, hypotheses, table
 from tilmark.sources import corpus as corpora
 
 CHUNK, OVERLAP = 24, 4
+STUB_STEP = 8
 STUB_WORDS = ["one", "two", "three", "four", "five", "six", "seven"]
 
 
@@ -150,8 +151,36 @@ def corpus_flatten(spark, d):
     return corpora.index(corpora.flatten_nested(document, "value"))
 
 
+def _empty_surah(number):
+    kind = "struct<number:int,ayahs:array<struct<numberInSurah:int,text:string>>>"
+    return F.struct(F.lit(number).alias("number"), F.array().alias("ayahs")).cast(kind)
+
+
 def corpus_counts(spark, d):
-    return corpora.corpus_counts(corpus(spark, d))
+    """Counts of a service document of the corpus that also has a surah without ayahs."""
+    ayahs = F.array_sort(F.collect_list(F.struct(F.col("ayah").alias("numberInSurah"), F.col("original").alias("text"))))
+    surahs = corpus(spark, d).groupBy("surah").agg(ayahs.alias("ayahs")).agg(F.collect_list(F.struct(F.col("surah").alias("number"), "ayahs")).alias("s"))
+    document = F.to_json(F.struct(F.struct(F.concat("s", F.array(_empty_surah(1_000_000))).alias("surahs")).alias("data")))
+    return corpora.service_counts(surahs.select(document.alias("document")))
+
+
+def corpus_file(spark, d):
+    """The corpus, written as a JSON file, read and made a table."""
+    at = f"{_shared(spark)}/corpus-{uuid.uuid4().hex}"
+    corpora.nested_json(corpus(spark, d)).coalesce(1).write.text(at)
+    return corpora.index(corpora.flatten_nested(corpora.read_json(spark, at)))
+
+
+def _shared(spark):
+    """A folder that all executors see: in spark.checkpoint.dir, or in local mode a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        where = tempfile.mkdtemp(prefix="tilmark-")
+    return f"{where.rstrip('/')}/tilmark"
 
 
 def ayahs_per_surah(spark, d):
@@ -236,12 +265,7 @@ def vad_stream(spark, d):
     """The segments of vad_segments, by Structured Streaming over stored frames."""
     from tilmark.streaming import live
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="tilmark-")
-    base = f"{where.rstrip('/')}/tilmark/stream-{uuid.uuid4().hex}"
+    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     frames(spark, d).write.parquet(f"{base}/frames")
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     live.rocksdb(spark)
@@ -257,11 +281,21 @@ def vad_stream(spark, d):
 def resample(spark, d):
     from tilmark.sources.audio_files import resampled
 
-    return _waves(spark, d).select("vec_id", F.size(resampled("samples", 8000)).alias("n"))
+    return _waves(spark, d).select("vec_id", F.posexplode(resampled("samples", 8000)).alias("place", "sample")).withColumn("sample", F.round(F.col("sample").cast("double"), 5))
+
+
+def wav_decode(spark, d):
+    """Names of parts as WAV files of 32 stereo samples of 16 bits at 16 kHz, decoded."""
+    from tilmark.sources.audio_files import decoded
+
+    header = bytes.fromhex("52494646a400000057415645666d74201000000001000200803e000000fa0000040010006461746180000000")
+    payload = F.rpad(F.encode("p_name", "UTF-8"), 128, bytes(1))
+    files = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.lit(header), payload).alias("content"))
+    return decoded(files, normalise=False).select(F.col("path").cast("long").alias("p_partkey"), "error", F.posexplode("samples").alias("place", "sample"))
 
 
 def _stub():
-    return WordStub(STUB_WORDS, 8)
+    return WordStub(STUB_WORDS, STUB_STEP)
 
 
 def transcribe_stub(spark, d):
@@ -272,7 +306,7 @@ def transcribe_stub(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "norm_full norm_steps tokenise strip_end_of_ayah wer accuracy micro_wer cer indel_ratio word_ratio token_set fuzzy_top1_scoped fuzzy_top1_global fuzzy_top1_turns "
-        "below_threshold exact_match not_found align_words align_counts correct_words error_words report_line corpus_flatten corpus_counts ayahs_per_surah surah_lookup verse_lookup "
-        "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_frames_preroll vad_stream resample transcribe_stub"
+        "below_threshold exact_match not_found align_words align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_counts ayahs_per_surah surah_lookup verse_lookup "
+        "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_frames_preroll vad_stream resample wav_decode transcribe_stub"
     )
     return {n: globals()[n] for n in names.split()}

@@ -7,6 +7,16 @@ import os
 from pyspark.sql import SparkSession
 
 
+def outer_session(app: str = "tilmark") -> SparkSession:
+    """The session of whoever calls: an active one, or that of spark-submit with its master; else a local one."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    if "PYSPARK_GATEWAY_PORT" in os.environ:
+        return SparkSession.builder.appName(app).getOrCreate()
+    return local_session(app=app)
+
+
 def local_session(cores: int | str | None = None, app: str = "tilmark", driver_memory: str = "6g", **extra) -> SparkSession:
     """A local session with the settings that results depend on (UTC, adaptive execution)."""
     n = cores or os.environ.get("BENCH_CPUS", "8")

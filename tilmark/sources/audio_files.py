@@ -53,6 +53,11 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
 def read_wav(spark: SparkSession, path: str, target: int = RATE, normalise: bool = True) -> DataFrame:
     """(path, samples, sample_rate, duration_s, error) of WAV files: mono at the target rate, peak scaled if `normalise`.
     A file that cannot be decoded has an error and null samples. A path without files is an error of Spark's reader."""
+    return decoded(spark.read.format("binaryFile").load(path), target, normalise)
+
+
+def decoded(files: DataFrame, target: int = RATE, normalise: bool = True) -> DataFrame:
+    """The same of rows (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,8 +72,7 @@ def read_wav(spark: SparkSession, path: str, target: int = RATE, normalise: bool
                     errors.append(str(error) or type(error).__name__)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(samples, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["path", "samples", "error"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    read = files.mapInArrow(run, "path string, samples array<float>, error string")
+    read = files.select("path", "content").mapInArrow(run, "path string, samples array<float>, error string")
     shaped = peak_normalise("samples") if normalise else F.col("samples")
     return read.select("path", shaped.alias("samples"), F.lit(target).alias("sample_rate"), duration("samples", target).alias("duration_s"), "error")
 

@@ -70,14 +70,16 @@ def load_corpus(spark: SparkSession, table: str, document: str | None = None, ur
     """The stored table if there is one; else it is made from a document, or from a download, and stored."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(table)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    whole = jvm.org.apache.hadoop.fs.Path(f"{table}/_SUCCESS")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(whole):  # nothing there, or a write that broke off
         if document is not None:
             verses = flatten_nested(read_json(spark, document))
         elif url is not None:
             verses = parse_service(spark.createDataFrame([(download(url),)], "document string"))
         else:
             raise FileNotFoundError(f"no corpus at {table}, and no document or address to make it from")
-        index(verses).coalesce(1).write.parquet(table)
+        index(verses).coalesce(1).write.mode("overwrite").parquet(table)
     return spark.read.schema(SCHEMA).parquet(table)
 
 
@@ -119,4 +121,18 @@ def surah_verses(corpus: DataFrame, surah: int) -> DataFrame:
 
 
 def corpus_counts(corpus: DataFrame) -> DataFrame:
+    """Surahs and ayahs of a flat corpus, which has no surahs without ayahs: counts of a document come from service_counts and nested_counts."""
     return corpus.agg(F.countDistinct("surah").alias("surahs"), F.count("*").alias("ayahs"))
+
+
+def service_counts(documents: DataFrame, column: str = "document") -> DataFrame:
+    """Surahs, also those without ayahs, and different ayahs of service documents."""
+    numbers = F.array_distinct(F.transform("ayahs", lambda a: a["numberInSurah"]))
+    return service_surahs(documents, column).agg(F.count("*").alias("surahs"), F.coalesce(F.sum(F.size(numbers)), F.lit(0)).cast("long").alias("ayahs"))
+
+
+def nested_counts(documents: DataFrame, column: str = "document") -> DataFrame:
+    """The same of nested documents."""
+    outer = documents.select(F.posexplode(F.from_json(F.col(column), NESTED)).alias("pos", "surah", "ayahs"))
+    last = outer.groupBy("surah").agg(F.max_by("ayahs", "pos").alias("ayahs"))
+    return last.agg(F.count("*").alias("surahs"), F.coalesce(F.sum(F.size(F.array_distinct(F.map_keys("ayahs")))), F.lit(0)).cast("long").alias("ayahs"))

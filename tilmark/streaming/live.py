@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tilmark.operators.match import verse_indexes
 from tilmark.operators.segment import PRE_ROLL, SEGMENTS, SILENCE_LIMIT, Segmenter
 from tilmark.operators.transcribe import Transcriber
 from tilmark.plans.pipeline import Config, run_segments
@@ -33,15 +35,28 @@ class SegmentProcessor(StatefulProcessor):
         self.before = handle.getListState("before", "seq long, payload binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        machine = Segmenter(self.limit, self.keep)
+        machine, stored = Segmenter(self.limit, self.keep), False
         if self.state.exists():
             machine.number, machine.silent, machine.start = self.state.get()
-            machine.held = [(s, bytes(p)) for s, p in self.held.get()]
+            stored = machine.start is not None  # its frames so far stay in the state until it ends
             machine.before = [(s, bytes(p)) for s, p in self.before.get()]
         frames = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        done = [x for s, p, v in zip(frames["seq"], frames["payload"], frames["is_speech"], strict=True) if (x := machine.push(int(s), p, bool(v)))]
+        done = []
+        for s, p, v in zip(frames["seq"], frames["payload"], frames["is_speech"], strict=True):
+            ended = machine.push(int(s), p, bool(v))
+            if ended and stored:
+                first = [(s, bytes(p)) for s, p in self.held.get()]
+                ended = (*ended[:3], [s for s, _ in first] + ended[3], b"".join(p for _, p in first) + ended[4])
+                stored = False
+            if ended:
+                done.append(ended)
         self.state.update((machine.number, machine.silent, machine.start))
-        self.held.put(machine.held) if machine.held else self.held.clear()
+        if machine.start is None:
+            self.held.clear()
+        elif stored:
+            self.held.appendList(machine.held)
+        else:
+            self.held.put(machine.held)
         self.before.put(machine.before) if machine.before else self.before.clear()
         if done:
             names = [f.split()[0] for f in SEGMENTS.split(", ")]
@@ -67,16 +82,20 @@ def rocksdb(spark: SparkSession) -> None:
 
 
 def start(segments: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], on_results: Callable[[DataFrame, int], None], checkpoint: str, config: Config | None = None, on_dead: Callable[[DataFrame, int], None] | None = None, drain: bool = False, least: int | None = None) -> StreamingQuery:
-    """Align every micro-batch of segments; on_results gets rows with a report, on_dead those without a verse. drain: take what
-    is there and stop."""
+    """Align every micro-batch of segments; on_results gets rows with a report, on_dead those without a verse or with a model error. A batch is transcribed
+    once, and the corpus is indexed once. drain: take what is there and stop."""
     limits = {} if least is None else {"least": least}
+    indexes = verse_indexes(corpus)
 
     def each(batch: DataFrame, number: int) -> None:
         named = batch.select(F.xxhash64("stream_id", "segment_no").alias("hyp_id"), "raw")
-        out = with_report(run_segments(named, corpus, make, config, **limits))
-        on_results(out.filter(F.col("match_status").isin("exact", "matched")), number)
-        if on_dead:
-            on_dead(dead_letters(out), number)
+        out = with_report(run_segments(named, corpus, make, config, indexes=indexes, **limits)).persist(StorageLevel.DISK_ONLY)
+        try:
+            on_results(out.filter(F.col("match_status").isin("exact", "matched")), number)
+            if on_dead:
+                on_dead(dead_letters(out), number)
+        finally:
+            out.unpersist()
 
     writer = segments.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
