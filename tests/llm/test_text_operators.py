@@ -392,11 +392,44 @@ def test_scan_of_flat_files(spark, tmp_path):
         want += [(f, k, a + 1, b - a - 1, True) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
         if bounds[-1] + 1 < len(ids):
             want.append((f, len(bounds) - 1, bounds[-1] + 1, len(ids) - bounds[-1] - 1, False))
-    for block in (1, 7, 1000):
-        got = ts.scan_tokens(ts.flat_files(spark, str(tmp_path), block)).collect()
+    for block, span in ((1, 6), (7, 14), (7, 100), (1000, 10**6)):
+        got = ts.scan_tokens(ts.flat_files(spark, str(tmp_path), block, span)).collect()
         assert sorted((int(r["file"].rsplit("/", 1)[1][0]), *r[1:]) for r in got) == want
 
 
+def test_vocabularies_that_do_not_fit():
+    with pytest.raises(ValueError, match="end-of-document id 3"):
+        ts.check_vocabulary(b"YQ== 3\nYg== 4\n", 3)
+    with pytest.raises(ValueError, match="do not fit"):
+        ts.check_vocabulary(b"YQ== 70000\n", 3)
+
+
+def test_ids_that_are_texts(spark):
+    rows = [("a", "one two three four five six seven"), ("b", "one two three four five six seven"), (None, "other words than before stand here"), ("c", None)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in nd.near_duplicates(frame).collect()) == [("None", "None"), ("a", "a"), ("b", "a"), ("c", "c")]
+    items = spark.createDataFrame([("x", "two three four five six seven")], "item_id string, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.find_leaks(frame, items).collect()) == [("a", "x"), ("b", "x")]
+    assert sorted((str(r["doc_id"]), r["n_tokens"] > 0) for r in ts.count_tokens(frame).collect()) == [("None", True), ("a", True), ("b", True), ("c", False)]
+
+
+@needs_tables
+def test_leaks_like_all_pairs(spark, docs):
+    """Every whole text is aligned with every item, without seeds or windows."""
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    split = lambda t: tv.word_hashes([t])[0]
+    words, wanted = {i: split(t) for i, t in items.items()}, set()
+    for d, t in docs.items():
+        own = split(t)
+        for i, w in words.items():
+            if np.isin(w, own).sum() >= min(dc.MIN_RUN, dc.MIN_SCORE * len(w)) and dc.held_part(w, own) is not None:
+                wanted.add((d, i))
+    found = {(r["doc_id"], r["item_id"]) for r in q.op3_decontaminate(spark, SMALL).collect()}
+    assert wanted
+    assert found <= wanted
+    assert len(found) >= 0.95 * len(wanted)
+
+
 @needs_tables
 def test_language_accuracy(spark):
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}

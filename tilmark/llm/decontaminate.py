@@ -18,7 +18,7 @@
 Nothing is shuffled. Defined cases: null and empty texts hold nothing; null and empty items
 are held by nothing; an item of fewer words than a seed has one of all its words; equal items each give
 a row; rows with a null id and repeated rows are handled one by one; an item that stands several times in a text gives
-one row, for its best place that passes; extra columns are ignored or, where rows are filtered, kept.
+one row, for its best place that passes, of equal ones the first; a very long text is searched whole, and long windows are aligned in pieces; ids may have any type; extra columns are ignored or, where rows are filtered, kept.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tilmark.llm import textvec as tv
 
@@ -39,7 +40,7 @@ MIN_SCORE, MIN_RUN, MIN_IDENTITY = 0.5, 13, 0.75
 PAD = 16
 PIECE = 1024
 LENGTHS, COVER = (3, 5), 5
-SCHEMA = "doc_id long, item_id long, n_seeds long, score double, matches long, doc_start long, doc_end long, item_start long, item_end long"
+COLUMNS = "n_seeds long, score double, matches long, doc_start long, doc_end long, item_start long, item_end long"
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
@@ -237,19 +238,22 @@ def _blocks(items: DataFrame) -> Iterator[Seeds]:
     count = max(1, -(-total // BLOCK_BYTES))
     for k in range(count):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else items
-        rows = sorted(block.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
+        rows = sorted(block.collect(), key=lambda r: (r["item_id"] is None, *([r["item_id"]] if r["item_id"] is not None else []), r["text"] or ""))
         yield Seeds.of([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
 def seed_blocks(items: DataFrame) -> Iterator[Seeds]:
     """The seeds of each block of items."""
-    for seeds in _blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
+    for seeds in _blocks(items.select("item_id", "text")):
         if seeds.by_length:
             yield seeds
 
 
 def find_leaks(texts: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text row and held item: SCHEMA."""
+    """One row per text row and held item: doc_id and item_id, with the types of key and item_id, and COLUMNS."""
+    own, held = texts.schema[key].dataType, items.schema["item_id"].dataType
+    schema = f"doc_id {own.simpleString()}, item_id {held.simpleString()}, {COLUMNS}"
+    item_kind, names = to_arrow_type(held), [f.split()[0] for f in schema.split(", ")]
 
     def finder(seeds: Seeds) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,17 +262,17 @@ def find_leaks(texts: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
-                    items_held = pa.array([seeds.ids[i] for i in columns[1]], pa.int64())
+                    items_held = pa.array([seeds.ids[i] for i in columns[1]], item_kind)
                     kinds = [pa.int64(), pa.float64(), *[pa.int64()] * 5]
-                    yield pa.RecordBatch.from_arrays([ids, items_held, *[pa.array(c, k) for c, k in zip(columns[2:], kinds, strict=True)]], names=[f.split()[0] for f in SCHEMA.split(", ")])
+                    yield pa.RecordBatch.from_arrays([ids, items_held, *[pa.array(c, k) for c, k in zip(columns[2:], kinds, strict=True)]], names=names)
 
         return run
 
     out = None
     for seeds in seed_blocks(items):
-        part = texts.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(finder(seeds), SCHEMA)
+        part = texts.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(finder(seeds), schema)
         out = part if out is None else out.unionByName(part)
-    return texts.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+    return texts.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def without_leaks(texts: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

@@ -120,7 +120,7 @@ class NearDuplicates:
     def __init__(self, texts: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD):
         self.threshold = threshold
         self.source = texts.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
-        self.sketch = written(self.source.mapInArrow(_sketch, "id long, content long, node long, size long, bands array<long>"), "sketch")
+        self.sketch = written(self.source.mapInArrow(_sketch, f"id {texts.schema[key].dataType.simpleString()}, content long, node long, size long, bands array<long>"), "sketch")
         one = self.sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "content")).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
         self.nodes = written(one, "nodes")
         entries = self.nodes.select(F.explode("bands").alias("bucket"), "node", "size")
