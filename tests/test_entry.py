@@ -36,3 +36,10 @@ def test_without_the_llm_folders(tmp_path):
     # the entry module is linked, so it must be found through tmp_path first
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+    (tmp_path / "tests").mkdir()
+    for p in (ROOT / "tests").glob("*.py"):
+        if p.name != "test_entry.py":
+            (tmp_path / "tests" / p.name).symlink_to(p)
+    some = ["tests/test_text_metrics.py", "tests/test_match_align.py"]
+    out = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *some], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stdout[-2000:]

@@ -78,3 +78,23 @@ def test_stream_equals_batch_across_batches_and_restart(spark, tmp_path):
             run()
     wanted = segment(spark.createDataFrame(rows, FRAMES), 5, 3).count()
     assert len(set(seen) | set(dead)) == len(seen) + len(dead) == wanted
+
+
+def test_arrays_like_single_frames():
+    import numpy as np
+    import pyarrow as pa
+
+    from tilmark.operators.segment import ArraySegmenter, Segmenter
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        limit, keep, n = int(rng.integers(0, 5)), int(rng.integers(0, 5)), int(rng.integers(0, 60))
+        speech = rng.random(n) < rng.choice([0.1, 0.5, 0.9])
+        payload = [None if rng.random() < 0.1 else bytes([i % 250]) for i in range(n)]
+        one, many = Segmenter(limit, keep), ArraySegmenter(limit, keep)
+        want = [x for i in range(n) if (x := one.push(i, payload[i], bool(speech[i])))]
+        cuts = sorted({0, n, *rng.integers(0, n + 1, 3).tolist()})
+        got = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in many.push(np.arange(a, b), pa.array(payload[a:b], pa.binary()), speech[a:b])]
+        both = [(x, y) for x, y in ((one.close(), many.close()),) if x or y]
+        assert [(*x[:3], list(x[3]), x[4]) for x in got] == want
+        assert all((*y[:3], list(y[3]), y[4]) == x for x, y in both)
