@@ -41,7 +41,7 @@ from tilmark.llm.language_id import held_out
 
 FOLDS, FOLD = 4, 2
 POSITIVE_ROWS, UNLABELLED_ROWS = 2000, 6000
-HIDDEN, STEPS, BATCH, RATE, DECAY, MODELS = 16, 800, 256, 0.01, 1e-3, 5
+HIDDEN, STEPS, BATCH, RATE, DECAY, MODELS = 16, 400, 256, 0.01, 1e-3, 5
 PRIOR_FOLDS, PRIOR_STEPS = 5, 100
 PRIOR_MISS, PRIOR_SLACK = 0.1, 0.01
 CUT = 0.7
