@@ -226,7 +226,26 @@ def test_hot_bucket_is_ranked_in_parts(spark):
     assert {(r["a"], r["b"]) for r in found._to_hubs(mixed).collect()} == want
 
 
-def test_large_group_of_variants(spark):
+def test_hot_bucket_is_cut_into_cells(spark, monkeypatch):
+    """Same pairs, each once, with one bucket in a single cell and in many."""
+    found = object.__new__(nd.NearDuplicates)
+    found.threshold = nd.THRESHOLD
+    rng = np.random.default_rng(4)
+    rows = [(int(b), n, 100, int(rng.integers(80, 101)), n % 7, rng.integers(-(2**62), 2**62, nd.BITMAP_LONGS).tolist() if n % 3 else [-1] * nd.BITMAP_LONGS) for b, k in ((1, 300), (2, 12)) for n in range(1000 * b, 1000 * b + k)]
+    mixed = spark.createDataFrame(rows, "bucket long, node long, size long, shared long, component long, bits array<long>")
+    take = lambda frame: sorted((r["a"], r["b"]) for r in frame.collect())
+    whole = take(found._to_hubs(mixed)), take(found._all_crossing(mixed))
+    monkeypatch.setattr(nd, "CELL_NODES", 40)
+    assert (take(found._to_hubs(mixed)), take(found._all_crossing(mixed))) == whole
+    assert len(whole[1]) == len(set(whole[1])) > 1000
+    cells = found._celled(mixed, mixed.withColumnRenamed("node", "x"), mixed.withColumnRenamed("node", "y"), False)[0]
+    held = [r["count"] for r in cells.groupBy("bucket", "i", "j").count().collect()]
+    assert len(held) == 15 * 15 + 1 and max(held) < 60
+
+
+@pytest.mark.parametrize("cell", [nd.CELL_NODES, 40])
+def test_large_group_of_variants(spark, monkeypatch, cell):
+    monkeypatch.setattr(nd, "CELL_NODES", cell)
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(150)]
     texts = {0: " ".join(base)}

@@ -2,8 +2,8 @@
 
 A weight is discretised at the integers. Its range is covered by dyadic intervals (0,1], (1,2], (2,4], (4,8], ...
 An element is the root of one Poisson process per interval that its weight reaches; the rate of a process is its
-interval's length, each point goes to a random signature component and, through the halves of its interval, down
-to one unit of weight, and counts when the element's weight reaches that unit. All draws are hashes of the
+interval's length, each point goes to a random signature component and to one unit of weight, uniform over the
+interval (the bits of that draw are the halves it goes down through), and counts when the element's weight reaches that unit. All draws are hashes of the
 element, the interval and the point's number, so equal units of equal elements make equal points in every text.
 A component is the earliest point that it gets. Processes stop once they pass the latest component.
 """

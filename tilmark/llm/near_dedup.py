@@ -12,7 +12,8 @@ THRESHOLD; a class is a connected component of links. Steps:
    each overlap from above, which is exact. First the HUBS nodes
    with the largest shared parts are paired with the bucket's other components, then all pairs that cross
    components and that the bound allows are verified. So no link that banding proposes between classes is lost, and pairs
-   inside one class are never listed.
+   inside one class are never listed. A bucket with more than CELL_NODES such nodes is cut by hash into parts of about half
+   that, and every two parts meet in a task of their own, so no task holds a whole bucket.
 
 With 25 bands of 6 components a pair at similarity 0.8 shares no bucket with probability 5e-4, at 0.9 1e-8.
 
@@ -42,6 +43,7 @@ THRESHOLD = 0.8
 BAND_ROWS = 6
 HUBS = 6
 PARTS = 32
+CELL_NODES = 2048
 BITMAP_LONGS = 32
 SLACK = 1e-9  # bounds leave room for rounding: 50.4 may compare as less than 0.8 * 63
 
@@ -183,21 +185,38 @@ class NearDuplicates:
         some = some.select("bucket", "node", "size", "shared", "component", "bits")  # a large bucket is ranked in PARTS tasks first
         top = some.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("place") <= HUBS)
         hubs = top.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"), F.col("bits").alias("q"))
-        return self._crossed(mixed, hubs, F.col("c") != F.col("d"))
+        return self._crossed(mixed, hubs, F.col("c") != F.col("d"), all_parts=True)
 
     def _all_crossing(self, mixed: DataFrame) -> DataFrame:
         """All pairs of a bucket's nodes of different components that their shared parts allow."""
         right = mixed.select("bucket", F.col("node").alias("y"), F.col("size").alias("n"), F.col("shared").alias("t"), F.col("component").alias("d"), F.col("bits").alias("q"))
         return self._crossed(mixed, right, (F.col("c") != F.col("d")) & (F.col("x") < F.col("y")))
 
-    def _crossed(self, mixed: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    def _crossed(self, mixed: DataFrame, right: DataFrame, condition: Column, all_parts: bool = False) -> DataFrame:
         """Pairs of a bucket whose overlap can reach the threshold: it is bounded by the shared parts, and by a size less
-        the bits of its bitmap that the other lacks, as each stands for a shingle that the other lacks."""
+        the bits of its bitmap that the other lacks, as each stands for a shingle that the other lacks. all_parts: the rows of
+        right are few in a bucket, and each goes to all parts of left."""
         left = mixed.select("bucket", F.col("node").alias("x"), F.col("size").alias("m"), F.col("shared").alias("s"), F.col("component").alias("c"), F.col("bits").alias("p"))
         lacking = lambda one, other: F.aggregate(F.zip_with(one, other, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda total, k: total + k)
         enough = lambda overlap: overlap * (1 + self.threshold) >= (1 - SLACK) * self.threshold * (F.col("m") + F.col("n"))
         reach = enough(F.least("s", "t")) & enough(F.col("m") - lacking("p", "q")) & enough(F.col("n") - lacking("q", "p"))
-        return left.join(right, "bucket").filter(condition & reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "m", "n")
+        left, right, cell = self._celled(mixed, left, right, all_parts)
+        return left.join(right, cell).filter(condition & reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "m", "n")
+
+    def _celled(self, mixed: DataFrame, left: DataFrame, right: DataFrame, all_parts: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+        """left and right, and the columns that they are joined by. Where a bucket of mixed is large, its rows of left have a part i and
+        stand once for each part j of right, and those of right the other way round, so that two rows meet in one cell (i, j)."""
+        sizes = mixed.groupBy("bucket").agg(F.count("*").alias("open")).filter(F.col("open") > CELL_NODES)
+        large = written(sizes.select("bucket", F.ceil(F.col("open") * 2 / CELL_NODES).cast("int").alias("parts")), "large")
+        if not large.limit(1).count():
+            return left, right, ["bucket"]
+        parts, zero = F.coalesce("parts", F.lit(1)), F.lit(0)
+        own = lambda node: F.pmod(F.xxhash64(node, F.lit(11)), parts).cast("int")
+        every = F.explode(F.sequence(zero, parts - 1))
+        cut = lambda side, i, j: side.join(large, "bucket", "left").select(*side.columns, i.alias("i"), j.alias("j"))
+        if all_parts:
+            return cut(left, own("x"), zero), cut(right, every, zero), ["bucket", "i", "j"]
+        return cut(left, own("x"), every), cut(right, every, own("y")), ["bucket", "i", "j"]
 
     def membership(self) -> DataFrame:
         """(id, content, component, class_id): one row per input row. component is null for texts without words; class_id is
