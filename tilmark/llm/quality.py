@@ -16,8 +16,9 @@ Features of a whole text (no label, language, source or id): square roots of the
 neighbouring character classes, of word lengths, shares of distinct words, word pairs and lines, of the most
 frequent word and of words that repeat the one before, and logarithms of sizes.
 
-Training data: at most POSITIVE_ROWS positives and UNLABELLED_ROWS unlabelled texts (by a hash of the id; as
-features, so their size does not depend on the texts) are collected. Every text is scored whole.
+Training data: at most POSITIVE_ROWS positives, one text of each id, and UNLABELLED_ROWS unlabelled texts (by a hash of id and text, equal
+rows once, so that an id with a third of all rows has its share and no more; as features, so their size does not depend on the texts) are
+collected. Every text is scored whole.
 
 Defined cases: a null text counts as empty and is scored; with no positives or no unlabelled texts every score is the
 prior 0.5; ids with several labels count as positive if any label is 1; texts with equal features score equally; a very long text is scored whole;
@@ -41,6 +42,7 @@ from tilmark.llm.language_id import held_out
 
 FOLDS, FOLD = 4, 2
 POSITIVE_ROWS, UNLABELLED_ROWS = 2000, 6000
+DRAWS = 1 << 62
 HIDDEN, STEPS, BATCH, RATE, DECAY, MODELS = 16, 400, 256, 0.01, 1e-3, 5
 PRIOR_FOLDS, PRIOR_STEPS = 5, 100
 PRIOR_MISS, PRIOR_SLACK = 0.1, 0.01
@@ -195,23 +197,27 @@ def train_scorer(p: np.ndarray, u: np.ndarray, prior: float | None = None, seed:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in tv.chunks(batches):
         rows = [features(t).tobytes() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.binary())], names=["positive", "plain", "draw", "x"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rows, pa.binary())], names=["positive", "plain", "one", "draw", "x"])
 
 
 def train_on(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Scorer:
     """A scorer from bounded samples of the rows outside the held-out fold."""
-    draw = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
+    draw = lambda seed, *columns: F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(DRAWS))
     open_rows = lambda frame: frame.filter(F.col("id").isNotNull() & ~held_out(F.col("id"), FOLDS, FOLD))
     own = open_rows(texts.select(F.col(key).alias("id"), F.col(text).alias("text")))
     good = open_rows(labels.select(F.col(key).alias("id"), F.col(label).alias("label"))).filter("label = 1").select("id").distinct()
     n_good, n_own = good.count(), own.select("id").count()
-    part = lambda want, there: int(min(1.0, 1.2 * want / max(1, there)) * (1 << 30))
-    chosen = F.broadcast(good.filter(draw(1) < part(POSITIVE_ROWS, n_good)).withColumn("positive", F.lit(True)))  # at most about 1.2 * POSITIVE_ROWS ids
-    plain = draw(2) < part(UNLABELLED_ROWS, n_own)
-    wanted = own.join(chosen, "id", "left").select(F.coalesce("positive", F.lit(False)).alias("positive"), plain.alias("plain"), F.xxhash64("id", "text", F.lit(3)).alias("draw"), "text").filter("positive or plain")
-    rows = wanted.mapInArrow(_featurise, "positive boolean, plain boolean, draw long, x binary").orderBy("draw").limit(2 * (POSITIVE_ROWS + UNLABELLED_ROWS)).collect()
+    part = lambda want, there: int(min(1.0, 1.2 * want / max(1, there)) * DRAWS)
+    chosen = F.broadcast(good.filter(draw(1, "id") < part(POSITIVE_ROWS, n_good)).withColumn("positive", F.lit(True)))  # at most about 1.2 * POSITIVE_ROWS ids
+    plain = draw(2, "id", "text") < part(UNLABELLED_ROWS, n_own)
+    wanted = own.join(chosen, "id", "left").select(F.coalesce("positive", F.lit(False)).alias("positive"), plain.alias("plain"), F.xxhash64("id").alias("one"), F.xxhash64("id", "text", F.lit(3)).alias("draw"), "text")
+    found = wanted.filter("positive or plain").mapInArrow(_featurise, "positive boolean, plain boolean, one long, draw long, x binary")
+    kind = lambda name, group: F.struct(F.col(name).alias("held"), F.lit(name).alias("kind"), F.col(group).alias("group"))
+    kinds = F.filter(F.array(kind("positive", "one"), kind("plain", "draw")), lambda k: k["held"])
+    grouped = found.select(F.explode(kinds).alias("k"), F.struct("draw", "x").alias("row")).groupBy("k.kind", "k.group").agg(F.min("row").alias("row"))
+    rows = grouped.select("kind", "row.draw", "row.x").orderBy("draw").limit(2 * (POSITIVE_ROWS + UNLABELLED_ROWS)).collect()
     rows.sort(key=lambda r: (r["draw"], bytes(r["x"])))
-    array = lambda kind, most: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r[kind]][:most], np.float64).reshape(-1, WIDTH)
+    array = lambda name, most: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["kind"] == name][:most], np.float64).reshape(-1, WIDTH)
     return train_scorer(array("positive", POSITIVE_ROWS), array("plain", UNLABELLED_ROWS))
 
 
