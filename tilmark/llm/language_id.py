@@ -8,7 +8,7 @@ transitions see switches. Prediction runs forward-backward over every word of a
 either side, whose own posteriors are left to the chains beside (what lies further off moves a posterior by less than rounding does), and
 takes the language with the largest mean posterior, which is the score.
 
-Training data: a bounded sample of the labelled rows (SAMPLE_ROWS texts per language, by a hash of the id; with more
+Training data: a bounded sample of the labelled rows (SAMPLE_ROWS texts per language, by a hash of id and text, equal rows once; with more
 languages fewer of each, so that all have about TOTAL_ROWS, but at least one). Of a sampled text with more than RUNS * RUN words, RUNS runs of RUN words are collected, at
 places drawn by a hash in RUNS equal parts of the whole text; of any other, all words. Every language is learned;
 the model is a few MB, 128 KB a language, and travels to the workers. Every text is predicted whole.
@@ -40,6 +40,7 @@ GROUP = 512
 SAMPLE_ROWS = 200
 RUNS, RUN = 10, 48
 TOTAL_ROWS = 12_800
+DRAWS = 1 << 62
 STEPS, BATCH, TRAIN_CHAIN, RATE, DECAY = 150, 64, 48, 0.05, 1e-4
 CACHE = 150_000
 PART = 8_192
@@ -225,7 +226,7 @@ class Tagger:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         mean = [p.mean(axis=0) if len(p) else None for p in self.posteriors(words)]
-        mean = [p if p is not None and any(map(str.isalpha, t)) else None for p, t in zip(mean, texts, strict=True)]
+        mean = [p if p is not None and any(c.isalpha() for w in t for c in w) else None for p, t in zip(mean, texts, strict=True)]
         best = [UNKNOWN if p is None else self.languages[int(p.argmax())] for p in mean]
         return best, np.array([0.0 if p is None else min(1.0, float(p.max())) for p in mean])
 
@@ -252,16 +253,16 @@ def train_tagger(texts: DataFrame, key: str = "doc_id", text: str = "text", labe
     """A tagger from a bounded sample of the rows outside the held-out fold that have a label."""
     usable = texts.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(text).alias("text")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("label").isNotNull())
     counts = usable.groupBy("label").count().collect()
-    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(DRAWS))
     if not counts:
         return Tagger.train([])
     rows = max(1, min(rows, TOTAL_ROWS // len(counts)))
     drawn = max(1.3 * rows, rows + 5 * math.sqrt(rows) + 10)  # on average, so that hardly ever fewer than rows are
-    below = [(r["label"], int(min(1.0, drawn / r["count"]) * (1 << 30))) for r in counts]
+    below = [(r["label"], int(min(1.0, drawn / r["count"]) * DRAWS)) for r in counts]
     cuts = F.broadcast(texts.sparkSession.createDataFrame(below, "label string, below long"))
     some = usable.join(cuts, "label").filter((draw < F.col("below")) & F.col("text").isNotNull())
     first = Window.partitionBy("label").orderBy("draw", "text")
-    runs = some.select("label", draw.alias("draw"), "text").mapInArrow(_sampled, "label string, draw long, text string")
+    runs = some.select("label", draw.alias("draw"), "text").mapInArrow(_sampled, "label string, draw long, text string").dropDuplicates(["label", "draw"])  # equal rows once
     found = runs.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).collect()
     found.sort(key=lambda r: (r["label"], r["draw"], r["text"]))
     kept: dict[str, list[str]] = {}
