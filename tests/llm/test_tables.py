@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tilmark.llm import decontaminate as dc
@@ -206,7 +207,7 @@ def test_slots_and_shards_recomputed(spark):
     assert all(r["shard"] == want[r["virtual_slot"]] for r in held)
 
 
-def test_stored_maps_are_edited(spark, tmp_path):
+def test_stored_maps_are_edited(spark, tmp_path, monkeypatch):
     store = f"file://{tmp_path}/map"
     text = lambda i: "t" * (i * 37 % 400)
     first = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")
@@ -227,6 +228,13 @@ def test_stored_maps_are_edited(spark, tmp_path):
     assert sh.load_map(spark, store, 9) is None
     (tmp_path / "map" / "version-3").mkdir()  # a write that broke off
     assert sh.load_map(spark, store).version == 2
+    monkeypatch.setattr(sh, "WAIT", 0.0)
+    last = more.withColumn("text", F.repeat("text", 1 + F.col("doc_id").cast("int") % 5))
+    three = {r["virtual_slot"]: r["shard"] for r in sh.with_shards(last, slots=128, store=store).collect()}
+    v4 = sh.load_map(spark, store)
+    assert v4.version == 4
+    assert {s for s in range(128) if v2.shard_of[s] != v4.shard_of[s]} == {slot for _, slot, _, _ in v4.edits} != set()
+    assert all(v4.shard_of[slot] == shard for slot, shard in three.items())
 
 
 def test_tables_belong_to_a_run(spark):
@@ -256,6 +264,16 @@ def test_places_in_parts(spark, monkeypatch):
         assert sorted(own) == list(range(len(own)))
 
 
+def test_row_with_a_third_of_all(spark, monkeypatch):
+    monkeypatch.setattr(sh, "COPIES", 7)
+    frame = spark.createDataFrame([(1, "one")] * 100 + [(i, "text" * (i % 7)) for i in range(2, 202)], "doc_id long, text string")
+    rows = sh.place_records(frame, slots=16).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter({1: 100} | dict.fromkeys(range(2, 202), 1))
+    for shard in range(8):
+        own = [r["slot"] for r in rows if r["shard"] == shard]
+        assert sorted(own) == list(range(len(own)))
+
+
 def test_map_versions():
     rng = np.random.default_rng(2)
     sizes = rng.integers(0, 1000, 512).tolist()

@@ -458,6 +458,21 @@ def test_language_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_repeated_rows_are_learned_once(spark, monkeypatch):
+    rows = [(0, "the same words", "en")] * 2000 + [(i, f"word{i} and others", "en") for i in range(1, 1500)] + [(i, f"mot{i} et autres", "fr") for i in range(1500, 1900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(li.Tagger, "train", classmethod(lambda cls, samples, seed=7: samples))
+    samples = Counter(li.train_tagger(frame))
+    assert samples["en", "the same words"] <= 1
+    assert samples["fr", "mot et autres"] == 200
+    assert samples["en", "word and others"] > 60
+
+
+def test_letters_beside_other_signs():
+    tagger = li.Tagger(["en"], np.zeros((1 << li.BITS, 1), np.float32), np.zeros((1, 1)))
+    assert tagger.predict(["x\u00b2", "\u00b2 \u00b3", "12", "", None])[0] == ["en", *[li.UNKNOWN] * 4]
+
+
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(8)
     words = [["".join(chr(0x4E00 + 40 * k + int(c)) for c in rng.integers(0, 40, 4)) for _ in range(30)] for k in range(70)]
@@ -554,6 +569,22 @@ def test_risk_like_a_direct_sum():
     assert branches == {True, False}
 
 
+@pytest.mark.parametrize("equal", [True, False])
+def test_id_with_most_rows_leaves_room_for_others(spark, monkeypatch, equal):
+    monkeypatch.setattr(qu, "POSITIVE_ROWS", 50)
+    monkeypatch.setattr(qu, "UNLABELLED_ROWS", 100)
+    monkeypatch.setattr(qu, "train_scorer", lambda p, u: (p, u))
+    hot = [(1, "same" if equal else "same" * (i % 9 + 1) + f"{i}") for i in range(3000)]
+    frame = spark.createDataFrame([*hot, *((i, f"text {'x' * (i % 50)}") for i in range(2, 1002))], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(1, 41)], "doc_id long, quality int")
+    p, u = qu.train_on(frame, marks)
+    ids = [i for i in range(1, 41) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(p) == len(ids)
+    assert (15 if equal else 70) < len(u) <= 100
+    if equal:
+        assert (u == qu.features("same")).all(axis=1).sum() <= 1
+
+
 @needs_tables
 def test_zeros_are_never_read(spark):
     docs_, labels_ = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))

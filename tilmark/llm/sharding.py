@@ -7,7 +7,8 @@ shard when a table grows. With the map edited until the shards' bytes are near e
 
 A store is a folder in the shared folder with a table per version, written once and complete when its success mark is there: rows
 (version, virtual_slot, shard, moved_from), moved_from null for slots that the version left where they were. Of two
-runs that write the same version one fails to; it reads the other's and goes on from that.
+runs that write the same version one fails to; it reads the other's and goes on from that. A version whose write broke off is never
+read, and after ATTEMPTS the next number is taken.
 
 Data: records become narrow rows (hash, size); equal rows are counted before they are shuffled. Collected are one
 sum and one count per slot, and the map (SLOTS rows each). Places within a shard come from counts per slot and per part of a slot;
@@ -23,6 +24,7 @@ virtual_slot is replaced).
 from __future__ import annotations
 
 import hashlib
+import time
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -33,7 +35,8 @@ from tilmark.llm.runtime import shared_dir, written
 
 SLOTS = 4096
 PART_ROWS = 10_000
-ATTEMPTS = 5
+COPIES = 10_000
+ATTEMPTS, WAIT = 5, 2.0
 
 
 def record_size(text: Column) -> Column:
@@ -104,15 +107,15 @@ def map_store(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tilmark/slot-maps/{hashlib.sha256(name.encode()).hexdigest()[:32]}"
 
 
-def _versions(spark: SparkSession, store: str) -> list[int]:
-    """Whole versions of a store, in order."""
+def _versions(spark: SparkSession, store: str, whole: bool = True) -> list[int]:
+    """Whole versions of a store, or all that a write was begun for, in order."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(path):
         return []
     names = [s.getPath().getName() for s in files.listStatus(path)]
-    whole = [n for n in names if n.startswith("version-") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS"))]
-    return sorted(int(n.removeprefix("version-")) for n in whole)
+    done = lambda name: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}/_SUCCESS"))
+    return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-") and (not whole or done(n)))
 
 
 def load_map(spark: SparkSession, store: str, version: int | None = None) -> SlotMap | None:
@@ -144,7 +147,10 @@ def balanced_map(spark: SparkSession, sizes: list[int], shards: int, slots: int,
     for attempt in range(ATTEMPTS):
         last = load_map(spark, store) if store else None
         fits = last is not None and len(last.shard_of) == slots and max(last.shard_of) < shards
-        current = SlotMap(list(last.shard_of), last.version) if fits else SlotMap(SlotMap.even(shards, slots).shard_of, last.version if last else 0)
+        version = last.version if last else 0
+        if attempt + 1 == ATTEMPTS:  # what is still unfinished after all these waits broke off, and keeps its number
+            version = _versions(spark, store, whole=False)[-1]
+        current = SlotMap(list(last.shard_of), version) if fits else SlotMap(SlotMap.even(shards, slots).shard_of, version)
         current.rebalance(sizes, shards)
         if not store or fits and not current.edits:
             return current
@@ -154,6 +160,7 @@ def balanced_map(spark: SparkSession, sizes: list[int], shards: int, slots: int,
         except AnalysisException:
             if attempt + 1 == ATTEMPTS:
                 raise
+            time.sleep(WAIT * attempt)
     raise AssertionError
 
 
@@ -191,7 +198,9 @@ def place_records(texts: DataFrame, key: str = "doc_id", text: str = "text", sha
         rows = rows.withColumn("skip", F.lit(0))
     before = Window.partitionBy("virtual_slot", "part").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("start", F.coalesce(F.sum("copies").over(before), F.lit(0)))
-    out = ranked.join(F.broadcast(places), "virtual_slot").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    out = ranked.join(F.broadcast(places), "virtual_slot")
+    out = out.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))  # no array holds all copies
+    out = out.withColumn("k", F.explode(F.sequence(F.col("run") * COPIES, F.least("copies", (F.col("run") + 1) * COPIES) - 1)))
     place = (F.col("first") + F.col("skip") + F.col("start") + F.col("k")).cast("long")
     return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", place.alias("slot"))
 
