@@ -17,7 +17,10 @@ from tilmark.llm import quality as qu
 from tilmark.llm import secret_scan as ss
 from tilmark.llm import sharding as sh
 from tilmark.llm import textvec as tv
+from tilmark.llm import token_links as tl
 from tilmark.llm import token_scan as ts
+from tilmark.llm import vector_codes as vc
+from tilmark.llm import warc
 from tilmark.llm.runtime import owned, table
 
 
@@ -243,9 +246,68 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", li.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@owned
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vc.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """All distances of every part to every entry, round by round."""
+    width = f"(len(v) // {vc.PARTS})"
+    parts = [
+        f"""kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vc.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (SELECT k, p, v[p * {width} + 1 : (p + 1) * {width}] AS x FROM kept, range({vc.PARTS}) AS r(p)),
+book0 AS (SELECT p, k - 1 AS e, x AS c FROM parts WHERE k <= {vc.ENTRIES})"""
+    ]
+    for i in range(vc.ROUNDS + 1):
+        gap = "list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])))"
+        parts.append(f"near{i} AS (SELECT k, p, min(({gap}, e)) AS d FROM parts JOIN book{i} USING (p) GROUP BY k, p)")
+        if i < vc.ROUNDS:
+            parts.append(
+                f"""mean{i} AS (
+  SELECT p, e, list(m ORDER BY j) AS c FROM (
+    SELECT p, d[2] AS e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS m FROM near{i} JOIN parts USING (k, p), unnest(range(1, len(x) + 1)) AS u(j) GROUP BY ALL
+  ) GROUP BY p, e
+), book{i + 1} AS (SELECT p, e, coalesce(mean{i}.c, book{i}.c) AS c FROM book{i} LEFT JOIN mean{i} USING (p, e))"""
+            )
+    last = vc.ROUNDS
+    ctes = ",\n".join(parts)
+    return f"""
+WITH {ctes},
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS s FROM book{last}),
+coded AS (SELECT k, string_agg(printf('%02x', d[2]), '' ORDER BY p) AS code, CAST(sum(d[1]) AS BIGINT) AS error FROM near{last} GROUP BY k)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM kept JOIN coded USING (k), sha
+"""
+
+
+@owned
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tl.token_links(table(spark, sf_dir, "documents"))
+
+
+@owned
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def _op13_sql() -> str:
+    """SHA-1 in base32 is not in SQL of its own: each five bits of the digest as a letter."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    bits = "array_to_string(list_transform(range(1, 41), lambda i: right(bin(16 + CAST('0x' || h[i] AS INTEGER)), 4)), '')"
+    text = f"array_to_string(list_transform(range(0, 32), lambda i: substr('{letters}', CAST(1 + list_sum(list_transform(range(1, 6), lambda j: CAST(b[5 * i + j] AS INTEGER) * (32 >> j))) AS BIGINT), 1)), '')"
+    return f"""
+WITH rows AS (SELECT page_id, strlen(coalesce(html, '')) AS n, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (SELECT *, {text} AS d FROM (SELECT *, {bits} AS b FROM rows)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS r, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS f FROM coded)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN f END AS refers_to FROM ranked
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op4_near_dedup": _op4_sql(), "op6_mix": _op6_sql(), "op8_embedding_dedup": _op8_sql()}
+    return {"op1_license_scan": _op1_sql(), "op4_near_dedup": _op4_sql(), "op6_mix": _op6_sql(), "op8_embedding_dedup": _op8_sql(), "op11_vector_codes": _op11_sql(), "op13_warc": _op13_sql()}

@@ -117,5 +117,11 @@ def dropped(df: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+def dropped_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of a run's own under the shared one."""
+    if "/tilmark/" in folder:
+        _delete(spark, folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
