@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from tilmark.functions.text import remove_spaces
 
+#: Code points from U+20000 on stand for words.
+FIRST_SIGN = 0x20000
+SIGNS = 0x110000 - FIRST_SIGN
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -70,13 +74,37 @@ def token_set_ratio(a: Column | str, b: Column | str, tokens=None) -> Column:
     return F.when((F.size(p) == 0) | (F.size(q) == 0), F.lit(0.0)).when((F.size(both) > 0) & ((la == 0) | (lb == 0)), F.lit(100.0)).otherwise(scored)
 
 
+def _let(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value) with the value made once: it is the one element that an outer transform sees."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _coded(x: Column) -> Column:
+    """Both word arrays of a struct (h, r) as texts (h, r) with a sign for each word, equal words with equal signs. The words of both are sorted once; runs of equal words
+    are numbered, and a second sort puts the numbers back in their places."""
+    placed = lambda words, side: F.transform(words, lambda w, i: F.struct(w.alias("w"), F.lit(side).alias("side"), i.alias("i")))
+    point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + FIRST_SIGN), 8, "0")), "UTF-32")
+
+    def numbered(words: Column) -> Column:
+        return _let(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i)["w"] != F.get(words, i - 1)["w"])), lambda begins: repeated(words, begins))
+
+    def repeated(words: Column, begins: Column) -> Column:
+        many = F.size(begins) > SIGNS
+        number = lambda n: F.when(many, F.raise_error(F.lit(f"more than {SIGNS} different words")).cast("int")).otherwise(n)
+        ids = F.flatten(F.transform(begins, lambda b, n: F.array_repeat(number(n), F.coalesce(F.get(begins, n + 1), F.size(words)) - b)))
+        return F.array_sort(F.zip_with(words, ids, lambda w, n: F.struct(w["side"].alias("side"), w["i"].alias("i"), n.alias("n"))))
+
+    text = lambda coded, side: F.array_join(F.transform(F.filter(coded, lambda c: c["side"] == side), lambda c: point(c["n"])), "")
+    ordered = F.array_sort(F.concat(placed(x["h"], 0), placed(x["r"], 1)))
+    return _let(_let(ordered, numbered), lambda coded: F.struct(text(coded, 0).alias("h"), text(coded, 1).alias("r")))
+
+
 def word_distance(hyp: Column, ref: Column) -> Column:
-    """Levenshtein distance of two word arrays: each distinct word becomes one code point, for the built-in function. The
-    vocabulary is bound once, as the one element that the outer transform sees."""
-    point = lambda both, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x1FFFF), 8, "0")), "UTF-32")
-    text = lambda both, words: F.array_join(F.transform(words, lambda w: point(both, w)), "")
-    bound = F.array(F.struct(hyp.alias("h"), ref.alias("r"), F.array_union(hyp, ref).alias("v")))
-    return F.element_at(F.transform(bound, lambda x: F.levenshtein(text(x["v"], x["h"]), text(x["v"], x["r"]))), 1)
+    """Levenshtein distance of two word arrays without nulls: each distinct word becomes one code point, for the built-in function. Coding sorts the words, so
+    its time grows as n log n; up to SIGNS different words."""
+    pair = F.struct(hyp.alias("h"), ref.alias("r"))
+    far = _let(pair, lambda x: F.when(F.size(x["h"]) + F.size(x["r"]) == 0, F.lit(0)).otherwise(_let(_coded(x), lambda c: F.levenshtein(c["h"], c["r"]))))
+    return F.when(hyp.isNotNull() & ref.isNotNull(), far)
 
 
 def wer(hyp: Column, ref: Column) -> Column:

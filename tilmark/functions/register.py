@@ -19,7 +19,7 @@ def register(spark: SparkSession) -> None:
         return lambda a, b: pd.Series([None if x is None or y is None else float(score(x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     def rate(h: list[str] | str, r: list[str] | str) -> float:
-        return similarity.edit_table(h, r)[-1, -1] / len(r) if len(r) else float(len(h) > 0)
+        return similarity.edit_distance(h, r) / len(r) if len(r) else float(len(h) > 0)
 
     named = {
         "wer": lambda h, r: rate(h.split(), r.split()),

@@ -8,6 +8,8 @@ import numpy as np
 
 CORRECT, SUBSTITUTION, DELETION, INSERTION = "correct", "substitution", "deletion", "insertion"
 STATUSES = (CORRECT, SUBSTITUTION, DELETION, INSERTION)
+#: Cells of a table of moves that is held whole.
+CELLS = 1 << 20
 
 
 def lcs(a: str, b: str) -> int:
@@ -59,43 +61,104 @@ def token_set_ratio(a: str, b: str) -> float:
     return set_score(len(x), len(y), len(" ".join(both)), len(x) + len(y) - 2 * lcs(x, y))
 
 
-def edit_table(hyp: Sequence[str], ref: Sequence[str]) -> np.ndarray:
-    """Levenshtein distances of all prefixes: rows by ref, columns by hyp."""
+def _numbered(hyp: Sequence[str], ref: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words as numbers, equal words as equal ones."""
     names: dict[str, int] = {}
-    h = np.array([names.setdefault(w, len(names)) for w in hyp], np.int64)
-    r = [names.setdefault(w, len(names)) for w in ref]
-    table = np.empty((len(r) + 1, len(h) + 1), np.int32)
-    table[0] = ramp = np.arange(len(h) + 1, dtype=np.int32)
-    for i, word in enumerate(r, 1):
-        row = table[i]
-        row[0] = i
-        row[1:] = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (h != word))
-        row[:] = np.minimum.accumulate(row - ramp) + ramp
-    return table
-
-
-def moves(table: np.ndarray, hyp: Sequence[str], ref: Sequence[str]) -> np.ndarray:
-    """The last move of a best alignment of every pair of prefixes, as an index into STATUSES. Equal words win, then
-    substitution, deletion, insertion."""
-    out = np.full(table.shape, STATUSES.index(INSERTION), np.int8)
-    out[1:, 0] = STATUSES.index(DELETION)
-    if len(hyp) and len(ref):
-        equal = np.array(ref, object)[:, None] == np.array(hyp, object)[None, :]
-        inner = table[1:, 1:]
-        out[1:, 1:] = np.select([equal, inner == table[:-1, :-1] + 1, inner == table[:-1, 1:] + 1], [0, 1, 2], 3)
+    return tuple(np.array([names.setdefault(w, len(names)) for w in own], np.int32) for own in (hyp, ref))
+
+
+def _next_row(row: np.ndarray, hyp: np.ndarray, word: int, ramp: np.ndarray) -> np.ndarray:
+    """The row of the table of Levenshtein distances after `row`, for one more word of ref."""
+    out = np.empty_like(row)
+    out[0] = row[0] + 1
+    np.minimum(row[1:] + 1, row[:-1] + (hyp != word), out=out[1:])
+    out -= ramp
+    np.minimum.accumulate(out, out=out)
+    out += ramp
     return out
 
 
-def align_words(hyp: Sequence[str], ref: Sequence[str], shown: Sequence[str]) -> list[tuple[str, str, str, str, float]]:
+def edit_distance(hyp: Sequence[str], ref: Sequence[str]) -> int:
+    """Levenshtein distance of two sequences, in the memory of one row."""
+    h, r = _numbered(hyp, ref)
+    ramp = np.arange(len(h) + 1, dtype=np.int32)
+    row = ramp
+    for word in r:
+        row = _next_row(row, h, word, ramp)
+    return int(row[-1])
+
+
+def _last_moves(row: np.ndarray, before: np.ndarray, hyp: np.ndarray, word: int) -> np.ndarray:
+    """The last move of a best alignment for each place of a row but the first, as an index into STATUSES. Equal words win, then substitution, deletion, insertion."""
+    inner = row[1:]
+    return np.where(hyp == word, 0, np.where(inner == before[:-1] + 1, 1, np.where(inner == before[1:] + 1, 2, 3))).astype(np.int8)
+
+
+def _crossing(h: np.ndarray, r: np.ndarray, middle: int) -> int:
+    """Where the path of best moves from the table's end comes to row `middle`. Rows below it hand the place on, each cell from the cell that its move leads to,
+    so two rows are kept."""
+    ramp = np.arange(len(h) + 1, dtype=np.int32)
+    row = ramp
+    for word in r[:middle]:
+        row = _next_row(row, h, word, ramp)
+    crossing = ramp
+    for word in r[middle:]:
+        before, row = row, _next_row(row, h, word, ramp)
+        move = _last_moves(row, before, h, word)
+        here = np.empty_like(crossing)
+        here[0] = crossing[0]
+        here[1:] = np.where(move < 2, crossing[:-1], crossing[1:])
+        came_down = np.where(move < 3, ramp[1:], 0)  # insertions take the place of the cell to the left that is none
+        here[1:] = here[np.maximum.accumulate(came_down)]
+        crossing = here
+    return int(crossing[-1])
+
+
+def _path(h: np.ndarray, r: np.ndarray) -> list[int]:
+    """Best moves of a small table, from its end."""
+    ramp = np.arange(len(h) + 1, dtype=np.int32)
+    row, moves = ramp, np.full((len(r) + 1, len(h) + 1), 3, np.int8)
+    moves[1:, 0] = 2
+    for i, word in enumerate(r, 1):
+        before, row = row, _next_row(row, h, word, ramp)
+        moves[i, 1:] = _last_moves(row, before, h, word)
+    i, j, path = len(r), len(h), []
+    while i or j:
+        move = int(moves[i, j])
+        path.append(move)
+        i, j = i - (move != 3), j - (move != 2)
+    return path
+
+
+def best_moves(hyp: Sequence[str], ref: Sequence[str], cells: int = CELLS) -> list[int]:
+    """The moves of one best alignment in text order, as indexes into STATUSES: from the end of both, equal words win, then substitution, deletion, insertion.
+
+    A table of more than `cells` is divided at its middle row, where the path crosses it, and both parts are aligned by themselves; memory is linear in
+    the words, and time twice that of one table. The parts give the same moves as the whole: a prefix of the path is a best alignment, so on the path, distances in
+    a part are those of the whole less those up to the crossing, and no cell beside it is nearer in the part than in the whole."""
+    h, r = _numbered(hyp, ref)
+    out, open_ = [], [(0, len(h), 0, len(r))]
+    while open_:  # the last part first
+        a, b, c, d = open_.pop()
+        if d - c < 2 or (b - a + 1) * (d - c + 1) <= cells:
+            out += _path(h[a:b], r[c:d])
+            continue
+        middle = (d - c) // 2
+        at = a + _crossing(h[a:b], r[c:d], middle)
+        open_ += [(a, at, c, c + middle), (at, b, c + middle, d)]
+    return out[::-1]
+
+
+def align_words(hyp: Sequence[str], ref: Sequence[str], shown: Sequence[str], cells: int = CELLS) -> list[tuple[str, str, str, str, float]]:
     """Rows (hyp_word, ref_word, ref_word_with_diac, status, similarity) of one best alignment, in text order. shown: what
     stands for each reference word."""
-    last = moves(edit_table(hyp, ref), hyp, ref)
-    at, path = (len(ref), len(hyp)), []
-    while at != (0, 0):
-        kind = STATUSES[last[at]]
-        at = at[0] - (kind != INSERTION), at[1] - (kind != DELETION)
-        path.append((kind, *at))
-    return [_pair(kind, hyp[j] if kind != DELETION else "", ref[i] if kind != INSERTION else "", shown[i] if kind != INSERTION else "") for kind, i, j in reversed(path)]
+    i = j = 0
+    rows = []
+    for move in best_moves(hyp, ref, cells):
+        kind = STATUSES[move]
+        rows.append(_pair(kind, hyp[j] if kind != DELETION else "", ref[i] if kind != INSERTION else "", shown[i] if kind != INSERTION else ""))
+        i, j = i + (kind != INSERTION), j + (kind != DELETION)
+    return rows
 
 
 def _pair(kind: str, said: str, wanted: str, shown: str) -> tuple[str, str, str, str, float]:

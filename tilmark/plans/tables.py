@@ -27,10 +27,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("item_id").alias("idx"), F.floor(F.col("item_id") / 10 + 1).cast("int").alias("surah"), (F.col("item_id") % 10 + 1).cast("int").alias("ayah"), normalise(original).alias("plain"), original.alias("original"))
 
 
-def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(hyp_id, text, surah, ayah): verses with words left out (places 3 of 7), spelt backwards (2 of 5) or said twice (6 of 11)."""
-    words = tokenise("plain")
-    said = F.flatten(
+def said(words: Column) -> Column:
+    """Words as they might be heard: some left out (places 3 of 7), spelt backwards (2 of 5) or said twice (6 of 11)."""
+    return F.flatten(
         F.transform(
             words,
             lambda w, i: F.when((i + 1) % 7 == 3, F.array().cast("array<string>"))
@@ -39,7 +38,11 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.array(w)),
         )
     )
-    return corpus(spark, sf_dir).select(F.col("idx").alias("hyp_id"), F.array_join(said, " ").alias("text"), "surah", "ayah")
+
+
+def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(hyp_id, text, surah, ayah): verses as they might be heard."""
+    return corpus(spark, sf_dir).select(F.col("idx").alias("hyp_id"), F.array_join(said(tokenise("plain")), " ").alias("text"), "surah", "ayah")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tilmark.operators.match import best_verses
 from tilmark.operators.segment import segment
 from tilmark.operators.transcribe import WordStub, transcribe
 from tilmark.plans.report import with_report
-from tilmark.plans.tables import corpus, dressed, frames, hypotheses, table
+from tilmark.plans.tables import corpus, dressed, frames, hypotheses, said, table
 from tilmark.sources import corpus as corpora
 
 CHUNK, OVERLAP = 24, 4
@@ -128,6 +128,26 @@ def align_words(spark, d):
     return each.select("hyp_id", "place", "w.*")
 
 
+def _documents_said(spark, d):
+    """Whole documents, and how they might be heard."""
+    return table(spark, d, "documents").select("doc_id", text.normalise(dressed("text")).alias("ref")).select("doc_id", "ref", said(text.tokenise("ref")).alias("h"))
+
+
+def align_documents(spark, d):
+    """Word alignments of whole documents: how many words of each status, and the statuses in order as a digest."""
+    from tilmark.operators.align import word_alignments
+
+    pairs = _documents_said(spark, d).select("doc_id", F.array_join("h", " ").alias("hypothesis"), F.col("ref").alias("reference_plain"), F.col("ref").alias("reference_with_diacritics"))
+    out = word_alignments(pairs)
+    kinds = F.transform("word_alignments", lambda w: F.substring(w["status"], 1, 1))
+    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind[0])).alias(f"n_{kind}")
+    return out.select("doc_id", kinds.alias("kinds")).select("doc_id", *[count(k) for k in ("correct", "substitution", "deletion", "insertion")], F.sha2(F.array_join("kinds", ""), 256).alias("statuses_sha256"))
+
+
+def wer_documents(spark, d):
+    return _documents_said(spark, d).select("doc_id", metrics.wer(F.col("h"), text.tokenise("ref")).alias("wer"))
+
+
 def align_counts(spark, d):
     each = _exact(spark, d).select("hyp_id", F.explode("word_alignments").alias("w"))
     count = lambda s: F.count_if(F.col("w.status") == s)
@@ -306,7 +326,7 @@ def transcribe_stub(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "norm_full norm_steps tokenise strip_end_of_ayah wer accuracy micro_wer cer indel_ratio word_ratio token_set fuzzy_top1_scoped fuzzy_top1_global fuzzy_top1_turns "
-        "below_threshold exact_match not_found align_words align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_counts ayahs_per_surah surah_lookup verse_lookup "
+        "below_threshold exact_match not_found align_words align_documents wer_documents align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_counts ayahs_per_surah surah_lookup verse_lookup "
         "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_frames_preroll vad_stream resample wav_decode transcribe_stub"
     )
     return {n: globals()[n] for n in names.split()}
