@@ -24,7 +24,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from tilmark.llm.runtime import written
 
 BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 BROADCAST_PAIRS = 500_000
 BLANK = "▁"
 #: A blank with a sign that is no blank before it, and one that is no white space after it.
@@ -114,48 +114,54 @@ def united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-@dataclass(slots=True)
+@dataclass
 class Linked:
-    """What a unit, or a whole text, holds."""
+    """What texts that were laid end to end hold, one place each: tokens, groups (also as text), and the pairs from begin[i] to begin[i + 1]."""
 
-    n_a: int = 0
-    n_b: int = 0
-    n_groups: int = 0
-    groups: str = ""
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: list[str]
+    begin: np.ndarray
+    pairs: np.ndarray
 
 
-def linked(pair: Pair, a: list[list[int]], b: list[list[int]]) -> list[Linked]:
-    """Components and links of texts whose tokens (ids by A, ids by B) have equal bytes. The texts are laid end to end; no link crosses from one to the next."""
-    sizes_a, sizes_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    ids_a, ids_b = (np.fromiter((i for x in own for i in x), np.int64) for own in (a, b))
-    n, m = len(ids_a), len(ids_b)
+def linked(pair: Pair, ids_a: np.ndarray, ids_b: np.ndarray, cuts: np.ndarray) -> Linked | None:
+    """Components and links of texts laid end to end, which end at the bytes `cuts`; None where a token crosses one. The tokens of both have equal bytes."""
+    n, m, k = len(ids_a), len(ids_b), len(cuts)
     end_a, end_b = np.cumsum(pair.a_size[ids_a]), np.cumsum(pair.b_size[ids_b])
-    ends = np.union1d(end_a, end_b)  # every byte range between two ends lies in one token of A and one of B
+    upto_a, upto_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
+    if not (np.array_equal(end_a[upto_a], cuts) and np.array_equal(end_b[upto_b], cuts)):
+        return None
+    upto_a, upto_b = upto_a + 1, upto_b + 1
+    ends = np.sort(np.concatenate((end_a, end_b)), kind="stable")
+    ends = ends[np.append(True, ends[1:] != ends[:-1])]  # every byte range between two ends lies in one token of A and one of B
     of_a, of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
     root = united(n + m, of_a, n + of_b)  # a component's root is its first token of A
     pairs = ids_a[of_a] << 32 | ids_b[of_b]
-    last_a, last_b = (np.append(r[1:] != r[:-1], True) if len(r) else np.empty(0, bool) for r in (root[:n], root[n:]))
+    last_a, last_b = (np.append(r[1:] != r[:-1], True) for r in (root[:n], root[n:]))
     signs = np.concatenate((ids_a + len(pair.a_bytes) * last_a, 2 * len(pair.a_bytes) + ids_b + len(pair.b_bytes) * last_b))
     members = np.argsort(root * 2 + (np.arange(n + m) >= n), kind="stable")
-    text = [pair.signs[i] for i in signs[members].tolist()]
-    begin = np.cumsum(sizes_a + sizes_b) - sizes_a - sizes_b
-    upto_a = np.cumsum(sizes_a)
-    link_end = np.searchsorted(of_a, upto_a)
-    groups_upto = np.append(0, np.cumsum(last_a))[upto_a]
-    out, link, group = [], 0, 0
-    for k, (na, nb, at) in enumerate(zip(sizes_a.tolist(), sizes_b.tolist(), begin.tolist(), strict=True)):
-        out.append(Linked(na, nb, int(groups_upto[k]) - group, "".join(text[at : at + na + nb])[:-1], pairs[link : link_end[k]]))
-        link, group = int(link_end[k]), int(groups_upto[k])
-    return out
+    text = list(map(pair.signs.__getitem__, signs[members].tolist()))
+    both = (upto_a + upto_b).tolist()
+    groups = ["".join(text[i:j])[:-1] for i, j in zip([0, *both], both, strict=False)]
+    begin = np.append(0, np.searchsorted(ends, cuts) + 1)
+    upto_groups = np.append(0, np.cumsum(last_a)[upto_a - 1])
+    return Linked(np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0), np.diff(upto_groups), groups, begin, pairs) if k else None
 
 
 class Aligner:
-    """Links of texts, by units that are remembered."""
+    """Links of texts, by units that are remembered: each has a place in arrays, its pairs lie one after the other."""
 
     def __init__(self, pair: Pair, remembered: int = REMEMBERED):
         self.pair, self.remembered = pair, remembered
-        self.known: dict[str, Linked | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.counts = np.empty((3, 0), np.int64)
+        self.begin, self.pairs = np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def cut(self, text: str) -> list[str]:
         """A text's units, without the blank that each begins with."""
@@ -163,33 +169,67 @@ class Aligner:
             return [text]
         return CUT.split(text) if ODD.search(text) else text.split(" ")
 
+    def encoded(self, texts: list[str], joined: bool) -> Linked | None:
+        """texts, encoded as one text with a blank between any two, where that cuts them as each by itself; None if the bytes differ."""
+        if joined:
+            whole = " ".join(texts)
+            (a,), (b,) = self.pair.encode([whole])
+            if not self.pair.whole(whole, a, b):
+                return None
+        else:
+            parts_a, parts_b = self.pair.encode(texts)
+            if not all(map(self.pair.whole, texts, parts_a, parts_b)):
+                return None
+            a, b = ([i for part in own for i in part] for own in (parts_a, parts_b))
+        return linked(self.pair, np.array(a, np.int64), np.array(b, np.int64), np.cumsum([len(t.encode()) + 1 for t in texts]))
+
     def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.known]
+        new = [u for u in units if u not in self.places]
         if not new:
             return
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
+        if self.places and len(self.places) + len(new) > self.remembered:
+            self.forget()
             new = list(units)
-        a, b = self.pair.encode(new)
-        good = [self.pair.whole(*x) for x in zip(new, a, b, strict=True)]
-        found = iter(linked(self.pair, [x for x, g in zip(a, good, strict=True) if g], [x for x, g in zip(b, good, strict=True) if g]))
-        self.known.update((u, next(found) if g else None) for u, g in zip(new, good, strict=True))
+        plain = [u for u in new if u and self.pair.units and not u[0].isspace() and u[-1] != " "]
+        many = len(plain) > 1 and self.remember(plain, self.encoded(plain, True))
+        for u in set(new) - set(plain) if many else new:
+            if not self.remember([u], self.encoded([u], False)):
+                self.places[u] = -1
+
+    def remember(self, units: list[str], found: Linked | None) -> bool:
+        if found is None:
+            return False
+        self.places.update(zip(units, range(len(self.groups), len(self.groups) + len(units)), strict=True))
+        self.groups += found.groups
+        self.counts = np.concatenate((self.counts, np.stack((found.n_a, found.n_b, found.n_groups))), axis=1)
+        self.begin = np.concatenate((self.begin, self.begin[-1] + found.begin[1:]))
+        self.pairs = np.concatenate((self.pairs, found.pairs))
+        return True
 
     def texts(self, texts: Sequence[str | None]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text; pairs are sorted and different."""
         cuts = [self.cut(t) if t else [] for t in texts]
         self.learn({u for c in cuts for u in c})
         for text, cut in zip(texts, cuts, strict=True):
-            parts = [self.known[u] for u in cut]
-            if text and None in parts:
-                a, b = self.pair.encode([text])
-                parts = linked(self.pair, a, b) if self.pair.whole(text, a[0], b[0]) else []
-            if not parts:
+            places = list(map(self.places.__getitem__, cut))
+            if -1 in places:
+                whole = self.encoded([text], False)
+                yield (0, 0, 0, 0, "", *[np.empty(0, np.int64)] * 2) if whole is None else _row(whole.groups, np.stack((whole.n_a, whole.n_b, whole.n_groups)), whole.pairs)
+                continue
+            if not places:
                 yield 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
                 continue
-            pairs, times = np.unique(np.concatenate([p.pairs for p in parts]), return_counts=True)
-            sha = hashlib.sha256(";".join([p.groups for p in parts]).encode()).hexdigest()
-            yield sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), int(times.sum()), sha, pairs, times
+            at = np.array(places)
+            size = self.begin[at + 1] - self.begin[at]
+            own = np.repeat(self.begin[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            yield _row([self.groups[i] for i in places], self.counts[:, at], self.pairs[own])
+
+
+def _row(groups: list[str], counts: np.ndarray, pairs: np.ndarray) -> tuple:
+    n_a, n_b, n_groups = counts.sum(axis=1).tolist()
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return n_a, n_b, n_groups, len(pairs), hashlib.sha256(";".join(groups).encode()).hexdigest(), ordered[first], np.diff(np.append(first, len(pairs)))
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
