@@ -97,8 +97,10 @@ back AS (
     FROM back JOIN tables USING (hyp_id) WHERE i > 0 OR j > 0
   )
 ), aligned AS (SELECT *, row_number() OVER (PARTITION BY hyp_id ORDER BY step DESC) - 1 AS place FROM back WHERE step > 0)"""
+STREAMS = "user_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq"
+ONE_STREAM = "CAST(0 AS BIGINT) AS s, event_id AS seq"
 FRAMES = f"""
-frames AS (SELECT user_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, value > {SPEECH_ABOVE} AS speech FROM events),
+frames AS (SELECT {STREAMS}, event_id, value > {SPEECH_ABOVE} AS speech FROM events),
 counted AS (SELECT *, sum((NOT speech)::INT) OVER (PARTITION BY s ORDER BY seq) AS ns FROM frames),
 spans AS (
   SELECT a.s, a.seq AS start, b.seq AS stop FROM counted a JOIN counted b ON a.s = b.s AND a.speech AND NOT b.speech AND b.ns = a.ns + {SILENCE_LIMIT}
@@ -221,6 +223,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_id, coalesce(text, '') AS text, len(embedding) / 16000.0::DOUBLE AS duration_s, CAST((len(embedding) + {CHUNK - 1}) // {CHUNK} AS INT) AS n_chunks FROM embeddings LEFT JOIN said USING (vec_id)""",
         "text_join": f"SELECT conv_id, coalesce(string_agg(t, ' ' ORDER BY turn, t) FILTER (t <> ''), '') AS joined FROM (SELECT conv_id, turn, {stripped('text')} AS t FROM conversations) GROUP BY conv_id",
         "vad_segments": segments,
+        "vad_segments_pieces": segments.replace(STREAMS, ONE_STREAM),
         "vad_stream": segments,
         "vad_frames_preroll": f"WITH RECURSIVE {FRAMES} SELECT s AS stream_id, CAST(n AS INT) AS segment_no, CAST(row_number() OVER (PARTITION BY s, n ORDER BY seq) - 1 AS INT) AS place, seq FROM held",
     }

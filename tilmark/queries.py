@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +13,12 @@ from tilmark.operators.match import best_verses
 from tilmark.operators.segment import segment
 from tilmark.operators.transcribe import WordStub, transcribe
 from tilmark.plans.report import with_report
-from tilmark.plans.tables import corpus, dressed, frames, hypotheses, said, table
+from tilmark.plans.tables import SPEECH_ABOVE, corpus, dressed, frames, hypotheses, said, table
+from tilmark.plans import store
 from tilmark.sources import corpus as corpora
 
 CHUNK, OVERLAP = 24, 4
+PIECE = 512
 STUB_STEP = 8
 STUB_WORDS = ["one", "two", "three", "four", "five", "six", "seven"]
 
@@ -186,23 +187,11 @@ def corpus_counts(spark, d):
 
 def corpus_file(spark, d):
     """The corpus, written as a JSON file, read and made a table."""
-    at = f"{_shared(spark)}/corpus-{uuid.uuid4().hex}"
+    at = store.fresh(spark, "corpus")
     corpora.nested_json(corpus(spark, d)).coalesce(1).write.text(at)
     return corpora.index(corpora.flatten_nested(corpora.read_json(spark, at)))
 
 
-def _shared(spark):
-    """A folder that all executors see: in spark.checkpoint.dir, or in local mode a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="tilmark-")
-    return f"{where.rstrip('/')}/tilmark"
-
-
 def ayahs_per_surah(spark, d):
     return corpus(spark, d).groupBy("surah").agg(F.count("*").alias("ayahs"))
 
@@ -281,11 +270,19 @@ def vad_frames_preroll(spark, d):
     return segment(frames(spark, d)).select("stream_id", "segment_no", F.posexplode("seqs").alias("place", "seq"))
 
 
+def vad_segments_pieces(spark, d):
+    """All events as one stream of frames, segmented by many tasks."""
+    from tilmark.operators.segment_pieces import segment_pieces
+
+    one = table(spark, d, "events").select(F.lit(0).cast("long").alias("stream_id"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").cast("binary").alias("payload"), (F.col("value") > SPEECH_ABOVE).alias("is_speech"))
+    return segment_pieces(one, size=PIECE, parts=spark.sparkContext.defaultParallelism).select("stream_id", "segment_no", "start_seq", "end_seq", F.size("seqs").alias("n_frames"), F.hex("raw").alias("raw_hex"))
+
+
 def vad_stream(spark, d):
     """The segments of vad_segments, by Structured Streaming over stored frames."""
     from tilmark.streaming import live
 
-    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    base = store.fresh(spark, "stream")
     frames(spark, d).write.parquet(f"{base}/frames")
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     live.rocksdb(spark)
@@ -327,6 +324,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "norm_full norm_steps tokenise strip_end_of_ayah wer accuracy micro_wer cer indel_ratio word_ratio token_set fuzzy_top1_scoped fuzzy_top1_global fuzzy_top1_turns "
         "below_threshold exact_match not_found align_words align_documents wer_documents align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_counts ayahs_per_surah surah_lookup verse_lookup "
-        "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_frames_preroll vad_stream resample wav_decode transcribe_stub"
+        "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_segments_pieces vad_frames_preroll vad_stream resample wav_decode transcribe_stub"
     )
     return {n: globals()[n] for n in names.split()}
