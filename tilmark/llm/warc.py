@@ -38,6 +38,8 @@ FILE_BYTES = 1_000_000_000
 BROADCAST_GROUPS = 200_000
 #: Copies that one task makes of a row at a time.
 RUN = 10_000
+#: Tasks that read ranges, where there are so many.
+MOST_TASKS = 50_000
 RESPONSE, REVISIT = "response", "revisit"
 #: Fixed values of the format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -342,7 +344,8 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK_BYTES, content: bool =
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return manifest.select("file", "begin", "end").repartition("file", "begin").mapInArrow(run, RECORDS)
+    ranges = max(1, min(MOST_TASKS, manifest.count()))
+    return manifest.select("file", "begin", "end").repartition(ranges).mapInArrow(run, RECORDS)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
