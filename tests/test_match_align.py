@@ -49,8 +49,18 @@ def test_best_of_all_pairs(spark, monkeypatch):
         best = max(scored, default=(0.0, 0))
         wanted[k] = (-best[1], best[0]) if best[0] >= 40 else (None, None)
     assert {r["hyp_id"]: (r["idx"], r["match_score"]) for r in match.best_verses(frame, table).collect()} == wanted
+    for size, slot_rows in ((1, 200), (13, 7), (1000, 40)):
+        blocked = match.best_verses_by_blocks(frame.withColumn("clash", F.lit("x")), table.repartition(3), size=size, slot_rows=slot_rows)
+        assert blocked.columns == ["hyp_id", "hypothesis", "clash", "idx", "match_score"]
+        assert {r["hyp_id"]: (r["idx"], r["match_score"]) for r in blocked.collect()} == wanted
     monkeypatch.setattr(match, "MAX_BLOCK", 25)
+    assert match.verse_index(table) is None
     assert {r["hyp_id"]: (r["idx"], r["match_score"]) for r in match.best_verses(frame, table).collect()} == wanted
+    assert match.best_verses(frame.limit(0), table).collect() == []
+    monkeypatch.setattr(match, "verse_index", lambda corpus: None)
+    assert {r["idx"] for r in match.best_verses(frame, table.limit(0)).collect()} == {None}
+    nothing = spark.createDataFrame([(1, None, None), (1, None, None)], "hyp_id long, hypothesis string, scope int")
+    assert [tuple(r) for r in match.best_verses(nothing, table).collect()] == [(1, None, None, None)] * 2
 
 
 def test_marks_by_position_or_joined(spark):

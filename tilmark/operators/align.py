@@ -84,7 +84,7 @@ def token_set_scores(a: Column | str, b: Column | str) -> Column:
     return score(a, b)
 
 
-def align(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, strict: bool = False, corrected: bool = False, keep: Sequence[str] = (), indexes: list[VerseIndex] | None = None) -> DataFrame:
+def align(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, strict: bool = False, corrected: bool = False, keep: Sequence[str] = (), index: VerseIndex | None = None) -> DataFrame:
     """hyps (hyp_id, text, surah, ayah) with their results, and the columns to keep. With surah and ayah the verse is looked up, whatever its score;
     with surah only, the best verse of the surah counts; else the best of all (an ayah without surah is not used). hyps are read once.
 
@@ -92,7 +92,7 @@ def align(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, stri
     keyed = F.col("surah").isNotNull() & F.col("ayah").isNotNull()
     named = hyps.select("hyp_id", normalise("text").alias("said"), "surah", "ayah", keyed.alias("keyed"), *keep)
     asked = named.withColumns({"hypothesis": F.when(~F.col("keyed"), F.col("said")), "scope": F.col("surah")})
-    searched = best_verses(asked, corpus, threshold, indexes=indexes).drop("hypothesis")
+    searched = best_verses(asked, corpus, threshold, index=index).drop("hypothesis")
     verses = corpus.select("idx", F.col("surah").alias("surah_found"), F.col("ayah").alias("ayah_found"), "plain", "original")
     looked = with_verse(searched.withColumnRenamed("idx", "best"), corpus).withColumnsRenamed({"idx": "own", "plain": "own_plain", "original": "own_original"})
     both = looked.join(verses, looked["best"] == verses["idx"], "left")

@@ -1,7 +1,7 @@
 """Finding the verse of a hypothesis: by key, or by the best token-set score above a threshold.
 
-The corpus is a dimension of a few thousand verses. It is collected for the workers only up to MAX_BLOCK verses;
-a larger one is matched block by block, each keeping the better winner, so no pair of hypothesis and verse is ever a row.
+The corpus is mostly a dimension of a few thousand verses. It is collected for the workers only up to MAX_BLOCK verses;
+a larger one stays distributed, and its blocks pass by the hypotheses of each task, each keeping the better winner, so no pair of hypothesis and verse is ever a row.
 In a worker, scores of all verses are bounded from above at once: the lengths of shared and of differing tokens are
 known from an inverted index, and the common subsequence of the rest is at most its common characters. Verses are then
 scored exactly in falling order of the bound until no bound can win.
@@ -9,7 +9,7 @@ scored exactly in falling order of the bound until no bound can win.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from tilmark.functions.similarity import token_set_ratio
 
 THRESHOLD = 40.0
+#: Verses of a corpus that is sent to the workers, those of a block of a larger one, and hypotheses that a task holds.
 MAX_BLOCK = 20_000
+BLOCK = 2_000
+SLOT_ROWS = 20_000
 EXACT, MATCHED, NOT_FOUND, BELOW = "exact", "matched", "not_found", "below_threshold"
 
 
@@ -96,38 +99,85 @@ class VerseIndex:
         return (winner[1], winner[0]) if winner else None
 
 
-def verse_indexes(corpus: DataFrame) -> list[VerseIndex]:
-    """The corpus in blocks of at most about MAX_BLOCK verses. To be made once where hypotheses come in many batches."""
-    verses = corpus.select("idx", "surah", "plain")
-    blocks = max(1, -(-verses.count() // MAX_BLOCK))
-    parts = [verses.filter(F.pmod("idx", F.lit(blocks)) == k) if blocks > 1 else verses for k in range(blocks)]
-    return [VerseIndex([(r["idx"], r["surah"], r["plain"]) for r in part.collect()]) for part in parts]
-
-
-def best_verses(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, spread: int | None = None, indexes: list[VerseIndex] | None = None) -> DataFrame:
+def verse_index(corpus: DataFrame) -> VerseIndex | None:
+    """The index of a corpus of at most MAX_BLOCK verses, else None. To be made once where hypotheses come in many batches."""
+    rows = corpus.select("idx", "surah", "plain").limit(MAX_BLOCK + 1).collect()
+    return VerseIndex([tuple(r) for r in rows]) if len(rows) <= MAX_BLOCK else None
+
+
+Best = tuple[int | None, float | None]
+
+
+def _better(index: VerseIndex, text: str | None, scope: int | None, so_far: Best, threshold: float) -> Best:
+    """The best verse so far (idx, score), or one of the index: a larger score, or an equal one with a smaller idx. What is known is the threshold."""
+    if text is None:
+        return so_far
+    i, w = so_far
+    new = index.best(text, scope, threshold if w is None else w)
+    if new is None or w is not None and (new[1], -int(index.idx[new[0]])) <= (w, -i):
+        return so_far
+    return int(index.idx[new[0]]), new[1]
+
+
+def verse_blocks(corpus: DataFrame, size: int) -> DataFrame:
+    """(block, verses) of about `size` verses, by their idx."""
+    verses = F.collect_list(F.struct("idx", "surah", "plain")).alias("verses")
+    return corpus.select(F.col("idx").cast("long").alias("idx"), F.col("surah").cast("long").alias("surah"), "plain").groupBy(F.floor(F.col("idx") / size).cast("long").alias("block")).agg(verses)
+
+
+def best_verses_by_blocks(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, size: int = BLOCK, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """best_verses against a corpus of any size, which stays a distributed table. hyps are dealt evenly to slots of at most slot_rows, every slot gets all
+    blocks, and its task takes them one after the other, each with the best scores so far as thresholds. A task holds its hypotheses and one block; equal hypotheses are searched once."""
+    spark = hyps.sparkSession
+    named = hyps.withColumn("scope", F.col("scope").cast("int"))
+    rows = named.count()
+    slots = max(1, -(-rows // slot_rows), min(rows, spark.sparkContext.defaultParallelism))
+    asked = named.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int").alias("_slot"), F.lit(None).cast("long").alias("_block"), F.lit(None).cast("array<struct<idx:bigint,surah:bigint,plain:string>>").alias("_verses"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("_slot")
+    blocks = verse_blocks(corpus, size).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in named.schema.fields], every, F.col("block").alias("_block"), F.col("verses").alias("_verses"))
+    dealt = asked.unionByName(blocks).repartitionById(slots, "_slot").sortWithinPartitions(F.col("_block").asc_nulls_first())
+    names = named.columns
+    width, text, scope = len(names), names.index("hypothesis"), names.index("scope")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        best: dict[tuple[str | None, int | None], Best] = {}
+        for batch in batches:
+            asked_rows = batch.column(width + 1).null_count
+            if asked_rows:
+                held.append(own := batch.slice(0, asked_rows))
+                best |= dict.fromkeys(zip(own.column(text).to_pylist(), own.column(scope).to_pylist(), strict=True), (None, None))
+            for i in range(asked_rows, len(batch)):
+                verses = batch.column(width + 2)[i].values
+                index = VerseIndex(list(zip(*(verses.field(f).to_pylist() for f in ("idx", "surah", "plain")), strict=True)))
+                for key, found in best.items():
+                    best[key] = _better(index, *key, found, threshold)
+        for own in held:
+            found = [best[key] for key in zip(own.column(text).to_pylist(), own.column(scope).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*own.columns[:width], pa.array([i for i, _ in found], pa.int64()), pa.array([w for _, w in found], pa.float64())], names=[*names, "idx", "match_score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
+    return dealt.mapInArrow(run, f"{schema}, idx long, match_score double").drop("scope")
+
+
+def best_verses(hyps: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, spread: int | None = None, index: VerseIndex | None = None) -> DataFrame:
     """hyps (hypothesis in normal form or null, scope: a surah or null, and any other columns) with idx and match_score of the best verse, or nulls.
-    Blocks of a large corpus are tried one after the other on the rows as they pass, so hyps are read once and need no key. spread: deal hyps to so many
+    A corpus of at most MAX_BLOCK verses is sent to the workers, and hyps are read once where they lie; a larger one is searched by blocks, without being collected. spread: deal hyps to so many
     tasks first, which pays where they come in a few small files; splits of large inputs need none."""
+    index = index or verse_index(corpus)
+    if index is None:
+        return best_verses_by_blocks(hyps, corpus, threshold)
     found = hyps.repartition(spread) if spread else hyps
     found = found.withColumns({"scope": F.col("scope").cast("int"), "idx": F.lit(None).cast("long"), "match_score": F.lit(None).cast("double")})
     text, scope, at, score = (found.columns.index(c) for c in ("hypothesis", "scope", "idx", "match_score"))
 
-    def finder(index: VerseIndex) -> Callable:
-        def best(t: str | None, s: int | None, i: int | None, w: float | None) -> tuple[int | None, float | None]:
-            new = index.best(t, s, threshold if w is None else w) if t is not None else None
-            if new is None or w is not None and (new[1], -int(index.idx[new[0]])) <= (w, -i):
-                return i, w
-            return int(index.idx[new[0]]), new[1]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [best(*x) for x in zip(*(batch.column(k).to_pylist() for k in (text, scope, at, score)), strict=True)]
-                columns = list(batch.columns)
-                columns[at], columns[score] = pa.array([i for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.float64())
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        return run
-
-    for index in indexes or verse_indexes(corpus):
-        found = found.mapInArrow(finder(index), found.schema)
-    return found.drop("scope")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = list(zip(batch.column(text).to_pylist(), batch.column(scope).to_pylist(), strict=True))
+            once = {key: _better(index, *key, (None, None), threshold) for key in set(asked)}
+            rows = [once[key] for key in asked]
+            columns = list(batch.columns)
+            columns[at], columns[score] = pa.array([i for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.float64())
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return found.mapInArrow(run, found.schema).drop("scope")

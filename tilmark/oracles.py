@@ -163,6 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "token_set": f"WITH {exact} SELECT hyp_id, score FROM scored",
         "fuzzy_top1_scoped": f"WITH {_best(True, THRESHOLD)} SELECT hyp_id, won.idx, score AS match_score FROM hyps LEFT JOIN won USING (hyp_id)",
         "fuzzy_top1_global": f"WITH {_best(False, THRESHOLD)} SELECT hyp_id, won.idx, score AS match_score FROM hyps LEFT JOIN won USING (hyp_id)",
+        "fuzzy_top1_blocks": f"WITH {_best(False, THRESHOLD)} SELECT hyp_id, won.idx, score AS match_score FROM hyps LEFT JOIN won USING (hyp_id)",
         "below_threshold": f"""WITH {_best(True, 80.0)} SELECT hyp_id, CASE WHEN won.idx IS NULL THEN 'below_threshold' ELSE 'matched' END AS match_status, v.surah, v.ayah
             FROM hyps LEFT JOIN won USING (hyp_id) LEFT JOIN verses v ON v.idx = won.idx""",
         "exact_match": f"""WITH {exact}, c AS (SELECT *, {hc} AS h, {rc} AS r FROM pairs)

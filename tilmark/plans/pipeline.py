@@ -40,19 +40,19 @@ def run_files(spark: SparkSession, path: str, corpus: DataFrame, make: Callable[
     return _scoped(heard.select("hyp_id", "path", F.when(F.col("read_error").isNull(), F.col("transcript.text")).alias("text"), F.coalesce("read_error", "model_error").alias("error")), corpus, config, ("path", "error"))
 
 
-def run_segments(segments: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None, least: int = MIN_SAMPLES, indexes: list[VerseIndex] | None = None) -> DataFrame:
+def run_segments(segments: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None, least: int = MIN_SAMPLES, index: VerseIndex | None = None) -> DataFrame:
     """Results of PCM segments (hyp_id, raw); those shorter than `least` samples are left out."""
     waves = segments.select("hyp_id", pcm16_to_float("raw").alias("samples")).filter(long_enough("samples", least))
-    return run_waves(waves, corpus, make, config, indexes)
+    return run_waves(waves, corpus, make, config, index)
 
 
-def run_waves(waves: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None, indexes: list[VerseIndex] | None = None) -> DataFrame:
+def run_waves(waves: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber], config: Config | None = None, index: VerseIndex | None = None) -> DataFrame:
     """Results of waveforms (hyp_id, samples), which are taken as they are, with error: where the model fails, the status is failed."""
     heard = transcribe(waves, make, guard=True).select("hyp_id", F.col("transcript.text").alias("text"), F.col("model_error").alias("error"))
-    return _scoped(heard, corpus, config or Config(), ("error",), indexes)
+    return _scoped(heard, corpus, config or Config(), ("error",), index)
 
 
-def _scoped(heard: DataFrame, corpus: DataFrame, config: Config, keep: tuple[str, ...], indexes: list[VerseIndex] | None = None) -> DataFrame:
+def _scoped(heard: DataFrame, corpus: DataFrame, config: Config, keep: tuple[str, ...], index: VerseIndex | None = None) -> DataFrame:
     hyps = heard.withColumns({"surah": F.lit(config.surah).cast("int"), "ayah": F.lit(config.ayah).cast("int")})
-    found = align(hyps, corpus, config.threshold, keep=keep, indexes=indexes)
+    found = align(hyps, corpus, config.threshold, keep=keep, index=index)
     return found.withColumn("match_status", F.when(F.col("error").isNotNull(), FAILED).otherwise(F.col("match_status")))

@@ -103,6 +103,14 @@ def fuzzy_top1_global(spark, d):
     return _searched(spark, d, False)
 
 
+def fuzzy_top1_blocks(spark, d):
+    """fuzzy_top1_global with the corpus left distributed, in blocks of 7 verses."""
+    from tilmark.operators.match import best_verses_by_blocks
+
+    h = hypotheses(spark, d).select("hyp_id", text.normalise("text").alias("hypothesis"), F.lit(None).cast("int").alias("scope"))
+    return best_verses_by_blocks(h, corpus(spark, d), size=7).select("hyp_id", "idx", "match_score")
+
+
 def fuzzy_top1_turns(spark, d):
     h = table(spark, d, "conversations").select(F.xxhash64("conv_id", "turn", "text").alias("hyp_id"), text.normalise(dressed("text")).alias("hypothesis"), F.lit(None).cast("int").alias("scope"))
     return best_verses(h, corpus(spark, d), spread=spark.sparkContext.defaultParallelism).select("hyp_id", "idx", "match_score")
@@ -322,7 +330,7 @@ def transcribe_stub(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
-        "norm_full norm_steps tokenise strip_end_of_ayah wer accuracy micro_wer cer indel_ratio word_ratio token_set fuzzy_top1_scoped fuzzy_top1_global fuzzy_top1_turns "
+        "norm_full norm_steps tokenise strip_end_of_ayah wer accuracy micro_wer cer indel_ratio word_ratio token_set fuzzy_top1_scoped fuzzy_top1_global fuzzy_top1_blocks fuzzy_top1_turns "
         "below_threshold exact_match not_found align_words align_documents wer_documents align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_counts ayahs_per_surah surah_lookup verse_lookup "
         "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_segments_pieces vad_frames_preroll vad_stream resample wav_decode transcribe_stub"
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tilmark.operators.match import verse_indexes
+from tilmark.operators.match import verse_index
 from tilmark.operators.segment import PRE_ROLL, SEGMENTS, SILENCE_LIMIT, Segmenter
 from tilmark.operators.transcribe import Transcriber
 from tilmark.plans.pipeline import Config, run_segments
@@ -85,11 +85,11 @@ def start(segments: DataFrame, corpus: DataFrame, make: Callable[[], Transcriber
     """Align every micro-batch of segments; on_results gets rows with a report, on_dead those without a verse or with a model error. A batch is transcribed
     once, and the corpus is indexed once. drain: take what is there and stop."""
     limits = {} if least is None else {"least": least}
-    indexes = verse_indexes(corpus)
+    index = verse_index(corpus)
 
     def each(batch: DataFrame, number: int) -> None:
         named = batch.select(F.xxhash64("stream_id", "segment_no").alias("hyp_id"), "raw")
-        out = with_report(run_segments(named, corpus, make, config, indexes=indexes, **limits)).persist(StorageLevel.DISK_ONLY)
+        out = with_report(run_segments(named, corpus, make, config, index=index, **limits)).persist(StorageLevel.DISK_ONLY)
         try:
             on_results(out.filter(F.col("match_status").isin("exact", "matched")), number)
             if on_dead:
