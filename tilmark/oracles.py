@@ -191,6 +191,7 @@ def oracle_sql() -> dict[str, str]:
               '  Word alignment:  [correct]  (substitution)  <deletion>  {{insertion}}', '', '  ' || m, repeat('=', 60), '') AS report FROM rates JOIN marks USING (hyp_id)""",
         "corpus_flatten": f"WITH {CORPUS} SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, surah, ayah, plain, original FROM verses",
         "corpus_file": f"WITH {CORPUS} SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, surah, ayah, plain, original FROM verses",
+        "corpus_scan": "SELECT CAST(conv_id AS INT) AS surah, CAST(turn AS INT) AS ayah, arg_max(text, text) AS original FROM conversations GROUP BY conv_id, turn",
         "corpus_counts": f"WITH {CORPUS} SELECT count(DISTINCT surah) + 1 AS surahs, count(*) AS ayahs FROM verses",
         "ayahs_per_surah": f"WITH {CORPUS} SELECT surah, count(*) AS ayahs FROM verses GROUP BY surah",
         "surah_lookup": f"WITH {CORPUS} SELECT ayah, original FROM verses WHERE surah = 2",

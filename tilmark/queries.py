@@ -19,6 +19,7 @@ from tilmark.sources import corpus as corpora
 
 CHUNK, OVERLAP = 24, 4
 PIECE = 512
+SPLIT = 1 << 16
 STUB_STEP = 8
 STUB_WORDS = ["one", "two", "three", "four", "five", "six", "seven"]
 
@@ -200,6 +201,17 @@ def corpus_file(spark, d):
     return corpora.index(corpora.flatten_nested(corpora.read_json(spark, at)))
 
 
+def corpus_scan(spark, d):
+    """Conversations as one JSON document, cut into turns by many tasks."""
+    from tilmark.sources.corpus_scan import scan_nested
+
+    with store.step():
+        at = store.fresh(spark, "document")
+        corpora.write_nested(table(spark, d, "conversations").select(F.col("conv_id").alias("surah"), F.col("turn").alias("ayah"), "text"), at)
+        verses = scan_nested(spark, at, split=SPLIT)
+    return verses.select("surah", "ayah", "original")
+
+
 def ayahs_per_surah(spark, d):
     return corpus(spark, d).groupBy("surah").agg(F.count("*").alias("ayahs"))
 
@@ -331,7 +343,7 @@ def transcribe_stub(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "norm_full norm_steps tokenise strip_end_of_ayah wer accuracy micro_wer cer indel_ratio word_ratio token_set fuzzy_top1_scoped fuzzy_top1_global fuzzy_top1_blocks fuzzy_top1_turns "
-        "below_threshold exact_match not_found align_words align_documents wer_documents align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_counts ayahs_per_surah surah_lookup verse_lookup "
+        "below_threshold exact_match not_found align_words align_documents wer_documents align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_scan corpus_counts ayahs_per_surah surah_lookup verse_lookup "
         "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_segments_pieces vad_frames_preroll vad_stream resample wav_decode transcribe_stub"
     )
     return {n: globals()[n] for n in names.split()}

@@ -74,7 +74,9 @@ def load_corpus(spark: SparkSession, table: str, document: str | None = None, ur
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(whole):  # nothing there, or a write that broke off
         if document is not None:
-            verses = flatten_nested(read_json(spark, document))
+            from tilmark.sources.corpus_scan import scan_nested
+
+            verses = scan_nested(spark, document)
         elif url is not None:
             verses = parse_service(spark.createDataFrame([(download(url),)], "document string"))
         else:
@@ -101,6 +103,18 @@ def nested_json(corpus: DataFrame) -> DataFrame:
     return whole.select(F.to_json(F.map_from_entries(F.transform("s", lambda x: F.struct(x["surah"], F.map_from_entries(x["ayahs"]))))).alias("value"))
 
 
+def write_nested(verses: DataFrame, path: str) -> None:
+    """Verses (surah, ayah, text) as one nested document in one file, a surah to a line, in order; of a repeated ayah the largest text is last. Its one task writes line by line, and
+    what is held is a surah."""
+    entry = lambda key, value: F.concat(F.to_json(F.array(key.cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(key.cast("string")))) - 2), F.lit(":"), value)
+    ayahs = F.transform(F.array_sort(F.collect_list(F.struct("ayah", "text"))), lambda x: entry(x["ayah"], F.to_json(F.struct(x["text"].alias("text")))))
+    lines = verses.groupBy("surah").agg(F.array_join(ayahs, ",").alias("v")).select(F.lit(1).alias("at"), "surah", entry(F.col("surah"), F.concat(F.lit("{"), "v", F.lit("}"))).alias("v"))
+    first = lines.agg(F.min("surah").alias("first"))
+    rows = lines.join(F.broadcast(first), F.lit(True)).select("at", "surah", F.when(F.col("surah") == F.col("first"), F.col("v")).otherwise(F.concat(F.lit(","), "v")).alias("v"))
+    frame = verses.sparkSession.createDataFrame([(0, "{"), (2, "}")], "at int, v string").select("at", F.lit(None).cast(verses.schema["surah"].dataType).alias("surah"), "v")
+    rows.unionByName(frame).repartition(1).sortWithinPartitions("at", "surah").select("v").write.mode("overwrite").text(path)
+
+
 def write_json(corpus: DataFrame, path: str, indent: int = 2) -> None:
     """Store a corpus as an indented JSON document."""
     spark = corpus.sparkSession
