@@ -171,9 +171,10 @@ def oracle_sql() -> dict[str, str]:
         "not_found": f"""WITH {HYPS} SELECT hyps.hyp_id, CASE WHEN v.idx IS NULL THEN 'not_found' ELSE 'exact' END AS match_status, hyps.surah, CAST(hyps.ayah + 5 AS INT) AS ayah,
             CASE WHEN v.idx IS NOT NULL THEN {rate(words('hyp'), words('v.plain'))} END AS wer
             FROM hyps LEFT JOIN verses v ON v.surah = hyps.surah AND v.ayah = hyps.ayah + 5""",
-        "align_words": f"""WITH RECURSIVE {STEPS}, c AS (SELECT *, {chars('h')} AS hc, {chars('r')} AS rc FROM aligned)
+        "align_words": (aligned := f"""WITH RECURSIVE {STEPS}, c AS (SELECT *, {chars('h')} AS hc, {chars('r')} AS rc FROM aligned)
             SELECT hyp_id, CAST(place AS INT) AS place, h AS hyp_word, r AS ref_word, d AS ref_word_with_diac, status,
-              CASE status WHEN 'correct' THEN 1.0::DOUBLE WHEN 'substitution' THEN (100.0::DOUBLE - 100.0::DOUBLE * (len(hc) + len(rc) - 2 * {lcs('hc', 'rc')}) / (len(hc) + len(rc))) / 100 ELSE 0.0 END AS similarity FROM c""",
+              CASE status WHEN 'correct' THEN 1.0::DOUBLE WHEN 'substitution' THEN (100.0::DOUBLE - 100.0::DOUBLE * (len(hc) + len(rc) - 2 * {lcs('hc', 'rc')}) / (len(hc) + len(rc))) / 100 ELSE 0.0 END AS similarity FROM c"""),
+        "align_words_sql": aligned,
         "align_counts": f"""WITH RECURSIVE {STEPS} SELECT hyp_id, {", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in ("correct", "substitution", "deletion", "insertion"))}, count(*) AS total
             FROM aligned GROUP BY hyp_id""",
         "correct_words": f"WITH RECURSIVE {STEPS} SELECT hyp_id, coalesce(string_agg(d, '|' ORDER BY place) FILTER (status = 'correct'), '') AS words FROM aligned GROUP BY hyp_id",
@@ -214,6 +215,15 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT p, k, greatest(-{SINC_WIDTH}, least({SINC_WIDTH}, (k - p / 2.0::DOUBLE) * {SINC_ROLLOFF}::DOUBLE)) AS t FROM range(0, 2) AS a(p), range(-7, 8) AS b(k))
             ) SELECT vec_id, CAST(2 * i + p AS INT) AS place, round(CAST(CAST(sum(coalesce(CASE WHEN i + k >= 0 THEN e[i + k + 1] END, 0)::DOUBLE * v) AS FLOAT) AS DOUBLE), 5) AS sample
             FROM w, unnest(range(0, len(e))) AS u(i), taps GROUP BY vec_id, i, p""",
+        "wav_chunks": f"""WITH e AS (
+              SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, CAST(((event_id * 7919 % 60000 - 30000) * CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) / 32768.0 AS FLOAT) AS x FROM events
+            ), taps AS (
+              SELECT p, k, CASE WHEN t = 0 THEN 1.0 ELSE sin(pi() * t) / (pi() * t) END * cos(t * pi() / {2 * SINC_WIDTH}) ** 2 * {SINC_ROLLOFF}::DOUBLE AS v
+              FROM (SELECT p, k, greatest(-{SINC_WIDTH}, least({SINC_WIDTH}, (k - p / 2.0::DOUBLE) * {SINC_ROLLOFF}::DOUBLE)) AS t FROM range(0, 2) AS a(p), range(-7, 8) AS b(k))
+            ), y AS (SELECT 2 * e.i + p AS o, CAST(sum(coalesce(f.x, 0)::DOUBLE * v) AS FLOAT) AS x FROM e, taps LEFT JOIN e f ON f.i = e.i + k GROUP BY ALL),
+            z AS (SELECT o, x * (0.95::FLOAT / max(abs(x)) OVER ()) AS x, count(*) OVER () AS n FROM y)
+            SELECT CAST(c AS BIGINT) AS chunk, CAST(c * 900 AS BIGINT) AS start, CAST(o - c * 900 AS INT) AS place, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS sample
+            FROM z, unnest(range(greatest(0, (o - 100) // 900), o // 900 + 1)) AS u(c) WHERE o - c * 900 < 1000 AND (c = 0 OR (c - 1) * 900 + 1000 < n)""",
         "wav_decode": """SELECT p_partkey, CAST(NULL AS VARCHAR) AS error, CAST(i AS INT) AS place, CAST((l::FLOAT + r::FLOAT) / 2 AS FLOAT) AS sample FROM (
               SELECT p_partkey, i, (s[2 * i + 1] + 32768) % 65536 - 32768 AS li, CAST(((s[2 * i + 1] + 32768) % 65536 - 32768) / 32768.0 AS FLOAT) AS l, CAST(((s[2 * i + 2] + 32768) % 65536 - 32768) / 32768.0 AS FLOAT) AS r
               FROM (SELECT p_partkey, list_transform(range(0, 64), lambda j: CAST('0x' || h[4 * j + 1 : 4 * j + 2] AS INT) + 256 * CAST('0x' || h[4 * j + 3 : 4 * j + 4] AS INT)) AS s

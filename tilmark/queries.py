@@ -138,6 +138,15 @@ def align_words(spark, d):
     return each.select("hyp_id", "place", "w.*")
 
 
+def align_words_sql(spark, d):
+    """align_words by SQL: a lateral join with a table function."""
+    from tilmark.functions.register import register
+
+    register(spark)
+    pairs = hypotheses(spark, d).join(corpus(spark, d), ["surah", "ayah"]).select("hyp_id", text.normalise("text").alias("hyp"), "plain", "original")
+    return spark.sql("SELECT hyp_id, w.* FROM {pairs} p, LATERAL aligned_words(p.hyp, p.plain, p.original) w", pairs=pairs)
+
+
 def _documents_said(spark, d):
     """Whole documents, and how they might be heard."""
     return table(spark, d, "documents").select("doc_id", text.normalise(dressed("text")).alias("ref")).select("doc_id", "ref", said(text.tokenise("ref")).alias("h"))
@@ -331,6 +340,17 @@ def wav_decode(spark, d):
     return decoded(files, normalise=False).select(F.col("path").cast("long").alias("p_partkey"), "error", F.posexplode("samples").alias("place", "sample"))
 
 
+def wav_chunks(spark, d):
+    """All events as one WAV file at 8 kHz, read as chunks of 1,000 samples at 16 kHz with 100 in common, scaled by the peak of the file."""
+    from tilmark.sources.audio_blocks import read_chunks, write_wav
+
+    with store.step():
+        value = (F.col("event_id") * 7919 % 60_000 - 30_000) * F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+        at = write_wav(table(spark, d, "events").select(F.col("event_id").alias("i"), value.alias("sample")), store.fresh(spark, "waves"), 8000)
+        chunks = read_chunks(spark, at, 1000, 100)
+    return chunks.select("chunk", "start", F.posexplode("samples").alias("place", "sample")).withColumn("sample", F.round(F.col("sample").cast("double"), 5))
+
+
 def _stub():
     return WordStub(STUB_WORDS, STUB_STEP)
 
@@ -343,7 +363,7 @@ def transcribe_stub(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "norm_full norm_steps tokenise strip_end_of_ayah wer accuracy micro_wer cer indel_ratio word_ratio token_set fuzzy_top1_scoped fuzzy_top1_global fuzzy_top1_blocks fuzzy_top1_turns "
-        "below_threshold exact_match not_found align_words align_documents wer_documents align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_scan corpus_counts ayahs_per_surah surah_lookup verse_lookup "
-        "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_segments_pieces vad_frames_preroll vad_stream resample wav_decode transcribe_stub"
+        "below_threshold exact_match not_found align_words align_words_sql align_documents wer_documents align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_scan corpus_counts ayahs_per_surah surah_lookup verse_lookup "
+        "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_segments_pieces vad_frames_preroll vad_stream resample wav_decode wav_chunks transcribe_stub"
     )
     return {n: globals()[n] for n in names.split()}

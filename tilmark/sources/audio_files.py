@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import math
 import wave
@@ -17,11 +18,13 @@ from tilmark.functions.audio import RATE, duration, peak_normalise
 WIDTH, ROLLOFF = 6, 0.99
 
 
-def resample(samples: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
-    """Windowed-sinc resampling; the identity where rates are equal. The result has ceil(n * target / rate) samples."""
-    samples = np.asarray(samples, np.float32)
-    if rate == target or not len(samples):
-        return samples
+#: Groups of output samples (one of each phase) that are made at a time.
+GROUPS = 256
+
+
+@functools.lru_cache(maxsize=8)
+def kernel(rate: int, target: int) -> tuple[int, int, int, np.ndarray]:
+    """(down, up, reach, taps by phase): a group of `up` output samples comes of the input samples from `reach` before its place on."""
     g = math.gcd(rate, target)
     down, up = rate // g, target // g
     base = min(down, up) * ROLLOFF
@@ -29,17 +32,30 @@ def resample(samples: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
     offsets = np.arange(-reach, reach + down) / down
     phase = -np.arange(up)[:, None] / up + offsets[None, :]
     t = np.clip(phase * base, -WIDTH, WIDTH)
-    kernel = np.sinc(t) * np.cos(t * np.pi / WIDTH / 2) ** 2 * (base / down)
-    padded = np.pad(samples.astype(np.float64), (reach, reach + down))
-    count = math.ceil(len(samples) * up / down)
-    frames = np.lib.stride_tricks.sliding_window_view(padded, kernel.shape[1])[::down]
-    return (frames @ kernel.T).reshape(-1)[:count].astype(np.float32)
+    return down, up, reach, np.sinc(t) * np.cos(t * np.pi / WIDTH / 2) ** 2 * (base / down)
 
 
-def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """Channels (channel, sample) as floats in [-1, 1), and the rate, of PCM of 8, 16, 24 or 32 bits."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+def resample_groups(padded: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """The output samples of all groups whose input is in `padded`, which begins `reach` samples before the first group's place. Groups are made GROUPS at a time
+    from the first on, so that pieces that begin at multiples of GROUPS give the bits of the whole."""
+    down, _, _, taps = kernel(rate, target)
+    frames = np.lib.stride_tricks.sliding_window_view(padded.astype(np.float64), taps.shape[1])[::down]
+    return np.concatenate([(frames[at : at + GROUPS] @ taps.T).reshape(-1) for at in range(0, len(frames), GROUPS)] or [np.empty(0)]).astype(np.float32)
+
+
+def resample(samples: np.ndarray, rate: int, target: int = RATE) -> np.ndarray:
+    """Windowed-sinc resampling; the identity where rates are equal. The result has ceil(n * target / rate) samples."""
+    samples = np.asarray(samples, np.float32)
+    if rate == target or not len(samples):
+        return samples
+    down, up, reach, _ = kernel(rate, target)
+    groups = -(-len(samples) // down)
+    padded = np.pad(samples, (reach, groups * down + reach - len(samples)))
+    return resample_groups(padded, rate, target)[: math.ceil(len(samples) * up / down)]
+
+
+def pcm(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Channels (channel, sample) as floats in [-1, 1) of PCM of 8, 16, 24 or 32 bits."""
     if width == 1:
         values = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
     elif width == 3:
@@ -47,7 +63,14 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
         values = ((parts[:, 0] << 8 | parts[:, 1] << 16 | parts[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
     else:
         values = np.frombuffer(raw, f"<i{width}").astype(np.float32) / np.float32(1 << (8 * width - 1))
-    return values.reshape(-1, channels).T, rate
+    return values.reshape(-1, channels).T
+
+
+def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
+    """Channels as floats, and the rate, of a WAV file."""
+    with wave.open(io.BytesIO(content)) as w:
+        width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+    return pcm(raw, width, channels), rate
 
 
 def read_wav(spark: SparkSession, path: str, target: int = RATE, normalise: bool = True) -> DataFrame:
