@@ -22,7 +22,8 @@ class AlignedWords:
         for name, given in (("hyp", hyp), ("ref", ref), ("shown", shown)):
             if given is not None and (given.isTable or not isinstance(given.dataType, (T.StringType, T.NullType))):
                 raise ValueError(f"aligned_words: {name} must be a text")
-        return AnalyzeResult(T.StructType.fromDDL("place int, hyp_word string, ref_word string, ref_word_with_diac string, status string, similarity double"))
+        kinds = {"place": T.IntegerType(), "hyp_word": T.StringType(), "ref_word": T.StringType(), "ref_word_with_diac": T.StringType(), "status": T.StringType(), "similarity": T.DoubleType()}
+        return AnalyzeResult(T.StructType([T.StructField(name, kind) for name, kind in kinds.items()]))
 
     def eval(self, hyp: str | None, ref: str | None, shown: str | None = None) -> Iterator[tuple]:
         if hyp is None or ref is None:
