@@ -237,6 +237,41 @@ def test_stored_maps_are_edited(spark, tmp_path, monkeypatch):
     assert all(v4.shard_of[slot] == shard for slot, shard in three.items())
 
 
+def test_of_several_writers_one_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = f"file://{tmp_path}/map"
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 1000, 64).tolist()
+    maps = [sh.SlotMap(rng.permutation(64).tolist(), 1) for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        saved = list(pool.map(lambda m: sh.save_map(spark, store, m), maps))
+    assert saved.count(True) == 1
+    assert sh.load_map(spark, store).shard_of == maps[saved.index(True)].shard_of
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "map").iterdir() if not p.name.startswith(".")) == ["map", "version"]  # losers leave nothing
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: sh.balanced_map(spark, sizes, 8, 64, store).shard_of, range(4)))
+    last = sh.load_map(spark, store)
+    assert len(last.shard_of) == 64
+    assert sh.balanced_map(spark, sizes, 8, 64, store).shard_of == last.shard_of == got[0] == got[1] == got[2] == got[3]
+
+
+def test_damaged_maps_are_errors(spark, tmp_path):
+    store = f"file://{tmp_path}/map"
+    assert sh.save_map(spark, store, sh.SlotMap([0, 1, 2, 3], 1))
+    (table,) = [p for p in (tmp_path / "map").iterdir() if p.name.startswith("map-")]
+    spark.createDataFrame([(1, 0, 0, None), (1, 0, 1, None)], sh.MAP).write.mode("append").parquet(f"file://{table}")
+    with pytest.raises(ValueError, match="damaged"):
+        sh.load_map(spark, store)
+
+
+def test_copies_of_one_row_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sh, "COPIES", 50)
+    frame = spark.createDataFrame([(1, "one")] * 3000 + [(i, "text") for i in range(2, 50)], "doc_id long, text string")
+    made = sh.place_records(frame, slots=16).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in made) < 2000
+
+
 def test_tables_belong_to_a_run(spark):
     from tilmark.llm import runtime as rt
 

@@ -5,10 +5,10 @@ which shard holds which slot. A map is versioned and stored: load_map reads the
 edits that by moving single slots, and save_map writes the next version with its edits, so only the moved slots' records change their
 shard when a table grows. With the map edited until the shards' bytes are near equal, the law that holds is `bytes`.
 
-A store is a folder in the shared folder with a table per version, written once and complete when its success mark is there: rows
-(version, virtual_slot, shard, moved_from), moved_from null for slots that the version left where they were. Of two
-runs that write the same version one fails to; it reads the other's and goes on from that. A version whose write broke off is never
-read, and after ATTEMPTS the next number is taken.
+A store is a folder in the shared folder. A version is written as a table of rows (version, virtual_slot, shard, moved_from), moved_from null for slots that the version left
+where they were, in a folder of its own, and committed by a mark of the version's number that names the folder. The mark gets its name in one step, which fails where
+the name is taken, so of runs that write the same version one commits it; the others read that one and go on from it. Tables without a mark are
+never read. On a local or mounted file system the step is a hard link, elsewhere a rename, which HDFS refuses where the name is taken; an object store must refuse it too.
 
 Data: records become narrow rows (hash, size); equal rows are counted before they are shuffled. Collected are one
 sum and one count per slot, and the map (SLOTS rows each). Places within a shard come from counts per slot and per part of a slot;
@@ -24,10 +24,11 @@ virtual_slot is replaced).
 from __future__ import annotations
 
 import hashlib
+import os
 import time
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ from tilmark.llm.runtime import shared_dir, written
 SLOTS = 4096
 PART_ROWS = 10_000
 COPIES = 10_000
-ATTEMPTS, WAIT = 5, 2.0
+#: Copies that a task makes, about.
+TASK_ROWS = 1_000_000
+ATTEMPTS, WAIT = 20, 0.1
 
 
 def record_size(text: Column) -> Column:
@@ -107,25 +110,55 @@ def map_store(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tilmark/slot-maps/{hashlib.sha256(name.encode()).hexdigest()[:32]}"
 
 
-def _versions(spark: SparkSession, store: str, whole: bool = True) -> list[int]:
-    """Whole versions of a store, or all that a write was begun for, in order."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(path)]
-    done = lambda name: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}/_SUCCESS"))
-    return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-") and (not whole or done(n)))
+def _path(spark: SparkSession, at: str):  # noqa: ANN202
+    """Hadoop's path, and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, store: str) -> tuple[list[int], int]:
+    """Committed versions of a store, in order, and the largest number that is taken: a folder of that name is no mark, but takes it."""
+    path, files = _path(spark, store)
+    found = [(s.getPath().getName(), s.isFile()) for s in files.listStatus(path)] if files.exists(path) else []
+    numbers = [(int(n.removeprefix("version-")), mark) for n, mark in found if n.startswith("version-")]
+    return sorted(n for n, mark in numbers if mark), max((n for n, _ in numbers), default=0)
+
+
+def _commit(spark: SparkSession, store: str, version: int, table: str) -> bool:
+    """Make `table` the content of a version, if no other run has: a whole mark is given its name in one step that fails where the name is taken."""
+    path, files = _path(spark, f"{store}/mark-{uuid.uuid4().hex}")
+    to, _ = _path(spark, f"{store}/version-{version}")
+    out = files.create(path, False)
+    out.writeBytes(table)
+    out.close()
+    try:
+        if files.getScheme() != "file":
+            return bool(files.rename(path, to))  # Hadoop's file systems rename no file to one that is there
+        os.link(path.toUri().getPath(), to.toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        files.delete(path, False)
+
+
+def _table_of(spark: SparkSession, store: str, version: int) -> str:
+    """The folder that a version's mark names."""
+    return spark.read.text(f"{store}/version-{version}").head()[0]
 
 
 def load_map(spark: SparkSession, store: str, version: int | None = None) -> SlotMap | None:
-    """The latest stored map, or the one of a version; null if there is none."""
-    there = _versions(spark, store)
+    """The latest stored map, or the one of a version; null if there is none. A table that has not one row for every slot is an error."""
+    there, _ = _versions(spark, store)
     if not there or version is not None and version not in there:
         return None
-    rows = sorted(spark.read.schema(MAP).parquet(f"{store}/version-{version or there[-1]}").collect(), key=lambda r: r["virtual_slot"])
+    number = version or there[-1]
+    table = f"{store}/{_table_of(spark, store, number)}"
+    rows = sorted(spark.read.schema(MAP).parquet(table).collect(), key=lambda r: r["virtual_slot"])
+    if [r["virtual_slot"] for r in rows] != list(range(len(rows))) or not rows or any(r["version"] != number or r["shard"] is None for r in rows):
+        raise ValueError(f"the slot map in {table} is damaged")
     edits = [(r["version"], r["virtual_slot"], r["moved_from"], r["shard"]) for r in rows if r["moved_from"] is not None]
-    return SlotMap([r["shard"] for r in rows], rows[0]["version"], edits)
+    return SlotMap([r["shard"] for r in rows], number, edits)
 
 
 def map_table(spark: SparkSession, slot_map: SlotMap) -> DataFrame:
@@ -137,31 +170,29 @@ def map_table(spark: SparkSession, slot_map: SlotMap) -> DataFrame:
     return spark.createDataFrame([(slot_map.version, s, j, was.get(s)) for s, j in enumerate(slot_map.shard_of)], MAP)
 
 
-def save_map(spark: SparkSession, store: str, slot_map: SlotMap) -> None:
-    """Write a version. A version that is there already is an error."""
-    map_table(spark, slot_map).coalesce(1).write.mode("errorifexists").parquet(f"{store}/version-{slot_map.version}")
+def save_map(spark: SparkSession, store: str, slot_map: SlotMap) -> bool:
+    """Write a version to a folder of its own and commit it. False, and nothing is left, if another run has committed that version."""
+    name = f"map-{uuid.uuid4().hex}"
+    map_table(spark, slot_map).coalesce(1).write.parquet(f"{store}/{name}")
+    if _commit(spark, store, slot_map.version, name):
+        return True
+    path, files = _path(spark, f"{store}/{name}")
+    files.delete(path, True)
+    return False
 
 
 def balanced_map(spark: SparkSession, sizes: list[int], shards: int, slots: int, store: str | None) -> SlotMap:
-    """The stored map of this many slots and shards, or an even one, edited for these sizes. What changes is stored."""
+    """The stored map of this many slots and shards, or an even one, edited for these sizes. What changes is stored; if another run was first, from its map."""
     for attempt in range(ATTEMPTS):
-        last = load_map(spark, store) if store else None
+        there, taken = _versions(spark, store) if store else ([], 0)  # one listing: a commit after it takes the number that is tried here
+        last = load_map(spark, store, there[-1]) if there else None
         fits = last is not None and len(last.shard_of) == slots and max(last.shard_of) < shards
-        version = last.version if last else 0
-        if attempt + 1 == ATTEMPTS:  # what is still unfinished after all these waits broke off, and keeps its number
-            version = _versions(spark, store, whole=False)[-1]
-        current = SlotMap(list(last.shard_of), version) if fits else SlotMap(SlotMap.even(shards, slots).shard_of, version)
+        current = SlotMap(list(last.shard_of), taken) if fits else SlotMap(SlotMap.even(shards, slots).shard_of, taken)
         current.rebalance(sizes, shards)
-        if not store or fits and not current.edits:
-            return current
-        try:
-            save_map(spark, store, current)
+        if not store or fits and not current.edits or save_map(spark, store, current):
             return current
-        except AnalysisException:
-            if attempt + 1 == ATTEMPTS:
-                raise
-            time.sleep(WAIT * attempt)
-    raise AssertionError
+        time.sleep(WAIT * attempt)
+    raise RuntimeError(f"others have committed to {store} {ATTEMPTS} times in a row")
 
 
 def virtual_slot(key: Column, text: Column, slots: int = SLOTS) -> Column:
@@ -200,6 +231,10 @@ def place_records(texts: DataFrame, key: str = "doc_id", text: str = "text", sha
     ranked = rows.withColumn("start", F.coalesce(F.sum("copies").over(before), F.lit(0)))
     out = ranked.join(F.broadcast(places), "virtual_slot")
     out = out.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))  # no array holds all copies
+    if rows.filter(F.col("copies") > COPIES).limit(1).count():
+        # the runs of one record are made by many tasks; as many as that, for a run is a small row until its copies are made
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts) // TASK_ROWS))
+        out = out.repartition(tasks, "virtual_slot", "crc", "size", "id", "run")
     out = out.withColumn("k", F.explode(F.sequence(F.col("run") * COPIES, F.least("copies", (F.col("run") + 1) * COPIES) - 1)))
     place = (F.col("first") + F.col("skip") + F.col("start") + F.col("k")).cast("long")
     return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", place.alias("slot"))
