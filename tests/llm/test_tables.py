@@ -237,6 +237,20 @@ def test_stored_maps_are_edited(spark, tmp_path, monkeypatch):
     assert all(v4.shard_of[slot] == shard for slot, shard in three.items())
 
 
+def test_partitions_of_a_mix_are_even_ranges(spark):
+    rows = spark.range(40_000).select((F.col("id") % 8).cast("int").alias("mix_shard"), F.md5(F.col("id").cast("string")).alias("mix_order"), "id")
+    laid = mx.by_local_order(rows, 8, 8).select("*", F.spark_partition_id().alias("p")).collect()
+    parts: dict[int, list] = {}
+    for r in laid:
+        parts.setdefault(r["p"], []).append((r["mix_shard"], r["mix_order"]))
+    assert set(parts) == set(range(64))
+    assert max(map(len, parts.values())) <= 1.3 * len(laid) / 64
+    for p, own in parts.items():
+        assert {s for s, _ in own} == {p // 8}
+        assert own == sorted(own)
+    assert [x for p in range(64) for x in parts[p]] == sorted(x for own in parts.values() for x in own)
+
+
 def test_of_several_writers_one_commits(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 

@@ -240,8 +240,8 @@ def part_bytes(spark: SparkSession) -> int:
 
 
 def by_local_order(rows: DataFrame, shards: int, parts: int) -> DataFrame:
-    """rows with mix_shard and mix_order in shards * parts partitions, or a few less where hashes meet: a partition is a range of a shard's order,
+    """rows with mix_shard and mix_order in shards * parts partitions: each is one range of one shard's order,
     sorted. The order is a digest, so ranges of it are even."""
     part = F.floor(F.conv(F.substring("mix_order", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
-    dealt = rows.withColumn("__part", part).repartition(shards * parts, "mix_shard", "__part")
+    dealt = rows.withColumn("__part", F.col("mix_shard").cast("int") * parts + part).repartitionById(shards * parts, "__part")
     return dealt.sortWithinPartitions("mix_shard", "mix_order").drop("__part")
