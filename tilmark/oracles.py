@@ -99,11 +99,13 @@ back AS (
 ), aligned AS (SELECT *, row_number() OVER (PARTITION BY hyp_id ORDER BY step DESC) - 1 AS place FROM back WHERE step > 0)"""
 STREAMS = "user_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq"
 ONE_STREAM = "CAST(0 AS BIGINT) AS s, event_id AS seq"
+CLOSED = "SELECT a.s, a.seq AS start, b.seq AS stop FROM counted a JOIN"
+CLOSED_OR_LAST = "SELECT a.s, a.seq AS start, coalesce(b.seq, (SELECT max(z.seq) FROM counted z WHERE z.s = a.s)) AS stop FROM counted a LEFT JOIN"
 FRAMES = f"""
 frames AS (SELECT {STREAMS}, event_id, value > {SPEECH_ABOVE} AS speech FROM events),
 counted AS (SELECT *, sum((NOT speech)::INT) OVER (PARTITION BY s ORDER BY seq) AS ns FROM frames),
 spans AS (
-  SELECT a.s, a.seq AS start, b.seq AS stop FROM counted a JOIN counted b ON a.s = b.s AND a.speech AND NOT b.speech AND b.ns = a.ns + {SILENCE_LIMIT}
+  {CLOSED} counted b ON a.s = b.s AND NOT b.speech AND b.ns = a.ns + {SILENCE_LIMIT} WHERE a.speech
 ), linked AS (SELECT a.s, a.start, a.stop, min(f.seq) AS nxt FROM spans a LEFT JOIN counted f ON f.s = a.s AND f.speech AND f.seq > a.stop GROUP BY ALL),
 chain AS (
   SELECT l.s, l.start, l.stop, l.nxt, 0 AS n FROM linked l JOIN (SELECT s, min(seq) AS seq FROM counted WHERE speech GROUP BY s) f ON l.s = f.s AND l.start = f.seq
@@ -237,5 +239,6 @@ def oracle_sql() -> dict[str, str]:
         "vad_segments": segments,
         "vad_segments_pieces": segments.replace(STREAMS, ONE_STREAM),
         "vad_stream": segments,
+        "vad_stream_flush": segments.replace(CLOSED, CLOSED_OR_LAST),
         "vad_frames_preroll": f"WITH RECURSIVE {FRAMES} SELECT s AS stream_id, CAST(n AS INT) AS segment_no, CAST(row_number() OVER (PARTITION BY s, n ORDER BY seq) - 1 AS INT) AS place, seq FROM held",
     }

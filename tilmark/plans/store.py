@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,3 +65,31 @@ def result(df: DataFrame, name: str) -> DataFrame:
     if (made := _made.get()) is not None:
         made.pop()
     return out
+
+
+def commit_once(spark: SparkSession, mark: str, content: str) -> bool:
+    """Make a file with this content, if there is none of that name: a whole file gets the name in one step that fails where it is taken. On a local or mounted file system the
+    step is a hard link, elsewhere a rename, which HDFS refuses where the name is taken; an object store must refuse it too."""
+    jvm = spark.sparkContext._jvm
+    at, to = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{mark}.{uuid.uuid4().hex}", mark))
+    files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(at, False)
+    out.writeBytes(content)
+    out.close()
+    try:
+        if files.getScheme() != "file":
+            return bool(files.rename(at, to))
+        os.link(at.toUri().getPath(), to.toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        files.delete(at, False)
+
+
+def committed(spark: SparkSession, mark: str) -> str | None:
+    """The content of such a file, or null if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mark)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.text(mark, wholetext=True).head()["value"]

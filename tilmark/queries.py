@@ -307,8 +307,8 @@ def vad_segments_pieces(spark, d):
     return segment_pieces(one, size=PIECE, parts=spark.sparkContext.defaultParallelism).select("stream_id", "segment_no", "start_seq", "end_seq", F.size("seqs").alias("n_frames"), F.hex("raw").alias("raw_hex"))
 
 
-def vad_stream(spark, d):
-    """The segments of vad_segments, by Structured Streaming over stored frames."""
+def _streamed(spark, d, run, **named):
+    """Segments by Structured Streaming over stored frames; run ends the started query."""
     from tilmark.streaming import live
 
     base = store.fresh(spark, "stream")
@@ -316,14 +316,25 @@ def vad_stream(spark, d):
     was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     live.rocksdb(spark)
     try:
-        found = live.live_segments(live.read_frames(spark, f"{base}/frames"))
-        query = found.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/segments")
-        query.awaitTermination()
+        found = live.live_segments(live.read_frames(spark, f"{base}/frames"), **named)
+        run(found.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint"), f"{base}/segments")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
     return spark.read.schema(found.schema).parquet(f"{base}/segments").select("stream_id", "segment_no", "start_seq", "end_seq", F.size("seqs").alias("n_frames"), F.hex("raw").alias("raw_hex"))
 
 
+def vad_stream(spark, d):
+    """The segments of vad_segments, by Structured Streaming."""
+    return _streamed(spark, d, lambda writer, at: writer.trigger(availableNow=True).start(at).awaitTermination())
+
+
+def vad_stream_flush(spark, d):
+    """The same, and the segments that are open when the streams have fallen silent, ended by timers."""
+    from tilmark.streaming import live
+
+    return _streamed(spark, d, lambda writer, at: live.drain(writer.trigger(processingTime="0 seconds").start(at)), flush_after=0)
+
+
 def resample(spark, d):
     from tilmark.sources.audio_files import resampled
 
@@ -364,6 +375,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "norm_full norm_steps tokenise strip_end_of_ayah wer accuracy micro_wer cer indel_ratio word_ratio token_set fuzzy_top1_scoped fuzzy_top1_global fuzzy_top1_blocks fuzzy_top1_turns "
         "below_threshold exact_match not_found align_words align_words_sql align_documents wer_documents align_counts correct_words error_words report_line corpus_flatten corpus_file corpus_scan corpus_counts ayahs_per_surah surah_lookup verse_lookup "
-        "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_segments_pieces vad_frames_preroll vad_stream resample wav_decode wav_chunks transcribe_stub"
+        "api_parse peak_normalise peak duration min_duration downmix chunks_tumbling chunks_overlap pcm_decode text_join vad_segments vad_segments_pieces vad_frames_preroll vad_stream vad_stream_flush resample wav_decode wav_chunks transcribe_stub"
     )
     return {n: globals()[n] for n in names.split()}
