@@ -9,7 +9,7 @@ import numpy as np
 CORRECT, SUBSTITUTION, DELETION, INSERTION = "correct", "substitution", "deletion", "insertion"
 STATUSES = (CORRECT, SUBSTITUTION, DELETION, INSERTION)
 #: Cells of a table of moves that is held whole.
-CELLS = 1 << 20
+CELLS = 1 << 24
 
 
 def lcs(a: str, b: str) -> int:

@@ -148,8 +148,8 @@ def align_words_sql(spark, d):
 
 
 def _documents_said(spark, d):
-    """Whole documents, and how they might be heard."""
-    return table(spark, d, "documents").select("doc_id", text.normalise(dressed("text")).alias("ref")).select("doc_id", "ref", said(text.tokenise("ref")).alias("h"))
+    """Whole documents, and how they might be heard; dealt out, as they come in a few small files."""
+    return table(spark, d, "documents").repartition(4 * spark.sparkContext.defaultParallelism).select("doc_id", text.normalise(dressed("text")).alias("ref")).select("doc_id", "ref", said(text.tokenise("ref")).alias("h"))
 
 
 def align_documents(spark, d):
