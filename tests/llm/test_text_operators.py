@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -299,6 +300,28 @@ def test_alignment_like_a_full_table():
         assert matches <= min(i1 - i0, j1 - j0)
 
 
+def test_alignment_in_little_memory(monkeypatch):
+    """Tables that are made again from some of their rows give what kept ones give, of repeated words too."""
+    rng = np.random.default_rng(2)
+    pairs = []
+    for t in range(60):
+        kinds = rng.integers(2, 40)
+        a, b = (rng.integers(0, kinds, rng.integers(1, 90)).astype(np.uint64) for _ in range(2))
+        pairs.append((a, np.concatenate((b, np.where(rng.random(len(a)) < 0.15, 77, a).astype(np.uint64), b[:5], a[len(a) // 3 :])) if t % 2 else b))
+    kept = [(dc.smith_waterman(a, b), dc.held_part(a, b)) for a, b in pairs]
+    monkeypatch.setattr(dc, "CELLS", 0)
+    assert kept == [(dc.smith_waterman(a, b), dc.held_part(a, b)) for a, b in pairs]
+    assert sum(part is not None for _, part in kept) > 20
+    item = rng.integers(0, 10**6, 5000).astype(np.uint64)
+    window = np.concatenate((item[::-1], np.where(rng.random(5000) < 0.2, 10**7, item).astype(np.uint64), item[::-1]))
+    tracemalloc.start()
+    _, matches, _, _, start, end = dc.held_part(item, window)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert matches > 3900 and 4990 < start < end < 10_010
+    assert peak < 30e6  # a table of bytes alone has 75e6
+
+
 def test_edited_leaks(spark):
     rng = np.random.default_rng(3)
     word = lambda: f"q{rng.integers(400)}"

@@ -13,7 +13,8 @@
 4. score is the alignment's score over that of the whole item. A text holds the item when score is at least
    MIN_SCORE, or when at least MIN_RUN words are aligned as equal and make MIN_IDENTITY of the aligned part. Every window is
    tested, and in a window one alignment after the other, best first, without the equal pairs of those before, until none
-   can pass. Of an alignment that does not pass as a whole, the longest part that does counts.
+   can pass. Of an alignment that does not pass as a whole, the longest part that does counts. A table of over CELLS scores is
+   never kept: memory grows with the words of the window times the root of those of the item.
 
 Nothing is shuffled. Defined cases: null and empty texts hold nothing; null and empty items
 are held by nothing; an item of fewer words than a seed has one of all its words; equal items each give
@@ -23,6 +24,7 @@ one row, for its best place that passes, of equal ones the first; a very long te
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -39,6 +41,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE, MIN_RUN, MIN_IDENTITY = 0.5, 13, 0.75
 PAD = 16
 PIECE = 1024
+CELLS = 1 << 20
 LENGTHS, COVER = (3, 5), 5
 COLUMNS = "n_seeds long, score double, matches long, doc_start long, doc_end long, item_start long, item_end long"
 
@@ -87,22 +90,75 @@ class Seeds:
             yield n, maybe[there], text[there], lo[there], hi[there]
 
 
-def _best_path(equal: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
-    """Score and cells of the best local alignment of an item (rows) and a window, from before its first words to its last."""
-    m, n = equal.shape
-    h = np.zeros((m + 1, n + 1), np.int32)
-    ramp = -GAP * np.arange(n + 1, dtype=np.int32)
-    gain = np.where(equal, MATCH, MISMATCH).astype(np.int32)
-    for i in range(1, m + 1):
-        row = np.maximum(h[i - 1] + GAP, 0)
-        row[1:] = np.maximum(row[1:], h[i - 1, :-1] + gain[i - 1])
-        h[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = (int(x) for x in np.unravel_index(np.argmax(h), h.shape))
-    best, path = int(h[i, j]), [(i, j)]
-    while h[i, j] > 0:
-        if i and j and h[i, j] == h[i - 1, j - 1] + gain[i - 1, j - 1]:
+class _Pair:
+    """An item and a window, with the pairs of equal words that no alignment may use any more. Neither the table of
+    equal words nor that of scores is kept whole."""
+
+    def __init__(self, item: np.ndarray, window: np.ndarray):
+        self.item, self.window = item, window
+        self.used = np.empty(0, np.int64)  # item place * words of the window + window place, sorted
+        self.gone: set[int] = set()  # the same
+
+    def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the words at places i of the item and j of the window may be aligned as equal."""
+        return (self.item[i] == self.window[j]) & ~np.isin(i * len(self.window) + j, self.used)
+
+    def use(self, i: np.ndarray, j: np.ndarray) -> None:
+        at = i * len(self.window) + j
+        self.used = np.union1d(self.used, at)
+        self.gone.update(at.tolist())
+
+    def rows(self, above: np.ndarray, first: int, last: int, lo: int) -> Iterator[np.ndarray]:
+        """Rows first + 1 to last of the scores; `above` is row `first`, which begins before place lo of the window."""
+        n, ramp = len(self.window), -GAP * np.arange(len(above), dtype=np.int32)
+        hi = lo + len(above) - 1
+        for i in range(first, last):
+            gain = (self.window[lo:hi] == self.item[i]).astype(np.int32)
+            if len(self.used):
+                a, b = np.searchsorted(self.used, (i * n + lo, i * n + hi))
+                gain[self.used[a:b] - (i * n + lo)] = 0
+            row = np.maximum(above + np.int32(GAP), 0)
+            np.maximum(row[1:], above[:-1] + gain * np.int32(MATCH - MISMATCH) + np.int32(MISMATCH), out=row[1:])
+            above = np.maximum.accumulate(row + ramp) - ramp
+            yield above
+
+
+def _best_path(pair: _Pair, least: float = 0) -> tuple[int, list[tuple[int, int]]]:
+    """Score and cells of the best local alignment of an item (rows) and a window, from before its first words to its last; no
+    cells if the score is under `least`. The scores of a large table are made twice: once for the best cell, then, of the columns that
+    an alignment which ends there can reach, every step-th row, from which the rows between are made again when the path comes to them."""
+    m, n = len(pair.item), len(pair.window)
+    zeros = np.zeros(n + 1, np.int32)
+    small = (m + 1) * (n + 1) <= CELLS
+    block, best, i, j = [zeros], 0, 0, 0
+    for k, row in enumerate(pair.rows(zeros, 0, m, 0), 1):
+        at = int(row.argmax())
+        if row[at] > best:
+            best, i, j = int(row[at]), k, at
+        if small:
+            block.append(row)
+    if best < least:
+        return best, []
+    base, lo, step, kept = 0, 0, m + 1, {}
+    if not small:
+        lo, step = max(0, j - _reach(m)), math.isqrt(i) + 1
+        kept[0] = zeros[lo : j + 1]
+        kept |= {k: row for k, row in enumerate(pair.rows(kept[0], 0, i, lo), 1) if k % step == 0}
+        base = m + 1
+    path = [(i, j)]
+    while i:
+        if i <= base and base:
+            base = (i - 1) // step * step
+            block = [kept[base][: j - lo + 1]]
+            block += pair.rows(block[0], base, i, lo)
+        here = block[i - base]
+        if here[j - lo] == 0:
+            break
+        above = block[i - 1 - base]
+        equal = pair.item[i - 1] == pair.window[j - 1] and (i - 1) * n + j - 1 not in pair.gone
+        if here[j - lo] == above[j - 1 - lo] + (MATCH if equal else MISMATCH):
             i, j = i - 1, j - 1
-        elif i and h[i, j] == h[i - 1, j] + GAP:
+        elif here[j - lo] == above[j - lo] + GAP:
             i -= 1
         else:
             j -= 1
@@ -110,41 +166,42 @@ def _best_path(equal: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
     return best, path[::-1]
 
 
-def _summed(equal: np.ndarray, path: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _summed(pair: _Pair, path: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a path's cells: place in the item, in the window, and points and equal words up to each."""
     i, j = np.array(path, np.int64).T
     both = (np.diff(i) == 1) & (np.diff(j) == 1)
-    same = both & equal[np.minimum(i[:-1], len(equal) - 1), np.minimum(j[:-1], equal.shape[1] - 1)]
+    same = both.copy()
+    same[both] = pair.equal(i[:-1][both], j[:-1][both])
     points = np.where(same, MATCH, np.where(both, MISMATCH, GAP))
     return i, j, np.concatenate(([0], np.cumsum(points))), np.concatenate(([0], np.cumsum(same)))
 
 
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int, int]:
     """Best local alignment of two word sequences: score, equal words, item start and end, window start and end."""
-    equal = item[:, None] == window[None, :]
-    best, path = _best_path(equal)
-    i, j, _, same = _summed(equal, path)
+    pair = _Pair(item, window)
+    best, path = _best_path(pair)
+    i, j, _, same = _summed(pair, path)
     return best, int(same[-1]), int(i[0]), int(i[-1]), int(j[0]), int(j[-1])
 
 
 def held_part(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int, int] | None:
     """The alignment, or the part of one, with the largest score of those that pass, as smith_waterman gives it."""
-    equal = item[:, None] == window[None, :]
+    pair, whole = _Pair(item, window), MIN_SCORE * MATCH * len(item)
     # k equal words that pass span k / MIN_IDENTITY words, so at most so many more in either, each unequal or in a gap
-    least = MIN_RUN * MATCH + 2 * GAP * (MIN_RUN / MIN_IDENTITY - MIN_RUN)
+    least = min(MIN_RUN * MATCH + 2 * GAP * (MIN_RUN / MIN_IDENTITY - MIN_RUN), whole)
     best = None
-    while equal.any():
-        points, path = _best_path(equal)
-        if points < min(least, MIN_SCORE * MATCH * len(item)) or (best is not None and points <= best[0]):
+    while len(item) and len(window):
+        points, path = _best_path(pair, least if best is None else max(least, best[0] + 1))
+        if not path:
             break
-        i, j, upto, same = _summed(equal, path)
-        found = (0, len(path) - 1) if points >= MIN_SCORE * MATCH * len(item) else _longest_part(i, j, same)
+        i, j, upto, same = _summed(pair, path)
+        found = (0, len(path) - 1) if points >= whole else _longest_part(i, j, same)
         if found is not None:
             a, b = found
             part = int(upto[b] - upto[a]), int(same[b] - same[a]), int(i[a]), int(i[b]), int(j[a]), int(j[b])
             best = part if best is None or part[0] > best[0] else best
         at = np.flatnonzero(np.diff(same))
-        equal[i[at], j[at]] = False
+        pair.use(i[at], j[at])
     return best
 
 
@@ -223,9 +280,14 @@ def _windows(seeds: Seeds, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[
         yield (*where, windows)
 
 
+def _reach(m: int) -> int:
+    """The most words of a window in one alignment with an item of m words, whose equal words pay for the gaps."""
+    return m + MATCH * m // -GAP
+
+
 def _pieces(a: int, b: int, m: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a window. An alignment with an item of m words has at most m equal words, which pay for MATCH * m gaps."""
-    reach = m + MATCH * m // -GAP
+    """Stretches of a window, each with all of the next one that an alignment can reach."""
+    reach = _reach(m)
     size = max(PIECE, 2 * reach)
     while b - a > size:
         yield a, a + size
