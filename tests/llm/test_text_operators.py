@@ -533,16 +533,34 @@ def test_chains_run_on(monkeypatch):
     cut = tagger.posteriors(texts)
     monkeypatch.setattr(li, "CHAIN", 10**6)
     for a, b in zip(cut, tagger.posteriors(texts), strict=True):
-        assert np.allclose(a, b, atol=1e-6)
+        assert np.allclose(a, b, rtol=0, atol=1e-12)
 
 
-def test_training_runs_cover_a_text():
+@pytest.mark.parametrize("chain", [1, 7, 64])
+def test_messages_go_as_far_as_it_takes(monkeypatch, chain):
+    """Words that no language prefers carry what stands before and after them over any number of chains."""
+    rng = np.random.default_rng(6)
+    tagger = li.Tagger(["a", "b", "c"], np.zeros((1 << li.BITS, 3), np.float32), np.log(np.array([[0.999, 0.0005, 0.0005], [0.0004, 0.9991, 0.0005], [0.001, 0.001, 0.998]])))
+    monkeypatch.setattr(li.Tagger, "emissions", lambda self, words: np.array([{"l": [9, 0, 0], "r": [0, 9, 0], "n": [0, 0, 0]}[w] for w in words], np.float32))
+    texts = [["l"] + ["n"] * 300 + ["r"], ["n"] * 150, ["r"], [], [str(w) for w in rng.choice(list("lrn"), 400, p=[0.01, 0.01, 0.98])]]
+    monkeypatch.setattr(li, "CHAIN", 10**6)
+    whole = tagger.posteriors(texts)
+    monkeypatch.setattr(li, "CHAIN", chain)
+    for a, b in zip(tagger.posteriors(texts), whole, strict=True):
+        assert np.allclose(a, b, rtol=0, atol=1e-12)
+    assert whole[0][1, 0] > 0.99 > whole[0][150, 0] > 0.3
+
+
+def test_all_words_of_a_text_are_learned(spark, monkeypatch):
     words = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(10_000)]
-    got = li.training_words(" ".join(words), 5)
-    place = {w: i for i, w in enumerate(words)}
-    assert len(got) == li.RUNS * li.RUN
-    assert [place[got[k * li.RUN]] * li.RUNS // len(words) for k in range(li.RUNS)] == list(range(li.RUNS))
-    assert li.training_words(" ".join(words[:300]), 5) == words[:300]
+    rows = [(1, " ".join(words), "a"), *[(i, f"mot{i}", "b") for i in range(2, 60)]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(li.Tagger, "train", classmethod(lambda cls, samples, seed=7: samples))
+    assert dict(li.train_tagger(frame.limit(1)))["a"] == " ".join(words)
+    monkeypatch.setattr(li, "TOTAL_BYTES", 100)  # a language of long texts still has one, whole
+    samples = li.train_tagger(frame)
+    assert [t for lang, t in samples if lang == "a"] == [" ".join(words)]
+    assert 0 < sum(lang == "b" for lang, _ in samples) <= 50 // 4
 
 
 def test_code_switched_words():

@@ -4,13 +4,14 @@ Emissions are linear in hashed features of a lower-cased word: affixes of 1 to 3
 the word's ends marked, and the word itself (the lexicon). Transitions between languages are learned
 with them, by stochastic gradient steps on the chains' log-likelihood; its gradient is observed minus expected counts,
 from forward-backward. Training chains join runs of words from texts of different languages, so that the
-transitions see switches. Prediction runs forward-backward over every word of a text, in chains of CHAIN words with OVERLAP words more on
-either side, whose own posteriors are left to the chains beside (what lies further off moves a posterior by less than rounding does), and
-takes the language with the largest mean posterior, which is the score.
+transitions see switches. Prediction runs forward-backward over every word of a text and
+takes the language with the largest mean posterior, which is the score. Texts of over CHAIN words are cut into chains that are worked on side by side: of
+each chain the product of its steps is made first, with these the messages at the cuts are handed on in both directions, and each chain
+then starts and ends with them. The posteriors are those of the uncut text.
 
 Training data: a bounded sample of the labelled rows (SAMPLE_ROWS texts per language, by a hash of id and text, equal rows once; with more
-languages fewer of each, so that all have about TOTAL_ROWS, but at least one). Of a sampled text with more than RUNS * RUN words, RUNS runs of RUN words are collected, at
-places drawn by a hash in RUNS equal parts of the whole text; of any other, all words. Every language is learned;
+languages fewer of each, so that all have about TOTAL_ROWS, and fewer where a language's texts are so long that these would have over
+TOTAL_BYTES, but at least one). All words of a sampled text are collected and learned from. Every language is learned;
 the model is a few MB, 128 KB a language, and travels to the workers. Every text is predicted whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn from, every text is
@@ -35,11 +36,10 @@ from tilmark.llm import textvec as tv
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 BITS = 15
-CHAIN, OVERLAP = 256, 16
+CHAIN = 256
 GROUP = 512
 SAMPLE_ROWS = 200
-RUNS, RUN = 10, 48
-TOTAL_ROWS = 12_800
+TOTAL_ROWS, TOTAL_BYTES = 12_800, 64_000_000
 DRAWS = 1 << 62
 STEPS, BATCH, TRAIN_CHAIN, RATE, DECAY = 150, 64, 48, 0.05, 1e-4
 CACHE = 150_000
@@ -87,18 +87,25 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (allids[order] >> tv.U(64 - BITS)).astype(np.int64), begins
 
 
-def forward_backward(potentials: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(potentials: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of chains. potentials: exp emissions (step, chain, label), chains by falling length; transitions: exp,
-    (from, to). Returns (step, chain, label) marginals and the sum of the expected transitions."""
+    (from, to); starts and ends: the messages (chain, label) that reach a chain's first word from before and its last from after, up to a factor. Returns
+    (step, chain, label) marginals and the sum of the expected transitions within the chains."""
     steps, chains, labels = potentials.shape
     active = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
     alpha, scale = np.zeros_like(potentials), np.ones((steps, chains))
     for t in range(steps):
         n = active[t]
-        a = potentials[t, :n] if t == 0 else (alpha[t - 1, :n] @ transitions) * potentials[t, :n]
+        if t:
+            a = (alpha[t - 1, :n] @ transitions) * potentials[t, :n]
+        else:
+            a = potentials[0, :n] if starts is None else starts[:n] * potentials[0, :n]
         scale[t, :n] = a.sum(axis=1)
         alpha[t, :n] = a / scale[t, :n, None]
     beta = np.ones((chains, labels))
+    if ends is not None:
+        last = alpha[lengths - 1, np.arange(chains)]
+        beta = ends / (last * ends).sum(axis=1, keepdims=True)
     marginals, expected = np.zeros_like(potentials), np.zeros((labels, labels))
     for t in range(steps - 1, -1, -1):
         n = active[t]
@@ -110,6 +117,37 @@ def forward_backward(potentials: np.ndarray, transitions: np.ndarray, lengths: n
     return marginals, expected
 
 
+def chain_products(potentials: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of chains as forward_backward takes them, what (chain, from, to) turns the message that reaches the first word into the one that
+    leaves the last, up to a factor."""
+    _, chains, labels = potentials.shape
+    out = potentials[0][:, :, None] * np.eye(labels)[None]
+    for t in range(1, len(potentials)):
+        n = int((lengths > t).sum())
+        step = (out[:n] @ transitions) * potentials[t, :n, None, :]
+        out[:n] = step / step.max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def messages(products: np.ndarray, transitions: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of chains in the order of their texts, of which text gives the number."""
+    starts, ends = np.ones(products.shape[:2]), np.ones(products.shape[:2])
+    for k in range(1, len(text)):
+        if text[k] == text[k - 1]:
+            v = (starts[k - 1] @ products[k - 1]) @ transitions
+            starts[k] = v / v.sum()
+    for k in range(len(text) - 2, -1, -1):
+        if text[k] == text[k + 1]:
+            v = transitions @ (products[k + 1] @ ends[k + 1])
+            ends[k] = v / v.sum()
+    return starts, ends
+
+
+def _coded(text: str, vocabulary: dict[str, int]) -> np.ndarray:
+    """The words of a text as numbers; new words are numbered on."""
+    return np.fromiter((vocabulary.setdefault(m[0], len(vocabulary)) for m in WORDS.finditer(text.lower())), np.int32)
+
+
 @dataclass
 class Tagger:
     """A trained field: languages, emission weights (feature, language) and transition weights (from, to)."""
@@ -128,14 +166,19 @@ class Tagger:
         """samples: (language, text). Deterministic for equal samples in equal order."""
         rng = np.random.default_rng(seed)
         languages = sorted({lang for lang, _ in samples})
-        texts = [(languages.index(lang), w) for lang, text in samples if (w := WORDS.findall(text.lower()))]
+        vocabulary: dict[str, int] = {}
+        coded = [(languages.index(lang), _coded(text, vocabulary)) for lang, text in samples]
+        coded = [(label, c) for label, c in coded if len(c)]
         tagger = cls(languages, np.zeros((1 << BITS, len(languages)), np.float32), np.zeros((len(languages), len(languages))))
-        if len(languages) < 2 or not texts:
+        if len(languages) < 2 or not coded:
             return tagger
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in texts for w in words}))}
-        ids, begins = features(list(vocabulary))
-        ends = np.append(begins[1:], len(ids))
-        coded = [(label, np.array([vocabulary[w] for w in words])) for label, words in texts]
+        known, found, sizes = list(vocabulary), [], []
+        for at in range(0, len(known), PART):
+            part, first = features(known[at : at + PART])
+            found.append(part.astype(np.int32))
+            sizes.append(np.diff(np.append(first, len(part))))
+        ids, ends = np.concatenate(found), np.cumsum(np.concatenate(sizes))
+        begins = np.concatenate(([0], ends[:-1]))
         by_label = [[c for label, c in coded if label == k] for k in range(len(languages))]
         labels_there = [k for k, c in enumerate(by_label) if c]
         m, v = np.zeros_like(tagger.weights), np.zeros_like(tagger.weights)
@@ -200,21 +243,22 @@ class Tagger:
         if len(words) and len(self.languages) > 1:
             scores = self.emissions(words).astype(np.float64)
             potentials = np.exp(scores - scores.max(axis=1, keepdims=True))
-            chains = -(-counts // CHAIN)
+            chains, moves = -(-counts // CHAIN), np.exp(self.moves)
             owner = np.repeat(np.arange(len(texts)), chains)
             number = np.arange(len(owner)) - np.repeat(np.cumsum(chains) - chains, chains)
-            first = (np.cumsum(counts) - counts)[owner]
-            begin = first + np.maximum(0, number * CHAIN - OVERLAP)
-            length = np.minimum(first + (number + 1) * CHAIN + OVERLAP, first + counts[owner]) - begin
-            own = first + number * CHAIN
-            order = np.argsort(-length, kind="stable")
-            begin, length, own = begin[order], length[order], own[order]
-            for a in range(0, len(begin), GROUP):
-                start, size, mine = begin[a : a + GROUP], length[a : a + GROUP], own[a : a + GROUP]
-                at = start[None, :] + np.arange(size[0])[:, None]
-                there = (np.arange(size[0])[:, None] < size[None, :]) & (at >= mine[None, :]) & (at < mine[None, :] + CHAIN)
-                at = np.minimum(at, len(words) - 1)
-                marginals, _ = forward_backward(potentials[at], np.exp(self.moves), size)
+            begin = (np.cumsum(counts) - counts)[owner] + number * CHAIN
+            length = np.minimum(CHAIN, counts[owner] - number * CHAIN)
+            starts = ends = np.ones((len(owner), len(self.languages)))
+            cut = np.flatnonzero(chains[owner] > 1)
+            if len(cut):
+                products = np.empty((len(cut), len(self.languages), len(self.languages)))
+                for part, at, size in _groups(begin[cut], length[cut], GROUP):
+                    products[part] = chain_products(potentials[at], moves, size)
+                starts, ends = starts.copy(), starts.copy()
+                starts[cut], ends[cut] = messages(products, moves, owner[cut])
+            for part, at, size in _groups(begin, length, GROUP):
+                marginals, _ = forward_backward(potentials[at], moves, size, starts[part], ends[part])
+                there = np.arange(len(at))[:, None] < size[None, :]
                 out[at[there]] = marginals[there]
         else:
             out[:] = 1.0
@@ -231,45 +275,41 @@ class Tagger:
         return best, np.array([0.0 if p is None else min(1.0, float(p.max())) for p in mean])
 
 
-def training_words(text: str, draw: int) -> list[str]:
-    """All words of a text, or of a long one RUNS runs of RUN words from all over it."""
-    words = WORDS.findall(text.lower())
-    if len(words) <= RUNS * RUN:
-        return words
-    ends = [k * len(words) // RUNS for k in range(RUNS + 1)]
-    rng = np.random.default_rng(draw)
-    starts = [a + int(rng.integers(0, b - a - RUN + 1)) for a, b in zip(ends, ends[1:], strict=False)]
-    return [w for a in starts for w in words[a : a + RUN]]
+def _groups(begin: np.ndarray, length: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chains by falling length, `size` at a time: which, the places (step, chain) of their words, and their lengths."""
+    order = np.argsort(-length, kind="stable")
+    for a in range(0, len(order), size):
+        part = order[a : a + size]
+        steps = np.arange(length[part[0]])[:, None]
+        yield part, begin[part] + np.minimum(steps, length[part] - 1), length[part]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in tv.chunks(batches):
-        draws = batch.column(1).to_pylist()
-        words = [" ".join(training_words(t, d)) for t, d in zip(texts, draws, strict=True)]
+        words = [" ".join(WORDS.findall(t.lower())) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string())], names=["label", "draw", "text"])
 
 
 def train_tagger(texts: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> Tagger:
     """A tagger from a bounded sample of the rows outside the held-out fold that have a label."""
     usable = texts.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(text).alias("text")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("label").isNotNull())
-    counts = usable.groupBy("label").count().collect()
+    counts = usable.groupBy("label").agg(F.count("*").alias("count"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()
     draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(DRAWS))
     if not counts:
         return Tagger.train([])
     rows = max(1, min(rows, TOTAL_ROWS // len(counts)))
-    drawn = max(1.3 * rows, rows + 5 * math.sqrt(rows) + 10)  # on average, so that hardly ever fewer than rows are
-    below = [(r["label"], int(min(1.0, drawn / r["count"]) * DRAWS)) for r in counts]
-    cuts = F.broadcast(texts.sparkSession.createDataFrame(below, "label string, below long"))
+    below = []
+    for r in counts:
+        own = max(1, min(rows, int(TOTAL_BYTES / len(counts) * r["count"] / max(1, r["bytes"]))))
+        drawn = max(1.3 * own, own + 5 * math.sqrt(own) + 10)  # on average, so that hardly ever fewer than own are
+        below.append((r["label"], int(min(1.0, drawn / r["count"]) * DRAWS), own))
+    cuts = F.broadcast(texts.sparkSession.createDataFrame(below, "label string, below long, rows int"))
     some = usable.join(cuts, "label").filter((draw < F.col("below")) & F.col("text").isNotNull())
     first = Window.partitionBy("label").orderBy("draw", "text")
-    runs = some.select("label", draw.alias("draw"), "text").mapInArrow(_sampled, "label string, draw long, text string").dropDuplicates(["label", "draw"])  # equal rows once
-    found = runs.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).collect()
+    words = some.select("label", draw.alias("draw"), "text").mapInArrow(_sampled, "label string, draw long, text string").dropDuplicates(["label", "draw"])  # equal rows once
+    found = words.withColumn("place", F.row_number().over(first)).join(cuts, "label").filter(F.col("place") <= F.col("rows")).select("label", "draw", "text").collect()
     found.sort(key=lambda r: (r["label"], r["draw"], r["text"]))
-    kept: dict[str, list[str]] = {}
-    for r in found:
-        if len(kept.setdefault(r["label"], [])) < rows:
-            kept[r["label"]].append(r["text"])
-    return Tagger.train([(lang, t) for lang, own in kept.items() for t in own])
+    return Tagger.train([(r["label"], r["text"]) for r in found])
 
 
 def _predictor(tagger: Tagger) -> Callable:
