@@ -167,6 +167,25 @@ def test_syntax_of_many_languages():
     assert literals(f"{'n' * 5000}_password = S3cr3tValue99x") == ["S3cr3tValue99x"]
 
 
+def test_choices_and_several_names():
+    lit, other = "S3cr3tValue99x!", "Zk93jfkQ02lqAB"
+    for text in (
+        f'pwd = ["{lit}"]', f'pwd = ("{lit}", 3)', f'pwd = [\n  "{lit}",  # first\n]', f'passwords = ["short", "{lit}"]', f'a, pwd = 1, "{lit}"', f'pwd, b = "{lit}", 2', f'{{ a, pwd := 1, "{lit}"',
+        f'pwd = x or "{lit}"', f'pwd = x || "{lit}"', f'pwd = x ?? "{lit}"', f'pwd = load("n") or "{lit}"', f'pwd = os.environ["n"] or "{lit}"', f'pwd = c ? "{lit}" : d', f'pwd = c == 1 ? d : "{lit}"',
+        f'pwd = f(x) ? "{lit}" : null', f'pwd = "{lit}" if c else None', f'pwd = None if c else "{lit}"', f'pwd = "%s" % "{lit}"', f'keys = ["n", "{lit}"]\nx = keys\npassword = x',
+        f'base = c ? "n" : "{lit}"\nsecret = base', f'PASSPHRASE="{lit}" ./run', f'PASSPHRASE="{lit}" & ./run', f'x = [{{"password": "{lit}"}}]', f'args = ["--password \\'{lit}\\'"]', f'x = f(a, pwd="{lit}", n="{other}")',
+        f'f(\n  a, pwd="{lit}")', f'pwd = load(secret="{lit}") or None', f"pwd = c ? d : e; f = {{'x': 1, 'token2': '{lit}'}}",
+    ):
+        assert literals(text) == [lit], text
+    for text in (f'pwd = ["{lit}", "{other}"]', f'pwd = "{lit}" or "{other}"', f'pwd = c ? "{lit}" : "{other}"', f'a, pwd, token = 1, "{lit}", "{other}"'):
+        assert literals(text) == [lit, other], text
+    assert literals('pwd = ["S3cr3t", "Value9", "x!Zk93"]') == []  # each by itself is short
+    for text in (f'pwd, b = load(), "{lit}"', f'a, b = "{lit}", 2\npassword = b', f'pwd = "{lit}" == x ? a : b', "password: this or abc123def456ghi"):
+        assert literals(text) == [], text
+    turned = 'a = "Zk93jfkQ02lq"\n' + "a = a or a\n" * 3000 + "secret = a\n"
+    assert literals(turned) == ["Zk93jfkQ02lq"]
+
+
 def test_scopes_and_rebinding():
     lit = "S3cr3tValue99x!"
     for text in (
@@ -179,7 +198,7 @@ def test_scopes_and_rebinding():
 def test_lexing_takes_time_in_proportion():
     import time
 
-    for unit in ("a: ", "(", "<a ", "[x", "'", '"\\', "a = ", "x, ", "/*", "{", "k: \n", "--a ", "a=(", "```", '"\'"', "]", "f'{"):
+    for unit in ("a: ", "(", "<a ", "[x", "'", '"\\', "a = ", "x, ", "/*", "{", "k: \n", "--a ", "a=(", "```", '"\'"', "]", "f'{", "a or ", "a ? ", "x[1] or ", "['a', ", "a = f(", "a if ", "'%s' % "):
         times = []
         for n in (5_000, 20_000):
             begin = time.perf_counter()

@@ -7,7 +7,9 @@ operators, brackets and line ends. A quote without its partner, as an apostrophe
   chains (`a = b = value`); keys in quotes or in square brackets; `--name value`, `#define name value`, `ENV name value`;
 * YAML values on the lines below a key, as a list or more indented; XML elements, and `key=name value=literal` in a tag;
 * a value is a sum (`+`, `.` or `&` between blanks, or strings side by side) of strings, bare values, names bound before and
-  such sums in parentheses; lines go on after a backslash, an operator or an open bracket. Arguments of a call do not flow.
+  such sums in parentheses; lines go on after a backslash, an operator or an open bracket. Arguments of a call do not flow;
+* choices of values: items of lists and tuples, `a or b`, `a || b`, `a ?? b`, `c ? a : b`, `a if c else b`; each is scored by itself. A format that holds
+  nothing but its places is left out (`"%s" % value`). `a, b = value, value` binds name by name.
 
 Names stand for what they were last bound to in the function around them, or around that: a function's bindings end with its braces or
 its indentation. Comments are read, but bind nothing outside of them. A string that is neither value nor key is read as text of its own,
@@ -50,6 +52,8 @@ _ATTRIBUTE = re.compile(r"""(?<![\w\-])([A-Za-z_][\w.:\-]*+)\s*+=\s*+(?:"([^"\n]
 
 ASSIGN = {"=", ":=", "=>", "+=", "?=", ".="}
 JOIN = {"+", ".", "&"}
+COMPARE = {"==", "===", "!=", "!==", "<", ">", "<=", ">=", "&&"}
+_PLACES = re.compile(r"(?:%[-+ #0-9.]*[a-zA-Z])+")
 TYPE_OPS = {".", "::", "*", "&", "?", "|", "!", "<", ">", "[", "]", ",", "(", ")"}
 #: Names of types and words that declare, which stand between or before the parts of a declaration.
 TYPES = {"str", "string", "bytes", "bytearray", "byte", "char", "bool", "boolean", "int", "long", "float", "double", "number", "any", "object", "final", "optional", "nsstring"}
@@ -100,9 +104,10 @@ def lex(text: str) -> list[Token]:
 @dataclass(eq=False)
 class Value:
     """What a name is bound to: literals (start, end) and values bound before, which are shared and not copied. A
-    sum that doubles from line to line stays small so."""
+    sum that doubles from line to line stays small so. The parts of a choice are values, one of which is meant."""
 
     parts: list[tuple[int, int] | Value] = field(default_factory=list)
+    choice: bool = False
 
 
 @dataclass(slots=True)
@@ -147,6 +152,16 @@ class Reader:
                 stack.append(i)
             elif t.kind == OP and t.text == "]" and stack:
                 self.opens[i] = stack.pop()
+        self.closes = {a: b for b, a in self.opens.items()}  # of each opening bracket, round ones too, its partner
+        self.inside: list[bool] = []  # whether a token stands in round brackets
+        stack = []
+        for i, t in enumerate(self.tokens):
+            self.inside.append(bool(stack))
+            if t.kind == OP and t.text == "(":
+                stack.append(i)
+            elif t.kind == OP and t.text == ")" and stack:
+                self.closes[stack.pop()] = i
+        self.asked: set[int] = set()  # colons of conditional expressions
         self.scopes = scopes or _Scopes()
         self.used: set[int] = set()  # strings that are values or keys
         self.inner: list[tuple[int, int]] = []  # strings to be read by themselves
@@ -226,13 +241,42 @@ class Reader:
 
     # values
 
+    def _ahead(self, i: int, kind: int, text: str) -> int | None:
+        """The first token of a kind and text after token i on its line."""
+        for j in range(i + 1, min(i + 40, len(self.tokens))):
+            if self.tokens[j].kind == LINE:
+                return None
+            if self.tokens[j].kind == kind and self.tokens[j].text == text:
+                return j
+        return None
+
+    def _joins(self, i: int) -> bool:
+        """Whether operator i stands between parts of a sum: a full stop or `&` has blanks on both sides or on none."""
+        t = self.tokens[i]
+        return t.text == "+" or t.text in JOIN and self.text[t.start - 1].isspace() == self.text[t.end : t.end + 1].isspace()
+
+    def _either(self, i: int) -> int | None:
+        """If token i stands between choices: the token after."""
+        if self._kind(i) == NAME and self.tokens[i].text == "or" or self._is(i, "||"):
+            return i + 1
+        return i + 2 if self._is(i, "?") and self._is(i + 1, "?") else None
+
+    def _asks(self, i: int) -> bool:
+        return self._is(i, "?") and not self._is(i + 1, "?") and self._kind(i + 1) in (STRING, NAME, NUMBER, OP) and self._ahead(i, OP, ":") is not None
+
     def _value(self, i: int, colon: bool) -> tuple[Value, int]:
-        """The sum that begins at token i, and the token after it."""
-        value, need, depth = Value(), True, 0
+        """The sum or the choice of sums that begins at token i, and the token after it."""
+        first, value, choices, need, depth, asked, listed, back = i, Value(), [], True, 0, 0, False, None
+
+        def turn() -> None:
+            nonlocal value, need
+            choices.append(value)
+            value, need = Value(), True
+
         while i < len(self.tokens):
             t = self.tokens[i]
             if t.kind == LINE:
-                if not depth and not (need and value.parts):
+                if not depth and not (need and (value.parts or choices)):
                     break
                 i += 1
             elif t.kind == COMMENT and depth:
@@ -242,24 +286,60 @@ class Reader:
                 self.used.add(i)
                 self._string(t, value)
                 need, i = False, i + 1
-            elif t.kind == OP and t.text == "(" and need:
+            elif t.kind == OP and (t.text == "(" and need or t.text == "[" and need and not value.parts and i in self.closes):
+                listed |= t.text == "["
                 depth, i = depth + 1, i + 1
-            elif t.kind == OP and t.text == ")" and depth:
+            elif t.kind == OP and t.text in ")]" and depth:
                 depth, i, need = depth - 1, i + 1, False
-            elif t.kind == OP and t.text in JOIN and not need:
+            elif not need and t.kind == OP and t.text == "," and depth:
+                listed = True
+                turn()
+                i += 1
+            elif not need and (after := self._either(i)):
+                turn()
+                i = after
+            elif not need and self._asks(i):  # what stood before is the condition
+                value, need, asked, i = Value(), True, asked + 1, i + 1
+            elif not need and asked and self._is(i, ":"):
+                self.asked.add(i)
+                turn()
+                asked, i = asked - 1, i + 1
+            elif not need and t.kind == OP and t.text in COMPARE and (mark := self._ahead(i, OP, "?")) and self._asks(mark):
+                i = mark
+            elif not need and t.kind == NAME and t.text == "if" and (other := self._ahead(i, NAME, "else")):
+                turn()
+                i = other + 1
+            elif not need and self._is(i, "%") and self._kind(i - 1) == STRING:
+                if value.parts and not isinstance(value.parts[-1], Value) and _PLACES.fullmatch(self.text, value.parts[-1][0] - self.offset, value.parts[-1][1] - self.offset):
+                    value.parts.pop()
+                need, i = True, i + 1
+            elif not need and t.kind == OP and t.text in JOIN and self._joins(i):
                 need, i = True, i + 1
             elif need and t.kind in (NAME, NUMBER, OP):
                 m = _BARE.match(self.text, t.start)
                 if not m:
                     break
                 after = self._at(m.end())
-                if self._is(after, "(") and self.tokens[after].start == m.end():  # a call
-                    return Value(), after
-                self._bare(m, value, colon)
+                called = self._is(after, "(") and self.tokens[after].start == m.end()
+                if called or self._is(after, "[") and self.tokens[after].start == m.end():
+                    end = self.closes.get(after, after)
+                    more = end > after and (self._either(end + 1) or self._asks(end + 1) or self._is(end + 1, ",") and depth)
+                    if called and not more:
+                        value, i = Value(), after
+                        break
+                    if more:  # what is in the brackets is read by the walk
+                        back = after if back is None else back
+                        value, after = Value(), end + 1
+                if not called:
+                    self._bare(m, value, colon, bool(choices))
                 need, i = False, after
             else:
                 break
-        return value, i
+        if listed:
+            self.used.difference_update(range(first, i))  # read as texts of their own, too
+        if choices:
+            value = Value([v for v in (*choices, value) if v.parts], True)
+        return value, i if back is None else back
 
     def _string(self, t: Token, value: Value) -> None:
         """A string's literal. In a format string the names in braces flow too."""
@@ -278,14 +358,15 @@ class Reader:
                 return
         value.parts.append((self.offset + a, self.offset + b))
 
-    def _bare(self, m: re.Match, value: Value, colon: bool) -> None:
+    def _bare(self, m: re.Match, value: Value, colon: bool, chosen: bool = False) -> None:
+        """A bare value: what a name is bound to, or a literal, but not as a later choice."""
         raw = m[0]
         bound = self.scopes.get(raw)
         if bound is not None:
             # `password: str` names a type that may have stood before a literal, no value
             if bound[0].parts and not (colon and bound[1]):
                 value.parts.append(bound[0])
-        elif any(c.isdigit() for c in raw) or not re.fullmatch(_NAME, raw):
+        elif not chosen and any(c.isdigit() for c in raw) or not chosen and not re.fullmatch(_NAME, raw):
             value.parts.append((self.offset + m.start(), self.offset + m.end()))
 
     def _below(self, i: int, indent: int, block: bool) -> Value:
@@ -371,7 +452,7 @@ class Reader:
                 statement = i + 1 if t.text == ";" else statement
             elif t.text in ASSIGN:
                 after = yield from self._assign(i, i)
-            elif t.text == ":" and self._kind(i - 1) in (NAME, STRING, OP):
+            elif t.text == ":" and i not in self.asked and self._kind(i - 1) in (NAME, STRING, OP):
                 typed = self._typed(i)
                 if typed:
                     after = yield from self._assign(i, typed[0], typed[1])
@@ -400,6 +481,12 @@ class Reader:
         if not names:
             return op + 1
         nxt = op + 1
+        if not colon and at == op and self._is(op, "=", ":=") and (several := self._several(begin)):
+            after = op
+            for name in (*several, names):
+                value, after = self._value(after + 1, False) if after == op or self._is(after, ",") else (Value(), after)
+                yield from self._bound(name if isinstance(name, list) else [name], value, [])
+            return after
         while not colon and self._kind(nxt) == NAME and self._is(nxt + 1, "=", ":=") and self.text[self.tokens[nxt].end] in " \t":  # a = b = value
             names.append(self.tokens[nxt].text)
             nxt += 2
@@ -416,6 +503,16 @@ class Reader:
         yield from self._bound(names, value, type_names or [])
         return after
 
+    def _several(self, begin: int) -> list[str]:
+        """The names before that at token `begin`, if a statement begins with names between commas."""
+        out: list[str] = []
+        while not self.inside[begin] and self._is(begin - 1, ",") and self._kind(begin - 2) == NAME:
+            begin -= 2
+            out.append(self.tokens[begin].text)
+        if out and (self._kind(begin - 1) in (LINE, None) or self._is(begin - 1, ";", "{")):
+            return out[::-1]
+        return []
+
     def _bound(self, names: list[str], value: Value, type_names: list[str]) -> Iterator[Pair]:
         everything = [*names, *type_names]
         yield Pair(everything, value)

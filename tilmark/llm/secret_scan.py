@@ -106,10 +106,25 @@ class Flow:
         self.text = text
         self.known: dict[int, Summary] = {}
         self.score: dict[int, float] = {}
+        self.walked: dict[int, float] = {}
         self.held: list[Value] = []  # ids stay theirs as long as the values live
 
+    def sums(self, value: Value, weight: float) -> Iterator[Value]:
+        """The sums that a value is a choice of, but for those given for a name of as much weight."""
+        stack = [value]
+        while stack:
+            v = stack.pop()
+            if self.walked.get(id(v), 0.0) >= weight:
+                continue
+            self.walked[id(v)] = weight
+            self.held.append(v)
+            if v.choice or len(v.parts) == 1 and isinstance(v.parts[0], Value):
+                stack += reversed(v.parts)
+            else:
+                yield v
+
     def summary(self, value: Value) -> Summary:
-        """Length, counts of characters, and the first and last ENDS characters of the joined literals."""
+        """Length, counts of characters, and the first and last ENDS characters of the joined literals; in a sum, a choice stands for its longest part."""
         stack = [value]
         while stack:
             v = stack[-1]
@@ -119,7 +134,7 @@ class Flow:
                 continue
             stack.pop()
             n, counts, head, tail = 0, Counter(), "", ""
-            for p in v.parts:
+            for p in [max(v.parts, key=lambda x: self.known[id(x)][0])] if v.choice and v.parts else v.parts:
                 if isinstance(p, Value):
                     k, own, a, b = self.known[id(p)]
                 else:
@@ -157,10 +172,10 @@ def literal_spans(text: str) -> list[tuple[int, int, int, float]]:
     flow, found = Flow(text), {}
     for pair in read(text):
         weight = max(map(name_weight, pair.names))
-        if weight and pair.value.parts:
-            score = weight * flow.weight(pair.value)
+        for value in flow.sums(pair.value, weight) if weight and pair.value.parts else ():
+            score = weight * flow.weight(value)
             if score >= MIN_SCORE:
-                for a, b in flow.reached(pair.value, score):
+                for a, b in flow.reached(value, score):
                     if b > a:
                         found[a, b] = max(score, found.get((a, b), 0.0))
     return [(a, 3, b, s) for (a, b), s in found.items()]
