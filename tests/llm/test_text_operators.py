@@ -173,7 +173,7 @@ def test_choices_and_several_names():
         f'pwd = ["{lit}"]', f'pwd = ("{lit}", 3)', f'pwd = [\n  "{lit}",  # first\n]', f'passwords = ["short", "{lit}"]', f'a, pwd = 1, "{lit}"', f'pwd, b = "{lit}", 2', f'{{ a, pwd := 1, "{lit}"',
         f'pwd = x or "{lit}"', f'pwd = x || "{lit}"', f'pwd = x ?? "{lit}"', f'pwd = load("n") or "{lit}"', f'pwd = os.environ["n"] or "{lit}"', f'pwd = c ? "{lit}" : d', f'pwd = c == 1 ? d : "{lit}"',
         f'pwd = f(x) ? "{lit}" : null', f'pwd = "{lit}" if c else None', f'pwd = None if c else "{lit}"', f'pwd = "%s" % "{lit}"', f'keys = ["n", "{lit}"]\nx = keys\npassword = x',
-        f'base = c ? "n" : "{lit}"\nsecret = base', f'PASSPHRASE="{lit}" ./run', f'PASSPHRASE="{lit}" & ./run', f'x = [{{"password": "{lit}"}}]', f'args = ["--password \\'{lit}\\'"]', f'x = f(a, pwd="{lit}", n="{other}")',
+        f'base = c ? "n" : "{lit}"\nsecret = base', f'PASSPHRASE="{lit}" ./run', f'PASSPHRASE="{lit}" & ./run', f'x = [{{"password": "{lit}"}}]', f"args = [\"--password '{lit}'\"]", f'x = f(a, pwd="{lit}", n="{other}")',
         f'f(\n  a, pwd="{lit}")', f'pwd = load(secret="{lit}") or None', f"pwd = c ? d : e; f = {{'x': 1, 'token2': '{lit}'}}",
     ):
         assert literals(text) == [lit], text
