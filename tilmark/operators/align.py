@@ -4,40 +4,106 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilmark.functions import metrics
-from tilmark.functions.similarity import CORRECT, align_words, token_set_ratio
+from tilmark.functions.similarity import CORRECT, DELETION, INSERTION, STATUSES, SUBSTITUTION, best_moves, edit_distance, token_set_ratio, word_similarity
 from tilmark.functions.text import normalise
 from tilmark.operators.match import BELOW, EXACT, MATCHED, NOT_FOUND, THRESHOLD, VerseIndex, best_verses, with_verse
 
-ALIGNMENT = "array<struct<hyp_word:string,ref_word:string,ref_word_with_diac:string,status:string,similarity:double>>"
 FIELDS = ("hyp_word", "ref_word", "ref_word_with_diac", "status", "similarity")
 
 
-def word_alignments(pairs: DataFrame, hyp: str = "hypothesis", ref: str = "reference_plain", shown: str = "reference_with_diacritics", out: str = "word_alignments", corrected: bool = False) -> DataFrame:
+#: Aligned words that a task makes at a time.
+SLICE = 1 << 16
+
+
+def word_alignments(pairs: DataFrame, hyp: str = "hypothesis", ref: str = "reference_plain", shown: str = "reference_with_diacritics", out: str = "word_alignments", corrected: bool = False, fields: Sequence[str] = FIELDS) -> DataFrame:
     """pairs plus an array of aligned words. Shown words stand by position in the raw text; with corrected=True, tokens
-    that the normal form empties (lone marks) are joined to the word before, so that later words keep their place."""
+    that the normal form empties (lone marks) are joined to the word before, so that later words keep their place. fields: those of an aligned word that are made. A task holds the words of one pair, and about SLICE aligned ones as columns."""
     names = [*pairs.columns, out]
     where = [pairs.columns.index(c) for c in (hyp, ref, shown)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([(f, pa.float64() if f == "similarity" else pa.string()) for f in FIELDS]))
         for batch in batches:
-            rows = []
-            for h, r, d in zip(*(batch.column(k).to_pylist() for k in where), strict=True):
+            begin, made = 0, _Aligned(fields)
+            for i in range(len(batch)):
+                h, r, d = (batch.column(k)[i].as_py() for k in where)
                 if h is None or r is None:
-                    rows.append(None)
-                    continue
-                words = r.split()
-                marked = (_joined if corrected else _padded)((d or "").split(), len(words))
-                rows.append([dict(zip(FIELDS, x, strict=True)) for x in align_words(h.split(), words, marked)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=names)
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields] + [f"`{out}` {ALIGNMENT}"])
+                    made.skip()
+                else:
+                    words = r.split()
+                    made.add(h.split(), words, (_joined if corrected else _padded)((d or "").split(), len(words)))
+                if made.size >= SLICE or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, i + 1 - begin).columns, made.array()], names=names)
+                    begin, made = i + 1, _Aligned(fields)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields] + [f"`{out}` array<struct<{', '.join(f'{f}: {_sql(f)}' for f in fields)}>>"])
+    return pairs.mapInArrow(run, schema)
+
+
+def _sql(field: str) -> str:
+    return "double" if field == "similarity" else "string"
+
+
+class _Aligned:
+    """Alignments of some pairs as one Arrow array of lists."""
+
+    def __init__(self, fields: Sequence[str] = FIELDS):
+        self.fields, self.size, self.ends, self.parts = fields, 0, [0], []
+        self.missing: list[bool] = []
+
+    def skip(self) -> None:
+        self.missing.append(True)
+        self.ends.append(self.size)
+
+    def add(self, hyp: list[str], ref: list[str], shown: list[str]) -> None:
+        kind = np.array(best_moves(hyp, ref), np.int64)
+        has_h, has_r = kind != STATUSES.index(DELETION), kind != STATUSES.index(INSERTION)
+        j, i = np.where(has_h, np.cumsum(has_h) - 1, len(hyp)), np.where(has_r, np.cumsum(has_r) - 1, len(ref))
+        texts = {"hyp_word": (hyp, j), "ref_word": (ref, i), "ref_word_with_diac": (shown[: len(ref)], i), "status": (STATUSES, kind)}
+
+        def column(field: str) -> pa.Array:
+            if field in texts:
+                own, place = texts[field]
+                return pa.array([*own, ""], pa.string()).take(pa.array(place))
+            alike = (kind == STATUSES.index(CORRECT)).astype(np.float64)
+            at = np.flatnonzero(kind == STATUSES.index(SUBSTITUTION))
+            alike[at] = [word_similarity(hyp[x], ref[y]) for x, y in zip(j[at].tolist(), i[at].tolist(), strict=True)]
+            return pa.array(alike)
+
+        self.parts.append(pa.StructArray.from_arrays([column(f) for f in self.fields], names=list(self.fields)))
+        self.missing.append(False)
+        self.size += len(kind)
+        self.ends.append(self.size)
+
+    def array(self) -> pa.Array:
+        kind = pa.struct([(f, pa.float64() if f == "similarity" else pa.string()) for f in self.fields])
+        values = pa.concat_arrays(self.parts) if self.parts else pa.array([], kind)
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), values, mask=pa.array(self.missing, pa.bool_()))
+
+
+def word_error_rates(pairs: DataFrame, hyp: str = "hypothesis", ref: str = "reference_plain", out: str = "wer") -> DataFrame:
+    """pairs plus the word error rate, as metrics.wer, for texts of any length. A task holds the words of one pair."""
+    names = [*pairs.columns, out]
+    where = [pairs.columns.index(c) for c in (hyp, ref)]
+
+    def rate(h: str | None, r: str | None) -> float | None:
+        if h is None or r is None:
+            return None
+        said, words = h.split(), r.split()
+        return edit_distance(said, words) / len(words) if words else float(len(said) > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rates = [rate(*(batch.column(k)[i].as_py() for k in where)) for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates, pa.float64())], names=names)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields] + [f"`{out}` double"])
     return pairs.mapInArrow(run, schema)
 
 

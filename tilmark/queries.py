@@ -157,10 +157,10 @@ def align_documents(spark, d):
     from tilmark.operators.align import word_alignments
 
     pairs = _documents_said(spark, d).select("doc_id", F.array_join("h", " ").alias("hypothesis"), F.col("ref").alias("reference_plain"), F.col("ref").alias("reference_with_diacritics"))
-    out = word_alignments(pairs)
-    kinds = F.transform("word_alignments", lambda w: F.substring(w["status"], 1, 1))
-    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind[0])).alias(f"n_{kind}")
-    return out.select("doc_id", kinds.alias("kinds")).select("doc_id", *[count(k) for k in ("correct", "substitution", "deletion", "insertion")], F.sha2(F.array_join("kinds", ""), 256).alias("statuses_sha256"))
+    out = word_alignments(pairs, fields=["status"])
+    kinds = F.array_join(F.transform("word_alignments", lambda w: F.substring(w["status"], 1, 1)), "")
+    count = lambda kind: F.when(F.col("kinds").isNull(), F.col("size")).otherwise(F.length("kinds") - F.length(F.replace("kinds", F.lit(kind[0])))).alias(f"n_{kind}")
+    return out.select("doc_id", kinds.alias("kinds"), F.size("word_alignments").alias("size")).select("doc_id", *[count(k) for k in ("correct", "substitution", "deletion", "insertion")], F.sha2("kinds", 256).alias("statuses_sha256"))
 
 
 def wer_documents(spark, d):
