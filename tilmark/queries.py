@@ -164,7 +164,10 @@ def align_documents(spark, d):
 
 
 def wer_documents(spark, d):
-    return _documents_said(spark, d).select("doc_id", metrics.wer(F.col("h"), text.tokenise("ref")).alias("wer"))
+    from tilmark.operators.align import word_error_rates
+
+    pairs = _documents_said(spark, d).select("doc_id", F.array_join("h", " ").alias("hypothesis"), F.col("ref").alias("reference_plain"))
+    return word_error_rates(pairs).select("doc_id", "wer")
 
 
 def align_counts(spark, d):
