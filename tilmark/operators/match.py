@@ -4,12 +4,13 @@ The corpus is mostly a dimension of a few thousand verses. It is collected for t
 a larger one stays distributed, and its blocks pass by the hypotheses of each task, each keeping the better winner, so no pair of hypothesis and verse is ever a row.
 In a worker, scores of all verses are bounded from above at once: the lengths of shared and of differing tokens are
 known from an inverted index, and the common subsequence of the rest is at most its common characters. Verses are then
-scored exactly in falling order of the bound until no bound can win.
+scored exactly in falling order of the bound until no bound can win: by groups of up to GROUP verses
+whose common subsequences are found at once, as the bits of one long integer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,14 @@ THRESHOLD = 40.0
 MAX_BLOCK = 20_000
 BLOCK = 2_000
 SLOT_ROWS = 20_000
+#: Verses of a group, which are of like length; if so few of them are left, they are scored one by one.
+FEW, GROUP = 2, 64
+#: Bytes of the places of characters that an index keeps for its groups.
+HELD = 1 << 27
+#: Tokens whose character counts an index keeps, and bits that stay empty behind a verse's tokens.
+COUNTED, GUARD = 20_000, 8
+#: Shared tokens whose characters are counted at a time.
+TOKENS = 64
 EXACT, MATCHED, NOT_FOUND, BELOW = "exact", "matched", "not_found", "below_threshold"
 
 
@@ -32,6 +41,105 @@ def with_verse(hyps: DataFrame, corpus: DataFrame) -> DataFrame:
     return hyps.join(first, ["surah", "ayah"], "left")
 
 
+class VerseGroup:
+    """Verses whose token-set scores with a text are found together. Each has a lane of bits: its sorted tokens, each behind a blank, and GUARD bits or more that
+    take up its carries (each fills one more) until they are emptied, so that none leaves the lane. A step takes one character of the text's sorted tokens in all lanes (Hyyro 2004); shared tokens match nothing in their lanes, on
+    either side, and neither does the blank before the first token that is left."""
+
+    def __init__(self, sets: list[set[str]]):
+        n = len(sets)
+        self.tokens = np.array([len(s) for s in sets], np.int64)
+        self.letters = np.array([sum(map(len, s)) for s in sets], np.int64)
+        self.lanes = 0
+        #: By token: (lane, its bits) of each verse that holds it, and all bits of those lanes.
+        self.holders: dict[str, list[tuple[int, int]]] = {}
+        self.held: dict[str, int] = {}
+        self.blanks: list[list[tuple[int, str]]] = []  # by lane, in order: the blank's bit, the token behind it
+        ends = np.cumsum((self.letters + self.tokens + GUARD + 7) // 8)  # lanes are whole bytes
+        self.begins, self.size = np.concatenate([[0], ends[:-1]]).astype(np.int64), int(ends[-1]) if n else 0
+        marks: dict[str, bytearray] = {}
+        for lane, s in enumerate(sets):
+            at = int(self.begins[lane]) * 8
+            own = (1 << int(self.letters[lane] + self.tokens[lane])) - 1 << at
+            self.lanes |= own
+            self.blanks.append([])
+            for w in sorted(s):
+                self.blanks[-1].append((at, w))
+                self.holders.setdefault(w, []).append((lane, (1 << len(w) + 1) - 1 << at))
+                self.held[w] = self.held.get(w, 0) | own
+                for c in " " + w:
+                    raw = marks.setdefault(c, bytearray(self.size))
+                    raw[at >> 3] |= 1 << (at & 7)
+                    at += 1
+        self.where = {c: int.from_bytes(raw, "little") for c, raw in marks.items()}
+        self.firsts = sum(1 << b[0][0] for b in self.blanks if b)
+
+    def scores(self, own: set[str]) -> np.ndarray:
+        """token_set_ratio of each verse with a text of these tokens."""
+        n = len(self.tokens)
+        if not own:
+            return np.zeros(n)
+        shared, letters = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        off, lanes = 0, set()
+        for w in own:
+            for lane, bits in self.holders.get(w, ()):
+                shared[lane] += 1
+                letters[lane] += len(w)
+                off |= bits
+                lanes.add(lane)
+        off |= self.firsts
+        for lane in lanes:
+            off |= next((1 << at for at, w in self.blanks[lane] if w not in own), 0)
+        full = self.lanes
+        on = full & ~off
+        where = {c: bits & on for c, bits in self.where.items()}
+        blank = where.get(" ", 0)
+        state, begun = full, 0
+        for w in sorted(own):
+            here = full & ~held if (held := self.held.get(w)) else full  # lanes whose verse lacks the token
+            if begun and (hit := state & blank & begun & here if held or begun != full else state & blank):
+                state = state + hit | state ^ hit
+            if begun != full:
+                begun |= here
+            for n_signs, c in enumerate(w, 2):  # the blank was one
+                if bits := where.get(c):
+                    hit = state & bits & here if held else state & bits
+                    state = state + hit | state ^ hit
+                if not n_signs % GUARD:
+                    state &= full
+            state &= full
+        raw = np.frombuffer((full & ~state).to_bytes(self.size, "little"), np.uint8)
+        same = np.add.reduceat(np.bitwise_count(raw), self.begins, dtype=np.int64) if n else shared
+        x, y = len(own) - shared, self.tokens - shared
+        la = sum(map(len, own)) - letters + np.maximum(x - 1, 0)
+        lb = self.letters - letters + np.maximum(y - 1, 0)
+        return np.where(self.tokens == 0, 0.0, np.where((shared > 0) & ((x == 0) | (y == 0)), 100.0, set_scores(la, lb, shared, letters, same)))
+
+
+def set_scores(la: np.ndarray, lb: np.ndarray, shared: np.ndarray, letters: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """similarity.set_score of arrays; shared tokens and their letters; same: lengths of the common subsequences."""
+    sl = letters + np.maximum(shared - 1, 0)
+    g = (shared > 0).astype(np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r1 = 100.0 - 100.0 * (la + lb - 2 * same) / (2 * (sl + g) + la + lb)
+        r2 = 100.0 - 100.0 * (g + la) / (2 * sl + g + la)
+        r3 = 100.0 - 100.0 * (g + lb) / (2 * sl + g + lb)
+    return np.where(shared > 0, np.maximum(np.maximum(r1, r2), r3), r1)
+
+
+class _Counted(dict):
+    """Counts of tokens' characters, of up to COUNTED tokens kept."""
+
+    def __init__(self, count: Callable[[str], np.ndarray]):
+        self.count = count
+
+    def __missing__(self, token: str) -> np.ndarray:
+        made = self.count(token)
+        if len(self) < COUNTED:
+            self[token] = made
+        return made
+
+
 class VerseIndex:
     """Verses in index order, with what bounds their scores."""
 
@@ -45,12 +153,21 @@ class VerseIndex:
         self.tokens = np.array([len(s) for s in sets], np.int64)
         self.letters = np.array([sum(map(len, s)) for s in sets], np.int64)
         self.counts = np.zeros((len(rows), len(self.alphabet)), np.int32)
-        self.holders: dict[str, list[int]] = {}
+        holders: dict[str, list[int]] = {}
         for i, s in enumerate(sets):
             for w in s:
-                self.holders.setdefault(w, []).append(i)
-                for c in w:
-                    self.counts[i, self.alphabet[c]] += 1
+                holders.setdefault(w, []).append(i)
+            self.counts[i] = self._count("".join(s))
+        self.holders = {w: np.array(at, np.int64) for w, at in holders.items()}
+        self.token_counts = _Counted(self._count)
+        self.groups, self.free = {}, HELD
+        self.by_length = np.argsort(self.letters + self.tokens, kind="stable")
+        self.group_of = np.empty(len(rows), np.int64)
+        self.group_of[self.by_length] = np.arange(len(rows)) // GROUP
+
+    def _count(self, text: str) -> np.ndarray:
+        """How often each character of the alphabet is in a text."""
+        return np.bincount([self.alphabet[c] for c in text if c in self.alphabet], minlength=len(self.alphabet)).astype(np.int32)
 
     def bounds(self, text: str) -> np.ndarray:
         """No verse's score with text is above its bound; a bound of 0 is exact."""
@@ -58,45 +175,61 @@ class VerseIndex:
         n = len(self.plain)
         if not own:
             return np.zeros(n)
-        shared, letters = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        common = np.zeros((n, len(self.alphabet)), np.int32)
-        mine = np.zeros(len(self.alphabet), np.int32)
-        for w in own:
-            count = np.zeros(len(self.alphabet), np.int32)
-            for c in w:
-                if c in self.alphabet:
-                    count[self.alphabet[c]] += 1
-            mine += count
-            if (at := self.holders.get(w)) is not None:
-                shared[at] += 1
-                letters[at] += len(w)
-                common[at] += count
+        mine = self._count("".join(own))
+        known = [w for w in own if w in self.holders]
+        at = np.concatenate([self.holders[w] for w in known] or [np.empty(0, np.int64)])
+        which = np.repeat(np.arange(len(known)), [len(self.holders[w]) for w in known])
+        shared = np.bincount(at, minlength=n)
+        letters = np.bincount(at, np.array([len(w) for w in known], np.float64)[which], n).astype(np.int64)
+        common = np.zeros((n, len(self.alphabet)), np.float32)
+        for k in range(0, len(known), TOKENS):  # counts are small whole numbers, so sums of floats are exact
+            held = np.zeros((TOKENS, n), np.float32)
+            some = (which >= k) & (which < k + TOKENS)
+            held[which[some] - k, at[some]] = 1
+            common += held[: len(known) - k].T @ np.stack([self.token_counts[w] for w in known[k : k + TOKENS]]).astype(np.float32)
+        common = common.astype(np.int32)
         x, y = len(own) - shared, self.tokens - shared
         la = sum(map(len, own)) - letters + np.maximum(x - 1, 0)
         lb = self.letters - letters + np.maximum(y - 1, 0)
-        sl = letters + np.maximum(shared - 1, 0)
-        g = (shared > 0).astype(np.int64)
         same = np.minimum(mine[None, :] - common, self.counts - common).sum(axis=1) + np.minimum(np.maximum(x - 1, 0), np.maximum(y - 1, 0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r1 = 100.0 - 100.0 * (la + lb - 2 * same) / (2 * (sl + g) + la + lb)
-            r2 = 100.0 - 100.0 * (g + la) / (2 * sl + g + la)
-            r3 = 100.0 - 100.0 * (g + lb) / (2 * sl + g + lb)
-        out = np.where(shared > 0, np.maximum(np.maximum(r1, r2), r3), r1)
+        out = set_scores(la, lb, shared, letters, same)
         return np.where(self.tokens == 0, 0.0, np.where((shared > 0) & ((x == 0) | (y == 0)), 100.0, out))
 
+    def members(self, k: int) -> np.ndarray:
+        """Places of the k-th group's verses, ascending."""
+        return np.sort(self.by_length[k * GROUP : (k + 1) * GROUP])
+
+    def group(self, k: int) -> VerseGroup:
+        """The k-th group of verses, made when it is first asked for, and kept as long as there is room."""
+        if (found := self.groups.get(k)) is None:
+            found = VerseGroup([set(self.plain[i].split()) for i in self.members(k).tolist()])
+            cost = found.size * len(found.where)
+            if cost <= self.free:
+                self.free -= cost
+                self.groups[k] = found
+        return found
+
     def best(self, text: str, surah: int | None, threshold: float) -> tuple[int, float] | None:
         """(place, score) of the first verse with the largest score, of at least threshold."""
         bounds = self.bounds(text)
         if surah is not None:
             bounds = np.where(self.surah == surah, bounds, -1.0)
-        winner: tuple[float, int] | None = None
-        for i in np.lexsort((np.arange(len(bounds)), -bounds)).tolist():
-            if bounds[i] < 0 or bounds[i] + 1e-6 < (winner[0] if winner else threshold):
-                break
-            score = token_set_ratio(text, self.plain[i])
-            if score >= threshold and (winner is None or (score, -i) > (winner[0], -winner[1])):
-                winner = score, i
-        return (winner[1], winner[0]) if winner else None
+        own = set(text.split())
+        winner: tuple[int, float] | None = None
+        while True:
+            bounds[bounds + 1e-6 < (winner[1] if winner else threshold)] = -1.0  # cannot win
+            if not len(bounds) or bounds[i := int(np.argmax(bounds))] < 0:
+                return winner
+            members = self.members(int(self.group_of[i]))
+            if np.count_nonzero(bounds[members] >= 0) <= FEW:
+                members, scores = np.array([i]), np.array([token_set_ratio(text, self.plain[i])])
+            else:
+                scores = np.where(bounds[members] >= 0, self.group(int(self.group_of[i])).scores(own), -1.0)
+            bounds[members] = -1.0
+            k = int(np.argmax(scores))
+            score, at = float(scores[k]), int(members[k])
+            if score >= threshold and (winner is None or (score, -at) > (winner[1], -winner[0])):
+                winner = at, score
 
 
 def verse_index(corpus: DataFrame) -> VerseIndex | None:
