@@ -10,6 +10,7 @@ samples has none.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import struct
 import uuid
@@ -28,6 +29,9 @@ from tilmark.sources.audio_files import GROUPS, kernel, pcm, resample_groups
 
 #: Peaks of so many files are broadcast at most.
 BROADCAST_FILES = 10_000
+#: Output samples of a task at least, if that leaves every core its share; and bytes that are copied at a time.
+TASK_SAMPLES = 1 << 22
+COPIED = 1 << 22
 _HEADS = "path string, rate int, width int, channels int, begin long, frames long, error string"
 
 
@@ -112,12 +116,19 @@ def read_chunks(spark: SparkSession, path: str, size: int, overlap: int = 0, tar
     step = size - overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                with opened(row["path"]) as f:
-                    made = part(f, row["rate"], row["width"], row["channels"], row["begin"], row["frames"], row["start"], row["count"], target)
-                top = float(np.abs(made).max()) if len(made) else 0.0
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["chunk"]], pa.int64()), pa.array([row["start"]], pa.int64()), pa.array([made], pa.list_(pa.float32())), pa.array([top], pa.float32())], names=["path", "chunk", "start", "samples", "top"])
+        at, file = None, contextlib.ExitStack()
+        with file:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["path"] != at:  # neighbouring chunks read one open file
+                        file.close()
+                        at, f = row["path"], file.enter_context(opened(row["path"]))
+                    yield made_of(f, row)
+
+    def made_of(f: BinaryIO, row: dict) -> pa.RecordBatch:
+        made = part(f, row["rate"], row["width"], row["channels"], row["begin"], row["frames"], row["start"], row["count"], target)
+        top = float(np.abs(made).max()) if len(made) else 0.0
+        return pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["chunk"]], pa.int64()), pa.array([row["start"]], pa.int64()), pa.array([made], pa.list_(pa.float32())), pa.array([top], pa.float32())], names=["path", "chunk", "start", "samples", "top"])
 
     with store.step():
         known = heads(files)
@@ -125,8 +136,10 @@ def read_chunks(spark: SparkSession, path: str, size: int, overlap: int = 0, tar
         chunks = F.when(F.col("total") > size, F.ceil((F.col("total") - size) / step)).otherwise(0).cast("long")
         each = known.filter("frames > 0").withColumn("total", total).select("*", F.explode(F.sequence(F.lit(0).cast("long"), chunks)).alias("chunk")).withColumn("start", F.col("chunk") * step)
         each = each.withColumn("count", F.least(F.lit(size).cast("long"), F.col("total") - F.col("start")))
-        tasks = max(1, min(each.count(), 100_000))
-        made = store.written(each.repartition(tasks).mapInArrow(run, "path string, chunk long, start long, samples array<float>, top float"), "chunks")
+        many, asked = each.agg(F.count("*"), F.sum("count")).head()
+        tasks = max(1, min(many, max(spark.sparkContext.defaultParallelism, -(-(asked or 0) // TASK_SAMPLES))))
+        dealt = each.repartitionByRange(tasks, "path", "chunk").sortWithinPartitions("path", "chunk")
+        made = store.written(dealt.mapInArrow(run, "path string, chunk long, start long, samples array<float>, top float"), "chunks")
         tops = made.groupBy(F.col("path").alias("of")).agg(F.max("top").alias("peak"))
         tops = F.broadcast(tops) if known.count() <= BROADCAST_FILES else tops
         scaled = F.transform("samples", lambda x: (x * (F.lit(PEAK).cast("float") / F.col("peak")).cast("float")).cast("float"))
@@ -138,20 +151,45 @@ def read_chunks(spark: SparkSession, path: str, size: int, overlap: int = 0, tar
 
 
 def write_wav(samples: DataFrame, folder: str, rate: int = RATE) -> str:
-    """samples (i, sample: an int of 16 bits) in the order of i as a mono WAV file in a folder; its path. The one task that writes it holds a batch at a time."""
-    n = samples.count()
-    start = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", min(36 + 2 * n, (1 << 32) - 1), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", min(2 * n, (1 << 32) - 1))
+    """samples (i, sample: an int of 16 bits) in the order of i as a mono WAV file in a folder; its path. Ranges of i are sorted and made bytes by a task each; as a file
+    has one writer, one task then copies those bytes, two a sample, some at a time."""
+    spark = samples.sparkSession
     name = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def create(path: str) -> BinaryIO:
+        system, inner = FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        return system.open_output_stream(inner)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = f"{name}.parts/{uuid.uuid4().hex}", 0
+        with contextlib.ExitStack() as file:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                if not n:
+                    first, out = batch.column(0).slice(0, 1), file.enter_context(create(own))
+                out.write(np.asarray(batch.column(1)).astype("<i2").tobytes())
+                n += len(batch)
+        if n:
+            yield pa.RecordBatch.from_arrays([first, pa.array([own]), pa.array([n], pa.int64())], names=["i", "path", "n"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = f"{name}-{uuid.uuid4().hex}.wav"
-        system, path = FileSystem.from_uri(own if "://" in own else f"file://{own.removeprefix('file:')}")
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path) as out:
+        with create(own) as out:
             out.write(start)
-            for batch in batches:
-                out.write(np.asarray(batch.column(0)).astype("<i2").tobytes())
+            for batch in batches:  # one row: the paths in order
+                for path in batch.column(0)[0].as_py():
+                    with opened(path) as f:
+                        while some := f.read(COPIED):
+                            out.write(some)
         yield pa.RecordBatch.from_pydict({"path": [own]})
 
-    ordered = samples.repartition(1).sortWithinPartitions("i").select(F.col("sample").cast("int"))
-    return store.written(ordered.mapInArrow(run, "path string"), "wav").head()["path"]  # a repeated task's own file is not named
+    with store.step():
+        sorted_ = samples.select("i", F.col("sample").cast("int").alias("sample")).repartitionByRange("i").sortWithinPartitions("i")
+        parts = store.written(sorted_.mapInArrow(ranges, f"i {samples.schema['i'].dataType.simpleString()}, path string, n long"), "parts")
+        n = parts.agg(F.sum("n")).head()[0] or 0
+        start = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", min(36 + 2 * n, (1 << 32) - 1), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", min(2 * n, (1 << 32) - 1))
+        made = store.written(parts.agg(F.array_sort(F.collect_list(F.struct("i", "path"))).alias("p")).select("p.path").mapInArrow(whole, "path string"), "wav").head()["path"]  # a repeated task's own file is not named
+    store.delete(spark, f"{name}.parts")
+    return made
