@@ -46,6 +46,12 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rename(spark: SparkSession, file: str, to: str) -> None:
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (file, to)]
+    if not paths[1].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths):
+        raise OSError(f"{file} could not be renamed {to}")
+
+
 @contextlib.contextmanager
 def step() -> Iterator[None]:
     """Folders that are made meanwhile are deleted at the end. What is to outlast them is written outside, or kept() by its path."""

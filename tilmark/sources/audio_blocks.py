@@ -19,27 +19,21 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilmark.functions.audio import PEAK, RATE
-from tilmark.plans import store
+from tilmark.plans import one_file, store
+from tilmark.plans.one_file import opened
 from tilmark.sources.audio_files import GROUPS, kernel, pcm, resample_groups
 
 #: Peaks of so many files are broadcast at most.
 BROADCAST_FILES = 10_000
-#: Output samples of a task at least, if that leaves every core its share; and bytes that are copied at a time.
+#: Output samples of a task at least, if that leaves every core its share.
 TASK_SAMPLES = 1 << 22
-COPIED = 1 << 22
 _HEADS = "path string, rate int, width int, channels int, begin long, frames long, error string"
 
 
-def opened(path: str) -> BinaryIO:
-    system, name = FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-    return system.open_input_file(name)
-
-
 def head(file: BinaryIO, size: int) -> tuple[int, int, int, int, int]:
     """(rate, bytes of a sample, channels, first byte of samples, frames) of a PCM WAV file of `size` bytes. A data chunk that says more than there is ends with the file."""
     riff = file.read(12)
@@ -151,45 +145,13 @@ def read_chunks(spark: SparkSession, path: str, size: int, overlap: int = 0, tar
 
 
 def write_wav(samples: DataFrame, folder: str, rate: int = RATE) -> str:
-    """samples (i, sample: an int of 16 bits) in the order of i as a mono WAV file in a folder; its path. Ranges of i are sorted and made bytes by a task each; as a file
-    has one writer, one task then copies those bytes, two a sample, some at a time."""
+    """samples (i, sample: an int of 16 bits) in the order of i as a mono WAV file in a folder; its path."""
     spark = samples.sparkSession
     name = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-    def create(path: str) -> BinaryIO:
-        system, inner = FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        return system.open_output_stream(inner)
-
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = f"{name}.parts/{uuid.uuid4().hex}", 0
-        with contextlib.ExitStack() as file:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                if not n:
-                    first, out = batch.column(0).slice(0, 1), file.enter_context(create(own))
-                out.write(np.asarray(batch.column(1)).astype("<i2").tobytes())
-                n += len(batch)
-        if n:
-            yield pa.RecordBatch.from_arrays([first, pa.array([own]), pa.array([n], pa.int64())], names=["i", "path", "n"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = f"{name}-{uuid.uuid4().hex}.wav"
-        with create(own) as out:
-            out.write(start)
-            for batch in batches:  # one row: the paths in order
-                for path in batch.column(0)[0].as_py():
-                    with opened(path) as f:
-                        while some := f.read(COPIED):
-                            out.write(some)
-        yield pa.RecordBatch.from_pydict({"path": [own]})
-
     with store.step():
-        sorted_ = samples.select("i", F.col("sample").cast("int").alias("sample")).repartitionByRange("i").sortWithinPartitions("i")
-        parts = store.written(sorted_.mapInArrow(ranges, f"i {samples.schema['i'].dataType.simpleString()}, path string, n long"), "parts")
+        parts = one_file.sorted_bytes(samples.select("i", F.col("sample").cast("int").alias("sample")), f"{name}.parts", lambda values: np.asarray(values).astype("<i2").tobytes())
         n = parts.agg(F.sum("n")).head()[0] or 0
         start = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", min(36 + 2 * n, (1 << 32) - 1), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", min(2 * n, (1 << 32) - 1))
-        made = store.written(parts.agg(F.array_sort(F.collect_list(F.struct("i", "path"))).alias("p")).select("p.path").mapInArrow(whole, "path string"), "wav").head()["path"]  # a repeated task's own file is not named
+        made = one_file.joined(parts, name, start, suffix=".wav")
     store.delete(spark, f"{name}.parts")
     return made

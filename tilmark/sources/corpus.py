@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilmark.functions.text import normalise, strip_end_of_ayah
+from tilmark.plans import one_file, store
 
 NESTED = "map<string,map<string,struct<text:string>>>"
 SERVICE = "struct<data:struct<surahs:array<struct<number:int,ayahs:array<struct<numberInSurah:int,text:string>>>>>>"
@@ -104,15 +105,20 @@ def nested_json(corpus: DataFrame) -> DataFrame:
 
 
 def write_nested(verses: DataFrame, path: str) -> None:
-    """Verses (surah, ayah, text) as one nested document in one file, a surah to a line, in order; of a repeated ayah the largest text is last. Its one task writes line by line, and
-    what is held is a surah."""
+    """Verses (surah, ayah, text) as one nested document in one file, a surah to a line, in order; of a repeated ayah the largest text is last. Ranges of surahs are made text by
+    a task each, which holds a surah."""
+    spark = verses.sparkSession
     entry = lambda key, value: F.concat(F.to_json(F.array(key.cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(key.cast("string")))) - 2), F.lit(":"), value)
     ayahs = F.transform(F.array_sort(F.collect_list(F.struct("ayah", "text"))), lambda x: entry(x["ayah"], F.to_json(F.struct(x["text"].alias("text")))))
-    lines = verses.groupBy("surah").agg(F.array_join(ayahs, ",").alias("v")).select(F.lit(1).alias("at"), "surah", entry(F.col("surah"), F.concat(F.lit("{"), "v", F.lit("}"))).alias("v"))
-    first = lines.agg(F.min("surah").alias("first"))
-    rows = lines.join(F.broadcast(first), F.lit(True)).select("at", "surah", F.when(F.col("surah") == F.col("first"), F.col("v")).otherwise(F.concat(F.lit(","), "v")).alias("v"))
-    frame = verses.sparkSession.createDataFrame([(0, "{"), (2, "}")], "at int, v string").select("at", F.lit(None).cast(verses.schema["surah"].dataType).alias("surah"), "v")
-    rows.unionByName(frame).repartition(1).sortWithinPartitions("at", "surah").select("v").write.mode("overwrite").text(path)
+    lines = verses.groupBy("surah").agg(F.array_join(ayahs, ",").alias("v")).select("surah", entry(F.col("surah"), F.concat(F.lit("{"), "v", F.lit("}"))).alias("v"))
+    first = verses.agg(F.min("surah").alias("first"))
+    rows = lines.join(F.broadcast(first), F.lit(True)).select("surah", F.when(F.col("surah") == F.col("first"), F.col("v")).otherwise(F.concat(F.lit(","), "v")).alias("v"))
+    store.delete(spark, path)
+    with store.step():
+        parts = one_file.sorted_bytes(rows, f"{path.rstrip('/')}/_parts", lambda values: "".join(f"{v}\n" for v in values.to_pylist()).encode())
+        made = one_file.joined(parts, f"{path.rstrip('/')}/_whole", b"{\n", b"}\n")
+    store.rename(spark, made, f"{path.rstrip('/')}/part-00000.txt")
+    store.delete(spark, f"{path.rstrip('/')}/_parts")
 
 
 def write_json(corpus: DataFrame, path: str, indent: int = 2) -> None:

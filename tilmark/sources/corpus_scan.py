@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tilmark.plans import store
 
 SURAHS, AYAHS = 1, 2
+#: Bytes of a document that a task reads at least, if that leaves every core its share.
+TASK_BYTES = 1 << 25
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]', re.DOTALL)
 _ESCAPE = re.compile(r"\\.", re.DOTALL)
 _EVENTS = "path string, unit long, n int, surah string, ayah string, value string"
@@ -63,8 +65,12 @@ def events(text: str, depth: int) -> Iterator[tuple[str | None, str | None, str
         yield None, key, text[begin:]
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
+def _records(spark: SparkSession, path: str, split: int | None) -> DataFrame:
+    """Texts up to a closing brace. Of small splits, a task reads several, one after the other."""
     lines = spark.read.option("lineSep", "}").text(path)
+    if split:
+        splits = lines.rdd.getNumPartitions()
+        lines = lines.coalesce(max(1, min(splits, spark.sparkContext.defaultParallelism), -(-splits * split // TASK_BYTES)))
     return lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"))
 
 
@@ -182,7 +188,7 @@ def _split_size(spark: SparkSession, size: int | None) -> Iterator[None]:
 def scan_nested(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
     """(surah_pos, ayah_pos, surah, ayah, original) of the nested document in a file that all executors see. split: bytes of a split, if not the session's."""
     with store.step(), _split_size(spark, split):
-        records = _records(spark, path)
+        records = _records(spark, path, split)
         begins = store.written(_begins(_splits(records)), "begins")
         _check(begins)
         cuts = _cuts(records, begins)
